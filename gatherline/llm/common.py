@@ -6,7 +6,7 @@ import pickle
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,34 +97,24 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into runs of rows with about ``most`` bytes of text: it bounds what numpy holds at once."""
-    for batch in batches:
-        texts = texts_of(batch.column(batch.schema.get_field_index("text")))
-        begin = total = 0
-        for i, text in enumerate(texts):
-            total += len(text)
-            if total >= most:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, total = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
-
-
-def per_document(docs: DataFrame, fn: Callable[[list[bytes]], dict[str, list]], schema: str, keep: tuple[str, ...] = ("doc_id",), most: int = 1 << 20, with_rows: bool = False) -> DataFrame:
-    """``keep`` columns of ``docs`` and what ``fn`` makes of each run of texts, as Arrow batches.
+def runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of runs of rows with about ``most`` bytes: it bounds what numpy holds at once."""
+    texts = texts_of(column)
+    begin = total = 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total >= most:
+            yield begin, texts[begin : i + 1]
+            begin, total = i + 1, 0
+    if begin < len(texts):
+        yield begin, texts[begin:]
 
-    ``fn`` gets the texts (and the record batch, if ``with_rows``) and returns a dict of equally long columns.
-    """
-    kept = [docs.schema[c] for c in keep]
-    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, most):
-            made = fn(texts, batch) if with_rows else fn(texts)
-            yield pa.RecordBatch.from_pydict({c: batch.column(batch.schema.get_field_index(c)) for c in keep} | made)
 
-    return docs.mapInArrow(run, full)
+def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Arrow batches cut by ``runs`` of their column "text"."""
+    for batch in batches:
+        for begin, texts in runs(batch.column(batch.schema.get_field_index("text")), most):
+            yield batch.slice(begin, len(texts)), texts
 
 
 def bits(flags: np.ndarray) -> bytes:
