@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bwt_dedup import remove_repeated_bytes
+from .decontam import contaminated
 from .exact_dedup import exact_duplicates
+from .html_extract import main_text
+from .langid import identify
+from .lm import score_documents
+from .packing import pack_documents
+from .quality import score_quality
 from .substring_tree import remove_repeated_words
 
+#: File of the public tokenizer that packing counts with.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, _table(spark, sf_dir, "documents"))
 
@@ -21,14 +44,36 @@ def op4_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(spark, _table(spark, sf_dir, "documents"), window=35)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(spark, _table(spark, sf_dir, "documents"), window=200)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark, _table(spark, sf_dir, "pages"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_tree": op4_substring_tree,
+    "op5_langid": op5_langid,
+    "op7_lm": op7_lm,
     "op8_bwt_dedup": op8_bwt_dedup,
+    "op9_html": op9_html,
+    "op10_decontam": op10_decontam,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
