@@ -8,6 +8,7 @@ from .bwt_dedup import remove_repeated_bytes
 from .decontam import contaminated
 from .exact_dedup import exact_duplicates
 from .html_extract import main_text
+from .jaccard_join import similar_components
 from .langid import identify
 from .lm import score_documents
 from .packing import pack_documents
@@ -48,6 +49,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(spark, _table(spark, sf_dir, "documents"), n=4, share=85)
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_tree": op4_substring_tree,
     "op5_langid": op5_langid,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_lm": op7_lm,
     "op8_bwt_dedup": op8_bwt_dedup,
     "op9_html": op9_html,
