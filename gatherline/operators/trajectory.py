@@ -10,10 +10,10 @@ from ..functions.scalars import finite, is_exact_pass, normalize_target_list
 
 def rollup_summary(seeds: DataFrame, iters: DataFrame, by: list[str], seed: str, iteration: str, status: str, target: str) -> DataFrame:
     """Per group: seeds generated and passing (exact status), and the nested map seed → {seed_design, iters}."""
-    own = iters.groupBy(*by, seed).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("iter_"), F.col(iteration).cast("string")).alias("key"), F.struct(F.col(status).alias("Status"), F.col(target).alias("Target")).alias("value"))))).alias("iters"))
+    own = iters.groupBy(*by, seed).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("iter_"), F.col(iteration).cast("string")).alias("key"), F.struct(F.col(status).alias("Status"), F.col(target).alias("Target")).alias("value")))).alias("iters"))
     rows = seeds.join(own, [*by, seed], "left")
     entry = F.struct(F.col(seed).cast("string").alias("key"), F.struct(F.struct(F.col(status).alias("Status")).alias("seed_design"), F.col("iters")).alias("value"))
-    return rows.groupBy(*by).agg(F.count("*").alias("num_generated_seed_designs"), F.count_if(is_exact_pass(status)).alias("num_passing_seed_designs"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("eval_data_by_seed"))
+    return rows.groupBy(*by).agg(F.count("*").alias("num_generated_seed_designs"), F.count_if(is_exact_pass(status)).alias("num_passing_seed_designs"), F.map_from_entries(F.collect_list(entry)).alias("eval_data_by_seed"))
 
 
 def trajectory_means(long: DataFrame, by: list[str], position: str, value: str, positions: int = 10, missing: float | None = None) -> DataFrame:
