@@ -2,10 +2,10 @@
 
 1. Tasks count the bigrams of large runs of training text by hash, and send each owner (a range of the bigram hash)
    its sorted part. The sum over owners of a word's statistics is exact, as each bigram has one owner.
-2. An owner merges its runs, writes one array of sorted bigram hashes and one of counts to the shared folder, and
-   sends on what each word needs: its count as a context, how many bigrams with count 1, 2, 3+ it begins, how many
-   distinct words it follows.
-3. Owners of word ranges add these up with the word's own count, into sorted arrays as well.
+2. An owner merges its runs, writes one array of sorted bigram hashes and one of counts to the shared folder (and the
+   same for the words of its range), and sends on what each word needs: its count as a context, how many bigrams
+   with count 1, 2, 3+ it begins, how many distinct words it follows.
+3. Owners of word ranges add these up, into sorted arrays as well.
 4. Workers map the arrays into memory and look up the distinct bigrams of a block of text in sorted order.
 
 Nothing of the model passes through the driver but totals and file names (a few per partition).
@@ -246,17 +246,21 @@ def fit(spark: SparkSession, keyed: DataFrame) -> Model:
     """Count the texts of ``keyed`` (column text) and write the arrays."""
     owners = shuffle_partitions(spark)
     base = table_path(spark, "lm")
-    sent = written(spark, keyed.select("text").mapInArrow(lambda b: _send(b, owners), "kind string, owner int, payload binary"), "lm_runs")
+    sent = keyed.select("text").mapInArrow(lambda b: _send(b, owners), "kind string, owner int, payload binary")
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         owner = int(rows["owner"].iloc[0])
-        parts = [_read_bigrams(p) for p in rows["payload"]]
+        coded = [unpacked(p) for p in rows.loc[rows["kind"] == "word", "payload"]]
+        words, count = _summed(np.concatenate([np.zeros(0, U), *(golomb_decode(k) for k, _ in coded)]), np.concatenate([np.zeros(0, np.int64), *(n.astype(np.int64) for _, n in coded)]))
+        save_array(f"{base}/words/{owner}.keys", words)
+        save_array(f"{base}/words/{owner}.values", np.minimum(count, (1 << 32) - 1).astype("<u4"))
+        parts = [_read_bigrams(p) for p in rows.loc[rows["kind"] == "bigram", "payload"]] or [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))]
         left, right = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         key = bigram_key(left, right)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        times = np.add.reduceat(np.concatenate([p[2] for p in parts])[order], head)
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        times = np.add.reduceat(np.concatenate([p[2] for p in parts])[order], head) if len(key) else np.zeros(0, np.int64)
         left, right, key = left[order][head], right[order][head], key[head]
         save_array(f"{base}/bigrams/{owner}.keys", key)
         save_array(f"{base}/bigrams/{owner}.values", np.minimum(times, (1 << 32) - 1).astype("<u4"))
@@ -274,10 +278,10 @@ def fit(spark: SparkSession, keyed: DataFrame) -> Model:
                     out["payload"].append(packed((golomb_encode(k[a:b]), [_small(x) for x in v[a:b].T])))
         out["kind"].append("file")
         out["owner"].append(owner)
-        out["payload"].append(packed((len(key), _classes(times))))
+        out["payload"].append(packed((len(key), _classes(times), len(words), int(count.sum()))))
         return pd.DataFrame(out)
 
-    merged = written(spark, sent.where("kind = 'bigram'").groupBy("owner").applyInPandas(merge, "kind string, owner int, payload binary"), "lm_words")
+    merged = written(spark, sent.groupBy("owner").applyInPandas(merge, "kind string, owner int, payload binary"), "lm_words")
 
     def collect(rows: pd.DataFrame) -> pd.DataFrame:
         owner = int(rows["owner"].iloc[0])
@@ -290,9 +294,6 @@ def fit(spark: SparkSession, keyed: DataFrame) -> Model:
                 values.append(np.column_stack([c.astype(np.int64) for c in (columns if isinstance(columns, list) else [columns])]))
             return _summed(np.concatenate(keys), np.concatenate(values))
 
-        words, count = table("word", 1)
-        save_array(f"{base}/words/{owner}.keys", words)
-        save_array(f"{base}/words/{owner}.values", np.minimum(count, (1 << 32) - 1).astype("<u4"))
         (ids, sums), (met, follow) = table("context", 4), table("follow", 1)
         every = np.union1d(ids, met)
         stats = np.zeros((len(every), 5), np.int64)
@@ -301,19 +302,18 @@ def fit(spark: SparkSession, keyed: DataFrame) -> Model:
         save_array(f"{base}/contexts/{owner}.keys", every)
         save_array(f"{base}/contexts/{owner}.values", stats.astype("<i8"))
         f = stats[:, 4]
-        return pd.DataFrame({"owner": [owner], "words": [len(words)], "tokens": [int(count.sum())], "payload": [packed((_classes(f), [int((f == 1).sum()), int((f == 2).sum()), int((f >= 3).sum())]))]})
+        return pd.DataFrame({"owner": [owner], "payload": [packed((_classes(f), [int((f == 1).sum()), int((f == 2).sum()), int((f >= 3).sum())]))]})
 
-    word_rows = sent.where("kind = 'word'").unionByName(merged.where("kind <> 'file'"))
-    stats = word_rows.groupBy("owner").applyInPandas(collect, "owner int, words long, tokens long, payload binary").collect()
+    stats = merged.where("kind <> 'file'").groupBy("owner").applyInPandas(collect, "owner int, payload binary").collect()
     files = [(r["owner"], *unpacked(bytes(r["payload"]))) for r in merged.where("kind = 'file'").collect()]
     details = [unpacked(bytes(r["payload"])) for r in stats]
     total = lambda rows, n: [int(sum(x)) for x in zip(*rows, strict=True)] if rows else [0] * n
     totals = {
-        "tokens": sum(r["tokens"] for r in stats), "words": sum(r["words"] for r in stats), "bigrams": sum(n for _, n, _ in files),
-        "bigram_times": total([c for _, _, c in files], 4), "follow_times": total([d[0] for d in details], 4), "follow_classes": total([d[1] for d in details], 3),
+        "tokens": sum(f[4] for f in files), "words": sum(f[3] for f in files), "bigrams": sum(f[1] for f in files),
+        "bigram_times": total([f[2] for f in files], 4), "follow_times": total([d[0] for d in details], 4), "follow_classes": total([d[1] for d in details], 3),
     }
     at = lambda name, found: {o: f"{base}/{name}/{o}" for o in found}
-    return Model(Shards(at("bigrams", [f[0] for f in files]), owners, 1), Shards(at("contexts", [r["owner"] for r in stats]), owners, 5), Shards(at("words", [r["owner"] for r in stats]), owners, 1), totals)
+    return Model(Shards(at("bigrams", [f[0] for f in files]), owners, 1), Shards(at("contexts", [r["owner"] for r in stats]), owners, 5), Shards(at("words", [f[0] for f in files]), owners, 1), totals)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
