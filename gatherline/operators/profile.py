@@ -130,15 +130,19 @@ def group_hulls(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            rows = [pd.DataFrame({"key": pdf["key"][:0], "x": pdf["x"][:0], "y": pdf["y"][:0]})]
             for k, g in pdf.groupby("key", dropna=False):
                 h = hull(g[["x", "y"]].to_numpy())
-                yield pd.DataFrame({"key": [k] * len(h), "x": h[:, 0], "y": h[:, 1]})
+                rows.append(pd.DataFrame({"key": [k] * len(h), "x": h[:, 0], "y": h[:, 1]}))
+            # values only: a chunked string column can't be sent back
+            every = pd.concat(rows, ignore_index=True)
+            yield every.assign(key=pd.Series(every["key"].tolist(), dtype=object))
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         h = hull(pdf[["x", "y"]].to_numpy())
         if len(h) < 3:
             h = h[:0].reshape(0, 2)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(h), "vertex": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
+        return pd.DataFrame({"key": pd.Series([pdf["key"].iloc[0]] * len(h), dtype=object), "vertex": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
     few = base.mapInPandas(partial, f"key {kind}, x double, y double")
     return few.groupBy("key").applyInPandas(final, f"key {kind}, vertex int, x double, y double").withColumnRenamed("key", key)
