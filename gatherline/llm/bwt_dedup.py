@@ -106,12 +106,16 @@ def merge(transforms: list[np.ndarray], window: int, often: np.ndarray) -> np.nd
 def _matrix(rows: dict, columns: int, width: int) -> np.ndarray:
     """The segments as columns by rows, each with its anchor at column ``width - 1``."""
     n = len(rows["length"])
-    flat = np.full(n * columns, OUTSIDE, np.uint16)
-    begin = np.arange(n) * columns + (width - 1) - rows["lead"]
-    total = int(rows["length"].sum())
-    index = np.arange(total) + np.repeat(begin - np.concatenate(([0], np.cumsum(rows["length"])))[:-1], rows["length"])
-    flat[index] = rows["data"]
-    return np.ascontiguousarray(flat.reshape(n, columns).T)
+    out = np.full((columns, n), OUTSIDE, np.uint16)
+    edge = np.concatenate(([0], np.cumsum(rows["length"])))
+    for a in range(0, n, 1000):  # bounds the index
+        lead, length = rows["lead"][a : a + 1000], rows["length"][a : a + 1000]
+        part = np.full((len(lead), columns), OUTSIDE, np.uint16)
+        begin = np.arange(len(lead)) * columns + (width - 1) - lead
+        own = edge[a : a + len(lead) + 1] - edge[a]
+        part.ravel()[np.arange(own[-1]) + np.repeat(begin - own[:-1], length)] = rows["data"][edge[a] : edge[a] + own[-1]]
+        out[:, a : a + len(lead)] = part.T
+    return out
 
 
 def packer(window: int, width: int):
@@ -132,8 +136,11 @@ def solver(window: int, width: int):
         repeated = merge([m["bwt"] for m in messages], window, np.concatenate([m["often"] for m in messages]))
         # the window at offset j of a row starts at column (width - 1 - lead + j) and ends window - 1 further on
         lead = np.concatenate([m["lead"] for m in messages])
-        column = (width - 1 - lead)[:, None] + np.arange(width) + window - 1
-        out = np.take_along_axis(repeated, np.minimum(column, repeated.shape[1] - 1), axis=1) & (column < repeated.shape[1])
+        out = np.zeros((len(lead), width), bool)
+        for a in range(0, len(lead), 4000):
+            column = (width - 1 - lead[a : a + 4000])[:, None] + np.arange(width) + window - 1
+            inside = column < repeated.shape[1]
+            out[a : a + 4000] = np.take_along_axis(repeated[a : a + 4000], np.where(inside, column, 0), axis=1) & inside
         return np.split(out, np.cumsum([len(m["lead"]) for m in messages])[:-1])
 
     return solve

@@ -13,14 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed_documents, lower_ascii, sized_join, texts_of, written
 from .exchange import keyed_pass, repeated_keys
 
 
-def _keys(texts: list[bytes]) -> tuple[dict, np.ndarray, np.ndarray]:
+def _keys(texts: list[bytes], _batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray]:
     plain = [lower_ascii(t) for t in texts]
     keys = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in plain), np.uint64, len(plain))
     return {"sha": [hashlib.sha256(t).digest() for t in plain]}, keys, np.ones(len(plain), np.int64)
@@ -39,29 +39,33 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     largest id stays (null ids count as smallest); rows that repeat the same id and text are rows of their own in
     group_size, and exactly one of them is kept. An empty table gives no rows.
     """
+    return _verdicts(spark, docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def without_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are."""
+    gone = written(spark, _verdicts(spark, docs, id_col, text_col).where("not kept").select("rid", "fp", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "dropped")
+    keys = {"__rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__fp": F.xxhash64(text_col)}
+    named = gone.where("not again").select(F.col("rid").alias("__rid"), F.col("fp").alias("__fp")).distinct()
+    left = sized_join(docs.withColumns(keys), named, ["__rid", "__fp"], "left_anti").drop("__rid", "__fp")
+    # rows repeated whole are the exception, and only then is the text compared once more
+    return left.dropDuplicates([id_col, text_col]) if gone.where("again").limit(1).count() else left
+
+
+def _verdicts(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = keyed_documents(docs, id_col, text_col)
     table = keyed_pass(spark, keyed, _keys, "sha binary", "fingerprints")
-    suspects = written(spark, repeated_keys(table, single=True).select("rid", "fp").distinct(), "suspects")
+    suspects = written(spark, repeated_keys(table).select("rid", "fp").distinct(), "suspects")
     texts = sized_join(keyed, suspects, ["rid", "fp"], "left_semi").select("doc_id", "text").mapInArrow(_normalised, "doc_id long, norm binary, sha binary")
     groups = texts.groupBy("norm", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = written(spark, groups.select("sha", "keep_id", "group_size"), "groups")
     rows = table.where("owner < 0").select("doc_id", "rid", "fp", "sha")
-    out = sized_join(rows, groups, ["sha"], "left").select("doc_id", "rid", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "sha")
-    best = out.where("group_size > 1 and doc_id <=> keep_id")
-    # a row repeated whole: all but one of its copies go
-    extra = written(spark, best.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated_rows")
-    out = sized_join(out, extra, ["sha"], "left")
-    tie = F.row_number().over(_one_of("sha")) if extra.limit(1).count() else F.lit(1)
-    if extra.limit(1).count():
-        best_rows = out.where(F.col("copies").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("nth", tie)
-        out = out.where(~(F.col("copies").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id")))).withColumn("nth", F.lit(1)).unionByName(best_rows)
-    else:
-        out = out.withColumn("nth", F.lit(1))
+    out = sized_join(rows, groups, ["sha"], "left").select("doc_id", "rid", "fp", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "sha")
+    # of a row repeated whole all copies but one go; such sets are few, and only they are numbered
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    extra = written(spark, out.where(keeper & (F.col("group_size") > 1)).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated_rows")
+    out = sized_join(out, extra, ["sha"], "left").withColumn("again", F.col("copies").isNotNull() & keeper)
+    nth = F.row_number().over(Window.partitionBy("sha").orderBy("rid"))
+    out = out.where("not again").withColumn("nth", F.lit(1)).unionByName(out.where("again").withColumn("nth", nth))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-
-
-def _one_of(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column).orderBy("rid")
+    return out.select("doc_id", "rid", "fp", "keep_id", "group_size", kept.alias("kept"), "sha")

@@ -3,7 +3,8 @@
 Each chunk of a table (a bounded run of rows of one partition) sorts its distinct keys, cuts them by owner (a range of
 the hash space) and sends every owner one Golomb-Rice coded list. An owner decodes all lists, finds the keys that
 occur twice, and answers every chunk with one bit a key. Only the coded lists and the bitmaps travel; a key held by
-a third of all rows is sent once a chunk. No list of all keys meets in one place.
+a third of all rows is sent once a chunk. No list of all keys meets in one place. Owners also flag keys that occur
+more often than a given number of times: the callers' hot groups.
 """
 
 from __future__ import annotations
@@ -56,10 +57,17 @@ def golomb_decode(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=U)
 
 
-def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: str, tag: str, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
+def messages(held: list[np.ndarray], owners: int) -> list[tuple[int, bytes]]:
+    """(owner, coded list) for the keys of a chunk: sorted, distinct, with how often the chunk has each."""
+    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    cut = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
+    return [(o, packed((golomb_encode(keys[a:b]), counts[a:b].astype(np.uint8 if counts[a:b].max() < 256 else np.uint32)))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
+
+def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: str, tag: str, chunk_keys: int = CHUNK_KEYS, block_bytes: int = 1 << 20) -> DataFrame:
     """One pass over the texts that writes, side by side, a row per document and the messages to the owners.
 
-    ``keys_of(texts)`` returns (extra columns as a dict of lists, all keys, keys of each text). The table has
+    ``keys_of(texts, batch)`` returns (extra columns as a dict of lists, all keys, keys of each text). The table has
     ``chunk, owner, doc_id, rid, fp, payload`` and the extra columns; owner is -1 in a document's row, whose payload
     holds its keys.
     """
@@ -69,18 +77,15 @@ def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: s
     target = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("fp", pa.int64()), ("payload", pa.binary())])
 
     def message(chunk: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        cut = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
-        rows = [(o, packed((golomb_encode(keys[a:b]), bits(counts[a:b] > 1)))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        rows = messages(held, owners)
         none = [None] * len(rows)
-        base = pa.RecordBatch.from_pydict({"chunk": [chunk] * len(rows), "owner": [r[0] for r in rows], "doc_id": none, "rid": none, "fp": none, "payload": [r[1] for r in rows]}, target)
-        return base
+        return pa.RecordBatch.from_pydict({"chunk": [chunk] * len(rows), "owner": [r[0] for r in rows], "doc_id": none, "rid": none, "fp": none, "payload": [r[1] for r in rows]}, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
         held, count, types = [], 0, None
-        for batch, texts in blocks(batches):
-            more, keys, each = keys_of(texts)
+        for batch, texts in blocks(batches, block_bytes):
+            more, keys, each = keys_of(texts, batch)
             ends = np.cumsum(each)
             payload = [keys[e - n : e].tobytes() for e, n in zip(ends, each, strict=True)]
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "rid", "fp")}
@@ -103,49 +108,56 @@ def widened(base: pa.RecordBatch, types: pa.Schema, names: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays(cols, schema=types)
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """An owner: decode all lists, and flag the keys that occur in two of them or twice in one."""
-    lists, twice = [], []
+def _answer(rows: pd.DataFrame, hot_above: int) -> pd.DataFrame:
+    """An owner: decode all lists, add up, and flag the keys that occur twice, and those that occur too often."""
+    lists, times = [], []
     for payload in rows["payload"]:
-        coded, flags = unpacked(payload)
-        keys = golomb_decode(coded)
-        lists.append(keys)
-        twice.append(unbits(flags, len(keys)))
+        coded, counts = unpacked(payload)
+        lists.append(golomb_decode(coded))
+        times.append(counts)
     every = np.concatenate(lists)
     order = np.argsort(every, kind="stable")
-    again = np.concatenate(twice)[order]
     ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    # a key flagged in one list is flagged in all: runs of equal keys share the flag
-    head = np.flatnonzero(np.concatenate(([True], ~same)))
-    again = np.repeat(np.logical_or.reduceat(again, head), np.diff(np.append(head, len(ranked))))
-    flags = np.empty(len(every), bool)
-    flags[order] = again
+    head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    total = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), head)
+    count = np.empty(len(every), np.int64)
+    count[order] = np.repeat(total, np.diff(np.append(head, len(ranked))))
     ends = np.cumsum([len(x) for x in lists])
-    out = [bits(flags[e - len(x) : e]) for e, x in zip(ends, lists, strict=True)]
+    out = [packed((bits(part > 1), bits(part > hot_above))) for part in (count[e - len(x) : e] for e, x in zip(ends, lists, strict=True))]
     return pd.DataFrame({"chunk": rows["chunk"], "owner": rows["owner"], "payload": out, "n": [len(x) for x in lists]})
 
 
-def _expand(mine: pd.DataFrame, answers: pd.DataFrame, everything: bool) -> pd.DataFrame:
+def _expand(mine: pd.DataFrame, answers: pd.DataFrame, carry: list[str]) -> pd.DataFrame:
     """A chunk: line its sorted keys up with the owners' bitmaps, and keep for each row the keys that repeat."""
-    each = [np.frombuffer(x, U) for x in mine["payload"]]
-    keys = np.unique(np.concatenate(each)) if each else np.zeros(0, U)
     answers = answers.sort_values("owner")
-    flags = np.concatenate([unbits(p, n) for p, n in zip(answers["payload"], answers["n"], strict=True)]) if len(answers) else np.zeros(0, bool)
-    dup = keys[flags]
-    hits = [x[np.isin(x, dup)] for x in each] if everything else [x[:1] if len(x) and dup[min(np.searchsorted(dup, x[0]), len(dup) - 1)] == x[0] else x[:0] for x in each] if len(dup) else [x[:0] for x in each]
-    some = np.array([len(x) > 0 for x in hits], bool)
-    out = mine.loc[some, ["doc_id", "rid", "fp"]]
-    return out.assign(payload=[x.tobytes() for x in hits if len(x)])
-
-
-def repeated_keys(table: DataFrame, single: bool = False) -> DataFrame:
-    """``doc_id, rid, fp, payload``: the documents with keys that occur anywhere else, and those keys.
-
-    ``table`` comes from keyed_pass. ``single``: every row has one key.
+    held = np.frombuffer(b"".join(mine["payload"]), U)
+    ends = np.cumsum([len(x) // 8 for x in mine["payload"]])
+    flags, hot = [np.zeros(0, bool)], [np.zeros(0, bool)]
+    for p, n in zip(answers["payload"], answers["n"], strict=True):
+        twice, often = unpacked(p)
+        flags.append(unbits(twice, n))
+        hot.append(unbits(often, n))
+    _, place = np.unique(held, return_inverse=True)
+    hit = np.concatenate(flags)[place] if len(held) else np.zeros(0, bool)
+    often = np.concatenate(hot)[place] if len(held) else np.zeros(0, bool)
+    edge = np.concatenate(([0], ends)).astype(np.int64)
+
+    def part(mask: np.ndarray) -> list[bytes]:
+        kept, cut = held[mask], np.concatenate(([0], np.cumsum(mask)))[edge]
+        return [kept[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    some = np.diff(np.concatenate(([0], np.cumsum(hit)))[edge]) > 0
+    out = mine[["doc_id", "rid", "fp", *carry]].assign(payload=part(hit & ~often), hot=part(often), mask=[bits(hit[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    return out.loc[some]
+
+
+def repeated_keys(table: DataFrame, hot_above: int = 1 << 60, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, rid, fp``, the ``carry`` columns, ``payload, hot, mask``: documents with keys that occur anywhere else.
+
+    ``payload`` has those keys, but for the ones that occur more than ``hot_above`` times, which are in ``hot``; ``mask``
+    has a bit for each of the document's keys. ``table`` comes from keyed_pass.
     """
-    answers = table.where("owner >= 0").select("chunk", "owner", "payload").groupBy("owner").applyInPandas(_answer, "chunk long, owner int, payload binary, n long")
-    rows = table.where("owner < 0").select("chunk", "doc_id", "rid", "fp", "payload")
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _expand(a, b, not single), "doc_id long, rid long, fp long, payload binary")
+    answers = table.where("owner >= 0").select("chunk", "owner", "payload").groupBy("owner").applyInPandas(lambda r: _answer(r, hot_above), "chunk long, owner int, payload binary, n long")
+    rows = table.where("owner < 0").select("chunk", "doc_id", "rid", "fp", "payload", *carry)
+    more = "".join(f", {c} {table.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _expand(a, b, list(carry)), f"doc_id long, rid long, fp long{more}, payload binary, hot binary, mask binary")

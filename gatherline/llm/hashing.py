@@ -123,6 +123,10 @@ def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
 
 def gather(buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """buf[begin:begin+length] of all spans, one after another."""
-    total = int(length.sum())
-    index = np.arange(total) + np.repeat(begin - np.concatenate(([0], np.cumsum(length)))[:-1], length)
-    return buf[index]
+    out = np.empty(int(length.sum()), buf.dtype)
+    at = np.concatenate(([0], np.cumsum(length)))
+    for a in range(0, len(begin), 2000):  # bounds the index
+        n, b = length[a : a + 2000], begin[a : a + 2000]
+        part = at[a : a + len(n) + 1]
+        out[part[0] : part[-1]] = buf[np.arange(part[0], part[-1]) + np.repeat(b - part[:-1], n)]
+    return out

@@ -9,7 +9,10 @@ distance from their start, so windows of different anchors never need to meet.
    documents share is sent once a task). Segments go to a bucket of the anchor's hash, packed by the solver.
 3. The solver finds, in each bucket, the windows that occur twice. Its answer returns as bits to the task
    ("shard") that sent the segment, where the places of its copies were kept.
-4. Repeated windows of a document are merged to covered intervals.
+4. Anchors that occur more than ``HOT`` times (a passage of many documents, each with other text around it) would
+   bring too much together. There the key grows to the whole window: the windows of hot anchors go through the same
+   exchange by their own hashes, and are known from it to repeat.
+5. Repeated windows of a document are merged to covered intervals.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, packed, shuffle_partitions, sized_join, texts_of, unpacked, written
-from .exchange import keyed_pass, repeated_keys
+from .common import blocks, packed, shuffle_partitions, texts_of, unbits, unpacked, written
+from .exchange import CHUNK_KEYS, keyed_pass, messages, repeated_keys
 from .hashing import U, Words, anchors, byte_values, gather, gram_hash, mix, owner_of, prefix_sums, span_hash
 
 
@@ -33,7 +36,7 @@ from .hashing import U, Words, anchors, byte_values, gather, gram_hash, mix, own
 class Segments:
     """Runs of windows with one anchor. Starts and places are counted in units from the start of the block."""
 
-    key: np.ndarray  # hash of the anchor
+    key: np.ndarray  # hash of the anchor, mixed once more: anchors are least hashes, and would crowd in the first range
     place: np.ndarray
     first: np.ndarray  # start of the first window
     last: np.ndarray  # start of the last one
@@ -42,6 +45,7 @@ class Segments:
     same: np.ndarray  # hash of the whole segment
     byte_begin: np.ndarray
     byte_end: np.ndarray
+    sums: np.ndarray  # prefix sums of the block's units, for hashes of windows
 
 
 class ByteUnits:
@@ -68,7 +72,7 @@ class ByteUnits:
         text = np.minimum(text, len(texts) - 1)
         sums = prefix_sums(values) if len(a) else np.zeros(1, U)
         same = span_hash(sums, a, b + self.window) if len(a) else np.zeros(0, U)
-        return Segments(grams[place] if len(a) else np.zeros(0, U), place, a, b, text, first[text], same, a, b + self.window), buf, counts
+        return Segments(mix(grams[place]) if len(a) else np.zeros(0, U), place, a, b, text, first[text], same, a, b + self.window, sums), buf, counts
 
 
 class WordUnits:
@@ -84,14 +88,19 @@ class WordUnits:
         ok = words.text[:n] == words.text[self.window - 1 :][:n]
         place, a, b = anchors(grams, ok, self.window, self.k)
         text = words.text[a]
-        same = span_hash(prefix_sums(words.hash), a, b + self.window) if len(a) else np.zeros(0, U)
+        sums = prefix_sums(words.hash)
+        same = span_hash(sums, a, b + self.window) if len(a) else np.zeros(0, U)
         begin = words.begin[a] if len(a) else a
         end = words.end[b + self.window - 1] if len(a) else a
-        return Segments(grams[place] if len(a) else np.zeros(0, U), place, a, b, text, words.first[text], same, begin, end), words.buf, words.counts
+        return Segments(mix(grams[place]) if len(a) else np.zeros(0, U), place, a, b, text, words.first[text], same, begin, end, sums), words.buf, words.counts
 
 
+#: Occurrences of an anchor up to which its segments meet in one bucket.
+HOT = 2000
 #: A shard is closed at this many distinct segments.
-SHARD_SEGMENTS = 24_000
+SHARD_SEGMENTS = 12_000
+#: Bytes of text that are looked at together, and buckets for each shuffle partition: both bound a worker's memory.
+BLOCK_BYTES, BUCKETS = 1 << 19, 4
 
 
 def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits | WordUnits, pack: Callable, solve: Callable, per_text: Callable, extra: str, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -102,20 +111,40 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
     """
     window, width = units.window, units.window - units.k + 1
 
-    def keys_of(texts: list[bytes]) -> tuple[dict, np.ndarray, np.ndarray]:
+    def keys_of(texts: list[bytes], _batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray]:
         seg, _, counts = units.segments(texts)
         return per_text(texts, counts), seg.key, np.bincount(seg.text, minlength=len(texts))
 
-    table = keyed_pass(spark, keyed, keys_of, extra, f"{tag}_anchors")
-    known = written(spark, repeated_keys(table), f"{tag}_repeated")
-    known = known.groupBy("rid", "fp").agg(F.first("payload").alias("payload"))
-    known = written(spark, known, f"{tag}_known")
-    again = sized_join(keyed.select("rid", "fp", "text"), known, ["rid", "fp"], "inner", "payload")
-    buckets = shuffle_partitions(spark)
+    table = keyed_pass(spark, keyed, keys_of, extra, f"{tag}_anchors", block_bytes=BLOCK_BYTES)
+    known = written(spark, repeated_keys(table, HOT).select("rid", "fp", "payload", "hot"), f"{tag}_repeated")
+    known = written(spark, known.groupBy("rid", "fp").agg(F.first("payload").alias("payload"), F.first("hot").alias("hot")), f"{tag}_known")
+    # by shuffle at every size: what repeats is a share of all documents
+    again = keyed.select("rid", "fp", "text").join(known.hint("merge"), ["rid", "fp"])
+    owners = shuffle_partitions(spark)
+    buckets = BUCKETS * shuffle_partitions(spark)
+
+    def rows(kind: str, chunk: list, owner: list, payload: list, rid: list | np.ndarray | None = None, fp: list | np.ndarray | None = None, starts: list | None = None) -> pa.RecordBatch:
+        n = len(chunk)
+        ids = [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (None, rid, fp)]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(chunk, pa.int64()), pa.array(owner, pa.int32()), *ids, pa.array(payload, pa.binary()), pa.array(starts, pa.binary()) if starts is not None else pa.nulls(n, pa.binary())], names=["kind", "chunk", "owner", "doc_id", "rid", "fp", "payload", "starts"])
+
+    def hot_messages(name: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        found = messages(held, owners)
+        return rows("hot", [name] * len(found), [o for o, _ in found], [p for _, p in found])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        held, count, seen = [], 0, set()
+        held, count, seen, hot_keys, hot_count = [], 0, set(), [], 0
+
+        def hot_rows(texts: list[bytes], ids: np.ndarray, seg: Segments, use: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+            """A row for each document with windows of hot anchors, and the hashes of these."""
+            many = seg.last[use] - seg.first[use] + 1
+            start = np.arange(int(many.sum())) + np.repeat(seg.first[use] - np.concatenate(([0], np.cumsum(many)))[:-1], many)
+            own = (start - np.repeat(seg.base[use], many)).astype(np.int64)
+            each = np.bincount(np.repeat(seg.text[use], many), minlength=len(texts))
+            some, ends = np.flatnonzero(each), np.cumsum(each)
+            keys = mix(span_hash(seg.sums, start, start + window))
+            return rows("hot", [name] * len(some), [-1] * len(some), [keys[ends[i] - each[i] : ends[i]].tobytes() for i in some], ids[some, 0], ids[some, 1], [packed(own[ends[i] - each[i] : ends[i]]) for i in some]), keys
 
         def flush() -> pa.RecordBatch:
             docs = np.concatenate([x["doc"] for x in held]).astype(np.int64)
@@ -131,18 +160,32 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
             starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
             data = np.concatenate([x["data"] for x in held])
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = {"data": gather(data, starts[index], lengths[index]), "length": lengths[index], "lead": joined["lead"][index], "many": joined["many"][index], "often": times > 1}
-            messages = pack(rows, cut)
+            picked = {"data": gather(data, starts[index], lengths[index]), "length": lengths[index], "lead": joined["lead"][index], "many": joined["many"][index], "often": times > 1}
+            parts = pack(picked, cut)
             places = {"docs": docs, "doc": joined["owner_doc"], "first": joined["first"], "many": joined["many"], "row": rank[inverse]}
-            return pa.RecordBatch.from_pydict({"shard": [name] * (1 + len(cut)), "bucket": pa.array([-1, *bucket[cut].tolist()], pa.int32()), "payload": pa.array([packed(places), *map(packed, messages)], pa.binary())})
+            return rows("cold", [name] * (1 + len(cut)), [-1, *bucket[cut].tolist()], [packed(places), *map(packed, parts)])
 
-        for batch, texts in blocks(batches):
-            rid, fp, known_keys = (batch.column(batch.schema.get_field_index(c)) for c in ("rid", "fp", "payload"))
+        for batch, texts in blocks(batches, BLOCK_BYTES):
+            rid, fp, known_keys, hot = (batch.column(batch.schema.get_field_index(c)) for c in ("rid", "fp", "payload", "hot"))
             ids = np.column_stack((rid.to_numpy(), fp.to_numpy()))
             fresh = np.array([tuple(x) not in seen and not seen.add(tuple(x)) for x in ids.tolist()])  # copies of a row within a task
             seg, buf, _ = units.segments(texts)
             wanted = np.unique(np.frombuffer(b"".join(known_keys.to_pylist()), U))
-            use = np.flatnonzero(np.isin(seg.key, wanted) & fresh[seg.text]) if len(seg.key) else np.zeros(0, np.int64)
+            common = np.unique(np.frombuffer(b"".join(hot.to_pylist()), U))
+            if len(common) and len(seg.key):
+                use = np.flatnonzero(np.isin(seg.key, common) & fresh[seg.text])
+                if len(use):
+                    out, keys = hot_rows(texts, ids, seg, use)
+                    yield out
+                    hot_keys.append(keys)
+                    hot_count += len(keys)
+            # a hot anchor is hot for all
+            use = np.flatnonzero(np.isin(seg.key, np.setdiff1d(wanted, common)) & fresh[seg.text]) if len(seg.key) else np.zeros(0, np.int64)
+            if hot_count >= CHUNK_KEYS:
+                yield hot_messages(name, hot_keys)
+                if count:
+                    yield flush()
+                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, set(), [], 0
             if not len(use):
                 continue
             length = seg.byte_end[use] - seg.byte_begin[use]
@@ -151,11 +194,28 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
             count += len(use)
             if count >= SHARD_SEGMENTS:
                 yield flush()
-                name, held, count, seen = name + 1, [], 0, set()
+                if hot_count:
+                    yield hot_messages(name, hot_keys)
+                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, set(), [], 0
         if count:
             yield flush()
+        if hot_count:
+            yield hot_messages(name, hot_keys)
+
+    sent = written(spark, again.mapInArrow(shards, "kind string, chunk long, owner int, doc_id long, rid long, fp long, payload binary, starts binary"), f"{tag}_segments")
+    cold = sent.where("kind = 'cold'").select(F.col("chunk").alias("shard"), F.col("owner").alias("bucket"), "payload")
 
-    sent = written(spark, again.mapInArrow(shards, "shard long, bucket int, payload binary"), f"{tag}_segments")
+    def hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, fp, starts, mask = (batch.column(i) for i in range(4))
+            out = []
+            for s, m in zip(starts.to_pylist(), mask.to_pylist(), strict=True):
+                at = unpacked(s)
+                at = at[unbits(m, len(at))]
+                out.append(merged_spans(np.column_stack((at, at + window))).tobytes())
+            yield pa.RecordBatch.from_pydict({"rid": rid, "fp": fp, "payload": pa.array(out, pa.binary())})
+
+    hot_found = repeated_keys(sent.where("kind = 'hot'"), carry=("starts",)).select("rid", "fp", "starts", "mask").mapInArrow(hot_spans, "rid long, fp long, payload binary")
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         found = solve([unpacked(x) for x in rows["payload"]])
@@ -189,12 +249,23 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
                 out["payload"].append(spans[a:b].tobytes())
         return pd.DataFrame(out)
 
-    answers = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(answer, "shard long, bucket int, payload binary")
-    spans = sent.where("bucket < 0").select("shard", "payload").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(intervals, "rid long, fp long, payload binary")
-    spans = spans.groupBy("rid", "fp").agg(F.first("payload").alias("payload"))
+    answers = cold.where("bucket >= 0").groupBy("bucket").applyInPandas(answer, "shard long, bucket int, payload binary")
+    spans = cold.where("bucket < 0").select("shard", "payload").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(intervals, "rid long, fp long, payload binary")
+    # a document's spans of either kind, one after another; rows repeated whole have the same
+    spans = spans.unionByName(hot_found).groupBy("rid", "fp").agg(F.unhex(F.concat_ws("", F.transform(F.collect_set("payload"), F.hex))).alias("payload"))
     return table.where("owner < 0").drop("chunk", "owner", "payload"), written(spark, spans, f"{tag}_spans")
 
 
+def merged_spans(spans: np.ndarray) -> np.ndarray:
+    """Intervals as they are covered: sorted, with overlapping and touching ones put together."""
+    if len(spans) < 2:
+        return spans.astype(np.int64)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    head = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1])))
+    return np.column_stack((spans[head, 0], reach[np.append(head[1:] - 1, len(spans) - 1)])).astype(np.int64)
+
+
 def remove_spans(keyed: DataFrame, table: DataFrame, spans: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """Rows without a span as ``table`` has them, the others re-read and cut: ``cut(text, spans)`` gives the columns of ``schema``."""
     names = [x.split()[0] for x in schema.split(",")]
@@ -202,9 +273,9 @@ def remove_spans(keyed: DataFrame, table: DataFrame, spans: DataFrame, cut: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payload = batch.column(batch.schema.get_field_index("payload")).to_pylist()
-            made = [cut(t, np.frombuffer(p, np.int64).reshape(-1, 2)) for t, p in zip(texts_of(batch.column(batch.schema.get_field_index("text"))), payload, strict=True)]
+            made = [cut(t, merged_spans(np.frombuffer(p, np.int64).reshape(-1, 2))) for t, p in zip(texts_of(batch.column(batch.schema.get_field_index("text"))), payload, strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id"))} | dict(zip(names, map(list, zip(*made, strict=True)), strict=True)) if made else {"doc_id": pa.array([], pa.int64())} | {n: [] for n in names})
 
-    hit = sized_join(keyed.select("doc_id", "rid", "fp", "text"), spans, ["rid", "fp"], "inner", "payload")
-    whole = sized_join(table, spans.select("rid", "fp"), ["rid", "fp"], "left_anti")
+    hit = keyed.select("doc_id", "rid", "fp", "text").join(spans.hint("merge"), ["rid", "fp"])
+    whole = table.join(spans.select("rid", "fp").hint("merge"), ["rid", "fp"], "left_anti")
     return whole.select("doc_id", *names).unionByName(hit.select("doc_id", "text", "payload").mapInArrow(run, f"doc_id long, {schema}"))

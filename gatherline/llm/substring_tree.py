@@ -12,6 +12,7 @@ node with two suffixes is a repeat; every window below it is removed.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from .hashing import Words
 from .repeats import WordUnits, covered_intervals, remove_spans
 
 #: Suffixes whose subtrees are built at a time.
-PORTION = 2_000_000
+PORTION = 500_000
 #: Words that one split looks at.
 STEP = 3
 
@@ -58,13 +59,8 @@ def deep_nodes(words: np.ndarray, begin: np.ndarray, root: np.ndarray, often: np
 
 def solver(window: int, width: int):
     def solve(messages: list[dict]) -> list[np.ndarray]:
-        found = []
-        for m in messages:
-            found.append(np.zeros((len(m["length"]), width), bool))
-        # rows of all messages, with the words of their text
-        data = b" ".join(_spaced(m) for m in messages)
-        words = Words([data])
-        _, ids = np.unique(words.hash, return_inverse=True)
+        # the words of all rows
+        _, ids = np.unique(np.concatenate([h for m in messages for h in _word_hashes(m)]), return_inverse=True)
         many = np.concatenate([m["many"] for m in messages])
         lead = np.concatenate([m["lead"] for m in messages])
         often = np.concatenate([m["often"] for m in messages])
@@ -88,21 +84,17 @@ def solver(window: int, width: int):
             root = np.unique(root, return_inverse=True)[1]
             out[suffix_row, offset] = deep_nodes(ids, row_begin[suffix_row] + offset, root, often[suffix_row], window)
             begin = end
-        cut = np.cumsum([len(x) for x in found])[:-1]
-        return np.split(out, cut)
+        return np.split(out, np.cumsum([len(m["many"]) for m in messages])[:-1])
 
     return solve
 
 
-def _spaced(message: dict) -> bytes:
-    """The segments' texts with a space between them."""
-    length = message["length"]
-    buf = np.frombuffer(message["data"], np.uint8)
-    out = np.full(len(buf) + len(length), 0x20, np.uint8)
-    keep = np.ones(len(out), bool)
-    keep[np.cumsum(length + 1) - 1] = False
-    out[keep] = buf
-    return out.tobytes()
+def _word_hashes(message: dict, rows: int = 1000) -> Iterator[np.ndarray]:
+    """The hashes of the words of the message's segments, a number of segments at a time."""
+    edge = np.concatenate(([0], np.cumsum(message["length"])))
+    for a in range(0, len(edge) - 1, rows):
+        part = edge[a : a + rows + 1]
+        yield Words([message["data"][x:y] for x, y in zip(part[:-1], part[1:], strict=True)]).hash
 
 
 def remove_repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
