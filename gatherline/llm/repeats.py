@@ -185,7 +185,7 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
                 yield hot_messages(name, hot_keys)
                 if count:
                     yield flush()
-                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, set(), [], 0
+                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, {tuple(ids[-1].tolist())}, [], 0  # copies of a row are neighbours
             if not len(use):
                 continue
             length = seg.byte_end[use] - seg.byte_begin[use]
@@ -196,7 +196,7 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
                 yield flush()
                 if hot_count:
                     yield hot_messages(name, hot_keys)
-                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, set(), [], 0
+                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, {tuple(ids[-1].tolist())}, [], 0  # copies of a row are neighbours
         if count:
             yield flush()
         if hot_count:
