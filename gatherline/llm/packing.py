@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,32 +32,73 @@ END_ID = 2
 CACHE_WORDS = 300_000
 
 _tokenizers: dict[str, tuple] = {}
+_ASCII = re.compile(r"[\x00-\x7f]+")
+#: Runs of letters, single digits, runs of the rest: what the tokenizer splits at, where other characters are letters.
+_RUNS = re.compile(r"[A-Za-z\x80-\U0010ffff]+|[0-9]|[\x00-/:-@\[-`{-\x7f]+")
 
 
 def _tokenizer(path: str) -> tuple:
+    """(tokenizer, which ids end a pre-token, ids of known words, ids of known pre-tokens)."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        made = Tokenizer.from_file(path)
+        vocabulary = made.get_vocab(with_added_tokens=False)
+        last = np.zeros(max(vocabulary.values(), default=0) + 4096, bool)
+        last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = (made, last, {}, {})
     return _tokenizers[path]
 
 
+def _runs(word: str) -> list[str]:
+    """The lower-cased pre-tokens of a word; none where only the tokenizer can tell."""
+    if "'" in word or "<|" in word:
+        return []
+    word = word.lower()
+    foreign = _ASCII.sub("", word)
+    return _RUNS.findall(word) if not foreign or foreign.isalpha() else []
+
+
+def _tokenize(words: list[bytes], tokenizer, last: np.ndarray, cache: dict, known: dict) -> None:
+    """Fill ``cache``. Words whose pre-tokens are plain are put together from these: they recur far more often.
+
+    New pre-tokens are tokenized as one text, and told apart by the tokens that end one.
+    """
+    texts = [w.decode("utf-8", "replace") for w in words]
+    runs = [_runs(t) for t in texts]
+    fresh = list({r for rs in runs for r in rs}.difference(known))
+    for i in range(0, len(fresh), 512):
+        part = fresh[i : i + 512]
+        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) == len(part):
+            data, at = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+            known.update(zip(part, [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+    rest = []
+    for w, t, rs in zip(words, texts, runs, strict=True):
+        try:
+            cache[w] = b"".join([known[r] for r in rs]) if len(rs) > 1 else known[rs[0]]
+        except (KeyError, IndexError):
+            rest.append((w, t))
+    for i in range(0, len(rest), 2000):
+        part = rest[i : i + 2000]
+        for (w, _), e in zip(part, tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+
+
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit bytes, without the end id.
 
     The tokenizer drops white space and no token spans it, so texts are split there and each distinct word is
     tokenized once.
     """
-    tokenizer, cache = _tokenizer(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+    tokenizer, last, cache, known = _tokenizer(path)
+    for table in (cache, known):
+        if len(table) > CACHE_WORDS:
+            table.clear()
     words = [t.split() for t in texts]
-    missing = list({w for ws in words for w in ws}.difference(cache))
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+    _tokenize(list({w for ws in words for w in ws}.difference(cache)), tokenizer, last, cache, known)
     return [b"".join(map(cache.__getitem__, ws)) for ws in words]
 
 
