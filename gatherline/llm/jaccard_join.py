@@ -7,9 +7,12 @@ A set emits parts in a fixed order until it has k + 1 that are not nearly empty
 as the shorter of two such lists already holds an agreeing part. Only a set without enough such parts emits all.
 
 Signatures that occur once are found by a Golomb-coded exchange and dropped. Equal sets collapse to one node. Groups of
-nodes that share a signature are resolved without pairing all members: in each round the best connected members are
-compared with those of other components, verified on the sets, and leave the group; a group whose members are all in
-one component is done. So no link between different sets is lost, and a group of near copies costs a few stars.
+nodes that share a signature join into clusters, named by the best connected member; near copies share many signatures
+and fall into one. A cluster of bounded size is resolved in one task: its members in turn, the best connected first, are
+compared with all of other components, and only what joins two components comes out. A larger cluster is resolved
+in rounds: first its best connected member is compared with the others, then ever more of those outside its largest
+component; they leave the cluster, and one whose members are all in one component is done. So no link between different
+sets is lost, and a group of near copies costs a few stars.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ from .hashing import _BASE, U, Words, mix
 
 #: Sizes of an instance span this ratio.
 RATIO = 2.0
+#: Members, and elements of all their sets, up to which a cluster is resolved in one task.
+CLUSTER_NODES, CLUSTER_ELEMENTS = 1000, 1_000_000
 #: Instances with sizes from here on treat parts of a single element as nearly empty.
 WEAK_FROM = 40
 
@@ -131,7 +137,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 4, share:
     """
     keyed = keyed_documents(docs, id_col, text_col)
 
-    def keys_of(texts: list[bytes]) -> tuple[dict, np.ndarray, np.ndarray]:
+    def keys_of(texts: list[bytes], _batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray]:
         keys, text, sizes = shingles(texts, n)
         whole = np.zeros(len(texts), U)
         np.add.at(whole, text, mix(keys))
@@ -171,7 +177,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **
 
 
 def _candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """``sig, node, size, degree``: members of signature groups with two nodes at least; degree counts a node's fellows."""
+    """``cluster, node, size, degree``: nodes that share a signature with others; degree counts a node's fellows."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,34 +188,77 @@ def _candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
     flat = written(spark, nodes.select("node", "size", "payload").mapInArrow(explode, "sig long, node long, size long"), "members")
     groups = flat.groupBy("sig").agg(F.count("*").alias("fellows")).where("fellows > 1")
-    flat = written(spark, flat.join(groups, "sig"), "members")
+    flat = flat.join(groups, "sig")
     degree = flat.groupBy("node").agg(F.sum("fellows").alias("degree"))
-    return written(spark, flat.drop("fellows").join(degree, "node"), "candidates")
+    flat = written(spark, flat.drop("fellows").join(degree, "node"), "members")
+    # a group's cluster is its best connected member; all pairs of the group are pairs of the cluster
+    top = flat.groupBy("sig").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("top")).select("sig", (-F.col("top.node")).alias("cluster"))
+    return written(spark, flat.join(top, "sig").select("cluster", "node", "size", "degree").distinct(), "clusters")
+
+
+def _within(clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that connect the components of each small cluster: one fewer than a component has nodes."""
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["degree", "node"], ascending=[False, True], ignore_index=True)
+        held = [np.frombuffer(x, U) for x in pdf["payload"]]
+        node, size = pdf["node"].to_numpy(), np.fromiter(map(len, held), np.int64, len(held))
+        every, begin = np.concatenate(held), np.concatenate(([0], np.cumsum(size)))[:-1]
+        _, ids = np.unique(every, return_inverse=True)
+        label, links = np.arange(len(node)), []
+        mark = np.zeros(int(ids.max()) + 1, bool)
+        for i in range(len(node)):
+            other = label != label[i]
+            if not other.any():
+                continue
+            own = ids[begin[i] : begin[i] + size[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[ids].astype(np.int32), begin)
+            mark[own] = False
+            for j in np.flatnonzero(other & (100 * common >= share * (size + size[i] - common))):
+                if label[j] != label[i]:
+                    links.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame({"a": pd.Series([x for x, _ in links], dtype="int64"), "b": pd.Series([x for _, x in links], dtype="int64")})
+
+    return clusters.join(sets, "node").groupBy("cluster").applyInPandas(resolve, "a long, b long")
 
 
 def _resolve(spark: SparkSession, members: DataFrame, label: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """``node, root``: components of the similar nodes. Each round takes more hubs of each group that is still open."""
+    """``node, root``: components of the similar nodes. Small clusters first, then the others in rounds."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("elements"))
+    small = written(spark, sizes.select("cluster", ((F.col("n") <= CLUSTER_NODES) & (F.col("elements") <= CLUSTER_ELEMENTS)).alias("small")), "cluster_sizes")
+    label = _joined(spark, label, written(spark, _within(members.join(small.where("small"), "cluster", "left_semi"), sets, share), "links"))
+    members = members.join(small.where("not small"), "cluster", "left_semi")
     hubs, tested = 1, None
     while True:
         placed = members.join(label, "node")
-        open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        live = written(spark, placed.join(open_, "sig"), "open")
+        # the largest component of each cluster stands back: what is outside of it must meet all others
+        parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+        main = parts.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        live = written(spark, placed.join(main.drop("parts"), "cluster"), "open")
         if not live.limit(1).count():
             return label
-        nth = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("degree"), "node"))
-        hub = written(spark, live.withColumn("nth", nth).where(F.col("nth") <= hubs).select("sig", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root")), "hubs")
-        pairs = live.join(hub, "sig").where((F.col("root") != F.col("hub_root")) & (100 * F.least("size", "hub_size") >= share * F.greatest("size", "hub_size")))
+        pool = live if hubs == 1 else live.where("root <> main")
+        nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "node"))
+        hub = written(spark, pool.withColumn("nth", nth).where(F.col("nth") <= hubs).select("cluster", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root")), "hubs")
+        pairs = live.join(hub, "cluster").where((F.col("root") != F.col("hub_root")) & (100 * F.least("size", "hub_size") >= share * F.greatest("size", "hub_size")))
         pairs = pairs.select(F.least("node", "hub").alias("b"), F.greatest("node", "hub").alias("a")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(spark, pairs, "pairs")
-        edges = written(spark, _verified(pairs, sets, share), "links")
+        label = _joined(spark, label, written(spark, _verified(pairs, sets, share), "links"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if edges.limit(1).count():
-            ends = edges.join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-            roots = connected(spark, ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-            moved = label.join(roots.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-            label = written(spark, moved.select("node", F.coalesce("new", "root").alias("root")), "labels")
-        # a hub has met all others of its group
-        members = live.drop("root").join(hub.select("sig", F.col("hub").alias("node")), ["sig", "node"], "left_anti")
-        hubs *= 4
+        # a hub has met all others of its cluster
+        members = live.drop("root", "main").join(hub.select("cluster", F.col("hub").alias("node")), ["cluster", "node"], "left_anti")
+        hubs *= 16
+
+
+def _joined(spark: SparkSession, label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components that ``links`` connect are one."""
+    if not links.limit(1).count():
+        return label
+    ends = links.join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    roots = connected(spark, ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = label.join(roots.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+    return written(spark, moved.select("node", F.coalesce("new", "root").alias("root")), "labels")

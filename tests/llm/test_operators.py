@@ -151,7 +151,9 @@ def test_bwt_merge_equals_building_at_once():
     assert (got == want).all()
 
 
-def test_jaccard_against_brute_force(spark):
+@pytest.mark.parametrize("most", [3, 1000])  # clusters in rounds, and each in one task
+def test_jaccard_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "CLUSTER_NODES", most)
     rng = random.Random(3)
     base = [words(rng, n, 5000).split() for n in (6, 12, 30, 60, 60, 150, 400)]
     rows = []
