@@ -2,12 +2,14 @@
 
 A seed is a fixed mask over token positions; tokens at its ignored positions may differ. The tokens under each mask,
 at each place of every test item and every document, are hashed; equal hashes of a document and an item are hits. On
-each hit's diagonal (same shift between the two texts) the tokens are compared one by one, and the best stretch that
-tolerates substitutions is kept.
+each hit's diagonal (same shift between the two texts) the tokens are compared one by one, and of the stretches that
+keep the share of equal tokens the one with the most of them is taken.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import blocks, keyed_documents, lower_ascii, sized_join, written
 from .hashing import _BASE, U, byte_values, mix, prefix_sums, span_hash
 
-#: Masks of weight 7. Together they hit any 13 tokens with two substitutions (tested).
-MASKS = ("1111111", "11101111", "1110011011", "1101100111", "11010010111", "111010010011")
+#: Masks of weight 7. Together they hit any 13 tokens with two substitutions, and every stretch with 13 equal tokens
+#: that make up four fifths of it (tested).
+MASKS = ("1111111", "11101111", "1110011011", "1101100111", "11010010111", "111010010011", "11010101011")
 #: Tokens that must agree (of an item with fewer, all its tokens), and the share of the stretch that must.
 LEAST_MATCHED = 13
 LEAST_SHARE = 0.8
@@ -55,13 +58,19 @@ def seed_hashes(hashes: np.ndarray, text: np.ndarray, mask: str, salt: int) -> t
     return mix(total[place]), place
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, matches) of the stretch with the largest sum of +1 for a match and -3 for a mismatch."""
-    score = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    begin = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return begin, end, int(equal[begin:end].sum())
+def best_stretch(equal: np.ndarray, share: Fraction) -> tuple[int, int, int]:
+    """(begin, end, matches) of the stretch with the most matches among all in which they make up ``share``.
+
+    It begins and ends with a match; ties go to the first end. Without any match it is empty.
+    """
+    score = np.concatenate(([0], np.cumsum(np.where(equal, share.denominator, 0) - share.numerator)))
+    count = np.concatenate(([0], np.cumsum(equal)))
+    # a stretch keeps the share if its score is not negative: for each end, the first begin with no larger sum
+    begins = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(count - count[begins]))
+    begin = int(begins[end])
+    matched = int(count[end] - count[begin])
+    return begin + int(np.argmax(equal[begin:end])) if matched else end, end, matched
 
 
 def _index(items: list[tuple[int, bytes]], masks: tuple[str, ...]) -> dict:
@@ -78,9 +87,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, masks:
     """One row for each document and test item that overlap: ``doc_id, item_id, n_matched, n_tokens, doc_start, item_start``.
 
     An overlap is a stretch without insertions in which at least ``least_matched`` tokens (or all tokens of a shorter
-    item) agree, and ``least_share`` of the stretch. ``n_tokens`` is its length, the starts count tokens. Items with
-    fewer tokens than the shortest mask are not looked for. Nulls and empty texts match nothing; items that repeat an
-    id or a text each match; ties go to the first stretch. Documents without an overlap have no row; rows that
+    item) agree, and ``least_share`` of the stretch; the one with the most equal tokens is given, from its first to its
+    last equal one. ``n_tokens`` is its length, the starts count tokens. Items with fewer tokens than the shortest mask
+    are not looked for. Nulls and empty texts match nothing; items that repeat an id or a text each match; ties go to
+    the first stretch. Documents without an overlap have no row; rows that
     repeat a document give rows again.
     """
     keyed = keyed_documents(docs, id_col, text_col)
@@ -125,12 +135,17 @@ def _overlaps(texts: list[bytes], index: dict, masks: tuple[str, ...], least_mat
     doc, item = text[hit[:, 0]], index["text"][hit[:, 1]]
     diagonal = np.unique(np.column_stack((doc, item, hit[:, 0] - hit[:, 1])), axis=0)
     first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(texts)))))
+    share = Fraction(str(least_share))
     best: dict[tuple[int, int], tuple] = {}
     for d, t, shift in diagonal.tolist():
         a, b = int(index["first"][t]), int(index["first"][t + 1])
         lo, hi = max(a, int(first[d]) - shift), min(b, int(first[d + 1]) - shift)
-        begin, end, matched = best_stretch(index["hashes"][lo:hi] == hashes[lo + shift : hi + shift])
-        if matched >= min(least_matched, b - a) and matched >= least_share * (end - begin):
+        equal = index["hashes"][lo:hi] == hashes[lo + shift : hi + shift]
+        need = min(least_matched, b - a)
+        if np.count_nonzero(equal) < need:
+            continue
+        begin, end, matched = best_stretch(equal, share)
+        if matched >= need:
             row = (d, int(index["ids"][t]), matched, end - begin, lo + begin + shift - int(first[d]), lo + begin - a)
             if (d, t) not in best or matched > best[d, t][2]:
                 best[d, t] = row

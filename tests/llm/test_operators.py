@@ -251,6 +251,39 @@ def test_masks_tolerate_two_substitutions():
         assert any(all(not (c == "1" and p + j in wrong) for j, c in enumerate(m)) for m in decontam.MASKS for p in range(13 - len(m) + 1))
 
 
+@pytest.mark.parametrize("length, wrong", [(16, 3), (20, 4), (25, 5), (30, 6)])  # any longer stretch holds one of these, or 13 tokens with two
+def test_masks_hit_every_stretch_within_the_limits(length, wrong):
+    pattern = (1 << np.array(list(itertools.combinations(range(length), wrong)), np.int64)).sum(axis=1)
+    for shorter, most in ((16, 3), (20, 4), (25, 5)):
+        for p in range(length - shorter + 1 if shorter < length else 0):
+            pattern = pattern[np.bitwise_count(pattern & np.int64(((1 << shorter) - 1) << p)) > most]
+    for m in decontam.MASKS:
+        for p in range(length - len(m) + 1):
+            pattern = pattern[(pattern & np.int64(sum(1 << p + j for j, c in enumerate(m) if c == "1"))) != 0]
+    assert not len(pattern)
+
+
+def test_overlaps_with_substitutions_at_any_place():
+    for n in range(13, 26):
+        item = [f"t{j}" for j in range(n)]
+        index = decontam._index([(n, " ".join(item).encode())], decontam.MASKS)
+        placings = [w for k in (0, 1, 2) for w in itertools.combinations(range(n), k)]
+        texts = [" ".join(["before", *("other" if j in w else x for j, x in enumerate(item)), "after"]).encode() for w in placings]
+        got = {r[0]: r[2] for r in decontam._overlaps(texts, index, decontam.MASKS, 13, 0.8)}
+        assert got == {i: n - len(w) for i, w in enumerate(placings) if n - len(w) >= 13}
+
+
+def test_best_stretch_against_brute_force():
+    rng = np.random.default_rng(6)
+    share = decontam.Fraction("0.8")
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 30)) < rng.choice([0.3, 0.7, 0.9])
+        fits = [int(equal[a:b].sum()) for a in range(len(equal)) for b in range(a, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+        begin, end, matched = decontam.best_stretch(equal, share)
+        assert matched == equal[begin:end].sum() == max(fits) and 5 * matched >= 4 * (end - begin)
+        assert not matched or (equal[begin] and equal[end - 1])
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(i, words(rng, 20, 3000)) for i in range(5)]
