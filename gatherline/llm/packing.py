@@ -55,7 +55,8 @@ def _runs(word: str) -> list[str]:
     """The lower-cased pre-tokens of a word; none where only the tokenizer can tell."""
     if "'" in word or "<|" in word:
         return []
-    word = word.lower()
+    # the tokenizer lower-cases each character by itself; Python's only rule that looks around is the final sigma's
+    word = word.replace("\u03a3", "\u03c3").lower()
     foreign = _ASCII.sub("", word)
     return _RUNS.findall(word) if not foreign or foreign.isalpha() else []
 

@@ -223,6 +223,17 @@ def test_packing(spark, corpus):
         assert at <= 4096
 
 
+def test_token_ids_of_each_letter_are_the_tokenizer_s():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    marks = "Σσς\u0130\u0131\u1e9e\u0345\u01c5\u1f88\u03f4\u2126"
+    texts = ["ΟΔΟΣ", "Σ", "ΑΣ ΣΑ ΣΣ", "ΟΔΟΣ, ΟΔΟΣ.", "ΟΔΟΣ2 ΟΔΟΣabc ABCΣ aΣ-b Σ_", "Σ'Σ İΣ", *(f"A{c}B {c}A B{c} Σ{c}Σ {c}" for c in [*marks, *map(chr, range(0x370, 0x530))])]
+    got = packing.token_ids([t.encode() for t in texts], tokenizer_path())
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_plan_uses_the_histogram_up():
     rng = np.random.default_rng(3)
     histogram = rng.integers(0, 300, 65)
