@@ -93,6 +93,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, masks:
     the first stretch. Documents without an overlap have no row; rows that
     repeat a document give rows again.
     """
+    return _found(spark, docs, items, masks, least_matched, least_share, block_tokens, id_col, text_col, item_col, item_text_col).drop("rid", "fp")
+
+
+def _found(spark: SparkSession, docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least_matched: int = LEAST_MATCHED, least_share: float = LEAST_SHARE, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``contaminated`` with the documents' ``rid`` and ``fp``."""
     keyed = keyed_documents(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("body")).where("body is not null")
     size = tests.agg(F.sum(F.length("body") / 3 + 1)).first()[0] or 0
@@ -106,12 +111,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, masks:
         def find(batches, index=index):
             for batch, texts in blocks(batches):
                 rows = _overlaps(texts, index.value, masks, least_matched, least_share)
-                ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i] for i in cols[0]], pa.int64())} | {n.split()[0]: pa.array(v, pa.int64()) for n, v in zip(schema.split(", "), cols[1:], strict=True)})
+                    at = pa.array(cols[0], pa.int64())
+                    yield pa.RecordBatch.from_pydict({n: batch.column(batch.schema.get_field_index(n)).take(at) for n in ("doc_id", "rid", "fp")} | {n.split()[0]: pa.array(v, pa.int64()) for n, v in zip(schema.split(", "), cols[1:], strict=True)})
 
-        part = keyed.select("doc_id", "text").mapInArrow(find, f"doc_id long, {schema}")
+        part = keyed.mapInArrow(find, f"doc_id long, rid long, fp long, {schema}")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("item_id", F.when(F.col("item_id") >= 0, F.col("item_id")))
 
@@ -153,6 +158,7 @@ def _overlaps(texts: list[bytes], index: dict, masks: tuple[str, ...], least_mat
 
 
 def without_overlap(spark: SparkSession, docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, all columns as they are."""
-    hit = written(spark, contaminated(spark, docs, items, **how).select(F.coalesce("doc_id", F.lit(-1)).alias("__hit")).distinct(), "contaminated")
-    return sized_join(docs.withColumn("__hit", F.coalesce(F.col(how.get("id_col", "doc_id")).cast("long"), F.lit(-1))), hit, ["__hit"], "left_anti").drop("__hit")
+    """The rows of ``docs`` that overlap with no item, all columns as they are; rows are told apart by id and text."""
+    hit = written(spark, _found(spark, docs, items, **how).select(F.col("rid").alias("__rid"), F.col("fp").alias("__fp")).distinct(), "contaminated")
+    keys = {"__rid": F.coalesce(F.col(how.get("id_col", "doc_id")).cast("long"), F.lit(-1)), "__fp": F.xxhash64(how.get("text_col", "text"))}
+    return sized_join(docs.withColumns(keys), hit, ["__rid", "__fp"], "left_anti").drop("__rid", "__fp")

@@ -135,6 +135,14 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 4, share:
     empty and blank texts have no shingle and link with nothing. Rows that repeat a document link with each other;
     null ids count as larger than all others. An empty table gives no rows. Sets are held as 64-bit hashes.
     """
+    placed = _placed(spark, docs, n, share, id_col, text_col)
+    least = written(spark, placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return sized_join(placed, least, ["root"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def _placed(spark: SparkSession, docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, rid, fp, n_shingles, node, root`` of each document; rows with shingles and the same root are a component."""
     keyed = keyed_documents(docs, id_col, text_col)
 
     def keys_of(texts: list[bytes], _batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -163,17 +171,29 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 4, share:
 
         sets = sized_join(keyed, used, ["rid", "fp"], "inner").select("node", "text").mapInArrow(sets_of, "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload"))
         label = _resolve(spark, members, label, written(spark, sets, "sets"), share)
-    placed = rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = written(spark, placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return sized_join(placed, least, ["root"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their component (one document of each), all columns as they are."""
-    found = similar_components(spark, docs, id_col=id_col, **how)
-    gone = written(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near_copies")
-    return sized_join(docs.withColumn("__gone", F.col(id_col).cast("long")), gone, ["__gone"], "left_anti").drop("__gone")
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns as they are, and every row without shingles.
+
+    It is the row with the least id (null ids last) and, where rows share that, the least hash of the text; of rows
+    that repeat it whole any one.
+    """
+    key = ["none", "rid", "fp"]
+    placed = _placed(spark, docs, n, share, id_col, text_col).where("n_shingles > 0").withColumn("none", F.col("doc_id").isNull())
+    keeper = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
+    keeper = written(spark, keeper.select("root", "keeper"), "keepers")
+    verdict = sized_join(placed, keeper, ["root"], "inner").groupBy(*key).agg(F.first(F.struct(*key) == F.col("keeper")).alias("keeps"), F.count("*").alias("rows"))
+    verdict = written(spark, verdict.where("not keeps or rows > 1").select(*(F.col(c).alias(f"__{c}") for c in key), "keeps"), "near_copies")
+    names = [f"__{c}" for c in key]
+    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__fp": F.xxhash64(text_col)})
+    again = verdict.where("keeps").select(*names)
+    left = sized_join(keyed, verdict.select(*names), names, "left_anti")
+    # rows repeated whole are the exception, and only they are compared by their text
+    if again.limit(1).count():
+        left = left.unionByName(sized_join(keyed, again, names, "left_semi").dropDuplicates([*names, text_col]))
+    return left.drop(*names)
 
 
 def _candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:

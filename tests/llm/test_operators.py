@@ -309,6 +309,31 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.without_overlap(spark, df, tests).collect()} == {3, 4, 5, 6}
 
 
+def test_decontamination_drops_rows_not_ids(spark):
+    rng = random.Random(17)
+    item, clean = words(rng, 20, 3000), [words(rng, 50) for _ in range(4)]
+    rows = [(None, f"x {item}"), (None, clean[0]), (None, None), (7, f"{item} y"), (7, clean[1]), (7, clean[1]), (-1, clean[2]), (8, clean[3]), (8, f"x {item}")]
+    left = decontam.without_overlap(spark, frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter(r for r in rows if item not in (r[1] or ""))
+    assert left.columns == frame(spark, rows).columns
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(18)
+    base = [words(rng, 80, 5000) for _ in range(7)]
+    near = [f"{b} tail" for b in base]
+    rows = [(None, base[0]), (None, near[0]), (1, base[1]), (1, near[1]), (1, base[2]), (2, near[2]), (None, base[3]), (5, near[3])]
+    rows += [(6, base[4]), (6, base[4]), (9, near[4]), (None, base[5]), (-1, base[5]), (None, base[6])]
+    blank = [(None, None), (None, None), (1, ""), (1, ""), (6, " ")]
+    left = collections.Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(spark, frame(spark, rows + blank)).collect())
+    assert left - collections.Counter(blank) == left - collections.Counter(x for x in left.elements() if x in blank)
+    assert sum(left[x] for x in set(blank)) == len(blank)
+    kept = [x for x in left.elements() if x not in blank]
+    of = lambda k: [x for x in kept if x[1] in (base[k], near[k])]
+    assert [len(of(k)) for k in range(7)] == [1] * 7 and len(kept) == 7
+    assert [of(k)[0][0] for k in range(7)] == [None, 1, 1, 5, 6, -1, None]
+
+
 def test_language_model_against_plain_version(spark, corpus):
     docs = [(i, t) for i, t in dict.fromkeys(corpus) if i is not None]
     got = {r.doc_id: r for r in lm.score_documents(spark, frame(spark, docs)).collect()}
