@@ -1,11 +1,12 @@
 """Operator 9: main text of web pages, by paths on which the pages of a host agree.
 
-1. Each page scores its containers and names the path (tags and classes, numbers generalised) of the one that holds
-   its main text.
+1. Each page names the path (tags and classes, numbers generalised) of the container that holds its main text: the
+   deepest outside of which there is none of it.
 2. Spark adds the votes up per host and path; the hosts' winning paths are a small table (pre-aggregated, so a host
    with a third of all pages is no burden).
 3. Pages are read again and give all text below their host's winning path, without what is no article text. A page on
-   which that path does not occur falls back to its host's next one, or to its own best container.
+   which that path does not occur falls back to its host's next one, or to its own best container; so does one that
+   has main text outside of that path.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .common import sized_join, written
 #: Winning paths that a host keeps, by votes.
 PATHS_PER_HOST = 3
 
+_WORDY = re.compile(r"[^\W_]")
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|canvas|audio|video|title|datalist)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -36,6 +38,7 @@ _CONTAINER = frozenset("html body article main section div td table tbody tr cen
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption header footer nav aside form address details summary thead tfoot th caption hr hgroup menu dialog".split())
 #: Elements that never hold article text.
 _OUT = frozenset("nav aside footer form button menu dialog label input".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Words of a class or id that mark what is no article text.
 _MARKS = frozenset(
@@ -54,7 +57,7 @@ class Block:
     holders: tuple[int, ...]  # its containers, outermost first
     out: bool  # inside what is no article text
     parts: list[str] = field(default_factory=list)
-    linked: int = 0
+    wanted: bool = False  # words outside of links, or a heading
     text: str = ""
 
 
@@ -94,13 +97,14 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     holders: list[int] = [0]
     block: Block | None = None
-    links = articles = 0
+    links = articles = headings = 0
 
     def pop() -> None:
-        nonlocal links, articles
+        nonlocal links, articles, headings
         tag, number, _, link = stack.pop()
         links -= link
         articles -= tag in ("article", "main")
+        headings -= tag in _HEADINGS
         if number >= 0:
             holders.pop()
 
@@ -113,12 +117,13 @@ def parse(source: str) -> Page:
                 block = Block(tuple(holders), stack[-1][2])
                 page.blocks.append(block)
             block.parts.append(text)
-            if links:
-                block.linked += len(text)
+            if not block.wanted and (headings or not links):
+                block.wanted = _WORDY.search(html.unescape(text)) is not None
             continue
         if tag is None:
             if m.group(0).startswith("<![CDATA[") and block is not None:
                 block.parts.append(m.group(0)[9:-3].replace("&", "&amp;"))
+                block.wanted |= not links
             continue
         tag = tag.lower()
         if closing:
@@ -166,6 +171,7 @@ def parse(source: str) -> Page:
         link = tag == "a"
         links += link
         articles += tag in ("article", "main")
+        headings += tag in _HEADINGS
         stack.append((tag, number, out, link))
         if len(stack) > 2000:  # absurd nesting: keep what is open, go on flat
             pop()
@@ -174,34 +180,39 @@ def parse(source: str) -> Page:
     return page
 
 
-def votes(page: Page) -> list[tuple[str, float]]:
-    """(path, weight) for the container that holds the page's main text: the deepest with most of it."""
-    good = [0.0] * len(page.paths)
+def _core(page: Page) -> tuple[int, int]:
+    """(the deepest container that holds all main text, characters of it).
+
+    Main text is what is no unwanted block and no list of links: a block whose words are all in links, but for headings.
+    """
+    held: tuple[int, ...] | None = None
+    total = 0
     for b in page.blocks:
-        if b.out or not b.text:
+        if b.out or not b.wanted or not b.text:
             continue
-        n = len(b.text)
-        worth = n * (1 - min(1.0, b.linked / max(1, sum(map(len, b.parts)))))
-        for h in b.holders:
-            good[h] += worth
-    total = good[0]
-    if total <= 0:
-        return []
-    best = 0
-    for i in range(1, len(good)):  # a container comes after those that hold it
-        strong = page.tags[i] in ("article", "main")
-        if good[i] >= (0.4 if strong else 0.7) * total and page.paths[i].startswith(page.paths[best]):
-            best = i
-    return [(page.paths[best], min(1.0, total / 500))]
+        total += len(b.text)
+        if held is None:
+            held = b.holders
+        elif b.holders[: len(held)] != held:
+            held = held[: next((i for i, (x, y) in enumerate(zip(held, b.holders, strict=False)) if x != y), len(b.holders))]
+    return (held[-1] if held else 0), total
+
+
+def votes(page: Page) -> list[tuple[str, float]]:
+    """(path, weight) for the container that holds the page's main text: the deepest with all of it."""
+    core, total = _core(page)
+    return [(page.paths[core], min(1.0, total / 500))] if total else []
 
 
 def extract(page: Page, paths: list[str]) -> str:
-    """Text below the first of ``paths`` that occurs with text, else below the page's own best container."""
-    for path in [*paths, *(p for p, _ in votes(page))]:
+    """Text below the first of ``paths`` that occurs with all main text, else below the page's own best container."""
+    core, total = _core(page)
+    good = [b for b in page.blocks if b.text and not b.out]
+    for path in [*paths, *([page.paths[core]] if total else [])]:
         chosen = {i for i, p in enumerate(page.paths) if p == path}
-        found = [b.text for b in page.blocks if b.text and not b.out and chosen.intersection(b.holders)]
-        if found:
-            return "\n".join(found)
+        found = [b for b in good if chosen.intersection(b.holders)]
+        if found and sum(len(b.text) for b in found if b.wanted) == total:
+            return "\n".join(b.text for b in found)
     return ""
 
 

@@ -434,6 +434,25 @@ def test_pages(spark):
     assert text[10] == "Only this" and text[11] == "" and text[12] == "" and text[13] == "plain text"
 
 
+def test_pages_keep_text_beside_the_largest_container(spark):
+    body, lead, nav = "<p>" + "body text " * 30 + "</p>", "<p>" + "lead text " * 10 + "</p>", "<ul><li><a href=/>one</a> | <a href=/>two</a></li></ul>"
+    pages = {
+        0: f"<article><h1><a href=/>Head</a></h1>{lead}<div class=body>{body}</div></article>{nav}",
+        1: f"<main>{lead * 4}<article>{body}</article></main>{nav}",
+        2: f"<article><div class=body>{body}</div></article>{nav}",
+        3: f"{nav}<div class=body>{body}</div><div>{lead}</div>",
+        4: f"<article><div class=body>{body}</div><div class=body>{body}</div></article>{nav}",
+        5: nav,
+    }
+    # most pages of the host have nothing beside the container, so that its path wins
+    rows = [(i, "https://h.example/x", p) for i, p in pages.items()] + [(100 + i, "https://h.example/y", pages[2]) for i in range(20)]
+    text = {r.page_id: r.text for r in html_extract.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    b, le = ("body text " * 30).strip(), ("lead text " * 10).strip()
+    assert text[0] == f"Head\n{le}\n{b}" and text[1] == "\n".join([le] * 4 + [b])
+    assert text[2] == text[100] == b and text[4] == f"{b}\n{b}"
+    assert b in text[3] and le in text[3] and text[5] == ""
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
