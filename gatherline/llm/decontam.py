@@ -79,8 +79,15 @@ def _index(items: list[tuple[int, bytes]], masks: tuple[str, ...]) -> dict:
     key, place = np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found])
     order = np.argsort(key, kind="stable")
     counts = np.bincount(text, minlength=len(items))
-    # items shorter than the shortest mask are looked up whole
-    return {"key": key[order], "place": place[order], "hashes": hashes, "text": text, "first": np.concatenate(([0], np.cumsum(counts))), "ids": np.array([-1 if i is None else i for i, _ in items], np.int64)}
+    first = np.cumsum(counts) - counts
+    # items shorter than the shortest mask are looked up whole: by their length, sorted hashes and the items
+    whole = {}
+    for n in np.unique(counts[(counts > 0) & (counts < min(map(len, masks)))]).tolist():
+        mine = np.flatnonzero(counts == n)
+        k, _ = seed_hashes(hashes[first[mine][:, None] + np.arange(n)].ravel(), np.repeat(mine, n), "1" * n, 0)
+        by = np.argsort(k, kind="stable")
+        whole[n] = (k[by], mine[by])
+    return {"whole": whole, "key": key[order], "place": place[order], "hashes": hashes, "text": text, "first": np.concatenate(([0], np.cumsum(counts))), "ids": np.array([-1 if i is None else i for i, _ in items], np.int64)}
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least_matched: int = LEAST_MATCHED, least_share: float = LEAST_SHARE, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -89,7 +96,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, masks:
     An overlap is a stretch without insertions in which at least ``least_matched`` tokens (or all tokens of a shorter
     item) agree, and ``least_share`` of the stretch; the one with the most equal tokens is given, from its first to its
     last equal one. ``n_tokens`` is its length, the starts count tokens. Items with fewer tokens than the shortest mask
-    are not looked for. Nulls and empty texts match nothing; items that repeat an id or a text each match; ties go to
+    are looked for whole. Nulls and empty texts match nothing; items that repeat an id or a text each match; ties go to
     the first stretch. Documents without an overlap have no row; rows that
     repeat a document give rows again.
     """
@@ -123,7 +130,17 @@ def _found(spark: SparkSession, docs: DataFrame, items: DataFrame, masks: tuple[
 
 def _overlaps(texts: list[bytes], index: dict, masks: tuple[str, ...], least_matched: int, least_share: float) -> list[tuple]:
     hashes, text = tokens(texts)
-    hits = []
+    hits, first = [], np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(texts)))))
+    short = []
+    for n, (keys, of) in index["whole"].items():
+        key, place = seed_hashes(hashes, text, "1" * n, 0)
+        some = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
+        # the first place in each document is enough
+        _, once = np.unique(np.column_stack((text[place[some]], key[some].view(np.int64))), axis=0, return_index=True)
+        for j in np.sort(some[once]).tolist():
+            p, d = int(place[j]), int(text[place[j]])
+            for t in of[np.searchsorted(keys, key[j], "left") : np.searchsorted(keys, key[j], "right")].tolist():
+                short.append((d, int(index["ids"][t]), n, n, p - int(first[d]), 0))
     for i, mask in enumerate(masks):
         key, place = seed_hashes(hashes, text, mask, i + 1)
         low = np.searchsorted(index["key"], key, "left")
@@ -135,11 +152,10 @@ def _overlaps(texts: list[bytes], index: dict, masks: tuple[str, ...], least_mat
         at = np.repeat(low - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(int(many.sum()))
         hits.append(np.column_stack((np.repeat(place[some], many), index["place"][at])))
     if not hits:
-        return []
+        return short
     hit = np.concatenate(hits)
     doc, item = text[hit[:, 0]], index["text"][hit[:, 1]]
     diagonal = np.unique(np.column_stack((doc, item, hit[:, 0] - hit[:, 1])), axis=0)
-    first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(texts)))))
     share = Fraction(str(least_share))
     best: dict[tuple[int, int], tuple] = {}
     for d, t, shift in diagonal.tolist():
@@ -154,7 +170,7 @@ def _overlaps(texts: list[bytes], index: dict, masks: tuple[str, ...], least_mat
             row = (d, int(index["ids"][t]), matched, end - begin, lo + begin + shift - int(first[d]), lo + begin - a)
             if (d, t) not in best or matched > best[d, t][2]:
                 best[d, t] = row
-    return list(best.values())
+    return short + list(best.values())
 
 
 def without_overlap(spark: SparkSession, docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -284,6 +284,15 @@ def test_overlaps_with_substitutions_at_any_place():
         assert got == {i: n - len(w) for i, w in enumerate(placings) if n - len(w) >= 13}
 
 
+def test_short_items_are_looked_for_whole():
+    items = [(n, " ".join(f"t{n}x{j}" for j in range(n))) for n in range(1, 13)] + [(20, "t3x0 t3x1 t3x2"), (21, "!"), (22, "t2x1 t2x0")]
+    index = decontam._index([(i, t.encode()) for i, t in items], decontam.MASKS)
+    texts = [f"before {t}, after {t}" for _, t in items[:12]] + [t.rsplit(" ", 1)[0] + " other" for _, t in items[1:12]] + ["", "t2x0", "t2x1 and t2x0"]
+    got = sorted(decontam._overlaps([t.encode() for t in texts], index, decontam.MASKS, 13, 0.8))
+    assert got == sorted([(n - 1, n, n, n, 1, 0) for n in range(1, 13)] + [(2, 20, 3, 3, 1, 0)])
+    assert decontam._overlaps([b"t2x0", b"t2x1"], index, decontam.MASKS, 13, 0.8) == []
+
+
 def test_best_stretch_against_brute_force():
     rng = np.random.default_rng(6)
     share = decontam.Fraction("0.8")
