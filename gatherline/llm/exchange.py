@@ -57,27 +57,34 @@ def golomb_decode(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=U)
 
 
-def messages(held: list[np.ndarray], owners: int) -> list[tuple[int, bytes]]:
+def key_bits(rows: int) -> int:
+    """Bits that tell the keys of this many rows apart: with up to 2^8 keys a row, one in 2^14 meets another by chance."""
+    return min(64, max(32, -(-(max(1, rows).bit_length() + 8 + 14) // 8) * 8))
+
+
+def messages(held: list[np.ndarray], owners: int, key_bits: int = 64) -> list[tuple[int, bytes]]:
     """(owner, coded list) for the keys of a chunk: sorted, distinct, with how often the chunk has each."""
     keys, counts = np.unique(np.concatenate(held), return_counts=True)
     cut = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
+    keys = keys >> U(64 - key_bits)
     return [(o, packed((golomb_encode(keys[a:b]), counts[a:b].astype(np.uint8 if counts[a:b].max() < 256 else np.uint32)))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
-def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: str, tag: str, chunk_keys: int = CHUNK_KEYS, block_bytes: int = 1 << 20) -> DataFrame:
+def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: str, tag: str, chunk_keys: int = CHUNK_KEYS, block_bytes: int = 1 << 20, key_bits: int = 64) -> DataFrame:
     """One pass over the texts that writes, side by side, a row per document and the messages to the owners.
 
     ``keys_of(texts, batch)`` returns (extra columns as a dict of lists, all keys, keys of each text). The table has
     ``chunk, owner, doc_id, rid, fp, payload`` and the extra columns; owner is -1 in a document's row, whose payload
-    holds its keys.
+    holds its keys. Of each key only the first ``key_bits`` bits are kept where equality is verified later on.
     """
+    cut, wide = U(((1 << key_bits) - 1) << (64 - key_bits)), key_bits // 8
     owners = shuffle_partitions(spark)
     names = [x.split()[0] for x in extra.split(",")]
     schema = "chunk long, owner int, doc_id long, rid long, fp long, payload binary, " + extra
     target = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("fp", pa.int64()), ("payload", pa.binary())])
 
     def message(chunk: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = messages(held, owners)
+        rows = messages(held, owners, key_bits)
         none = [None] * len(rows)
         return pa.RecordBatch.from_pydict({"chunk": [chunk] * len(rows), "owner": [r[0] for r in rows], "doc_id": none, "rid": none, "fp": none, "payload": [r[1] for r in rows]}, target)
 
@@ -87,7 +94,9 @@ def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: s
         for batch, texts in blocks(batches, block_bytes):
             more, keys, each = keys_of(texts, batch)
             ends = np.cumsum(each)
-            payload = [keys[e - n : e].tobytes() for e, n in zip(ends, each, strict=True)]
+            keys = keys & cut
+            short = keys if wide == 8 else np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :wide])
+            payload = [short[e - n : e].tobytes() for e, n in zip(ends, each, strict=True)]
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "rid", "fp")}
             out = pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(texts), pa.int64()), "owner": pa.array([-1] * len(texts), pa.int32())} | cols | {"payload": pa.array(payload, pa.binary())} | more)
             types = out.schema
@@ -127,11 +136,20 @@ def _answer(rows: pd.DataFrame, hot_above: int) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"], "owner": rows["owner"], "payload": out, "n": [len(x) for x in lists]})
 
 
-def _expand(mine: pd.DataFrame, answers: pd.DataFrame, carry: list[str]) -> pd.DataFrame:
+def _widened_keys(data: bytes, wide: int) -> np.ndarray:
+    """64-bit keys from their first bytes."""
+    if wide == 8:
+        return np.frombuffer(data, U)
+    out = np.zeros((len(data) // wide, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(data, np.uint8).reshape(-1, wide)
+    return out.view(">u8").ravel().astype(U)
+
+
+def _expand(mine: pd.DataFrame, answers: pd.DataFrame, carry: list[str], wide: int) -> pd.DataFrame:
     """A chunk: line its sorted keys up with the owners' bitmaps, and keep for each row the keys that repeat."""
     answers = answers.sort_values("owner")
-    held = np.frombuffer(b"".join(mine["payload"]), U)
-    ends = np.cumsum([len(x) // 8 for x in mine["payload"]])
+    held = _widened_keys(b"".join(mine["payload"]), wide)
+    ends = np.cumsum([len(x) // wide for x in mine["payload"]])
     flags, hot = [np.zeros(0, bool)], [np.zeros(0, bool)]
     for p, n in zip(answers["payload"], answers["n"], strict=True):
         twice, often = unpacked(p)
@@ -151,7 +169,7 @@ def _expand(mine: pd.DataFrame, answers: pd.DataFrame, carry: list[str]) -> pd.D
     return out.loc[some]
 
 
-def repeated_keys(table: DataFrame, hot_above: int = 1 << 60, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_keys(table: DataFrame, hot_above: int = 1 << 60, carry: tuple[str, ...] = (), key_bits: int = 64) -> DataFrame:
     """``doc_id, rid, fp``, the ``carry`` columns, ``payload, hot, mask``: documents with keys that occur anywhere else.
 
     ``payload`` has those keys, but for the ones that occur more than ``hot_above`` times, which are in ``hot``; ``mask``
@@ -160,4 +178,4 @@ def repeated_keys(table: DataFrame, hot_above: int = 1 << 60, carry: tuple[str,
     answers = table.where("owner >= 0").select("chunk", "owner", "payload").groupBy("owner").applyInPandas(lambda r: _answer(r, hot_above), "chunk long, owner int, payload binary, n long")
     rows = table.where("owner < 0").select("chunk", "doc_id", "rid", "fp", "payload", *carry)
     more = "".join(f", {c} {table.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _expand(a, b, list(carry)), f"doc_id long, rid long, fp long{more}, payload binary, hot binary, mask binary")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _expand(a, b, list(carry), key_bits // 8), f"doc_id long, rid long, fp long{more}, payload binary, hot binary, mask binary")

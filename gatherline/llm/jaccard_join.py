@@ -1,18 +1,26 @@
 """Operator 6: n-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its distinct word shingles. Sets of similar size share instances; in an instance with sizes
-up to R, similar sets differ in at most k elements. The domain of shingles is partitioned into more than k parts, and a
-set's signatures are its projections onto parts: two sets that differ in k elements agree in one of any k + 1 parts.
-A set emits parts in a fixed order until it has k + 1 that are not nearly empty (k for its own size); that is enough,
-as the shorter of two such lists already holds an agreeing part. Only a set without enough such parts emits all.
+up to R, similar sets differ in at most k elements. The domain of shingles is partitioned, and a set's signatures are
+its projections onto parts or unions of parts:
+
+* First level: more than k parts. Two sets that differ in k elements agree in one of any k + 1 parts. A set emits, in a
+  fixed order, parts with at least two of its elements until it has k + 1 (k for its own size); the shorter of two
+  such lists already holds an agreeing part. An empty part, which all sets share, is never emitted.
+* Second level, for sets with too few such parts only (two sets that both have too few find each other here): the
+  domain falls into more than k / 2 groups of three parts. In one of any k / 2 + 1 groups the sets differ in one element
+  at most, so they agree on the union of two of its parts. A signature then covers several elements again.
 
 Signatures that occur once are found by a Golomb-coded exchange and dropped. Equal sets collapse to one node. Groups of
 nodes that share a signature join into clusters, named by the best connected member; near copies share many signatures
-and fall into one. A cluster of bounded size is resolved in one task: its members in turn, the best connected first, are
-compared with all of other components, and only what joins two components comes out. A larger cluster is resolved
-in rounds: first its best connected member is compared with the others, then ever more of those outside its largest
-component; they leave the cluster, and one whose members are all in one component is done. So no link between different
-sets is lost, and a group of near copies costs a few stars.
+and fall into one. A cluster of bounded size is resolved in one task. A larger one is resolved by stars: all members
+are compared with its best connected one, c. Members of c's component need no further comparison with each other. For
+any other member x only *additions*, elements that c lacks, can tell: what x shares with any partner beyond c's elements
+must be at least ``t`` additions, so both list the first of their additions in hash order (a prefix filter) and meet
+in a cluster of such an element. Where no addition needs to be shared (x is nearly a part of c), the sizes of the sets
+and of their intersections with c tell which members can be partners at all, and these form a cluster of their own. The
+new clusters are treated alike, less the pairs that are in one component already. So no link between different sets is
+lost, no pair of a group is ever a row, and unrelated members of a group cost one comparison each.
 """
 
 from __future__ import annotations
@@ -25,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_documents, lower_ascii, sized_join, written
+from .common import blocks, keyed_documents, lower_ascii, shuffle_partitions, sized_join, written
 from .components import connected
-from .exchange import keyed_pass, repeated_keys
+from .exchange import key_bits, keyed_pass, repeated_keys
 from .hashing import _BASE, U, Words, mix
 
 #: Sizes of an instance span this ratio.
 RATIO = 2.0
 #: Members, and elements of all their sets, up to which a cluster is resolved in one task.
 CLUSTER_NODES, CLUSTER_ELEMENTS = 1000, 1_000_000
-#: Instances with sizes from here on treat parts of a single element as nearly empty.
-WEAK_FROM = 40
+#: Rounds of stars; what is still larger then (sets that are random parts of one another) goes to tasks by pairs of blocks.
+ROUNDS = 6
+#: Elements that a task of small clusters takes in at a time, about.
+TASK_ELEMENTS = 2_000_000
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +90,7 @@ def signatures(keys: np.ndarray, text: np.ndarray, sizes: np.ndarray, share: int
     """(signature, text) of all sets of a block."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     first = np.concatenate(([0], np.cumsum(sizes)))
-    for number, (low, high, _, parts) in enumerate(instances(int(sizes.max()) if len(sizes) else 0, share)):
+    for number, (low, high, k, parts) in enumerate(instances(int(sizes.max()) if len(sizes) else 0, share)):
         mine = np.flatnonzero((sizes >= low) & (sizes <= high))
         step = max(1, 2_000_000 // parts)
         for a in range(0, len(mine), step):  # bounds the table of parts
@@ -88,18 +98,16 @@ def signatures(keys: np.ndarray, text: np.ndarray, sizes: np.ndarray, share: int
             s = sizes[docs]
             row = np.repeat(np.arange(len(docs)), s)
             element = keys[np.arange(int(s.sum())) + np.repeat(first[docs] - np.concatenate(([0], np.cumsum(s)))[:-1], s)]
-            scattered = mix(element + U(number * 2 + 1))
-            cell = row * parts + (((scattered >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-            content = np.zeros(len(docs) * parts, U)
-            np.add.at(content, cell, mix(scattered))
-            count = np.bincount(cell, minlength=len(content)).reshape(len(docs), parts)
-            strong = count > (1 if high >= WEAK_FROM else 0)
             # how much a partner of at most this similarity can differ: it has up to size / share elements
-            need = (100 - share) * (s + np.minimum(s * 100 // share, high)) // (100 + share) + 1
-            emit = strong & (np.cumsum(strong, axis=1) <= need[:, None])
-            emit |= (strong.sum(axis=1) < need)[:, None]
-            r, p = np.nonzero(emit)
-            found.append((mix(mix(content.reshape(len(docs), parts)[r, p] + count[r, p].astype(U)) + p.astype(U) * U(1 << 20) + U(number)), docs[r]))
+            differ = (100 - share) * (s + np.minimum(s * 100 // share, high)) // (100 + share)
+            count, content = _projected(element, row, len(docs), parts, 2 * number + 1)
+            strong = count > (1 if k else 0)
+            r, p = np.nonzero(strong & (np.cumsum(strong, axis=1) <= differ[:, None] + 1))
+            found.append((_named(content[r, p], count[r, p], p, 2 * number), docs[r]))
+            poor = strong.sum(axis=1) <= differ
+            if poor.any():
+                sig, r = _unions(element[poor[row]], (np.cumsum(poor) - 1)[row[poor[row]]], differ[poor], k, number)
+                found.append((sig, docs[poor][r]))
     if not found:
         return np.zeros(0, U), np.zeros(0, np.int64)
     sig, doc = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -107,24 +115,36 @@ def signatures(keys: np.ndarray, text: np.ndarray, sizes: np.ndarray, share: int
     return sig[order], doc[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection."""
+def _projected(element: np.ndarray, row: np.ndarray, rows: int, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of elements, sum of their hashes) of each row in each part."""
+    scattered = mix(element + U(salt))
+    cell = row * parts + (((scattered >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+    content = np.zeros(rows * parts, U)
+    np.add.at(content, cell, mix(scattered))
+    return np.bincount(cell, minlength=len(content)).reshape(rows, parts), content.reshape(rows, parts)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = (batch.column(i) for i in range(4))
-            keep = []
-            for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.sort(np.concatenate((x, y)))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= share * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"a": a.filter(mask), "b": b.filter(mask)})
 
-    one = sets.select(F.col("node").alias("a"), F.col("payload").alias("left"))
-    two = sets.select(F.col("node").alias("b"), F.col("payload").alias("right"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+def _named(content: np.ndarray, count: np.ndarray, part: np.ndarray, salt: int) -> np.ndarray:
+    return mix(mix(content + count.astype(U)) + part.astype(U) * U(1 << 20) + U(salt))
+
+
+def _unions(element: np.ndarray, row: np.ndarray, differ: np.ndarray, k: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of the second level: two of three parts in each group.
+
+    A set without enough groups whose three unions all have an element emits what it has, the empty ones too.
+    """
+    needed = k // 2 + 1
+    groups = needed if needed <= 3 else -(-23 * needed // 20)
+    rows = len(differ)
+    count, content = (x.reshape(rows, groups, 3) for x in _projected(element, row, rows, 3 * groups, (1 << 40) + number))
+    count, content = count.sum(axis=2, keepdims=True) - count, content.sum(axis=2, keepdims=True, dtype=U) - content
+    strong = (count > 0).all(axis=2)
+    before = np.cumsum(strong, axis=1) - strong
+    need = differ // 2 + 1
+    emit = (count > 0) & (before < need[:, None])[:, :, None]
+    emit |= (strong.sum(axis=1) < need)[:, None, None]
+    r, g, j = np.nonzero(emit)
+    return _named(content[r, g, j], count[r, g, j], 3 * g + j, 2 * number + 1), r
 
 
 def similar_components(spark: SparkSession, docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,10 +173,10 @@ def _placed(spark: SparkSession, docs: DataFrame, n: int, share: int, id_col: st
         # copies within the block need not tell the owners again
         return {"n_shingles": pa.array(sizes.astype(np.int64)), "node": pa.array(mix(whole + sizes.astype(U)).view(np.int64))}, sig, np.bincount(doc, minlength=len(texts))
 
-    table = keyed_pass(spark, keyed, keys_of, "n_shingles long, node long", "signatures")
+    kept = key_bits(docs.count())
+    table = keyed_pass(spark, keyed, keys_of, "n_shingles long, node long", "signatures", key_bits=kept)
     rows = table.where("owner < 0").select("doc_id", "rid", "fp", "n_shingles", "node")
-    repeated = written(spark, repeated_keys(table).select("rid", "fp", "payload"), "repeated")
-    named = repeated.join(rows.select("rid", "fp", "node", "n_shingles").distinct(), ["rid", "fp"])
+    named = repeated_keys(table, carry=("n_shingles", "node"), key_bits=kept)
     nodes = written(spark, named.groupBy("node").agg(F.min(F.struct("rid", "fp")).alias("at"), F.first("n_shingles").alias("size"), F.first("payload").alias("payload")), "nodes")
     members = _candidates(spark, nodes)
     label = written(spark, members.select("node").distinct().withColumn("root", F.col("node")), "labels")
@@ -216,62 +236,144 @@ def _candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return written(spark, flat.join(top, "sig").select("cluster", "node", "size", "degree").distinct(), "clusters")
 
 
-def _within(clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) that connect the components of each small cluster: one fewer than a component has nodes."""
+def _components(held: list[np.ndarray], node: np.ndarray, root: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """Links that connect the components of a few sets, the first of which are the best connected."""
+    size = np.fromiter(map(len, held), np.int64, len(held))
+    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+    _, ids = np.unique(np.concatenate(held), return_inverse=True)
+    _, label = np.unique(root, return_inverse=True)
+    mark, links = np.zeros(int(ids.max()) + 1, bool), []
+    for i in range(len(node)):
+        other = label != label[i]
+        if not other.any():
+            continue
+        own = ids[begin[i] : begin[i] + size[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[ids].astype(np.int32), begin)
+        mark[own] = False
+        for j in np.flatnonzero(other & (100 * common >= share * (size + size[i] - common))):
+            if label[j] != label[i]:
+                links.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _within(spark: SparkSession, clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that connect the components of each small cluster: fewer than it has nodes.
+
+    ``clusters``: cluster, node, size, degree, root. A task takes whole clusters, as many as it has room for.
+    """
+    total = clusters.agg(F.sum("size")).first()[0] or 0
+    tasks = max(4 * shuffle_partitions(spark), -(-total // TASK_ELEMENTS))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["degree", "node"], ascending=[False, True], ignore_index=True)
-        held = [np.frombuffer(x, U) for x in pdf["payload"]]
-        node, size = pdf["node"].to_numpy(), np.fromiter(map(len, held), np.int64, len(held))
-        every, begin = np.concatenate(held), np.concatenate(([0], np.cumsum(size)))[:-1]
-        _, ids = np.unique(every, return_inverse=True)
-        label, links = np.arange(len(node)), []
-        mark = np.zeros(int(ids.max()) + 1, bool)
-        for i in range(len(node)):
-            other = label != label[i]
-            if not other.any():
-                continue
-            own = ids[begin[i] : begin[i] + size[i]]
-            mark[own] = True
-            common = np.add.reduceat(mark[ids].astype(np.int32), begin)
-            mark[own] = False
-            for j in np.flatnonzero(other & (100 * common >= share * (size + size[i] - common))):
-                if label[j] != label[i]:
-                    links.append((node[i], node[j]))
-                    label[label == label[j]] = label[i]
+        pdf = pdf.sort_values(["cluster", "degree", "node"], ascending=[True, False, True], ignore_index=True)
+        cluster, node, root, payload = (pdf[c].to_numpy() for c in ("cluster", "node", "root", "payload"))
+        cut = np.flatnonzero(np.diff(cluster)) + 1
+        links = []
+        for a, b in zip([0, *cut], [*cut, len(pdf)], strict=True):
+            links += _components([np.frombuffer(x, U) for x in payload[a:b]], node[a:b], root[a:b], share)
         return pd.DataFrame({"a": pd.Series([x for x, _ in links], dtype="int64"), "b": pd.Series([x for _, x in links], dtype="int64")})
 
-    return clusters.join(sets, "node").groupBy("cluster").applyInPandas(resolve, "a long, b long")
+    task = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task")
+    return clusters.join(sets, "node").select("cluster", "node", "degree", "root", "payload", task).groupBy("task").applyInPandas(resolve, "a long, b long")
 
 
 def _resolve(spark: SparkSession, members: DataFrame, label: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """``node, root``: components of the similar nodes. Small clusters first, then the others in rounds."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("elements"))
-    small = written(spark, sizes.select("cluster", ((F.col("n") <= CLUSTER_NODES) & (F.col("elements") <= CLUSTER_ELEMENTS)).alias("small")), "cluster_sizes")
-    label = _joined(spark, label, written(spark, _within(members.join(small.where("small"), "cluster", "left_semi"), sets, share), "links"))
-    members = members.join(small.where("not small"), "cluster", "left_semi")
-    hubs, tested = 1, None
-    while True:
+    """``node, root``: components of the similar nodes. Small clusters in tasks, larger ones by stars."""
+    for number in range(ROUNDS + 1):
         placed = members.join(label, "node")
-        # the largest component of each cluster stands back: what is outside of it must meet all others
-        parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-        main = parts.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        live = written(spark, placed.join(main.drop("parts"), "cluster"), "open")
-        if not live.limit(1).count():
-            return label
-        pool = live if hubs == 1 else live.where("root <> main")
-        nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "node"))
-        hub = written(spark, pool.withColumn("nth", nth).where(F.col("nth") <= hubs).select("cluster", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root")), "hubs")
-        pairs = live.join(hub, "cluster").where((F.col("root") != F.col("hub_root")) & (100 * F.least("size", "hub_size") >= share * F.greatest("size", "hub_size")))
-        pairs = pairs.select(F.least("node", "hub").alias("b"), F.greatest("node", "hub").alias("a")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(spark, pairs, "pairs")
-        label = _joined(spark, label, written(spark, _verified(pairs, sets, share), "links"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # a hub has met all others of its cluster
-        members = live.drop("root", "main").join(hub.select("cluster", F.col("hub").alias("node")), ["cluster", "node"], "left_anti")
-        hubs *= 16
+        spread = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.min("root").alias("one"), F.max("root").alias("other"))
+        small = (F.col("n") <= CLUSTER_NODES) & (F.col("elements") <= CLUSTER_ELEMENTS)
+        spread = written(spark, spread.where("one <> other").select("cluster", "n", small.alias("small")), "cluster_sizes")
+        label_of_small = _within(spark, placed.join(spread.where("small"), "cluster", "left_semi"), sets, share)
+        label = _joined(spark, label, written(spark, label_of_small, "links"))
+        large = spread.where("not small").drop("small")
+        if not large.limit(1).count():
+            break
+        placed = written(spark, members.join(large, "cluster").join(label, "node"), "large")
+        if number == ROUNDS:
+            label = _joined(spark, label, written(spark, _within(spark, _blocks(placed), sets, share), "links"))
+            break
+        members, label = _star(spark, placed.drop("n"), label, sets, share)
+    return label
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Clusters for all pairs of blocks of a cluster, each of them small."""
+    half = CLUSTER_NODES // 2 or 1
+    count = F.ceil(F.col("n") / half).cast("long")
+    cut = placed.withColumn("block", F.pmod(F.xxhash64("node"), count)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    return cut.withColumn("cluster", F.xxhash64("cluster", F.least("block", "with"), F.greatest("block", "with"))).select("cluster", "node", "size", "degree", "root")
+
+
+def _star(spark: SparkSession, placed: DataFrame, label: DataFrame, sets: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """One round for large clusters: (the clusters that are left to do, labels with the stars' links)."""
+    best = placed.groupBy("cluster").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("best"))
+    centers = best.select("cluster", (-F.col("best.minus")).alias("center"))
+    centers = written(spark, centers.join(sets.select(F.col("node").alias("center"), F.col("payload").alias("centre_set")), "center"), "centers")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, linked, lists = [], [], []
+            for x, c in zip(batch.column(batch.schema.get_field_index("payload")).to_pylist(), batch.column(batch.schema.get_field_index("centre_set")).to_pylist(), strict=True):
+                x, c = np.frombuffer(x, U), np.frombuffer(c, U)
+                added = x[~np.isin(x, c, assume_unique=True)]
+                p = len(x) - len(added)
+                common.append(p)
+                linked.append(100 * p >= share * (len(x) + len(c) - p))
+                # additions that must be shared, beyond all that a partner can share of c
+                least = -(-share * len(x) // 100) - p
+                lists.append(np.sort(added)[: len(added) - max(least, 1) + 1].tobytes())
+            yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(kept)} | {"common": pa.array(common, pa.int64()), "linked": pa.array(linked, pa.bool_()), "added": pa.array(lists, pa.binary())})
+
+    kept = ("cluster", "node", "size", "degree", "center")
+    members = placed.select("cluster", "node", "size", "degree").join(sets, "node")
+    starred = sized_join(members, centers, ["cluster"], "inner", "centre_set").select(*kept, "payload", "centre_set")
+    starred = starred.mapInArrow(compare, "cluster long, node long, size long, degree long, center long, common long, linked boolean, added binary")
+    starred = written(spark, starred.where("node <> center"), "starred")
+    label = _joined(spark, label, written(spark, starred.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b")), "links"))
+    at_center = label.select(F.col("node").alias("center"), F.col("root").alias("main"))
+    inner = written(spark, centers.select("center").distinct().join(at_center, "center"), "main_roots")
+    starred = sized_join(starred.drop("linked").join(label, "node"), inner, ["center"], "inner").withColumn("outer", F.col("root") != F.col("main"))
+    starred = written(spark, starred.drop("center", "main"), "starred")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
+            lists = [np.frombuffer(x, U) for x in col["added"]]
+            many = np.fromiter(map(len, lists), np.int64, len(lists))
+            rest = {c: np.repeat(col[c], many) for c in row}
+            rest["cluster"] = mix(mix(rest["cluster"].view(U)) + np.concatenate([np.zeros(0, U), *lists])).view(np.int64)
+            yield pa.RecordBatch.from_pydict(rest)
+
+    row = ("cluster", "node", "size", "degree", "root")
+    flat = written(spark, starred.select(*row, "added").mapInArrow(explode, ", ".join(f"{c} long" for c in row)), "additions")
+    met = flat.groupBy("cluster").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+    left = flat.join(met.select("cluster"), "cluster", "left_semi")
+    # pairs that need not share an addition: both have much of c, and little else
+    outer = F.col("outer")
+    starred = written(spark, _can_meet(starred, outer, F.lit(True), share, "able").where("able or not outer"), "able")
+    partner = _can_meet(starred, F.lit(True), F.col("able"), share, "partner").where("partner or able")
+    left = left.unionByName(partner.withColumn("cluster", F.xxhash64("cluster", F.lit("parts"))).select("cluster", "node", "size", "degree", "root"))
+    return written(spark, left.drop("root"), "members"), label
+
+
+def _can_meet(starred: DataFrame, which: F.Column, others: F.Column, share: int, name: str) -> DataFrame:
+    """``starred`` with a flag for members (``which``) that could link with one of ``others`` by elements of c alone.
+
+    x and y share at most the smaller of their intersections with c; that must reach the share of their union.
+    """
+    reach = (100 + share) * F.col("common")
+    # at most one row for each number of elements of c
+    levels = starred.where(others).groupBy("cluster", "common").agg(F.min("size").alias("least"))
+    every = starred.select("cluster", "common").distinct().join(levels, ["cluster", "common"], "left")
+    by = Window.partitionBy("cluster").orderBy("common")
+    above = F.min("least").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    below = F.max(reach - share * F.col("least")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    every = every.select("cluster", "common", above.alias("above"), below.alias("below"))
+    can = (reach >= share * (F.col("size") + F.col("above"))) | (F.col("below") >= share * F.col("size"))
+    return starred.join(every, ["cluster", "common"]).withColumn(name, which & F.coalesce(can, F.lit(False))).drop("above", "below")
 
 
 def _joined(spark: SparkSession, label: DataFrame, links: DataFrame) -> DataFrame:

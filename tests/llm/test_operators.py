@@ -151,25 +151,12 @@ def test_bwt_merge_equals_building_at_once():
     assert (got == want).all()
 
 
-@pytest.mark.parametrize("most", [3, 1000])  # clusters in rounds, and each in one task
-def test_jaccard_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(jaccard_join, "CLUSTER_NODES", most)
-    rng = random.Random(3)
-    base = [words(rng, n, 5000).split() for n in (6, 12, 30, 60, 60, 150, 400)]
-    rows = []
-    for b in base:
-        rows.append((len(rows), " ".join(b)))
-        for _ in range(8):
-            v = list(b)
-            for _ in range(max(1, int(len(v) * rng.choice([0.005, 0.01, 0.02, 0.03])))):
-                v[rng.randrange(len(v))] = f"new{rng.randrange(10**6)}"
-            rows.append((len(rows), " ".join(v)))
-    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a b c"), (905, " \n"), (3, rows[3][1]), (None, "a b")]
-    got = sorted((tuple(r) for r in jaccard_join.similar_components(spark, frame(spark, rows)).collect()), key=str)
+def jaccard_components(rows, n, share):
+    """Brute force: (doc_id, size of the set, least id of the component) of each row."""
     sets = []
     for _, t in rows:
         w = lower_ascii((t or "").encode()).split()
-        sets.append({tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()})
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()})
     up = list(range(len(rows)))
 
     def root(x):
@@ -178,13 +165,75 @@ def test_jaccard_against_brute_force(spark, monkeypatch, most):
         return x
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
             up[root(i)] = root(j)
     least = collections.defaultdict(list)
     for k in range(len(rows)):
         least[root(k)].append(rows[k][0])
-    want = sorted(((i, len(sets[k]), min((x for x in least[root(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)), key=str)
-    assert got == want
+    return sorted(((i, len(sets[k]), min((x for x in least[root(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def edited(rng, words_of, share, kinds=("change", "cut", "add")):
+    """A copy with some words changed, cut off at an end or added in one place."""
+    v, many = list(words_of), max(1, int(len(words_of) * share))
+    kind = rng.choice(kinds)
+    if kind == "change":
+        for _ in range(max(1, many // 4)):
+            v[rng.randrange(len(v))] = f"new{rng.randrange(40)}"
+    elif kind == "cut":
+        v = v[many:] if rng.random() < 0.5 else v[:-many] or v
+    else:
+        at = rng.randrange(len(v))
+        v[at:at] = [f"add{rng.randrange(10**6)}" for _ in range(many)]
+    return v
+
+
+@pytest.mark.parametrize("most, rounds, n, share", [(1000, 6, 4, 85), (3, 6, 4, 85), (3, 1, 5, 80), (8, 0, 5, 80)])  # clusters in tasks, by stars, and by blocks
+def test_jaccard_against_brute_force(spark, monkeypatch, most, rounds, n, share):
+    monkeypatch.setattr(jaccard_join, "CLUSTER_NODES", most)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    rng = random.Random(3)
+    base = [words(rng, k, 5000).split() for k in (6, 12, 30, 60, 60, 150, 400)]
+    rows = []
+    for b in base:
+        rows.append((len(rows), " ".join(b)))
+        for _ in range(20):
+            rows.append((len(rows), " ".join(edited(rng, b, rng.choice([0.01, 0.05, 0.1, 0.2, 0.3])))))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a b c"), (905, " \n"), (3, rows[3][1]), (None, "a b")]
+    got = sorted((tuple(r) for r in jaccard_join.similar_components(spark, frame(spark, rows), n, share).collect()), key=str)
+    assert got == jaccard_components(rows, n, share)
+
+
+@pytest.mark.parametrize("share", [80, 85])
+def test_similar_sets_share_a_signature(share):
+    rng = np.random.default_rng(share)
+    for size in [*range(1, 60), 75, 100, 150, 300]:
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        sets = []
+        for _ in range(30):  # pairs at the limit, with elements lacking, added and changed
+            union = -(-size * 100 // share)
+            gone = int(rng.integers(0, size - share * size // 100 + 1))
+            more = max(0, (size - gone) * 100 // share - size)
+            b = np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= share * (len(a) + len(b) - both):
+                sets.append(np.unique(b))
+            assert union >= size
+        every = [a, *sets]
+        keys, text, sizes = np.concatenate(every), np.repeat(np.arange(len(every)), [len(x) for x in every]), np.array([len(x) for x in every])
+        sig, of = jaccard_join.signatures(keys, text, sizes, share)
+        mine = set(sig[of == 0].tolist())
+        assert len(sets) > 5 and all(mine & set(sig[of == i].tolist()) for i in range(1, len(every)))
+
+
+@pytest.mark.parametrize("share", [80, 85])
+def test_unrelated_sets_share_next_to_nothing(share):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(10, 200, 20_000)
+    keys, text = rng.integers(0, 1 << 63, int(sizes.sum()), dtype=np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    sig, of = jaccard_join.signatures(keys, text, sizes, share)
+    _, times = np.unique(sig, return_counts=True)
+    assert (times * (times - 1) // 2).sum() < 200 and len(sig) < 0.5 * sizes.sum()
 
 
 def test_instances_hold_every_pair():
