@@ -6,101 +6,186 @@
    the columns of a matrix; least squares with non-negative repeat counts fits them to the histogram. The counts are
    rounded down to what the histogram can supply, and the residual pieces are packed greedily, longest first.
    This works on the histogram alone, whose size does not depend on the data's.
-3. Pieces get their rank within the bin from per-salt counts (no window over a whole bin, which may hold a third of
+3. Pieces get their rank within the bin from counts per salt (no window over a whole bin, which may hold a third of
    all rows), and the plan turns (bin, rank) into a sequence.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_documents, shuffle_partitions, written
+from .common import blocks, keyed_documents, lower_ascii, sized_join, written
+from .hashing import U, byte_values, mix, prefix_sums, span_hash
 
 WINDOW = 4096
 BIN = 16
 DEPTH = 3
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
-
-_tokenizers: dict[str, tuple] = {}
-_ASCII = re.compile(r"[\x00-\x7f]+")
-#: Runs of letters, single digits, runs of the rest: what the tokenizer splits at, where other characters are letters.
-_RUNS = re.compile(r"[A-Za-z\x80-\U0010ffff]+|[0-9]|[\x00-/:-@\[-`{-\x7f]+")
-
+#: Pieces of one bin that are ranked together, about.
+SALT_ROWS = 500_000
+#: Units whose ids a worker remembers, and how many new ones are tokenized as one text.
+CACHE_UNITS, TOGETHER = 2_000_000, 512
+
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[:128] = _OTHER
+_KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = _LETTER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+_KIND[list(b" \t\n\v\f\r")] = _SPACE
+#: Second bytes of the letters U+00C0 to U+00FF, whose first byte is 0xC3.
+_SECOND = np.zeros(256, bool)
+_SECOND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
+
+class Units:
+    """What the tokenizer takes apart from each other: runs of letters, single digits, runs of the rest, contractions.
+
+    They are found for a whole block at once. A word with other characters than ASCII and the letters of Latin-1, or
+    with the beginning of a special token, is one unit, left to the tokenizer as it is ("odd").
+    """
 
-def _tokenizer(path: str) -> tuple:
-    """(tokenizer, which ids end a pre-token, ids of known words, ids of known pre-tokens)."""
-    if path not in _tokenizers:
+    def __init__(self, texts: list[bytes]):
+        data = b" ".join(texts)
+        self.raw = np.frombuffer(data, np.uint8)
+        buf = np.frombuffer(lower_ascii(data), np.uint8)
+        n = len(buf)
+        kind = np.zeros(n + 4, np.uint8)
+        kind[:n] = _KIND[buf]
+        lead = np.flatnonzero(buf[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        lead = lead[_SECOND[buf[lead + 1]]]
+        if len(lead):
+            kind[lead] = kind[lead + 1] = _LETTER
+            buf = buf.copy()
+            buf[lead + 1] |= np.where(buf[lead + 1] < 0x9F, 0x20, 0).astype(np.uint8)
+        inside = kind != _SPACE
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
+        word_begin, word_end = edge[::2], edge[1::2]
+        odd = np.concatenate((np.flatnonzero(kind == _ODD), np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))) if n else np.zeros(0, np.int64)))
+        odd = np.unique(np.searchsorted(word_begin, odd, "right") - 1)
+        start = inside.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        padded = np.concatenate((buf, np.zeros(4, np.uint8)))
+        mark = np.flatnonzero(start & (padded == ord("'")))
+        one, two = padded[mark + 1], padded[mark + 2]
+        for size, which in ((2, np.isin(one, np.frombuffer(b"stmd", np.uint8))), (3, (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))):
+            at = mark[which]
+            start[at + 1] = False
+            start[at + size] = inside[at + size]
+        if len(odd):
+            cover = np.zeros(n + 5, np.int8)
+            cover[word_begin[odd]] = 1
+            cover[word_end[odd]] -= 1
+            start &= ~np.cumsum(cover[:-1], dtype=np.int8).view(bool)
+            start[word_begin[odd]] = True
+        self.buf = buf
+        self.begin = np.flatnonzero(start)
+        self.end = np.flatnonzero(inside[:-1] & (start[1:] | ~inside[1:])) + 1
+        self.hash = mix(span_hash(prefix_sums(byte_values(buf)), self.begin, self.end)) if n else np.zeros(0, U)
+        self.odd = np.zeros(len(self.begin), bool)
+        self.odd[np.searchsorted(self.begin, word_begin[odd])] = True
+        for i in np.flatnonzero(self.odd).tolist():
+            self.hash[i] = xxhash.xxh3_64_intdigest(self.text(i), 1)
+        text_begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+        self.first = np.searchsorted(self.begin, text_begin[: len(texts) + 1])
+
+    def text(self, i: int) -> bytes:
+        return (self.raw if self.odd[i] else self.buf)[self.begin[i] : self.end[i]].tobytes()
+
+
+class Vocabulary:
+    """Ids of the units met so far, by hash: a large sorted array, a small one of the latest, and all ids in a row."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        vocabulary = made.get_vocab(with_added_tokens=False)
-        last = np.zeros(max(vocabulary.values(), default=0) + 4096, bool)
-        last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _tokenizers[path] = (made, last, {}, {})
-    return _tokenizers[path]
-
-
-def _runs(word: str) -> list[str]:
-    """The lower-cased pre-tokens of a word; none where only the tokenizer can tell."""
-    if "'" in word or "<|" in word:
-        return []
-    # the tokenizer lower-cases each character by itself; Python's only rule that looks around is the final sigma's
-    word = word.replace("\u03a3", "\u03c3").lower()
-    foreign = _ASCII.sub("", word)
-    return _RUNS.findall(word) if not foreign or foreign.isalpha() else []
-
-
-def _tokenize(words: list[bytes], tokenizer, last: np.ndarray, cache: dict, known: dict) -> None:
-    """Fill ``cache``. Words whose pre-tokens are plain are put together from these: they recur far more often.
-
-    New pre-tokens are tokenized as one text, and told apart by the tokens that end one.
-    """
-    texts = [w.decode("utf-8", "replace") for w in words]
-    runs = [_runs(t) for t in texts]
-    fresh = list({r for rs in runs for r in rs}.difference(known))
-    for i in range(0, len(fresh), 512):
-        part = fresh[i : i + 512]
-        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(last[ids]) + 1
-        if len(ends) == len(part):
-            data, at = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
-            known.update(zip(part, [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
-    rest = []
-    for w, t, rs in zip(words, texts, runs, strict=True):
-        try:
-            cache[w] = b"".join([known[r] for r in rs]) if len(rs) > 1 else known[rs[0]]
-        except (KeyError, IndexError):
-            rest.append((w, t))
-    for i in range(0, len(rest), 2000):
-        part = rest[i : i + 2000]
-        for (w, _), e in zip(part, tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = [np.zeros(0, U), np.zeros(0, U)]
+        self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1)
+        for have, rows in zip(self.keys, self.rows, strict=True):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                out[hit] = rows[at[hit]]
+        return out
+
+    def _encode(self, units: list[str], odd: list[str]) -> list[np.ndarray]:
+        found: list[np.ndarray] = []
+        for i in range(0, len(units), TOGETHER):
+            part = units[i : i + TOGETHER]
+            made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            word, ids = np.array(made.word_ids, np.int64), np.array(made.ids, np.uint32)
+            edge = np.searchsorted(word, np.arange(len(part) + 1))
+            if len(word) and word[-1] == len(part) - 1 and (np.diff(edge) > 0).all():
+                found += [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            else:
+                found += self._encode([], part)
+        for i in range(0, len(odd), 2000):
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd[i : i + 2000], add_special_tokens=False)]
+        return found
+
+    def rows_of(self, units: Units) -> np.ndarray:
+        """For each unit its row in ``begin`` and ``count``; new ones are tokenized."""
+        if len(self.count) > CACHE_UNITS:
+            self.clear()
+        keys, first, place = np.unique(units.hash, return_index=True, return_inverse=True)
+        row = self._find(keys)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            new = np.concatenate((new[~units.odd[first[new]]], new[units.odd[first[new]]]))
+            strings = [units.text(i).decode("utf-8", "replace") for i in first[new].tolist()]
+            plain = int((~units.odd[first[new]]).sum())
+            made = self._encode(strings[:plain], strings[plain:])
+            count = np.fromiter(map(len, made), np.int64, len(made))
+            row[new] = np.arange(len(made)) + len(self.count)
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(count) - count))
+            self.count = np.concatenate((self.count, count))
+            self.ids = np.concatenate((self.ids, *made))
+            self._merge(1, keys[new], row[new])
+            if len(self.keys[1]) > 10_000 + len(self.keys[0]) // 4:
+                self._merge(0, self.keys[1], self.rows[1])
+                self.keys[1], self.rows[1] = np.zeros(0, U), np.zeros(0, np.int64)
+        return row[place]
+
+    def _merge(self, level: int, keys: np.ndarray, rows: np.ndarray) -> None:
+        keys, rows = np.concatenate((self.keys[level], keys)), np.concatenate((self.rows[level], rows))
+        order = np.argsort(keys, kind="stable")
+        self.keys[level], self.rows[level] = keys[order], rows[order]
+
+
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit bytes, without the end id.
 
-    The tokenizer drops white space and no token spans it, so texts are split there and each distinct word is
-    tokenized once.
+    The tokenizer drops white space and no token spans what it splits at, so each distinct unit is tokenized once.
     """
-    tokenizer, last, cache, known = _tokenizer(path)
-    for table in (cache, known):
-        if len(table) > CACHE_WORDS:
-            table.clear()
-    words = [t.split() for t in texts]
-    _tokenize(list({w for ws in words for w in ws}.difference(cache)), tokenizer, last, cache, known)
-    return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    vocabulary = _vocabularies[path]
+    units = Units(texts)
+    row = vocabulary.rows_of(units)
+    count = vocabulary.count[row]
+    end = np.concatenate(([0], np.cumsum(count)))
+    ids = vocabulary.ids[np.arange(end[-1]) + np.repeat(vocabulary.begin[row] - end[:-1], count)].astype("<u4")
+    cut = end[units.first]
+    return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def least_squares(matrix: np.ndarray, target: np.ndarray, rounds: int = 3000, tol: float = 1e-6) -> np.ndarray:
@@ -224,16 +309,16 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
     """
     top = -(-window // width)
     pieces = written(spark, _pieces(keyed_documents(docs, id_col, text_col), tokenizer, window), "pieces")
-    salts = min(64, shuffle_partitions(spark))
     bin_of = F.least(F.ceil(F.col("length") / width), F.lit(top)).cast("int")
-    pieces = pieces.select("*", bin_of.alias("bin"), F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int").alias("salt"))
-    # at most (window / width) * salts counts reach the driver
-    counts = pieces.groupBy("bin", "salt").count().collect()
-    histogram, per = np.zeros(top + 1, np.int64), np.zeros((top + 1, salts), np.int64)
-    for r in counts:
-        histogram[r["bin"]] += r["count"]
-        per[r["bin"], r["salt"]] = r["count"]
-    before = np.cumsum(per, axis=1) - per
+    salts = max(8, -(-pieces.count() // SALT_ROWS))
+    pieces = pieces.select("*", bin_of.alias("bin"), F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).alias("salt"))
+    counts = written(spark, pieces.groupBy("bin", "salt").agg(F.count("*").alias("n")), "bin_counts")
+    # at most window / width counts reach the driver
+    histogram = np.zeros(top + 1, np.int64)
+    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        histogram[r["bin"]] = r["n"]
+    earlier = Window.partitionBy("bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = written(spark, counts.select("bin", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "bin_ranks")
     # for each bin: rank intervals, the first sequence of each and how many pieces of the bin a sequence takes
     intervals: dict[int, list[tuple[int, int, int]]] = {}
     used, sequence = np.zeros(top + 1, np.int64), 0
@@ -246,19 +331,19 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema) if f.name in ("bin", "salt", "nth")}
-            rank = col["nth"] - 1 + before[col["bin"], col["salt"]]
+            col = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema) if f.name in ("bin", "rank")}
+            rank = col["rank"]
             out = np.zeros(len(rank), np.int64)
             for b in np.unique(col["bin"]):
                 mine = np.flatnonzero(col["bin"] == b)
                 low, base, many = lookup[int(b)]
                 i = np.searchsorted(low, rank[mine], "right") - 1
                 out[mine] = base[i] + (rank[mine] - low[i]) // many[i]
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("salt", "nth")]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(out)], names=[batch.schema.field(i).name for i in keep] + ["sequence_id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "sequence_id"])
 
     nth = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, sequence_id long"
-    placed = pieces.withColumn("nth", nth).mapInArrow(place, names)
+    ranked = sized_join(pieces.withColumn("nth", nth), before, ["bin", "salt"], "inner")
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", (F.col("nth") - 1 + F.col("before")).alias("rank"))
+    placed = ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

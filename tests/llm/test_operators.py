@@ -278,6 +278,10 @@ def test_token_ids_of_each_letter_are_the_tokenizer_s():
     tokenizer = Tokenizer.from_file(tokenizer_path())
     marks = "Σσς\u0130\u0131\u1e9e\u0345\u01c5\u1f88\u03f4\u2126"
     texts = ["ΟΔΟΣ", "Σ", "ΑΣ ΣΑ ΣΣ", "ΟΔΟΣ, ΟΔΟΣ.", "ΟΔΟΣ2 ΟΔΟΣabc ABCΣ aΣ-b Σ_", "Σ'Σ İΣ", *(f"A{c}B {c}A B{c} Σ{c}Σ {c}" for c in [*marks, *map(chr, range(0x370, 0x530))])]
+    rng = random.Random(2)
+    pool = [*"abzAZ09''-.,<|>_\t\n \x1c\x01", *"sStTmMdDrReEvVlL", *"ÀÖ×ØßàþÿÞ÷ªµº½", "é", "e\u0301", "\u00a0", "\u0085", "क़", "İ", "漢", "“", "<|endoftext|>"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    texts += ["it's", "'s", "x's's", "''s", "-'s", "'re've'll", "l'eau d'été", "'sabc", "a'", "'", "1's2", "<|", "x<|startoftext|>y", "STRASSE'S ÀÉß", "क़ क़"]
     got = packing.token_ids([t.encode() for t in texts], tokenizer_path())
     for t, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
