@@ -74,9 +74,10 @@ def merge(transforms: list[np.ndarray], window: int, often: np.ndarray) -> np.nd
     sizes = [t.shape[1] for t in transforms]
     n, columns = sum(sizes), transforms[0].shape[0]
     symbols_of = np.concatenate(transforms, axis=1) if len(transforms) > 1 else transforms[0]
-    interleave = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    interleave = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.uint32), sizes)
     row = np.arange(n)
-    common = np.zeros(n, np.int16)  # with the neighbour above
+    depth = np.int16 if columns < 32_000 else np.int32
+    common = np.zeros(n, depth)  # with the neighbour above
     out = np.zeros((columns, n), bool)
     merged = np.empty(n, symbols_of.dtype)
     for c in range(columns):
@@ -85,16 +86,16 @@ def merge(transforms: list[np.ndarray], window: int, often: np.ndarray) -> np.nd
         nxt = np.argsort(merged, kind="stable")
         inside = merged[nxt] != OUTSIDE
         equal = (merged[nxt[1:]] == merged[nxt[:-1]]) & inside[1:]
-        fresh = np.zeros(n, np.int16)
+        fresh = np.zeros(n, depth)
         i = np.flatnonzero(equal) + 1
         low, high = nxt[i - 1] + 1, nxt[i]
         near = low == high
-        least = np.empty(len(i), np.int16)
+        least = np.empty(len(i), depth)
         least[near] = common[low[near]]
         far = ~near
         if far.any():
             least[far] = _range_min(common, low[far], high[far])
-        fresh[i] = np.minimum(least, 32000) + 1
+        fresh[i] = least + 1
         common, interleave, row = fresh, interleave[nxt], row[nxt]
         deep = common >= window
         deep[:-1] |= deep[1:]
@@ -150,9 +151,8 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = 20
     """Remove each byte covered by a ``window``-byte string that also starts anywhere else.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept`` binary, if asked for). Null and empty
-    texts have no bytes and the hash of the empty string; an empty table gives no rows; a row repeated whole (same id,
-    same text) counts as one document, given as often as it came in; rows that only share an id are documents of
-    their own. Bytes are compared as they are: removal may cut a character.
+    texts have no bytes and the hash of the empty string; an empty table gives no rows; every row is a document of its
+    own, also one that repeats another whole. Bytes are compared as they are: removal may cut a character.
     """
     keyed = keyed_documents(docs, id_col, text_col)
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")

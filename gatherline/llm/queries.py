@@ -93,32 +93,32 @@ ORACLES = {
         FROM (SELECT doc_id, {_LOW} AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
     "op4_substring_tree": f"""
-        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-        s AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END AS win FROM p),
-        r AS (SELECT doc_id, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM s),
-        c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
-        k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        s AS (SELECT r, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END AS win FROM p),
+        g AS (SELECT r, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM s),
+        c AS (SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM g),
+        k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+        FROM d LEFT JOIN k ON d.r = k.r""",
     "op6_jaccard_join": f"""
-        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOW}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-        p AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 3, 1) + 1) END) AS i FROM d),
-        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh FROM p),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
-        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
-        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
-        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id""",
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({_LOW}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT r, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 3, 1) + 1) END) AS i FROM d),
+        s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS sh FROM p),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        c AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        m AS (SELECT r AS a, r AS b FROM d UNION SELECT m.a, l.b FROM m JOIN l ON l.a = m.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, o.component_id
+        FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT m.a, min(e.doc_id) AS component_id FROM m JOIN d e ON e.r = m.b GROUP BY m.a) o ON o.a = d.r""",
     "op8_bwt_dedup": """
-        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
-        p AS (SELECT doc_id, t, octet_length(t) AS n, unnest(range(1, octet_length(t) + 1)) AS i FROM d),
-        s AS (SELECT doc_id, i, hex(t[i:i]) AS b, CASE WHEN i + 199 <= n THEN md5(t[i:i + 199]) END AS win FROM p),
-        r AS (SELECT doc_id, i, b, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM s),
-        c AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM r),
-        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),
-        k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+        p AS (SELECT r, t, octet_length(t) AS n, unnest(range(1, octet_length(t) + 1)) AS i FROM d),
+        s AS (SELECT r, i, hex(t[i:i]) AS b, CASE WHEN i + 199 <= n THEN md5(t[i:i + 199]) END AS win FROM p),
+        g AS (SELECT r, i, b, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM s),
+        c AS (SELECT r, i, b, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM g),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS head FROM c),
+        k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
         SELECT d.doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+        FROM d LEFT JOIN k ON d.r = k.r""",
 }

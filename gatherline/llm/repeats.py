@@ -10,9 +10,10 @@ distance from their start, so windows of different anchors never need to meet.
 3. The solver finds, in each bucket, the windows that occur twice. Its answer returns as bits to the task
    ("shard") that sent the segment, where the places of its copies were kept.
 4. Anchors that occur more than ``HOT`` times (a passage of many documents, each with other text around it) would
-   bring too much together. There the key grows to the whole window: the windows of hot anchors go through the same
-   exchange by their own hashes, and are known from it to repeat.
-5. Repeated windows of a document are merged to covered intervals.
+   bring too much together. There the prefix grows to the whole window: the windows of hot anchors go through the same
+   exchange by their own hashes, and those that occur anywhere else become segments of one window each, keyed by that
+   hash. Equal ones of a task collapse as above, and the same solver decides.
+5. Repeated windows of a document are merged to covered intervals. Rows that repeat a document count like all others.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, packed, shuffle_partitions, texts_of, unbits, unpacked, written
-from .exchange import CHUNK_KEYS, keyed_pass, messages, repeated_keys
+from .exchange import CHUNK_KEYS, key_bits, keyed_pass, messages, repeated_keys
 from .hashing import U, Words, anchors, byte_values, gather, gram_hash, mix, owner_of, prefix_sums, span_hash
 
 
@@ -46,6 +47,8 @@ class Segments:
     byte_begin: np.ndarray
     byte_end: np.ndarray
     sums: np.ndarray  # prefix sums of the block's units, for hashes of windows
+    unit_begin: np.ndarray  # where each unit of the block begins and ends
+    unit_end: np.ndarray
 
 
 class ByteUnits:
@@ -72,7 +75,7 @@ class ByteUnits:
         text = np.minimum(text, len(texts) - 1)
         sums = prefix_sums(values) if len(a) else np.zeros(1, U)
         same = span_hash(sums, a, b + self.window) if len(a) else np.zeros(0, U)
-        return Segments(mix(grams[place]) if len(a) else np.zeros(0, U), place, a, b, text, first[text], same, a, b + self.window, sums), buf, counts
+        return Segments(mix(grams[place]) if len(a) else np.zeros(0, U), place, a, b, text, first[text], same, a, b + self.window, sums, np.arange(len(buf)), np.arange(1, len(buf) + 1)), buf, counts
 
 
 class WordUnits:
@@ -92,15 +95,15 @@ class WordUnits:
         same = span_hash(sums, a, b + self.window) if len(a) else np.zeros(0, U)
         begin = words.begin[a] if len(a) else a
         end = words.end[b + self.window - 1] if len(a) else a
-        return Segments(mix(grams[place]) if len(a) else np.zeros(0, U), place, a, b, text, words.first[text], same, begin, end, sums), words.buf, words.counts
+        return Segments(mix(grams[place]) if len(a) else np.zeros(0, U), place, a, b, text, words.first[text], same, begin, end, sums, words.begin, words.end), words.buf, words.counts
 
 
 #: Occurrences of an anchor up to which its segments meet in one bucket.
 HOT = 2000
 #: A shard is closed at this many distinct segments.
 SHARD_SEGMENTS = 12_000
-#: Bytes of text that are looked at together, and buckets for each shuffle partition: both bound a worker's memory.
-BLOCK_BYTES, BUCKETS = 1 << 19, 4
+#: Bytes of text that are looked at together, and occurrences of anchors in a bucket: both bound a worker's memory.
+BLOCK_BYTES, BUCKET_SEGMENTS = 1 << 19, 20_000
 
 
 def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits | WordUnits, pack: Callable, solve: Callable, per_text: Callable, extra: str, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -115,13 +118,16 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
         seg, _, counts = units.segments(texts)
         return per_text(texts, counts), seg.key, np.bincount(seg.text, minlength=len(texts))
 
-    table = keyed_pass(spark, keyed, keys_of, extra, f"{tag}_anchors", block_bytes=BLOCK_BYTES)
-    known = written(spark, repeated_keys(table, HOT).select("rid", "fp", "payload", "hot"), f"{tag}_repeated")
+    kept = key_bits(keyed.count())
+    cut_key = U(((1 << kept) - 1) << (64 - kept))
+    table = keyed_pass(spark, keyed, keys_of, extra, f"{tag}_anchors", block_bytes=BLOCK_BYTES, key_bits=kept)
+    known = written(spark, repeated_keys(table, HOT, key_bits=kept).select("rid", "fp", "payload", "hot"), f"{tag}_repeated")
+    anchors_known = known.agg(F.sum(F.length("payload") + F.length("hot"))).first()[0] or 0
     known = written(spark, known.groupBy("rid", "fp").agg(F.first("payload").alias("payload"), F.first("hot").alias("hot")), f"{tag}_known")
     # by shuffle at every size: what repeats is a share of all documents
     again = keyed.select("rid", "fp", "text").join(known.hint("merge"), ["rid", "fp"])
     owners = shuffle_partitions(spark)
-    buckets = BUCKETS * shuffle_partitions(spark)
+    buckets = max(4 * owners, -(-anchors_known // (8 * BUCKET_SEGMENTS)))
 
     def rows(kind: str, chunk: list, owner: list, payload: list, rid: list | np.ndarray | None = None, fp: list | np.ndarray | None = None, starts: list | None = None) -> pa.RecordBatch:
         n = len(chunk)
@@ -132,90 +138,101 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
         found = messages(held, owners)
         return rows("hot", [name] * len(found), [o for o, _ in found], [p for _, p in found])
 
+    def hot_rows(name: int, ids: np.ndarray, seg: Segments, buf: np.ndarray, use: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        """A row for each document with windows of hot anchors, and the hashes of these; the row carries their text."""
+        use = use[np.argsort(seg.text[use], kind="stable")]
+        many, length = seg.last[use] - seg.first[use] + 1, seg.byte_end[use] - seg.byte_begin[use]
+        start = np.arange(int(many.sum())) + np.repeat(seg.first[use] - np.concatenate(([0], np.cumsum(many)))[:-1], many)
+        keys = mix(span_hash(seg.sums, start, start + window))
+        data, at = gather(buf, seg.byte_begin[use], length), np.cumsum(length) - length
+        begin = seg.unit_begin[start] + np.repeat(at - seg.byte_begin[use], many)
+        end = seg.unit_end[start + window - 1] + np.repeat(at - seg.byte_begin[use], many)
+        own = start - np.repeat(seg.base[use], many)
+        texts, head = np.unique(seg.text[use], return_index=True)
+        windows, total = np.concatenate(([0], np.cumsum(many))), np.concatenate((at, [int(length.sum())]))
+        payload, places = [], []
+        for a, b in zip(head, [*head[1:], len(use)], strict=True):
+            part = slice(windows[a], windows[b])
+            payload.append(keys[part].tobytes())
+            places.append(packed((own[part].astype(np.int32), (begin[part] - total[a]).astype(np.int32), (end[part] - begin[part]).astype(np.int32), data[total[a] : total[b]])))
+        return rows("hot", [name] * len(texts), [-1] * len(texts), payload, ids[texts, 0], ids[texts, 1], places), keys
+
+    def shard(name: int, held: list[dict]) -> pa.RecordBatch:
+        docs = np.concatenate([x["doc"] for x in held]).astype(np.int64)
+        joined = {c: np.concatenate([x[c] for x in held]) for c in ("owner_doc", "key", "same", "lead", "first", "many")}
+        ident = mix(mix(joined["key"] ^ mix(joined["same"])) + joined["lead"].astype(U) * U(1 << 20) + joined["many"].astype(U))
+        _, index, inverse, times = np.unique(ident, return_index=True, return_inverse=True, return_counts=True)
+        bucket = owner_of(joined["key"][index], buckets)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        index, bucket, times = index[order], bucket[order], times[order]
+        lengths = np.concatenate([x["length"] for x in held])
+        starts = np.cumsum(lengths) - lengths
+        data = np.concatenate([x["data"] for x in held])
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        picked = {"data": gather(data, starts[index], lengths[index]), "length": lengths[index], "lead": joined["lead"][index], "many": joined["many"][index], "often": times > 1}
+        parts = pack(picked, cut)
+        places = {"docs": docs, "doc": joined["owner_doc"], "first": joined["first"], "many": joined["many"], "row": rank[inverse]}
+        return rows("cold", [name] * (1 + len(cut)), [-1, *bucket[cut].tolist()], [packed(places), *map(packed, parts)])
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        held, count, seen, hot_keys, hot_count = [], 0, set(), [], 0
-
-        def hot_rows(texts: list[bytes], ids: np.ndarray, seg: Segments, use: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-            """A row for each document with windows of hot anchors, and the hashes of these."""
-            many = seg.last[use] - seg.first[use] + 1
-            start = np.arange(int(many.sum())) + np.repeat(seg.first[use] - np.concatenate(([0], np.cumsum(many)))[:-1], many)
-            own = (start - np.repeat(seg.base[use], many)).astype(np.int64)
-            each = np.bincount(np.repeat(seg.text[use], many), minlength=len(texts))
-            some, ends = np.flatnonzero(each), np.cumsum(each)
-            keys = mix(span_hash(seg.sums, start, start + window))
-            return rows("hot", [name] * len(some), [-1] * len(some), [keys[ends[i] - each[i] : ends[i]].tobytes() for i in some], ids[some, 0], ids[some, 1], [packed(own[ends[i] - each[i] : ends[i]]) for i in some]), keys
-
-        def flush() -> pa.RecordBatch:
-            docs = np.concatenate([x["doc"] for x in held]).astype(np.int64)
-            joined = {c: np.concatenate([x[c] for x in held]) for c in ("owner_doc", "key", "same", "lead", "first", "many")}
-            ident = mix(mix(joined["key"] ^ mix(joined["same"])) + joined["lead"].astype(U) * U(1 << 20) + joined["many"].astype(U))
-            _, index, inverse, times = np.unique(ident, return_index=True, return_inverse=True, return_counts=True)
-            bucket = owner_of(joined["key"][index], buckets)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            index, bucket, times = index[order], bucket[order], times[order]
-            lengths = np.concatenate([x["length"] for x in held])
-            starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-            data = np.concatenate([x["data"] for x in held])
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            picked = {"data": gather(data, starts[index], lengths[index]), "length": lengths[index], "lead": joined["lead"][index], "many": joined["many"][index], "often": times > 1}
-            parts = pack(picked, cut)
-            places = {"docs": docs, "doc": joined["owner_doc"], "first": joined["first"], "many": joined["many"], "row": rank[inverse]}
-            return rows("cold", [name] * (1 + len(cut)), [-1, *bucket[cut].tolist()], [packed(places), *map(packed, parts)])
-
+        held, count, hot_keys, hot_count = [], 0, [], 0
         for batch, texts in blocks(batches, BLOCK_BYTES):
             rid, fp, known_keys, hot = (batch.column(batch.schema.get_field_index(c)) for c in ("rid", "fp", "payload", "hot"))
             ids = np.column_stack((rid.to_numpy(), fp.to_numpy()))
-            fresh = np.array([tuple(x) not in seen and not seen.add(tuple(x)) for x in ids.tolist()])  # copies of a row within a task
             seg, buf, _ = units.segments(texts)
             wanted = np.unique(np.frombuffer(b"".join(known_keys.to_pylist()), U))
             common = np.unique(np.frombuffer(b"".join(hot.to_pylist()), U))
-            if len(common) and len(seg.key):
-                use = np.flatnonzero(np.isin(seg.key, common) & fresh[seg.text])
-                if len(use):
-                    out, keys = hot_rows(texts, ids, seg, use)
-                    yield out
-                    hot_keys.append(keys)
-                    hot_count += len(keys)
-            # a hot anchor is hot for all
-            use = np.flatnonzero(np.isin(seg.key, np.setdiff1d(wanted, common)) & fresh[seg.text]) if len(seg.key) else np.zeros(0, np.int64)
-            if hot_count >= CHUNK_KEYS:
-                yield hot_messages(name, hot_keys)
+            short = seg.key & cut_key
+            often = np.isin(short, common)  # a hot anchor is hot for all
+            if often.any():
+                out, keys = hot_rows(name, ids, seg, buf, np.flatnonzero(often))
+                yield out
+                hot_keys.append(keys)
+                hot_count += len(keys)
+            use = np.flatnonzero(np.isin(short, wanted) & ~often)
+            if len(use):
+                length = seg.byte_end[use] - seg.byte_begin[use]
+                at = sum(len(x["doc"]) for x in held)
+                held.append({"doc": ids, "owner_doc": seg.text[use] + at, "key": seg.key[use], "same": seg.same[use], "lead": seg.place[use] - seg.first[use], "first": seg.first[use] - seg.base[use], "many": seg.last[use] - seg.first[use] + 1, "length": length, "data": gather(buf, seg.byte_begin[use], length)})
+                count += len(use)
+            if count >= SHARD_SEGMENTS or hot_count >= CHUNK_KEYS:
                 if count:
-                    yield flush()
-                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, {tuple(ids[-1].tolist())}, [], 0  # copies of a row are neighbours
-            if not len(use):
-                continue
-            length = seg.byte_end[use] - seg.byte_begin[use]
-            at = sum(len(x["doc"]) for x in held)
-            held.append({"doc": ids, "owner_doc": seg.text[use] + at, "key": seg.key[use], "same": seg.same[use], "lead": seg.place[use] - seg.first[use], "first": seg.first[use] - seg.base[use], "many": seg.last[use] - seg.first[use] + 1, "length": length, "data": gather(buf, seg.byte_begin[use], length)})
-            count += len(use)
-            if count >= SHARD_SEGMENTS:
-                yield flush()
+                    yield shard(name, held)
                 if hot_count:
                     yield hot_messages(name, hot_keys)
-                name, held, count, seen, hot_keys, hot_count = name + 1, [], 0, {tuple(ids[-1].tolist())}, [], 0  # copies of a row are neighbours
+                name, held, count, hot_keys, hot_count = name + 1, [], 0, [], 0
         if count:
-            yield flush()
+            yield shard(name, held)
         if hot_count:
             yield hot_messages(name, hot_keys)
 
     sent = written(spark, again.mapInArrow(shards, "kind string, chunk long, owner int, doc_id long, rid long, fp long, payload binary, starts binary"), f"{tag}_segments")
-    cold = sent.where("kind = 'cold'").select(F.col("chunk").alias("shard"), F.col("owner").alias("bucket"), "payload")
 
-    def hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def window_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards of the windows of hot anchors that the exchange has found anywhere else."""
+        name = (1 << 60) + ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 24)
+        held, count = [], 0
         for batch in batches:
-            rid, fp, starts, mask = (batch.column(i) for i in range(4))
-            out = []
-            for s, m in zip(starts.to_pylist(), mask.to_pylist(), strict=True):
-                at = unpacked(s)
-                at = at[unbits(m, len(at))]
-                out.append(merged_spans(np.column_stack((at, at + window))).tobytes())
-            yield pa.RecordBatch.from_pydict({"rid": rid, "fp": fp, "payload": pa.array(out, pa.binary())})
+            for rid, fp, keys, places, mask in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                keys = np.frombuffer(keys, U)
+                own, begin, length, data = unpacked(places)
+                mask = unbits(mask, len(own))
+                own, begin, length = own[mask].astype(np.int64), begin[mask].astype(np.int64), length[mask].astype(np.int64)
+                nothing = np.zeros(len(keys), np.int64)
+                held.append({"doc": np.array([[rid, fp]], np.int64), "owner_doc": nothing + len(held), "key": mix(keys), "same": keys, "lead": nothing, "first": own, "many": nothing + 1, "length": length, "data": gather(data, begin, length)})
+                count += len(keys)
+                if count >= SHARD_SEGMENTS:
+                    yield shard(name, held).select(["chunk", "owner", "payload"])
+                    name, held, count = name + 1, [], 0
+        if count:
+            yield shard(name, held).select(["chunk", "owner", "payload"])
 
-    hot_found = repeated_keys(sent.where("kind = 'hot'"), carry=("starts",)).select("rid", "fp", "starts", "mask").mapInArrow(hot_spans, "rid long, fp long, payload binary")
+    hot = repeated_keys(sent.where("kind = 'hot'"), carry=("starts",))
+    hot = written(spark, hot.select("rid", "fp", "payload", "starts", "mask").mapInArrow(window_shards, "chunk long, owner int, payload binary"), f"{tag}_windows")
+    cold = sent.where("kind = 'cold'").select("chunk", "owner", "payload").unionByName(hot).select(F.col("chunk").alias("shard"), F.col("owner").alias("bucket"), "payload")
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         found = solve([unpacked(x) for x in rows["payload"]])
@@ -251,8 +268,8 @@ def covered_intervals(spark: SparkSession, keyed: DataFrame, units: ByteUnits |
 
     answers = cold.where("bucket >= 0").groupBy("bucket").applyInPandas(answer, "shard long, bucket int, payload binary")
     spans = cold.where("bucket < 0").select("shard", "payload").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(intervals, "rid long, fp long, payload binary")
-    # a document's spans of either kind, one after another; rows repeated whole have the same
-    spans = spans.unionByName(hot_found).groupBy("rid", "fp").agg(F.unhex(F.concat_ws("", F.transform(F.collect_set("payload"), F.hex))).alias("payload"))
+    # a document's spans of all shards, one after another; rows repeated whole have the same
+    spans = spans.groupBy("rid", "fp").agg(F.unhex(F.concat_ws("", F.transform(F.collect_set("payload"), F.hex))).alias("payload"))
     return table.where("owner < 0").drop("chunk", "owner", "payload"), written(spark, spans, f"{tag}_spans")
 
 

@@ -2,7 +2,8 @@
 
 A suffix here is the text from the start of a window on, as deep as the window is long (no deeper node matters). It
 goes to the group of its anchor, the least 8-gram of the window: suffixes that agree to the window's depth always
-meet, and a hash range of anchors is a group that fits a worker. Within a group the tree is built top-down, the
+meet, and a hash range of anchors is a group that fits a worker. Where an anchor has too many suffixes its prefix
+grows to the whole window (repeats.py). Within a group the tree is built top-down, the
 write-only way: all suffixes of one root are split by their next words, a node of one suffix is a leaf and is
 dropped at once, the rest are split again by a longer prefix, until nodes reach the window's depth. Suffixes are
 taken in portions of whole roots that fit ``PORTION``, so a prefix grows only as long as its group needs. Each deep
@@ -101,9 +102,8 @@ def remove_repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35
     """Remove each word covered by a ``window``-word sequence that also starts anywhere else.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``, if asked for: kept words joined by one
-    space). Null and empty texts have no words and the hash of the empty string; an empty table gives no rows; rows
-    that repeat an id are documents of their own, except that a row repeated whole (same id, same text) counts as one
-    document, given as often as it came in. Word equality is that of 64-bit hashes over whole windows.
+    space). Null and empty texts have no words and the hash of the empty string; an empty table gives no rows; every row
+    is a document of its own, also one that repeats another whole. Words are equal if their 64-bit hashes are.
     """
     keyed = keyed_documents(docs, id_col, text_col)
     schema = "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")

@@ -35,28 +35,27 @@ def corpus():
     rows = [(i, words(rng, rng.randrange(20, 200))) for i in range(30)]
     rows += [(100 + i, f"{words(rng, 30)} {passage} {words(rng, 25)}") for i in range(8)]
     rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (202, rows[4][1] + " tail"), (203, "a b " * 80), (204, "é" * 300), (205, long), (206, long[500:2500])]
-    return [*rows, (300, None), (301, ""), (302, " \n\t "), (303, "x"), (None, "null id"), (rows[5][0], rows[5][1])]
+    return [*rows, (300, None), (301, ""), (302, " \n\t "), (303, "x"), (None, "null id"), (rows[5][0], rows[5][1]), (None, rows[7][1]), (-1, rows[7][1]), (-1, rows[9][1])]
 
 
 def covered(rows, units, window):
-    """Brute force: each text's units and which of them a repeated window covers; a row repeated whole counts once."""
-    distinct = dict.fromkeys((i, t or "") for i, t in rows)
+    """Brute force: each text's units and which of them a repeated window covers; every row counts."""
     seen = collections.Counter()
-    for _, t in distinct:
-        u = units(t)
+    for _, t in rows:
+        u = units(t or "")
         seen.update(u[s : s + window] for s in range(len(u) - window + 1))
     out = {}
-    for i, t in distinct:
-        u = units(t)
+    for i, t in rows:
+        u = units(t or "")
         mask = np.zeros(len(u), bool)
         for s in range(len(u) - window + 1):
             if seen[u[s : s + window]] > 1:
                 mask[s : s + window] = True
-        out[i, t] = (u, mask)
+        out[i, t or ""] = (u, mask)
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 2000])
+@pytest.mark.parametrize("hot", [1, 3, 2000])
 def test_words_against_brute_force(spark, corpus, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_tree.remove_repeated_words(spark, frame(spark, corpus)).collect())
