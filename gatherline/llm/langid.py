@@ -3,13 +3,19 @@
 Each language gets an interpolated Kneser-Ney model of character n-grams inside space-padded, lower-cased words,
 counted in Spark over a bounded sample of labelled rows. All n-grams lie in one sorted array of hashes, with a column
 of discounted probabilities and one of back-off weights for each language. A document's score in a language is its
-cross-entropy per character; the lowest wins. How far cross-entropy spreads on rows kept out of the counts calibrates
-the rejection of text that no language explains.
+cross-entropy per character; the lowest wins.
+
+Rejection of text that no language explains is calibrated on rows kept out of the counts. They are cut into runs of 1,
+2, 4, 8 and 16 words; for each language and size (power of two of letters) the median and a high quantile of the
+cross-entropy of these pieces tell how far it spreads, and text further out than ``REJECT_SPREADS`` such distances is
+rejected. Short pieces spread widely, so a short text must be far stranger than a long one. Text beyond the largest size
+has the limit of that size: it may be as strange throughout as one of its pieces.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,11 +31,14 @@ from .wordscores import WordScores
 ORDER = 5
 #: Labelled rows per language that the model is fitted on at most (three quarters counted, a quarter for calibration).
 SAMPLE_ROWS = 1000
-#: Deviations above the mean cross-entropy of its language at which a text is rejected, and letters it must have.
-REJECT_DEVIATIONS, REJECT_LETTERS = 8.0, 40
+#: A text is rejected beyond the median by so many times the distance from there to this quantile of held-back pieces.
+REJECT_SPREADS, REJECT_QUANTILE = 6.0, 0.99
+#: Pieces of each length that a held-back row gives at most, and the largest size (power of two of letters).
+PIECES, MOST_SIZE = 4, 6
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: what counts as alphanumeric less decimal digits and other numbers, such as superscripts and fractions.
+_WORD = re.compile("[^\\W\\d_" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 _BEGIN, _END = "\x02", "\x03"
 
 
@@ -142,34 +151,68 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array(cols[0], pa.string()), "gram": pa.array(cols[1], pa.string()), "n": pa.array(cols[2], pa.int64())})
 
 
-def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> tuple[Model, dict[str, float]]:
-    """The model, and each language's cross-entropy at which text is rejected.
+def _sampled(ids: DataFrame, spark: SparkSession, sample_rows: int) -> DataFrame:
+    """Of each language the rows with the least hash, ``nth`` in that order.
+
+    A language's number of rows gives the hash below which at least twice as many lie; only those are ranked.
+    """
+    ids = ids.withColumn("hash", F.xxhash64("rid", "fp"))
+    counts = written(spark, ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang_counts")
+    share = F.shiftrightunsigned("hash", 1) / F.lit(float(1 << 63))
+    few = sized_join(ids, counts, ["lang"], "inner").where(share * F.col("rows") < 2 * sample_rows + 100).dropDuplicates(["lang", "rid", "fp"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 1), "rid", "fp"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= sample_rows).select("rid", "fp", "lang", "nth")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of 1, 2, 4, ... words of each text, evenly spread."""
+    for batch in batches:
+        found = []
+        for text in batch.column(0).to_pylist():
+            words = letters(text or b"")
+            for size in (1, 2, 4, 8, 16):
+                many = len(words) // size
+                found += [" ".join(words[i * size : (i + 1) * size]).encode() for i in range(0, many, max(1, -(-many // PIECES)))]
+        yield pa.RecordBatch.from_pydict({"text": pa.array(found, pa.binary())})
+
+
+def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> tuple[Model, dict[str, np.ndarray]]:
+    """The model, and for each language and size of text the cross-entropy beyond which text is rejected.
 
     Learns from rows with a language outside the held-out fold: of each language the ``sample_rows`` rows with the
-    smallest hash of the id. What reaches the driver is bounded by that sample.
+    smallest hash of id and text. What reaches the driver is bounded by that sample.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held_out))
     ids = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rid"), F.xxhash64(text_col).alias("fp"), F.col(lang_col).alias("lang"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("rid", "fp")))
-    chosen = written(spark, ids.withColumn("nth", nth).where(F.col("nth") <= sample_rows).select("rid", "fp", "lang", "nth"), "lang_sample").dropDuplicates(["rid", "fp", "lang"])
-    texts = written(spark, sized_join(keyed_documents(docs, id_col, text_col), chosen, ["rid", "fp"], "inner").select("lang", "text", "nth"), "lang_texts")
+    chosen = written(spark, _sampled(ids, spark, sample_rows), "lang_sample")
+    texts = sized_join(keyed_documents(docs, id_col, text_col), chosen, ["rid", "fp"], "inner").dropDuplicates(["rid", "fp", "lang"])
+    texts = written(spark, texts.select("lang", "text", "nth"), "lang_texts")
     grams = texts.where("nth % 4 != 0").select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in grams.toLocalIterator():
         counts[r["lang"]][r["gram"]] = r["n"]
     model = Model(counts)
-    limits: dict[str, float] = {}
-    if counts:
-        scored = classify(spark, texts.where("nth % 4 = 0 or nth < 4").select("lang", "text"), model, {}, keep=("lang",))
-        for r in scored.where("n_letters >= 40").groupBy("lang").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s")).collect():
-            limits[r["lang"]] = max(r["m"] * 2, r["m"] + REJECT_DEVIATIONS * (r["s"] or 0.0))
+    if not counts:
+        return model, {}
+    pieces = texts.where("nth % 4 = 0").select("text").mapInArrow(_pieces, "text binary")
+    scored = classify(spark, pieces, model, {}, keep=()).where("n_letters > 0")
+    size = F.least(F.floor(F.log2("n_letters")), F.lit(MOST_SIZE)).cast("int").alias("size")
+    at = F.percentile_approx("cross_entropy", [0.5, REJECT_QUANTILE], 10_000).alias("at")
+    limits: dict[str, np.ndarray] = {}
+    for r in scored.groupBy(F.col("lang_pred").alias("lang"), size).agg(at).collect():
+        mine = limits.setdefault(r["lang"], np.full(MOST_SIZE + 1, -np.inf))
+        mine[r["size"]] = r["at"][0] + REJECT_SPREADS * (r["at"][1] - r["at"][0])
+    for lang, mine in limits.items():
+        # a shorter text may be as strange as a longer one; sizes beyond all pieces have the limit of the largest
+        mine = np.maximum.accumulate(mine[::-1])[::-1]
+        limits[lang] = np.where(mine > -np.inf, mine, mine[mine > -np.inf][-1])
     return model, limits
 
 
-def classify(spark: SparkSession, keyed: DataFrame, model: Model, limits: dict[str, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def classify(spark: SparkSession, keyed: DataFrame, model: Model, limits: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``lang_pred, score, cross_entropy, n_letters, rejected``; the model is broadcast (its size is that of the sample's n-grams)."""
     held = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
+    schema = ", ".join([*(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", "cross_entropy double", "n_letters long", "rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(held.value.score_words, len(held.value.langs) + 1)
@@ -180,7 +223,7 @@ def classify(spark: SparkSession, keyed: DataFrame, model: Model, limits: dict[s
     return keyed.mapInArrow(run, schema)
 
 
-def verdicts(model: Model, table: WordScores, texts: list[bytes], limits: dict[str, float]) -> dict:
+def verdicts(model: Model, table: WordScores, texts: list[bytes], limits: dict[str, np.ndarray]) -> dict:
     """What ``classify`` says of each text, as columns."""
     words = [letters(t) for t in texts]
     count = np.array([sum(map(len, w)) for w in words], np.int64)
@@ -195,8 +238,9 @@ def verdicts(model: Model, table: WordScores, texts: list[bytes], limits: dict[s
     entropy = ce[np.arange(len(texts)), best]
     score = 1 / np.exp(-(ce - entropy[:, None]) * np.sqrt(np.maximum(n, 1))[:, None]).sum(axis=1)
     pred = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)]
-    limit = np.array([limits.get(p, np.inf) for p in pred])
-    rejected = ~some | ((entropy > limit) & (count >= REJECT_LETTERS))
+    size = np.minimum(np.frexp(np.maximum(count, 1).astype(float))[1] - 1, MOST_SIZE)
+    limit = np.array([limits[p][k] if p in limits else np.inf for p, k in zip(pred, size, strict=True)])
+    rejected = ~some | (entropy > limit)
     return {"lang_pred": pred, "score": np.where(some, score, 0.0), "cross_entropy": np.where(some, entropy, 0.0), "n_letters": count, "rejected": rejected}
 
 
@@ -204,7 +248,7 @@ def identify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROW
     """One row per document: ``doc_id, held_out, lang_pred, score, cross_entropy, n_letters, rejected``.
 
     ``lang_pred`` is a learned language, or ``und`` for null texts and texts without a letter (score 0). ``rejected``
-    is true for those, and where the cross-entropy is far above what its language shows on calibration rows. Ties go
+    is true for those, and where the cross-entropy is far above what its language shows on held-back text of that size. Ties go
     to the first language in order of name. Without labelled rows every text is ``und``. Rows that repeat a document
     are scored alike; an empty table gives no rows.
     """

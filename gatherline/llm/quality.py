@@ -1,7 +1,7 @@
 """Operator 1: quality classifier with supervised subword embeddings.
 
-A word is itself and its character n-grams, hashed to buckets. Each bucket has a learned vector; a document is the
-average of its features' vectors, and a softmax layer gives the classes. Vectors and layer are trained by stochastic
+A word is itself and its character n-grams, hashed to buckets, and so is each pair of neighbouring words. Each bucket has
+a learned vector; a document is the average of its features' vectors, and a softmax layer gives the classes. Vectors and layer are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled rows. As everything after the average is linear up to the
 softmax, scoring needs one number per bucket; that vector is what workers get.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, fold, keyed_documents, packed, sized_join, unpacked, written
-from .hashing import U, byte_values, mix, prefix_sums, span_hash
+from .hashing import _BASE, U, Words, byte_values, mix, prefix_sums, span_hash
 from .wordscores import WordScores, spans
 
 BUCKETS = 1 << 17
@@ -45,6 +45,14 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h for h, _ in found]) % U(BUCKETS)).astype(np.int64), np.concatenate([w for _, w in found])
 
 
+def pair_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of each pair of neighbouring words."""
+    words = Words(texts)
+    inside = words.text[1:] == words.text[:-1]
+    key = mix(words.hash[:-1] * U(_BASE) + words.hash[1:])[inside]
+    return (key % U(BUCKETS)).astype(np.int64), words.text[1:][inside]
+
+
 def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(distinct buckets, share of each)."""
     words = Counter(text.split())
@@ -52,6 +60,7 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     bucket, word = word_features(list(words))
     weight = np.bincount(bucket, weights=np.fromiter(words.values(), float, len(words))[word], minlength=BUCKETS)
+    weight += np.bincount(pair_features([text])[0], minlength=BUCKETS)
     some = np.flatnonzero(weight)
     return some.astype(np.int32), (weight[some] / weight.sum()).astype(np.float32)
 
@@ -125,6 +134,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sampl
         table = WordScores(model.value.score_words, 2)
         for batch, texts in blocks(batches):
             totals = table.totals([t.split() for t in texts])
+            bucket, of = pair_features(texts)
+            totals += np.column_stack((np.bincount(of, weights=model.value.logit[bucket], minlength=len(texts)), np.bincount(of, minlength=len(texts))))
             logit = totals[:, 0] / np.maximum(totals[:, 1], 1) + model.value.bias
             score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "held_out": batch.column(batch.schema.get_field_index("held_out")), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})

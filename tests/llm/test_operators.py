@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 
@@ -478,6 +479,25 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values()) and len(got) == 302
 
 
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_held_out_accuracy(spark):
+    """On rows that neither model has learned from; the most frequent label alone would reach 0.80 and 0.61."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality").where("quality is not null")
+    scored = quality.score_quality(spark, docs, labels).where("held_out").join(labels, "doc_id")
+    assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.93
+    found = langid.identify(spark, docs).where("held_out").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")
+    right, rejected = found.where("lang_pred <> 'und'").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
+    assert right > 0.98 and rejected < 0.01
+
+
+def test_only_letters_are_letters():
+    assert langid.letters("²½Ⅷ①٣3_ äß ªº naïve x2y Ωж漢".encode()) == ["äß", "ªº", "naïve", "x", "y", "ωж漢"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t &amp; u</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">Cookies</div><div class="layout"><div class="{cls}"><h1>Head  &amp;
 line</h1><p>First <b>bold<br>text</b> &lt;x&gt;.<p>Second&nbsp;one <a href="x">link</a>, long enough to count as the main text of this page, by far.</p><div class="ad">Buy</div>
