@@ -33,6 +33,8 @@ ORDER = 5
 SAMPLE_ROWS = 1000
 #: A text is rejected beyond the median by so many times the distance from there to this quantile of held-back pieces.
 REJECT_SPREADS, REJECT_QUANTILE = 6.0, 0.99
+#: Nats per character that the distance is at least, as pieces may all be alike.
+LEAST_SPREAD = 0.1
 #: Pieces of each length that a held-back row gives at most, and the largest size (power of two of letters).
 PIECES, MOST_SIZE = 4, 6
 UNKNOWN = "und"
@@ -201,7 +203,8 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     limits: dict[str, np.ndarray] = {}
     for r in scored.groupBy(F.col("lang_pred").alias("lang"), size).agg(at).collect():
         mine = limits.setdefault(r["lang"], np.full(MOST_SIZE + 1, -np.inf))
-        mine[r["size"]] = r["at"][0] + REJECT_SPREADS * (r["at"][1] - r["at"][0])
+        middle, high = r["at"]
+        mine[r["size"]] = middle + REJECT_SPREADS * max(high - middle, LEAST_SPREAD)
     for lang, mine in limits.items():
         # a shorter text may be as strange as a longer one; sizes beyond all pieces have the limit of the largest
         mine = np.maximum.accumulate(mine[::-1])[::-1]
