@@ -1,6 +1,6 @@
 """Operator 9: main text of web pages, by paths on which the pages of a host agree.
 
-1. Each page names the path (tags and classes, numbers generalised) of the container that holds its main text: the
+1. Each page names the path (tags and classes, numbers generalised, as a hash) of the container that holds its main text: the
    deepest outside of which there is none of it.
 2. Spark adds the votes up per host and path; the hosts' winning paths are a small table (pre-aggregated, so a host
    with a third of all pages is no burden).
@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +27,19 @@ from .common import sized_join, written
 PATHS_PER_HOST = 3
 
 _WORDY = re.compile(r"[^\W_]")
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|canvas|audio|video|title|datalist)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_PLAIN = re.compile(r"[^>\"']*")
+_RAW = {
+    name: re.compile(rf"</{name}\s*>", re.I)
+    for name in "script style noscript template svg iframe textarea select object math canvas audio video title datalist".split()
+}
 _ATTRIBUTE = re.compile(r"([a-z_:][-a-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINER = frozenset("html body article main section div td table tbody tr center fieldset".split())
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption header footer nav aside form address details summary thead tfoot th caption hr hgroup menu dialog".split())
 #: Elements that never hold article text.
 _OUT = frozenset("nav aside footer form button menu dialog label input".split())
+_LISTS = frozenset("ul ol dl".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Words of a class or id that mark what is no article text.
@@ -46,7 +48,6 @@ _MARKS = frozenset(
     " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social"
     " related recommend recommended recommendations comment comments reply replies respond disqus widget login search pagination pager toolbar hidden skip".split()
 )
-_CLOSES_P = _BLOCK
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
 
@@ -54,7 +55,7 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"
 class Block:
     """A run of text between block boundaries."""
 
-    holders: tuple[int, ...]  # its containers, outermost first
+    holder: int  # its innermost container
     out: bool  # inside what is no article text
     parts: list[str] = field(default_factory=list)
     wanted: bool = False  # words outside of links, or a heading
@@ -63,11 +64,71 @@ class Block:
 
 @dataclass
 class Page:
-    paths: list[str]  # generalised path of each container
-    tags: list[str]
+    """Containers in page order, 0 the page itself, and text blocks. A path is the hash of its labels one after another."""
+
+    parents: list[int]
+    paths: list[int]
     blocks: list[Block]
 
 
+def _tag_end(source: str, at: int) -> int:
+    """Where the tag whose name ends at ``at`` closes; -1 if a quoted value or the tag itself never does."""
+    while True:
+        stop = _PLAIN.match(source, at).end()
+        if stop == len(source):
+            return -1
+        if source[stop] == ">":
+            return stop
+        if source[at:stop].rstrip()[-1:] == "=":  # a quote opens a value after an equals sign only
+            stop = source.find(source[stop], stop + 1)
+            if stop < 0:
+                return -1
+        at = stop + 1
+
+
+def pieces(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, content): "text", "open" with its attributes, "close" and "cdata", in one scan forward.
+
+    Comments, declarations and the content of raw elements are left out. After a tag that never closes as written, tags
+    end at the next ``>``, quoted or not, so that no stretch is looked at again and again.
+    """
+    at, text_from, lenient = 0, 0, False
+    last = source.rfind(">")
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at > last:
+            break
+        end, piece = -1, None
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(source)
+        elif source.startswith("<![CDATA[", at) and (stop := source.find("]]>", at)) >= 0:
+            end, piece = stop + 3, ("cdata", "", source[at + 9 : stop])
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+        elif m := _NAME.match(source, at):
+            stop = -1 if lenient else _tag_end(source, m.end())
+            if stop < 0:
+                lenient, stop = True, source.find(">", m.end())
+            name, end = m[2].lower(), stop + 1
+            piece = ("close" if m[1] else "open", name, source[m.end() : stop])
+            if name in _RAW and not m[1]:
+                piece = None
+                if source[stop - 1] != "/":
+                    close = _RAW[name].search(source, end)
+                    end = close.end() if close else len(source)
+        if end < 0:  # a lone "<"
+            at += 1
+            continue
+        if at > text_from:
+            yield "text", "", source[text_from:at]
+        if piece:
+            yield piece
+        at = text_from = end
+    if text_from < len(source):
+        yield "text", "", source[text_from:]
+
+
 def _words(value: str) -> list[str]:
     return re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
 
@@ -90,91 +151,97 @@ def _unwanted(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(marks & _MARKS) or bool(in_article is False and marks & {"header"})
 
 
+class _Open:
+    """The open elements, and where on the stack those of each name and kind are."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # name, whether nothing is wanted from here on, whether a container
+        self.at: dict[str, list[int]] = {}
+        self.bounds: list[int] = []  # containers and lists
+        self.containers: list[int] = []
+
+    def push(self, name: str, out: bool) -> None:
+        here = len(self.stack)
+        self.stack.append((name, out, name in _CONTAINER))
+        self.at.setdefault(name, []).append(here)
+        if name in _CONTAINER:
+            self.containers.append(here)
+        if name in _CONTAINER or name in _LISTS:
+            self.bounds.append(here)
+
+    def pop(self) -> tuple[str, bool, bool]:
+        top = self.stack.pop()
+        here = len(self.stack)
+        self.at[top[0]].pop()
+        for held in (self.containers, self.bounds):
+            if held and held[-1] == here:
+                held.pop()
+        return top
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def count(self, *names: str) -> int:
+        return sum(len(self.at.get(n, ())) for n in names)
+
+
 def parse(source: str) -> Page:
-    """The page's containers and text blocks. Unclosed and stray tags are put up with."""
-    page = Page([""], [""], [])
-    # an open element: tag, container number or -1, whether from here on nothing is wanted, whether a link
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-    holders: list[int] = [0]
+    """The page's containers and text blocks. Unclosed and stray tags are put up with; the time is linear in the size."""
+    page = Page([-1], [0], [])
+    opened, holders = _Open(), [0]
     block: Block | None = None
-    links = articles = headings = 0
-
-    def pop() -> None:
-        nonlocal links, articles, headings
-        tag, number, _, link = stack.pop()
-        links -= link
-        articles -= tag in ("article", "main")
-        headings -= tag in _HEADINGS
-        if number >= 0:
-            holders.pop()
-
-    for m in _PIECE.finditer(source):
-        raw, closing, tag, rest, text = m.groups()
-        if text is not None:
+
+    def pop_to(depth: int) -> None:
+        while len(opened.stack) > depth:
+            if opened.pop()[2]:
+                holders.pop()
+
+    links = opened.at.setdefault("a", [])
+    for kind, tag, content in pieces(source):
+        linked = bool(links)
+        if kind == "text":
             if block is None:
-                if not text.strip():
+                if not content.strip():
                     continue
-                block = Block(tuple(holders), stack[-1][2])
+                block = Block(holders[-1], bool(opened.stack) and opened.stack[-1][1])
                 page.blocks.append(block)
-            block.parts.append(text)
-            if not block.wanted and (headings or not links):
-                block.wanted = _WORDY.search(html.unescape(text)) is not None
-            continue
-        if tag is None:
-            if m.group(0).startswith("<![CDATA[") and block is not None:
-                block.parts.append(m.group(0)[9:-3].replace("&", "&amp;"))
-                block.wanted |= not links
-            continue
-        tag = tag.lower()
-        if closing:
-            if tag == "br":
-                if block is not None:
-                    block.parts.append(" ")
+            block.parts.append(content)
+            if not block.wanted and (not linked or opened.count(*_HEADINGS)):
+                block.wanted = _WORDY.search(html.unescape(content)) is not None
+        elif kind == "cdata":
+            if block is not None:
+                block.parts.append(content.replace("&", "&amp;"))
+                block.wanted |= not linked
+        elif tag in ("br", "wbr"):
+            if block is not None and tag == "br":
+                block.parts.append(" ")
+        elif kind == "close":
+            here = opened.last((tag,))
+            if tag in _BLOCK:
+                block = None
+            elif opened.containers and here < opened.containers[-1]:
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            if here >= 0:
+                pop_to(here)
+        else:
             if tag in _BLOCK:
                 block = None
-                if depth:
-                    while len(stack) > depth:
-                        pop()
-            elif depth and not any(stack[i][0] in _CONTAINER for i in range(depth + 1, len(stack))):
-                while len(stack) > depth:
-                    pop()
-            continue
-        if tag == "br" or tag == "wbr":
-            if block is not None and tag == "br":
-                block.parts.append(" ")
-            continue
-        if tag in _BLOCK:
-            block = None
-            # an open paragraph ends where a block begins, with whatever was left open in it
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" or stack[i][0] in _SAME.get(tag, ()):
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in _CONTAINER or stack[i][0] in ("ul", "ol", "dl"):
-                    break
-        if tag in _VOID or rest.rstrip().endswith("/") and tag not in _BLOCK and tag != "a":
-            continue
-        attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
-        before = stack[-1][2]
-        out = before or _unwanted(tag, attributes, articles > 0)
-        number = -1
-        if tag in _CONTAINER:
-            number = len(page.paths)
-            page.paths.append(f"{page.paths[holders[-1]]}/{_label(tag, attributes)}")
-            page.tags.append(tag)
-            holders.append(number)
-        if out != before:
-            block = None
-        link = tag == "a"
-        links += link
-        articles += tag in ("article", "main")
-        headings += tag in _HEADINGS
-        stack.append((tag, number, out, link))
-        if len(stack) > 2000:  # absurd nesting: keep what is open, go on flat
-            pop()
+                # an open paragraph ends where a block begins, with whatever was left open in it
+                same = opened.last(("p", *_SAME.get(tag, ())))
+                if same >= 0 and same >= (opened.bounds[-1] if opened.bounds else -1):
+                    pop_to(same)
+            if tag in _VOID or content.rstrip().endswith("/") and tag not in _BLOCK and tag != "a":
+                continue
+            attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(content)} if content.strip() else {}
+            before = bool(opened.stack) and opened.stack[-1][1]
+            out = before or _unwanted(tag, attributes, opened.count("article", "main") > 0)
+            if tag in _CONTAINER:
+                page.parents.append(holders[-1])
+                page.paths.append(xxhash.xxh3_64_intdigest(_label(tag, attributes).encode("utf-8", "replace"), page.paths[holders[-1]]))
+                holders.append(len(page.paths) - 1)
+            if out != before:
+                block = None
+            opened.push(tag, out)
     for b in page.blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return page
@@ -185,32 +252,34 @@ def _core(page: Page) -> tuple[int, int]:
 
     Main text is what is no unwanted block and no list of links: a block whose words are all in links, but for headings.
     """
-    held: tuple[int, ...] | None = None
-    total = 0
+    held = [0] * len(page.paths)
     for b in page.blocks:
-        if b.out or not b.wanted or not b.text:
-            continue
-        total += len(b.text)
-        if held is None:
-            held = b.holders
-        elif b.holders[: len(held)] != held:
-            held = held[: next((i for i, (x, y) in enumerate(zip(held, b.holders, strict=False)) if x != y), len(b.holders))]
-    return (held[-1] if held else 0), total
+        if b.wanted and not b.out:
+            held[b.holder] += len(b.text)
+    for i in range(len(held) - 1, 0, -1):  # containers stand after those that hold them
+        held[page.parents[i]] += held[i]
+    return max(i for i, n in enumerate(held) if n == held[0]) if held[0] else 0, held[0]
 
 
-def votes(page: Page) -> list[tuple[str, float]]:
+def votes(page: Page) -> list[tuple[int, float]]:
     """(path, weight) for the container that holds the page's main text: the deepest with all of it."""
     core, total = _core(page)
-    return [(page.paths[core], min(1.0, total / 500))] if total else []
+    return [(_signed(page.paths[core]), min(1.0, total / 500))] if total else []
+
+
+def _signed(path: int) -> int:
+    return path - (1 << 64) if path >> 63 else path
 
 
-def extract(page: Page, paths: list[str]) -> str:
+def extract(page: Page, paths: list[int]) -> str:
     """Text below the first of ``paths`` that occurs with all main text, else below the page's own best container."""
     core, total = _core(page)
     good = [b for b in page.blocks if b.text and not b.out]
-    for path in [*paths, *([page.paths[core]] if total else [])]:
-        chosen = {i for i, p in enumerate(page.paths) if p == path}
-        found = [b for b in good if chosen.intersection(b.holders)]
+    for path in [*paths, *([_signed(page.paths[core])] if total else [])]:
+        below = [False] * len(page.paths)
+        for i, p in enumerate(page.paths):
+            below[i] = _signed(p) == path or i > 0 and below[page.parents[i]]
+        found = [b for b in good if below[b.holder]]
         if found and sum(len(b.text) for b in found if b.wanted) == total:
             return "\n".join(b.text for b in found)
     return ""
@@ -232,7 +301,7 @@ def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(("host", "path", "weight"), map(list, zip(*rows, strict=True)), strict=True)))
 
-    ballot = keyed.select("host", "html").mapInArrow(vote, "host string, path string, weight double")
+    ballot = keyed.select("host", "html").mapInArrow(vote, "host string, path long, weight double")
     # partial sums first, so that no host's pages meet; a host has few paths
     totals = ballot.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"))
     ranked = totals.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("weight"), "path"))).where(F.col("nth") <= paths_per_host)

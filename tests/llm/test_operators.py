@@ -6,6 +6,8 @@ import itertools
 import math
 import os
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -534,6 +536,52 @@ def test_pages_keep_text_beside_the_largest_container(spark):
     assert b in text[3] and le in text[3] and text[5] == ""
 
 
+def test_hostile_pages_take_linear_time():
+    for s in ("<a " * 20_000, '<a href="' * 7000, '<a href="x>' * 7000, "<" * 60_000, "<!--" * 20_000, "<div>" * 20_000, "<p>" * 20_000, "<b><div>" + "<i>" * 9000 + "</b>" * 9000, "<td><p>t" * 9000, "&" * 60_000):
+        began = time.process_time()
+        html_extract.extract(html_extract.parse(s), [])
+        assert time.process_time() - began < 2, s[:10]
+
+
+def test_pieces_of_odd_markup():
+    got = list(html_extract.pieces("a<b t=don't>c</b><!-- <i> -->d<script>x<y</script >e<![CDATA[f<g]]><p a='>' b=\"<\">h < i<q k='1>j"))
+    assert got == [("text", "", "a"), ("open", "b", " t=don't"), ("text", "", "c"), ("close", "b", ""), ("text", "", "d"), ("text", "", "e"), ("cdata", "", "f<g"),
+                   ("open", "p", " a='>' b=\"<\""), ("text", "", "h < i"), ("open", "q", " k='1"), ("text", "", "j")]
+
+
+def test_pages_of_random_structure(spark):
+    """Pages built from known article blocks, in containers of any depth, with what is no article text around."""
+    rng = random.Random(21)
+    rows, want = [], {}
+
+    def inner(depth):
+        out, texts = [], []
+        for _ in range(rng.randrange(1, 5)):
+            if depth and rng.random() < 0.4:
+                more, t = inner(depth - 1)
+                tag = rng.choice(["div", "section", "div class='x y2'", "blockquote", "td"])
+                out.append(f"<{tag}>{more}</{tag.split()[0]}>")
+                texts += t
+            else:
+                t = words(rng, rng.randrange(3, 40))
+                out.append(rng.choice([f"<p>{t}</p>", f"<h2>{t}</h2>", f"<ul><li>{t}</li></ul>", f"<p>{t}", f"<div>{t}</div>", f"<p><b>{t}</b></p>"]))
+                texts.append(t)
+        return "".join(out), texts
+
+    for i in range(60):
+        body, texts = inner(3)
+        junk = lambda: rng.choice(["<nav><a href=/>menu item</a></nav>", "<aside><p>side text of some length</p></aside>", "<form>form</form>", "<script>var x = '<p>no';</script>", "<div class='ad-box'>buy this now</div>", "<!-- <p>comment -->"])
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><body>{junk()}<div class='page'>{junk()}<article class='post-{i}'>{body}</article>{junk()}</div>{junk()}<footer>foot</footer></body></html>", "x", "x", 1))
+        want[i] = "\n".join(texts)
+    long = "".join(f"<p>{words(rng, 20)}</p>" for _ in range(9000))
+    rows += [(100, "http://h0.example/l", f"<div>{long}</div>", "x", "x", 1), (None, None, "<p>two of</p>", "x", "x", 1), (None, None, "<p>two of</p>", "x", "x", 1)]
+    want |= {100: re.sub("<p>", "", long).replace("</p>", "\n").strip(), None: "two of"}
+    frame_ = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, paths int")
+    got = html_extract.main_text(spark, frame_).collect()
+    assert len(got) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+    assert html_extract.main_text(spark, frame_.where("false")).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
