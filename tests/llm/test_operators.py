@@ -359,6 +359,42 @@ def test_best_stretch_against_brute_force():
         assert not matched or (equal[begin] and equal[end - 1])
 
 
+def aligned(doc, item):
+    """Brute force: the most equal tokens that any stretch of any diagonal has within the limits, or None."""
+    tokens_of = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", lower_ascii((t or "").encode()))
+    a, b = tokens_of(doc), tokens_of(item)
+    need, best = min(13, len(b)), 0
+    for shift in range(-len(b) + 1, len(a)):
+        same = [0 <= j + shift < len(a) and a[j + shift] == b[j] for j in range(len(b))]
+        for i in range(len(b)):
+            for j in range(i + need, len(b) + 1):
+                m = sum(same[i:j])
+                if m >= need and 5 * m >= 4 * (j - i):
+                    best = max(best, m)
+    return best if b and best else None
+
+
+@pytest.mark.parametrize("block", [10, decontam.BLOCK_TOKENS])  # hashes joined by shuffle, and broadcast
+def test_overlaps_against_an_exhaustive_aligner(spark, block):
+    rng = random.Random(31)
+    items = [(i, words(rng, rng.choice([2, 4, 7, 12, 15, 20, 28]), 30 if i % 2 else 3000)) for i in range(14)] + [(3, "w1 w2"), (None, "only w1 here"), (50, None), (51, " "), (52, "w5 w5 w5 w5 w5 w5 w5 w5")]
+    docs = []
+    for i in range(60):
+        t = (items[rng.randrange(14)][1] + " " + words(rng, rng.randrange(8), 30)).split()
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(len(t))] = "other"
+        docs.append((i, f"{words(rng, rng.randrange(12), 30)} {' '.join(t)}, {words(rng, rng.randrange(12), 30)}"))
+    docs += [(70, None), (71, ""), (5, docs[5][1]), (None, docs[6][1]), (-1, docs[6][1]), (72, "w5 " * 200), (73, words(rng, 6000) + " " + items[5][1])]
+    df, tests = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.n_matched) for r in decontam.contaminated(spark, df, tests, block_tokens=block).collect())
+    want = collections.Counter()
+    for i, t in docs[:-1]:
+        want.update((i, k, m) for k, x in items if (m := aligned(t, x)) is not None)
+    late = {x[0] for x in want} | {73}
+    assert collections.Counter({x: n for x, n in got.items() if x[0] != 73}) == want and any(x[0] == 73 for x in got) and len(want) > 30
+    assert collections.Counter(r.doc_id for r in decontam.without_overlap(spark, df, tests, block_tokens=block).collect()) == collections.Counter(i for i, _ in docs if i not in late)
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(i, words(rng, 20, 3000)) for i in range(5)]
