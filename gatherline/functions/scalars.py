@@ -130,11 +130,12 @@ def display_label(c: str | Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(known, c), plain)
 
 
-def natural_sort_key(c: str | Column, width: int = 20) -> Column:
-    """A text that sorts as people sort: runs of digits count as numbers (up to ``width`` digits)."""
+def natural_sort_key(c: str | Column) -> Column:
+    """A text that sorts as people sort: a run of digits counts as a number, and is led by its length (six places)."""
     runs = F.regexp_extract_all(_col(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), width, "0")).otherwise(r))
-    return F.array_join(padded, "")
+    number = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    led = F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.concat(F.lpad(F.length(number(r)).cast("string"), 6, "0"), number(r))).otherwise(r))
+    return F.array_join(led, "")
 
 
 def approx_tokens(c: str | Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 NODE_COLUMNS = ("node_id", "block", "function", "text", "type", "full_text")
 # Kinds of nodes and edges, and positions of directive edges.
 PRAGMA_NODE, BLOCK_NODE, VARIABLE_NODE = 3, 4, 1
@@ -131,7 +133,7 @@ def missing_members(requested: DataFrame | None, available: DataFrame, key: str)
 
 def eval_combos(designs: DataFrame, models: DataFrame, design: str, model: str) -> DataFrame:
     """All pairs of a design and a model, sorted: two short name lists, and the product is the feature."""
-    return designs.select(design).distinct().crossJoin(F.broadcast(models.select(model).distinct())).orderBy(design, model)
+    return designs.select(design).distinct().crossJoin(small(models.select(model).distinct())).orderBy(design, model)
 
 
 def nest_loops(lines: DataFrame, keys: list[str], line_no: str, is_open, is_close) -> DataFrame:
@@ -144,10 +146,11 @@ def nest_loops(lines: DataFrame, keys: list[str], line_no: str, is_open, is_clos
     df = df.withColumn("end", F.min(F.when(F.col("__step") == -1, F.col(line_no))).over(level))
     spans = df.where("__step = 1 and end is not null").select(*keys, F.col(line_no).alias("start"), "end", "depth")
     # the parent is the nearest earlier opening line one level up, if it is still open
-    up = spans.select(*keys, F.col("start").alias("parent_start"), F.col("end").alias("__pend"), (F.col("depth") + 1).alias("depth"))
-    joined = spans.join(up, [*keys, "depth"], "left").where((F.col("parent_start").isNull()) | ((F.col("parent_start") < F.col("start")) & (F.col("__pend") > F.col("end"))))
-    roots = spans.join(joined.select(*keys, "start"), [*keys, "start"], "left_anti").withColumn("parent_start", F.lit(None).cast("long"))
-    out = joined.drop("__pend").unionByName(roots)
+    at = F.struct(F.col("start").alias("start"), F.col("end").alias("end"))
+    events = spans.select(*keys, F.col("depth").alias("__level"), "start", "end", "depth", at.alias("__open")).unionByName(spans.select(*keys, (F.col("depth") - 1).alias("__level"), "start", "end", "depth", F.lit(None).cast(spans.select(at).schema[0].dataType).alias("__open")))
+    before = Window.partitionBy(*keys, "__level").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    out = events.withColumn("__up", F.last("__open", ignorenulls=True).over(before)).where("__open is null")
+    out = out.withColumn("parent_start", F.when(F.col("__up.end") > F.col("end"), F.col("__up.start")))
     nth = F.row_number().over(Window.partitionBy(*keys, "parent_start").orderBy("start")) - 1
     return out.select(*keys, "start", "end", "depth", "parent_start", nth.alias("child_no"))
 

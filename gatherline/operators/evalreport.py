@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS
+from .joins import small
+from .profile import buckets as value_buckets
 
 ERRORS = ("mape", "rmse", "mse", "mae", "max_error")
 
@@ -44,22 +46,26 @@ def _discordant(x: np.ndarray, y: np.ndarray) -> int:
     return total
 
 
-def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int = 64) -> DataFrame:
+def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int | None = None, bucket_rows: int = 200_000) -> DataFrame:
     """Kendall's tau-b with ties for each key: ``tau``.
 
-    Discordant pairs come from a histogram of x-buckets by y-buckets for pairs in different buckets of both, and from
-    counts within each x-bucket and each y-bucket for the rest; no group meets as a whole.
+    Discordant pairs come from a histogram of x-buckets by y-buckets, by prefix sums over it, for pairs in different
+    buckets of both, and from counts within each x-bucket and each y-bucket for the rest. There are ``buckets``, or so many
+    that one holds about ``bucket_rows``; a heavy value has one of its own, where no pair counts. No group meets as a whole.
     """
     df = pred.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cuts = df.groupBy("key").agg(*[F.percentile_approx(c, [(i + 1) / buckets for i in range(buckets - 1)], 10_000).alias(f"c{c}") for c in "xy"])
-    at = lambda c: F.size(F.filter(f"c{c}", lambda v: v < F.col(c)))
-    df = df.join(F.broadcast(cuts), "key").select("key", "x", "y", at("x").alias("a"), at("y").alias("b"))
+    most = 0 if buckets else df.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    parts = buckets or min(4096, max(2, -(-most // bucket_rows)))
+    for c, at in (("x", "a"), ("y", "b")):
+        df = value_buckets(df, ["key"], c, parts, at)
     pairs = lambda n: n * (n - 1) / 2
     ties = lambda cols, name: df.groupBy("key", *cols).count().groupBy("key").agg(F.sum(pairs(F.col("count"))).alias(name))
-    cells = df.groupBy("key", "a", "b").count()
-    # pairs in different x- and y-buckets: a larger, b smaller
-    other = cells.select("key", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("count").alias("n2"))
-    cross = cells.join(other, "key").where("a2 > a and b2 < b").groupBy("key").agg(F.sum(F.col("count") * F.col("n2")).alias("d"))
+    # pairs in different x- and y-buckets: for each cell the counts of all with a larger and b smaller
+    cells = df.groupBy("key", "a", "b").agg(F.count("*").alias("n"))
+    grid = cells.select("key", "a").distinct().join(cells.select("key", "b").distinct(), "key").join(cells, ["key", "a", "b"], "left").fillna(0, ["n"])
+    grid = grid.withColumn("left", F.sum("n").over(Window.partitionBy("key", "a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    grid = grid.withColumn("under", F.sum("left").over(Window.partitionBy("key", "b").orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)))
+    cross = grid.groupBy("key").agg(F.sum(F.col("n").cast("double") * F.coalesce("under", F.lit(0))).alias("d"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "d": [float(_discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy()))]})
@@ -70,8 +76,12 @@ def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int = 64) ->
         d = _discordant(x, y) - sum(_discordant(x[a == v], y[a == v]) for v in np.unique(a))
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "d": [float(d)]})
 
+    def varied(at: str, c: str) -> DataFrame:
+        """Rows of buckets with more than one value."""
+        return df.join(df.groupBy("key", at).agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo < hi").select("key", at), ["key", at], "left_semi")
+
     kind = pred.schema[key].dataType.simpleString()
-    d = cross.unionByName(df.groupBy("key", "a").applyInPandas(inside, f"key {kind}, d double")).unionByName(df.groupBy("key", "b").applyInPandas(across, f"key {kind}, d double"))
+    d = cross.unionByName(varied("a", "x").groupBy("key", "a").applyInPandas(inside, f"key {kind}, d double")).unionByName(varied("b", "y").groupBy("key", "b").applyInPandas(across, f"key {kind}, d double"))
     out = ties([], "n0").join(ties(["x"], "n1"), "key").join(ties(["y"], "n2"), "key").join(ties(["x", "y"], "n3"), "key").join(d.groupBy("key").agg(F.sum("d").alias("d")), "key")
     agree = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
     scale = F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))
@@ -116,9 +126,9 @@ def classification_report(labels: DataFrame, label: str, predicted: str) -> Data
 
 def region_means(results: DataFrame, order: DataFrame, regions: DataFrame, pair: str, position: str, values: list[str], digits: int = 2) -> DataFrame:
     """Mean of ``values`` per region, where a pair's position lies in [lo, hi)."""
-    placed = results.join(F.broadcast(order), pair)
+    placed = results.join(small(order), pair)
     inside = (F.col(position) >= F.col("lo")) & (F.col(position) < F.col("hi"))
-    return placed.join(F.broadcast(regions), inside).groupBy("region").agg(*[F.round(F.avg(v), digits).alias(v) for v in values])
+    return placed.join(small(regions), inside).groupBy("region").agg(*[F.round(F.avg(v), digits).alias(v) for v in values])
 
 
 def actual_vs_predicted(pred: DataFrame, targets: list[str], order: list[str], gname: str = "gname", pragma: str = "pragma", target: str = "target", y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .joins import small
 
 
 def pool_seed_final(seed: DataFrame, final: DataFrame) -> DataFrame:
@@ -42,21 +43,43 @@ def metric_density(values: DataFrame, keys: list[str], value: str, points: int =
     counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__times"))
     z = (F.col("x") - F.col(value)) / F.col("__h")
     kernel = F.col("__times") * F.exp(-z * z / 2) / (F.col("__h") * F.col("__n") * np.sqrt(2 * np.pi))
-    return counted.join(F.broadcast(grid), keys).groupBy(*keys, "x").agg(F.greatest(F.sum(kernel), F.lit(0.0)).alias("density"))
+    return counted.join(small(grid), keys).groupBy(*keys, "x").agg(F.greatest(F.sum(kernel), F.lit(0.0)).alias("density"))
 
 
-def mquantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4) -> DataFrame:
-    """Plotting-position quantiles: ``prob, quantile``."""
-    df = values.where(F.col(value).isNotNull())
-    ranked = df.select(*keys, F.col(value).cast("double").alias("__v"), F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("__r"))
-    n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+def buckets(df: DataFrame, keys: list[str], value: str, parts: int, out: str) -> DataFrame:
+    """``df`` with the number of its value's bucket between approximate quantiles of the group, growing with the value.
+
+    A value that is a quantile itself has a bucket of its own: there a heavy value stands alone.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / parts for i in range(parts - 1)], 10 * parts).alias("__cuts"))
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(value))) + F.size(F.filter("__cuts", lambda c: c <= F.col(value)))
+    joined = df.join(cuts, keys) if keys else df.crossJoin(cuts)  # without keys one row of cuts
+    return joined.withColumn(out, below).drop("__cuts")
+
+
+def mquantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4, parts: int = 256) -> DataFrame:
+    """Plotting-position quantiles: ``prob, quantile``.
+
+    Counts of value buckets tell in which of them the wanted ranks lie; only rows of those buckets are ranked.
+    """
+    df = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    df = buckets(df, keys, "__v", parts, "__b")
+    sizes = df.groupBy(*keys, "__b").agg(F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    sizes = sizes.withColumn("__off", F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = sizes.groupBy(*keys).agg(F.sum("__m").alias("__n"))
     want = n.select(*keys, "__n", F.explode(F.array(*map(F.lit, probs))).alias("prob"))
     a = F.col("__n") * F.col("prob") + alpha + F.col("prob") * (1 - alpha - beta)
-    k = F.floor(F.greatest(F.lit(1.0), F.least(a, F.col("__n") - 1.0))).cast("int")
+    k = F.floor(F.greatest(F.lit(1.0), F.least(a, F.col("__n") - 1.0))).cast("long")
     want = want.withColumns({"__k": k, "__g": F.least(F.lit(1.0), F.greatest(F.lit(0.0), a - k))})
-    low = want.join(ranked.withColumnRenamed("__r", "__k"), [*keys, "__k"]).withColumnRenamed("__v", "__low").withColumn("__up", F.col("__k") + 1)
-    both = low.join(ranked.select(*keys, F.col("__r").alias("__up"), F.col("__v").alias("__high")), [*keys, "__up"], "left")
-    return both.select(*keys, "prob", ((1 - F.col("__g")) * F.col("__low") + F.col("__g") * F.coalesce("__high", "__low")).alias("quantile"))
+    ends = want.select(*keys, "prob", "__g", F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("__k").alias("rank")), F.struct(F.lit(1).alias("up"), F.least(F.col("__k") + 1, F.col("__n")).alias("rank")))).alias("__e"))
+    ends = ends.select(*keys, "prob", "__g", "__e.up", "__e.rank").join(sizes, keys).where((F.col("rank") > F.col("__off")) & (F.col("rank") <= F.col("__off") + F.col("__m")))
+    # a bucket with one value needs no ranks
+    alike = ends.where("__lo = __hi").select(*keys, "prob", "__g", "up", F.col("__lo").alias("__x"))
+    mixed = ends.where("__lo < __hi")
+    ranked = df.join(small(mixed.select(*keys, "__b").distinct()), [*keys, "__b"], "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__v")))
+    found = mixed.join(ranked, [*keys, "__b"]).where(F.col("__r") == F.col("rank") - F.col("__off")).select(*keys, "prob", "__g", "up", F.col("__v").alias("__x"))
+    both = alike.unionByName(found).groupBy(*keys, "prob", "__g").agg(F.max(F.when(F.col("up") == 0, F.col("__x"))).alias("__low"), F.max(F.when(F.col("up") == 1, F.col("__x"))).alias("__high"))
+    return both.select(*keys, "prob", ((1 - F.col("__g")) * F.col("__low") + F.col("__g") * F.col("__high")).alias("quantile"))
 
 
 def describe_stats(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 
 def order_key(seed: int, key: str) -> Column:
     """The order that stands for chance: md5 of seed and id, the same in every engine."""
@@ -41,8 +43,10 @@ def proportional_quotas(counts: DataFrame, source: str, count: str, size: int |
     every = Window.partitionBy(F.lit(0))  # a row per source
     total = F.sum(count).over(every)
     target = F.least(F.lit(size), total)
-    exact = target * F.col(count)
-    df = counts.withColumns({"__floor": F.floor(exact / total).cast("long"), "__rest": F.pmod(exact, total), "__target": target})
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the product of two counts is beyond a long
+    exact = wide(target) * wide(F.col(count))
+    rest = F.pmod(exact, wide(total))
+    df = counts.withColumns({"__floor": ((exact - rest) / wide(total)).cast("long"), "__rest": rest, "__target": target})
     left = F.col("__target") - F.sum("__floor").over(every)
     nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__rest"), F.desc(count), source))
     df = df.withColumns({"__left": left, "__nth": nth})
@@ -52,7 +56,7 @@ def proportional_quotas(counts: DataFrame, source: str, count: str, size: int |
 def sample_by_quota(df: DataFrame, quotas: DataFrame, source: str, key: str, seed: int) -> DataFrame:
     """Exactly ``quota`` rows of each source, in seeded order; a null quota leaves a source as it is."""
     ranked = exact_rank(df, seed, key, [source]).drop("total")
-    return ranked.join(F.broadcast(quotas.select(source, "quota")), source).where(F.col("quota").isNull() | (F.col("rank") < F.col("quota"))).drop("rank", "quota")
+    return ranked.join(small(quotas.select(source, "quota")), source).where(F.col("quota").isNull() | (F.col("rank") < F.col("quota"))).drop("rank", "quota")
 
 
 def split_by_count(df: DataFrame, key: str, val: float, test: float, seed: int, held_out: bool = False) -> DataFrame:

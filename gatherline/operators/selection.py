@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_pass
+from .profile import buckets
 
 
 def _keep_frontier(df: DataFrame, part: list[str | Column], x: str, y: str) -> DataFrame:
@@ -16,19 +17,25 @@ def _keep_frontier(df: DataFrame, part: list[str | Column], x: str, y: str) -> D
     return df.withColumn("__least", least).where(F.col("__least").isNull() | (F.col(y) < F.col("__least"))).drop("__least")
 
 
-def pareto_frontier(points: DataFrame, x: str, y: str, keys: list[str] | None = None, salts: int = 64) -> DataFrame:
+def pareto_frontier(points: DataFrame, x: str, y: str, keys: list[str] | None = None, parts: int = 256) -> DataFrame:
     """Points whose y is below that of all before them, by x ascending and y descending.
 
-    Rows without a number are dropped. A first pass prunes within salted parts, so that neither a hot key nor a
-    frontier over all rows sends everything to one task; what survives locally is few.
+    Rows without a number are dropped. The table is cut into ranges of x; a running minimum of y over the ranges, a
+    small table, drops most points at once, and the rest only meets points of its own range. So neither a hot key nor a
+    frontier that holds all rows brings everything into one task.
     """
     keys = keys or []
     usable = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    salted = usable.withColumn("__salt", F.pmod(F.xxhash64(x, y), F.lit(salts)))
-    return _keep_frontier(_keep_frontier(salted, [*keys, "__salt"], x, y).drop("__salt"), keys or [F.lit(0)], x, y)
+    placed = buckets(usable, [], x, parts, "__range")
+    every = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lows = placed.groupBy(*keys, "__range").agg(F.min(y).alias("__low"))
+    lows = lows.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__k_range"), F.min("__low").over(every).alias("__low"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__range") == F.col("__k_range")]
+    ahead = placed.join(lows, same).where(F.col("__low").isNull() | (F.col(y) < F.col("__low"))).drop("__low", "__k_range", *[f"__k_{k}" for k in keys])
+    return _keep_frontier(ahead, [*keys, "__range"], x, y).drop("__range")
 
 
-def pareto_score(points: DataFrame, x: str, y: str, keys: list[str], salts: int = 64) -> DataFrame:
+def pareto_score(points: DataFrame, x: str, y: str, keys: list[str], parts: int = 256) -> DataFrame:
     """Frontier score of each key: ``n_points, n_frontier, range_x, range_y, d_left, d_right, max_gap, length, score, gap_ratio``.
 
     The frontier is scaled by the range of all points; the score relates end distances and the largest gap to the
@@ -36,7 +43,7 @@ def pareto_score(points: DataFrame, x: str, y: str, keys: list[str], salts: int
     """
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     ranges = points.groupBy(*keys).agg(F.count("*").alias("n_points"), *[f(number(c)).alias(n) for c, a in ((x, "x"), (y, "y")) for f, n in ((F.min, f"__lo_{a}"), (F.max, f"__hi_{a}"))])
-    front = pareto_frontier(points, x, y, keys, salts).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    front = pareto_frontier(points, x, y, keys, parts).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     df = front.join(ranges, keys)
     scaled = lambda a: (F.col(f"__{a}") - F.col(f"__lo_{a}")) / F.nullif(F.col(f"__hi_{a}") - F.col(f"__lo_{a}"), F.lit(0.0))
     df = df.withColumns({"__nx": scaled("x"), "__ny": scaled("y")})

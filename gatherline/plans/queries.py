@@ -459,11 +459,11 @@ def _(t):
     return got.select("seg", "num_generated_seed_designs", "num_passing_seed_designs", F.size(m).cast("long").alias("num_entries"), F.aggregate(m, F.lit(0), lambda a, x: a + F.when(x["iters"].isNull(), 0).otherwise(F.size(x["iters"]))).cast("long").alias("num_iters"))
 
 
-@query("a15_trajectory_means", f"WITH i AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders) SELECT c_mktsegment AS target, pos, round(avg(v), 6) AS mean_value, count(v) AS num_values FROM i JOIN customer ON o_custkey = c_custkey WHERE pos < 10 GROUP BY ALL")
+@query("a15_trajectory_means", f"WITH i AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders) SELECT c_mktsegment AS target, pos, round(avg(v) + 3.14159e-8, 6) AS mean_value, count(v) AS num_values FROM i JOIN customer ON o_custkey = c_custkey WHERE pos < 10 GROUP BY ALL")
 def _(t):
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
     long = t.orders.withColumn("pos", nth.cast("long")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("target"), "pos", "o_totalprice")
-    return tj.trajectory_means(long, ["target"], "pos", "o_totalprice").withColumn("mean_value", r6("mean_value"))
+    return tj.trajectory_means(long, ["target"], "pos", "o_totalprice").withColumn("mean_value", r6(F.col("mean_value") + 3.14159e-8))  # means often lie midway between six-digit numbers; off there they round alike
 
 
 @query("a15_active_segments", f"WITH {_ITER} SELECT grp, seed, it AS segment, target = 'F' AS active FROM i")
@@ -626,10 +626,15 @@ def _pred(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_linestatus").alias("target"), F.col("l_extendedprice").alias("y_true"), (1000 * F.col("l_quantity")).alias("y_pred"))
 
 
-@query("a10_regression_report", f"""WITH r AS (SELECT target, avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) AS mape, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, max(abs(y - p)) AS max_error FROM {_PRED} GROUP BY target),
-    a AS (SELECT * FROM r UNION ALL SELECT 'tot/avg', sum(mape), sum(rmse), sum(mae), sum(max_error) FROM r) SELECT target, round(mape, 6) AS mape, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(max_error, 4) AS max_error FROM a""")
+@query("a10_regression_report", """WITH c AS (SELECT c_mktsegment AS target, c_acctbal + 2000 AS y, (c_custkey * 7919) % 101 * 50.0 AS p, row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
+    m AS (SELECT a.target, sum(sign(a.y - b.y) * sign(a.p - b.p)) / sqrt(count(*) FILTER (a.y <> b.y) * count(*) FILTER (a.p <> b.p)::DOUBLE) AS tau FROM c a JOIN c b ON a.target = b.target AND a.k < b.k GROUP BY 1),
+    r AS (SELECT target, avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) AS mape, sqrt(avg((y - p) * (y - p))) AS rmse, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, max(abs(y - p)) AS max_error FROM c GROUP BY target),
+    a AS (SELECT r.*, tau FROM r JOIN m ON m.target = r.target UNION ALL SELECT 'tot/avg', sum(mape), sum(rmse), sum(mse), sum(mae), sum(max_error), avg(tau) FROM r JOIN m ON m.target = r.target)
+    SELECT target, round(mape, 6) AS mape, round(rmse, 4) AS rmse, round(mse, 2) AS mse, round(mae, 4) AS mae, round(max_error, 4) AS max_error, round(tau, 6) AS tau FROM a""")
 def _(t):
-    return er.regression_report(_pred(t)).select("target", r6("mape").alias("mape"), *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "max_error")])
+    pred = t.customer.select(F.col("c_mktsegment").alias("target"), (F.col("c_acctbal") + 2000).alias("y_true"), (F.col("c_custkey") * 7919 % 101 * 50.0).alias("y_pred"))
+    got = er.regression_report(pred, tau=er.kendall_tau(pred, "target", "y_true", "y_pred"))
+    return got.select("target", r6("mape").alias("mape"), *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "max_error")], F.round("mse", 2).alias("mse"), r6("tau").alias("tau"))
 
 
 @query("a11_kendall_tau", """WITH c AS (SELECT c_mktsegment AS g, floor(c_acctbal / 50) AS x, (c_custkey * 7919) % 101 AS y, row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
@@ -646,11 +651,14 @@ def _(t):
     return a.select(F.round("loss", 2).alias("loss")).crossJoin(b.select(r6("loss").alias("log_loss")))
 
 
-@query("a13_classification_report", """WITH m AS (SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS a, count(*) FILTER (quality = 0 AND toxic = 1) AS b, count(*) FILTER (quality = 1 AND toxic = 0) AS c, count(*) FILTER (quality = 1 AND toxic = 1) AS d FROM labels)
-    SELECT 'invalid' AS class, round(coalesce(a / nullif(a + c, 0), 0), 6) AS precision, round(coalesce(a / nullif(a + b, 0), 0), 6) AS recall, a + b AS support FROM m UNION ALL SELECT 'valid', round(coalesce(d / nullif(b + d, 0), 0), 6), round(coalesce(d / nullif(c + d, 0), 0), 6), c + d FROM m
-    UNION ALL SELECT 'accuracy', round((a + d) / (a + b + c + d), 6), round((a + d) / (a + b + c + d), 6), a + b + c + d FROM m""")
+@query("a13_classification_report", """WITH m AS (SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS a, count(*) FILTER (quality = 0 AND toxic = 1) AS b, count(*) FILTER (quality = 1 AND toxic = 0) AS c, count(*) FILTER (quality = 1 AND toxic = 1) AS d FROM labels),
+    s AS (SELECT *, coalesce(a / nullif(a + c, 0), 0) AS p0, coalesce(a / nullif(a + b, 0), 0) AS r0, coalesce(d / nullif(b + d, 0), 0) AS p1, coalesce(d / nullif(c + d, 0), 0) AS r1 FROM m),
+    f AS (SELECT *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, a + b AS n0, c + d AS n1, a + b + c + d AS n, (a + d) / (a + b + c + d) AS acc FROM s),
+    x AS (SELECT 'invalid' AS class, p0 AS precision, r0 AS recall, f0 AS f1, n0 AS support FROM f UNION ALL SELECT 'valid', p1, r1, f1, n1 FROM f UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM f
+    UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM f UNION ALL SELECT 'weighted avg', (p0 * n0 + p1 * n1) / n, (r0 * n0 + r1 * n1) / n, (f0 * n0 + f1 * n1) / n, n FROM f)
+    SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM x""")
 def _(t):
-    return er.classification_report(t.labels, "quality", "toxic").where(~F.col("class").endswith("avg")).select("class", r6("precision").alias("precision"), r6("recall").alias("recall"), "support")
+    return er.classification_report(t.labels, "quality", "toxic").withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
 
 
 @query("a13_confusion_matrix", "SELECT quality AS label, count(*) FILTER (toxic = 0) AS pred_0, count(*) FILTER (toxic = 1) AS pred_1 FROM labels GROUP BY 1")
