@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .codegraph import materialized
+from .joins import small
+
 NODE_NUMERIC = "numeric"
 PRAGMA_TEXTS = ("pipeline", "parallel", "tile")
 
@@ -12,13 +15,21 @@ PRAGMA_TEXTS = ("pipeline", "parallel", "tile")
 def fit_dictionaries(tables: dict[str, DataFrame]) -> DataFrame:
     """``column, value, idx``: sorted distinct values of each named single-column table, numbered from 0.
 
-    Values are counted down to distinct ones before they meet; a dictionary is as long as its column has values.
+    Values are counted down to distinct ones before they meet; a dictionary is as long as its column has values. They
+    are sorted by ranges and numbered by the ranges' sizes, so that no task holds a whole dictionary.
     """
     rows = None
     for name, df in tables.items():
         part = df.select(F.lit(name).alias("column"), F.col(df.columns[0]).cast("string").alias("value")).where("value is not null").distinct()
         rows = part if rows is None else rows.unionByName(part)
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+    placed = materialized(rows.sparkSession, rows.orderBy("column", "value").withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    # one row for each range
+    ranges = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    ranges = ranges.select("__part", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    numbered = placed.withColumn("__part", part).join(small(ranges), "__part").select("column", "value", (F.col("__off") + inside).alias("__at"))
+    first = numbered.groupBy("column").agg(F.min("__at").alias("__first"))
+    return numbered.join(small(first), "column").select("column", "value", (F.col("__at") - F.col("__first")).cast("int").alias("idx"))
 
 
 def widths(dictionaries: DataFrame) -> dict[str, int]:

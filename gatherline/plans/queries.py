@@ -6,6 +6,8 @@ query runs over whole tables; doubles are rounded on both sides, ties are broken
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -315,6 +317,19 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(got["perf"]).alias("perf"), F.round(got["syn-LUT"], 9).alias("lut"), F.round(got["impl-BRAM"], 9).alias("bram"))
 
 
+@query("p18_mapped_targets", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(log2(1e7 / greatest(CASE WHEN l_linenumber % 3 > 0 THEN l_quantity WHEN l_linenumber % 2 > 0 THEN l_extendedprice ELSE l_partkey END, 2.220446049250313e-16)), 6) AS perf,
+    l_quantity / 274080 AS lut, CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE (2 * l_linenumber + 3) / 1824 END AS bram FROM lineitem""".replace("l_quantity / 274080 AS", "round(l_quantity / 274080, 9) AS").replace("CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE (2 * l_linenumber + 3) / 1824 END AS", "round(CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE (2 * l_linenumber + 3) / 1824 END, 9) AS"))
+def _(t):
+    n, text = F.col("l_linenumber"), lambda c: F.col(c).cast("string")
+    row = {
+        "synthesis__latency_average_cycles": F.when(n % 3 > 0, text("l_quantity")), "synthesis__latency_worst_cycles": F.when(n % 2 > 0, text("l_extendedprice")), "synthesis__latency_best_cycles": text("l_partkey"),
+        "synthesis__resources_lut_used": text("l_quantity"), "implementation__utilization__RAMB36": F.when(F.col("l_suppkey") % 2 == 0, "none").otherwise(text("l_linenumber")),
+        "implementation__utilization__RAMB18": F.when(F.col("l_suppkey") % 2 == 0, "").otherwise("3"),
+    } | {c: F.lit("0") for c in ("synthesis__resources_ff_used", "synthesis__resources_dsp_used", "synthesis__resources_bram_used", "implementation__utilization__Total LUTs", "implementation__utilization__FFs", "implementation__utilization__DSP Blocks")}
+    got = sc.map_qor_targets("gnndse")
+    return t.lineitem.withColumns(row).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(got["perf"]).alias("perf"), F.round(got["syn-LUT"], 9).alias("lut"), F.round(got["impl-BRAM"], 9).alias("bram"))
+
+
 @query("p19_fit_array", "SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[5]::DOUBLE AS fifth, 0.0::DOUBLE AS padded, 3 AS cut, 70 AS n FROM embeddings")
 def _(t):
     v = F.col("embedding").cast("array<double>")
@@ -549,7 +564,22 @@ def _(t):
     return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("pc1"), 4).alias("pc1"), F.lit(round(shares[0], 4)).alias("share1"), F.lit(round(shares[1], 4)).alias("share2"))
 
 
-@query("f10_group_hulls", None)
+@query("f9_pca_two_metrics", """WITH a AS (SELECT l_returnflag, l_quantity AS x, 500 * l_tax AS y FROM lineitem), m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM a),
+    e AS (SELECT *, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l FROM m), w AS (SELECT *, b / sqrt(b * b + (l - a) * (l - a)) AS u, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS v FROM e),
+    s AS (SELECT *, CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END AS g FROM w)
+    SELECT l_returnflag, count(*) AS n, round(avg(g * (u * (x - mx) + v * (y - my))), 4) AS pc1, round(any_value(l / (a + c)), 6) AS share1, round(any_value(1 - l / (a + c)), 6) AS share2 FROM a, s GROUP BY l_returnflag""")
+def _(t):
+    df = t.lineitem.select("l_returnflag", F.col("l_quantity").alias("x"), (500 * F.col("l_tax")).alias("y"))
+    df, shares = pf.pca_project(df, ["x", "y"])
+    return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("pc1"), 4).alias("pc1"), F.lit(round(shares[0], 6)).alias("share1"), F.lit(round(shares[1], 6)).alias("share2"))
+
+
+@query("f10_group_hulls", """WITH p AS (SELECT DISTINCT p_brand, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y FROM part),
+    e AS (SELECT a.p_brand, a.x, a.y, b.x AS bx, b.y AS \"by\", (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn, (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) AS along FROM p a JOIN p b ON b.p_brand = a.p_brand AND (b.x <> a.x OR b.y <> a.y) JOIN p c ON c.p_brand = a.p_brand),
+    g AS (SELECT p_brand, x, y, bx, \"by\" FROM e GROUP BY ALL HAVING bool_and(turn > 0 OR (turn = 0 AND along >= 0))), v AS (SELECT DISTINCT p_brand, x, y FROM g),
+    k AS (SELECT *, count(*) OVER q AS n, atan2(y - avg(y) OVER q, x - avg(x) OVER q) AS angle FROM v WINDOW q AS (PARTITION BY p_brand)),
+    f AS (SELECT *, first(angle) OVER (PARTITION BY p_brand ORDER BY x, y) AS start FROM k WHERE n >= 3)
+    SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN angle >= start THEN angle - start ELSE angle - start + 2 * pi() END) - 1)::INTEGER AS vertex, x, y FROM f""")
 def _(t):
     return pf.group_hulls(t.part, "p_brand", "p_size", "p_retailprice")
 
@@ -593,6 +623,14 @@ def _(t):
     return sl.best_sample(df, ["l_suppkey", "l_linenumber"], "l_quantity", "l_extendedprice", "l_orderkey").select("l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_orderkey")
 
 
+@query("t2_best_until_none_passes", f"""WITH b AS (SELECT l_suppkey, l_linenumber - 1 AS it, l_quantity, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey) AS k FROM lineitem WHERE {_PASSING} AND l_quantity > 40) WHERE k = 1)
+    SELECT l_suppkey, it::INTEGER AS it, l_quantity, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY it) - 1 AS n FROM b) WHERE n = it""")
+def _(t):
+    df = t.lineitem.withColumn("status", F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 40), "PASS").otherwise("fail")).withColumn("it", (F.col("l_linenumber") - 1).cast("int"))
+    best = sl.best_sample(df, ["l_suppkey", "it"], "l_quantity", "l_extendedprice", "l_orderkey")
+    return pr.contiguous_prefix(best, ["l_suppkey"], "it").select("l_suppkey", "it", "l_quantity", "l_orderkey")
+
+
 @query("t3_best_by_pareto", "SELECT p_brand, p_partkey, round(s, 6) AS pareto_sum FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s, p_partkey) AS k FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE p_size / 50 END + CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE (p_partkey % 10) / 10 END AS s FROM part WHERE p_type <> 'SMALL')) WHERE k = 1")
 def _(t):
     df = t.part.select("p_brand", "p_partkey", F.when(F.col("p_type") != "SMALL", "pass").alias("status"), F.when(F.col("p_size") % 3 != 0, F.col("p_size") / 50).alias("lut"), F.when(F.col("p_size") % 4 != 0, (F.col("p_partkey") % 10) / 10).alias("ff"))
@@ -916,6 +954,112 @@ def _(t):
 # ---- tables that Spark derives ----------------------------------------------------------------------------------
 
 
+def _tree(t: Tables) -> str:
+    """A folder of its own below the shared one."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = f"file://{tempfile.mkdtemp(prefix='gatherline-')}"
+    return f"{base if '://' in base else 'file://' + base}/trees/{uuid.uuid4().hex}"
+
+
+@query("s1_eval_records", """SELECT 'run__2025-01-02_03-04-05' AS run, 'm' || s_suppkey % 2 AS model, 'd' || s_nationkey AS domain, ['seed_designs', 'feedback_runs', 'final_designs'][(s_suppkey % 3 + 1)::INTEGER] AS stage, s_suppkey::INTEGER AS seed, (s_suppkey % 4)::INTEGER AS iteration,
+    (s_suppkey % 8)::INTEGER AS sample_idx, CASE WHEN s_suppkey % 5 = 0 THEN '__fix' ELSE '' END AS retry_suffix, s_name AS kernel_name, CASE WHEN s_acctbal > 3000 THEN 'Pass' ELSE 'Fail' END AS status, s_acctbal AS temperature, 'f' || s_suppkey || '.cpp' AS code FROM supplier""")
+def _(t):
+    n, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    stage = F.when(n % 3 == 0, "seed_designs").when(n % 3 == 1, "feedback_runs").otherwise("final_designs")
+    path = F.concat(F.lit("run__2025-01-02_03-04-05/m"), text(n % 2), F.lit("/d"), text(F.col("s_nationkey")), F.lit("/"), stage, F.lit("/seed_design_"), text(n), F.lit("/iter_"), text(n % 4), F.lit("_samples/sample_"), text(n % 8), F.when(n % 5 == 0, "__fix").otherwise(""), F.lit("/single_eval_data.json"))
+    record = F.struct(F.col("s_name").alias("kernel_name"), F.when(F.col("s_acctbal") > 3000, "Pass").otherwise("Fail").alias("status"), F.col("s_acctbal").alias("temperature"), F.create_map(F.concat(F.lit("f"), text(n), F.lit(".cpp")), F.lit("int x;\n")).alias("generated_code"))
+    wr.write_text_files(t.supplier.select(path.alias("path"), F.to_json(record).alias("content")), root := _tree(t))
+    got = rd.read_eval_records(t.spark, root)
+    return got.select("run", "model", "domain", "stage", "seed", "iteration", "sample_idx", "retry_suffix", "kernel_name", "status", "temperature", F.map_keys("generated_code")[0].alias("code"))
+
+
+@query("s2_domain_summaries", """WITH s AS (SELECT 'd' || s_nationkey AS domain, s_suppkey FROM supplier)
+    SELECT domain, s_suppkey::VARCHAR AS seed, 0 AS position, NULL AS target, NULL AS status, (s_suppkey % 7)::INTEGER AS num_functions FROM s
+    UNION ALL SELECT domain, s_suppkey::VARCHAR, (i + 1)::INTEGER, 't' || i, CASE WHEN (s_suppkey + i) % 2 = 0 THEN 'Pass' ELSE 'Fail' END, (s_suppkey % 7 + i)::INTEGER FROM (SELECT *, unnest(range(s_suppkey % 4)) AS i FROM s)""")
+def _(t):
+    n, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    step = lambda i: F.struct(F.concat(F.lit("iter_"), text(i)).alias("key"), F.struct(F.when((n + i) % 2 == 0, "Pass").otherwise("Fail").alias("Status"), F.concat(F.lit("t"), text(i)).alias("Target"), F.struct((n % 7 + i).alias("num_functions")).alias("target_result")).alias("value"))
+    steps = F.when(n % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), n % 4 - 1), step)).otherwise(F.array_remove(F.array(step(F.lit(0).cast("long"))), step(F.lit(0).cast("long"))))
+    entry = F.struct(text(n).alias("key"), F.struct(F.struct(F.struct((n % 7).alias("num_functions")).alias("target_results")).alias("seed_design"), F.map_from_entries(steps).alias("iters")).alias("value"))
+    files = t.supplier.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("eval_data_by_seed"))
+    domain = F.concat(F.lit("d"), text(F.col("s_nationkey")))
+    files = files.select(F.concat(F.lit("run__1/"), domain, F.lit("/domain_eval_data_summary.json")).alias("path"), F.to_json(F.struct(F.lit("m").alias("model_name"), domain.alias("domain"), "eval_data_by_seed")).alias("content"))
+    wr.write_text_files(files, root := _tree(t))
+    return rd.read_domain_summaries(t.spark, root).select("domain", "seed", "position", "target", "status", F.col("result.num_functions").alias("num_functions"))
+
+
+@query("s3_qor_tables", "SELECT 'part-' || p_partkey AS design_id, 'set' || p_size % 3 AS dataset, p_name AS name, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size::VARCHAR END AS latency, (p_partkey * 2)::VARCHAR AS luts FROM part")
+def _(t):
+    have = {"design_id": F.concat(F.lit("part-"), F.col("p_partkey").cast("string")), "design__name": F.col("p_name"), "synthesis__latency_best_cycles": F.when(F.col("p_size") % 4 > 0, F.col("p_size").cast("string")), "implementation__utilization__Total LUTs": (F.col("p_partkey") * 2).cast("string")}
+    columns = [x.strip().split("`")[1] for x in rd.QOR.split(",")]
+    root = _tree(t)
+    for i in range(3):
+        t.part.where(F.col("p_size") % 3 == i).select(*[have.get(c, F.lit("0")).alias(c) for c in columns]).write.csv(f"{root}/set{i}", header=True)
+    got = rd.read_qor_tables(t.spark, [f"{root}/set*/*.csv"])
+    return got.select("design_id", "dataset", F.col("design__name").alias("name"), F.col("synthesis__latency_best_cycles").alias("latency"), F.col("`implementation__utilization__Total LUTs`").alias("luts"))
+
+
+def _graph_files(t: Tables) -> DataFrame:
+    """brand, nodes and links in order of the part."""
+    text = lambda c: F.col(c).cast("string")
+    both = F.struct("p_partkey", F.struct(text("p_partkey").alias("id"), (F.col("p_size") % 5).alias("block"), (F.col("p_size") % 2).alias("function"), F.col("p_type").alias("text"), (F.col("p_size") % 4).alias("type")).alias("node"), F.struct(text("p_partkey").alias("source"), text("p_size").alias("target"), (F.col("p_size") % 3).alias("flow"), (F.col("p_partkey") % 2).alias("position")).alias("link"))
+    return t.part.groupBy(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-").alias("brand")).agg(F.array_sort(F.collect_list(both)).alias("all"))
+
+
+def _node_link(t: Tables) -> tuple[DataFrame, DataFrame]:
+    doc = F.struct(F.transform("all", lambda x: F.struct(*[x["node"][c].alias(c) for c in ("id", "block", "function", "text", "type")], F.struct(F.array(F.concat(F.lit("load "), x["node"]["text"])).alias("full_text")).alias("features"))).alias("nodes"), F.transform("all", lambda x: x["link"]).alias("links"))
+    wr.write_text_files(_graph_files(t).select(F.concat("brand", F.lit(".json")).alias("path"), F.to_json(doc).alias("content")), root := _tree(t))
+    return rd.read_node_link_graphs(t.spark, root)
+
+
+_BRAND = "regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g') AS design_id"
+_NODE_SQL = f"SELECT {_BRAND}, p_partkey::VARCHAR AS node_id, (p_size % 5)::INTEGER AS block, (p_size % 2)::INTEGER AS function, p_type AS text, (p_size % 4)::INTEGER AS type, 'load ' || p_type AS full_text FROM part"
+_LINK_SQL = f"SELECT {_BRAND}, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS edge_id, p_partkey::VARCHAR AS src, p_size::VARCHAR AS dst, (p_size % 3)::INTEGER AS flow, (p_partkey % 2)::INTEGER AS position FROM part"
+
+
+@query("s4_node_link_nodes", _NODE_SQL)
+def _(t):
+    return _node_link(t)[0]
+
+
+@query("s4_node_link_edges", _LINK_SQL)
+def _(t):
+    return _node_link(t)[1]
+
+
+def _gexf(t: Tables) -> tuple[DataFrame, DataFrame]:
+    text = lambda c: c.cast("string")
+    value = lambda k, v: F.concat(F.lit(f'<attvalue for="{k}" value="'), v, F.lit('"/>'))
+    node = lambda x: F.concat(F.lit('<node id="'), x["node"]["id"], F.lit('" label="x"><attvalues>'), value(0, text(x["node"]["block"])), value(1, text(x["node"]["function"])), value(2, x["node"]["text"]), value(3, text(x["node"]["type"])), value(4, F.concat(F.lit("load "), x["node"]["text"])), F.lit("</attvalues></node>"))
+    edge = lambda x, i: F.concat(F.lit('<edge id="'), text(i), F.lit('" source="'), x["link"]["source"], F.lit('" target="'), x["link"]["target"], F.lit('"><attvalues>'), value(5, text(x["link"]["flow"])), value(6, text(x["link"]["position"])), F.lit("</attvalues></edge>"))
+    titles = lambda kind, at: f'<attributes class="{kind}">' + "".join(f'<attribute id="{k}" title="{n}" type="string"/>' for k, n in at) + "</attributes>"
+    head = "<gexf><graph>" + titles("node", enumerate(("block", "function", "text", "type", "full_text"))) + titles("edge", ((5, "flow"), (6, "position")))
+    doc = F.concat(F.lit(head + "<nodes>"), F.array_join(F.transform("all", node), ""), F.lit("</nodes><edges>"), F.array_join(F.transform("all", edge), ""), F.lit("</edges></graph></gexf>"))
+    wr.write_text_files(_graph_files(t).select(F.concat("brand", F.lit(".gexf")).alias("path"), doc.alias("content")), root := _tree(t))
+    return rd.read_gexf_graphs(t.spark, root)[:2]
+
+
+@query("s5_gexf_nodes", _NODE_SQL)
+def _(t):
+    return _gexf(t)[0]
+
+
+@query("s5_gexf_edges", _LINK_SQL)
+def _(t):
+    return _gexf(t)[1]
+
+
+@query("s9_graph_samples", f"WITH n AS ({_NODE_SQL}) SELECT design_id, node_id, text, 's' || length(design_id) % 2 AS dataset, CASE WHEN design_id < 'Brand-3' THEN 'train' ELSE 'test' END AS split FROM n")
+def _(t):
+    nodes, edges = _node_link(t)
+    labels = nodes.select("design_id", F.concat(F.lit("s"), (F.length("design_id") % 2).cast("string")).alias("dataset"), F.when(F.col("design_id") < "Brand-3", "train").otherwise("test").alias("split")).distinct()
+    ft.write_graph_samples(nodes, edges, labels, ft.fit_dictionaries({"text": nodes.select("text")}), root := _tree(t))
+    return t.spark.read.parquet(f"{root}/nodes").select("design_id", "node_id", "text", "dataset", "split")
+
+
 @query("s6_synth_reports", "SELECT p_partkey, round(p_size * CASE p_partkey % 3 WHEN 0 THEN 1e-9 WHEN 1 THEN 1e-6 ELSE 1e-3 END, 12) AS clock_period, CASE WHEN p_size % 4 <> 0 THEN p_size * 10 END::BIGINT AS latency_best_cycles, round(p_size / 50, 6) AS share, 0.0::DOUBLE AS uram FROM part")
 def _(t):
     s, n = F.col("p_size").cast("string"), F.col("p_partkey") % 3

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,26 @@ def union_rows(dfs: list[DataFrame]) -> DataFrame:
 
 def union_rows_csv(dfs: list[DataFrame], path: str) -> None:
     union_rows(dfs).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_text_files(df: DataFrame, root: str) -> int:
+    """A file for each row (``path``, below ``root``, and ``content``), written by the tasks; returns how many.
+
+    A file appears whole, under another name first, so a task that runs twice does no harm.
+    """
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for pdf in parts:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                full = f"{base}/{path}"
+                store.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                own = f"{full.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(content.encode())
+                store.move(own, full)
+            yield pd.DataFrame({"files": [len(pdf)]})
+
+    return df.select("path", "content").mapInPandas(write, "files long").groupBy().sum("files").first()[0] or 0
