@@ -1,18 +1,22 @@
-"""Operator 7: interpolated modified Kneser-Ney bigram model, counted in Spark, in sorted hash arrays.
-
-1. Tasks count the bigrams of large runs of training text by hash, and send each owner (a range of the bigram hash)
-   its sorted part. The sum over owners of a word's statistics is exact, as each bigram has one owner.
-2. An owner merges its runs, writes one array of sorted bigram hashes and one of counts to the shared folder (and the
-   same for the words of its range), and sends on what each word needs: its count as a context, how many bigrams
-   with count 1, 2, 3+ it begins, how many distinct words it follows.
-3. Owners of word ranges add these up, into sorted arrays as well.
-4. Workers map the arrays into memory and look up the distinct bigrams of a block of text in sorted order.
-
-Nothing of the model passes through the driver but totals and file names (a few per partition).
+"""Operator 7: interpolated modified Kneser-Ney n-gram model, counted in Spark, in sorted hash arrays.
+
+1. Words are counted: every owner (a range of word hashes) writes a sorted array of hashes and one of counts to the
+   shared folder. A word's id is its place in all ranges.
+2. Tasks count n-grams of the highest order over large runs of training text, and send each as ids, sorted and
+   compressed, to the owner of its word before the last; a word with a large share of all tokens is split further by
+   the last word. There all orders down to two are complete: what follows from an n-gram, its context and the n-gram
+   without its first word, has the same word before the last. Only context totals of split words, and how many words
+   a word follows, are sent on and added up by further owners.
+3. For each order an owner writes sorted hash arrays of n-grams with their counts (of the highest order) or numbers of
+   distinct words before them (of the others), and of contexts with totals and numbers of n-grams by count.
+4. Workers map the arrays into memory and look up the distinct n-grams of a block of text.
+
+Nothing of the model passes through the driver but totals, file names and the words that are split.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,37 +31,23 @@ from .common import blocks, fold, keyed_documents, lower_ascii, packed, shuffle_
 from .exchange import golomb_decode, golomb_encode
 from .hashing import _BASE, U, Words, mix, owner_of
 
-#: Stand for the start and the end of a text; no word has these hashes but by chance.
-BEGIN, END = U(0x5C0E6B1B3E5A7F01), U(0x1F83D9ABFB41BD6B)
-#: Bigrams that a task counts before it sends them.
-RUN_BIGRAMS = 3_000_000
-#: Bits of a word's hash that identify it within a bigram's message (counts of words use all 64).
-WORD_BITS = 40
-_SHIFT = U(64 - WORD_BITS)
-
-
-def word_id(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> _SHIFT
-
-
-def bigram_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hash of two word ids."""
-    return mix(mix(left * U(_BASE)) + right)
+#: Stands for the end of a text; no word has this hash but by chance.
+END = U(0x1F83D9ABFB41BD6B)
+#: Words of the longest n-grams.
+ORDER = 3
+#: Tokens whose n-grams a task counts before it sends them.
+RUN_TOKENS = 2_000_000
 
 
-def text_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with an end after each text, hash before each, tokens of each text)."""
+def text_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes with an end after each text, tokens of each text)."""
     words = Words([lower_ascii(t) for t in texts])
     n = words.counts + 1
     tokens = np.full(int(n.sum()), END, U)
-    ends = np.cumsum(n) - 1
     is_word = np.ones(len(tokens), bool)
-    is_word[ends] = False
+    is_word[np.cumsum(n) - 1] = False
     tokens[is_word] = words.hash
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate(([0], ends[:-1] + 1))] = BEGIN
-    return tokens, before, n
+    return tokens, n
 
 
 def _local(uri: str) -> str | None:
@@ -65,13 +55,23 @@ def _local(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
-def save_array(uri: str, values: np.ndarray) -> None:
-    """Write to the shared folder so that a repeated task does no harm: to a name of its own, then renamed."""
+def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of several arrays. A repeated task does no harm: it writes to a name of its own, then renames."""
+    head, at = {}, 0
+    for name, a in arrays.items():
+        head[name] = (a.dtype.str, at, a.size)
+        at += -(-a.nbytes // 8) * 8
+    first = json.dumps(head).encode()
+    first += b" " * (-len(first) % 8)
+    parts = [np.array([len(first)], "<u8").tobytes(), first]
+    for a in arrays.values():
+        parts += [np.ascontiguousarray(a).tobytes(), b"\0" * (-a.nbytes % 8)]
     path = _local(uri)
     if path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         own = f"{path}.{uuid.uuid4().hex}"
-        values.tofile(own)
+        with open(own, "wb") as out:
+            out.writelines(parts)
         os.replace(own, path)
     else:
         from pyarrow import fs
@@ -80,20 +80,61 @@ def save_array(uri: str, values: np.ndarray) -> None:
         store.create_dir(os.path.dirname(path), recursive=True)
         own = f"{path}.{uuid.uuid4().hex}"
         with store.open_output_stream(own) as out:
-            out.write(np.ascontiguousarray(values).data)
+            for p in parts:
+                out.write(p)
         store.move(own, path)
 
 
-def load_array(uri: str, kind: str) -> np.ndarray:
+def load_arrays(uri: str) -> dict[str, np.ndarray]:
     """Memory-mapped where the shared folder is mounted, else read."""
     path = _local(uri)
     if path:
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    from pyarrow import fs
+        data = np.memmap(path, np.uint8, "r")
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            data = np.frombuffer(f.read(), np.uint8)
+    base = 8 + int(data[:8].view("<u8")[0])
+    head = json.loads(bytes(data[8:base]))
+    return {name: data[base + at : base + at + np.dtype(kind).itemsize * n].view(kind) for name, (kind, at, n) in head.items()}
+
 
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+def hash_array(keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted distinct keys with rows of values, as arrays.
+
+    The first bits of a key say in which short stretch it is, the next 32 are stored. Values are codes into the table
+    of their distinct rows: most n-grams occur once.
+    """
+    n = len(keys)
+    bits = max(0, n.bit_length() - 3)
+    bucket = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64)
+    rest = ((keys << U(bits)) >> U(32)).astype("<u4")
+    first = np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype("<u4" if n < 1 << 32 else "<u8")
+    kinds, code = np.unique(values.reshape(n, values.shape[1] if values.ndim > 1 else 1), axis=0, return_inverse=True)
+    small = "<u1" if len(kinds) <= 1 << 8 else "<u2" if len(kinds) <= 1 << 16 else "<u4"
+    return {"first": first, "rest": rest, "code": code.ravel().astype(small), "kinds": kinds.astype("<i8").ravel()}
+
+
+def find(array: dict[str, np.ndarray], keys: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values of ``keys``, zeros where absent."""
+    out = np.zeros((len(keys), width), np.int64)
+    if not len(array["rest"]):
+        return out
+    bits = (len(array["first"]) - 1).bit_length() - 1
+    bucket = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    rest = ((keys << U(bits)) >> U(32)).astype(np.uint32)
+    at, end = array["first"][bucket].astype(np.int64), array["first"][bucket + 1].astype(np.int64)
+    open_ = np.flatnonzero(at < end)
+    kinds = array["kinds"].reshape(-1, width)
+    while len(open_):  # a stretch has four to eight keys
+        have = array["rest"][at[open_]]
+        hit = have == rest[open_]
+        out[open_[hit]] = kinds[array["code"][at[open_[hit]]]]
+        at[open_] += 1
+        open_ = open_[(have < rest[open_]) & (at[open_] < end[open_])]
+    return out
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,122 +147,262 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[head], np.add.reduceat(values[order], head, axis=0)
 
 
-def _send(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint8 if len(values) == 0 or values.max() < 256 else np.uint32 if values.max() < 1 << 32 else np.uint64)
+
+
+def chained(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of the ids in a row."""
+    key = np.full(len(columns[0]), len(columns), U)
+    for c in columns:
+        key = mix(key * U(_BASE) + c.astype(U) + U(1))
+    return key
+
+
+def lagged(ids: np.ndarray, n: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
+    """The ``order`` - 1 ids before each token, farthest first, and its own; ``begin`` where the text has none."""
+    inside = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    columns = []
+    for lag in range(order - 1, 0, -1):
+        c = np.full(len(ids), begin, ids.dtype)
+        c[lag:] = np.where(inside[lag:] >= lag, ids[:-lag], begin)
+        columns.append(c)
+    return [*columns, ids]
+
+
+class Vocabulary:
+    """Words with their counts, in files by range of the hash. Ids go on from range to range."""
+
+    def __init__(self, base: str, sizes: dict[int, int], owners: int, tokens: int):
+        self.base, self.sizes, self.owners, self.tokens = base, sizes, owners, tokens
+        self.starts = np.concatenate(([0], np.cumsum([sizes.get(o, 0) for o in range(owners)])))
+        self.size = int(self.starts[-1])
+        self.begin, self.unknown = self.size + 1, self.size
+        self._open: dict[int, dict] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": {}}
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, count) of sorted distinct word hashes."""
+        ids, counts = np.full(len(keys), self.unknown), np.zeros(len(keys), np.int64)
+        cut = np.searchsorted(owner_of(keys, self.owners), np.arange(self.owners + 1))
+        for o in self.sizes:
+            a, b = cut[o], cut[o + 1]
+            if b > a and self.sizes[o]:
+                if o not in self._open:
+                    self._open[o] = load_arrays(f"{self.base}/words/{o}")
+                have = self._open[o]["keys"]
+                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
+                hit = np.flatnonzero(have[at] == keys[a:b])
+                ids[a + hit], counts[a + hit] = self.starts[o] + at[hit], self._open[o]["counts"][at[hit]]
+        return ids, counts
+
+    def ids(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, place = np.unique(tokens, return_inverse=True)
+        ids, counts = self.lookup(words)
+        return ids[place], counts[place]
+
+
+def _owner(before: np.ndarray, last: np.ndarray, owners: int, split: np.ndarray) -> np.ndarray:
+    """Owner of n-grams by the word before the last, of split words by both."""
+    key = mix(before.astype(U) + U(1))
+    some = np.isin(before, split)
+    key[some] = mix(key[some] * U(_BASE) + last[some].astype(U))
+    return owner_of(key, owners)
+
+
+def _planes(column: np.ndarray) -> bytes:
+    """A column byte by byte, all lowest bytes first: sorted columns compress well so."""
+    wide = 4 if len(column) == 0 or int(column.max()) < 1 << 32 else 8
+    return bytes([wide]) + column.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    wide = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").ravel().astype(np.int64)
+
+
+def encode_grams(columns: list[np.ndarray], times: np.ndarray) -> bytes:
+    """N-grams sorted by the word before the last, the last, then the others: the first two as differences."""
+    before, last = columns[-2], columns[-1]
+    step = np.diff(before, prepend=0)
+    fresh = np.concatenate(([True], step[1:] != 0)) if len(step) else np.zeros(0, bool)
+    return packed(([_planes(step), _planes(np.where(fresh, last, np.diff(last, prepend=0))), *map(_planes, columns[:-2])], _small(times)))
+
+
+def decode_grams(payload: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    planes, times = unpacked(payload)
+    step, last, *rest = map(_unplaned, planes)
+    fresh = np.concatenate(([True], step[1:] != 0)) if len(step) else np.zeros(0, bool)
+    total = np.cumsum(last)
+    head = np.flatnonzero(fresh)
+    total -= np.repeat(total[head] - last[head], np.diff(np.append(head, len(last))))
+    return [*rest, np.cumsum(step), total], times.astype(np.int64)
+
+
+def _send_words(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
     count = 0
 
     def flush() -> pa.RecordBatch:
-        left, right = word_id(np.concatenate([x[0] for x in held])), np.concatenate([x[1] for x in held])
-        kind, owner, payload = [], [], []
-        words, times = np.unique(right, return_counts=True)
+        words, times = np.unique(np.concatenate(held), return_counts=True)
         cut = np.searchsorted(owner_of(words, owners), np.arange(owners + 1))
-        for o in range(owners):
-            a, b = cut[o], cut[o + 1]
-            if b > a:
-                kind.append("word")
-                owner.append(o)
-                payload.append(packed((golomb_encode(words[a:b]), _small(times[a:b]))))
-        right = word_id(right)
-        key = bigram_key(left, right)
-        key, first, times = np.unique(key, return_index=True, return_counts=True)
-        left, right = left[first], right[first]
-        cut = np.searchsorted(owner_of(key, owners), np.arange(owners + 1))
-        for o in range(owners):
-            a, b = cut[o], cut[o + 1]
-            if b > a:
-                order = np.argsort(left[a:b], kind="stable")
-                distinct, many = np.unique(left[a:b], return_counts=True)
-                ids = right[a:b][order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
-                kind.append("bigram")
-                owner.append(o)
-                payload.append(packed((golomb_encode(distinct), _small(many), ids.tobytes(), _small(times[a:b][order]))))
-        return pa.RecordBatch.from_pydict({"kind": kind, "owner": pa.array(owner, pa.int32()), "payload": pa.array(payload, pa.binary())})
+        rows = [(o, packed((golomb_encode(words[a:b]), _small(times[a:b])))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_pydict({"owner": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     for _, texts in blocks(batches):
-        tokens, before, _ = text_tokens(texts)
-        held.append((before, tokens))
-        count += len(tokens)
-        if count >= RUN_BIGRAMS:
+        held.append(text_tokens(texts)[0])
+        count += len(held[-1])
+        if count >= RUN_TOKENS:
             yield flush()
             held, count = [], 0
     if count:
         yield flush()
 
 
-def _small(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint8 if len(values) == 0 or values.max() < 256 else np.uint32 if values.max() < 1 << 32 else np.uint64)
-
+def vocabulary(spark: SparkSession, keyed: DataFrame, base: str) -> tuple[Vocabulary, np.ndarray]:
+    """The words, and the ids of those that are split: more than one in twice as many tokens as there are owners."""
+    owners = shuffle_partitions(spark)
 
-def _read_bigrams(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    coded, many, ids, times = unpacked(payload)
-    wide = np.zeros((len(times), 8), np.uint8)
-    wide[:, : WORD_BITS // 8] = np.frombuffer(ids, np.uint8).reshape(len(times), -1)
-    return np.repeat(golomb_decode(coded), many), wide.view("<u8").ravel().astype(U), times.astype(np.int64)
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        owner = int(rows["owner"].iloc[0])
+        coded = [unpacked(p) for p in rows["payload"]]
+        words, count = _summed(np.concatenate([golomb_decode(k) for k, _ in coded]), np.concatenate([n.astype(np.int64) for _, n in coded]))
+        save_arrays(f"{base}/words/{owner}", {"keys": words.astype("<u8"), "counts": count.astype("<i8")})
+        return pd.DataFrame({"owner": [owner], "words": [len(words)], "tokens": [int(count.sum())]})
+
+    sent = keyed.select("text").mapInArrow(lambda b: _send_words(b, owners), "owner int, payload binary")
+    found = sent.groupBy("owner").applyInPandas(merge, "owner int, words long, tokens long").collect()
+    words = Vocabulary(base, {r["owner"]: r["words"] for r in found}, owners, sum(r["tokens"] for r in found))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for o in batch.column(0).to_pylist():
+                if words.sizes.get(o):
+                    have = load_arrays(f"{base}/words/{o}")
+                    often = np.flatnonzero(have["counts"] * 2 * owners > words.tokens)
+                    end = have["keys"][often] == END
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.concatenate((words.starts[o] + often, np.full(int(end.sum()), words.begin))), pa.int64())})
+
+    split = spark.range(owners, numPartitions=owners).mapInArrow(frequent, "id long").collect()
+    return words, np.array(sorted(r["id"] for r in split), np.int64)
+
+
+def _send_grams(batches: Iterator[pa.RecordBatch], words: Vocabulary, split: np.ndarray, order: int) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
+    count = 0
 
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        _, index, times = np.unique(chained(columns), return_index=True, return_counts=True)
+        columns = [c[index] for c in columns]
+        owner = _owner(columns[-2], columns[-1], words.owners, split)
+        by = np.lexsort((*columns[:-2], columns[-1], columns[-2], owner))
+        columns, times, owner = [c[by] for c in columns], times[by], owner[by]
+        cut = np.searchsorted(owner, np.arange(words.owners + 1))
+        rows = [(o, encode_grams([c[a:b] for c in columns], times[a:b])) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_pydict({"owner": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    kind = np.uint32 if words.begin < 1 << 32 else np.int64
+    for _, texts in blocks(batches):
+        tokens, n = text_tokens(texts)
+        held.append([c.astype(kind) for c in lagged(words.ids(tokens)[0], n, order, words.begin)])
+        count += len(tokens)
+        if count >= RUN_TOKENS:
+            yield flush()
+            held, count = [], 0
+    if count:
+        yield flush()
 
-class Shards:
-    """Sorted hash arrays in files, one pair for each range of the hash space, opened when first needed."""
 
-    def __init__(self, files: dict[int, str], owners: int, width: int):
-        self.files, self.owners, self.width = files, owners, width
-        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _levels(columns: list[np.ndarray], times: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, keys, counts) of distinct n-grams, from the highest order to two; lower ones count the words before."""
+    keys = chained(columns)
+    while True:
+        keys, index, place = np.unique(keys, return_index=True, return_inverse=True)
+        times = np.bincount(place, weights=times).astype(np.int64)
+        columns = [c[index] for c in columns]
+        yield columns, keys, times
+        if len(columns) == 2:
+            return
+        columns = columns[1:]
+        keys, times = chained(columns), np.ones(len(keys), np.int64)
 
-    def __getstate__(self) -> dict:
-        return {"files": self.files, "owners": self.owners, "width": self.width, "_open": {}}
 
-    def lookup(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Rows of values for sorted distinct keys (zeros where absent); ``owner`` grows with the key."""
-        out = np.zeros((len(keys), self.width), np.int64)
-        cut = np.searchsorted(owner, np.arange(self.owners + 1))
-        for o in range(self.owners):
-            a, b = cut[o], cut[o + 1]
-            if b > a and o in self.files:
-                if o not in self._open:
-                    uri = self.files[o]
-                    self._open[o] = (load_array(f"{uri}.keys", "<u8"), load_array(f"{uri}.values", "<u4" if self.width == 1 else "<i8"))
-                have, values = self._open[o]
-                if not len(have):
-                    continue
-                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                hit = np.flatnonzero(have[at] == keys[a:b])
-                out[a + hit] = values.reshape(-1, self.width)[at[hit]]
-        return out
+def _classes(values: np.ndarray) -> list[int]:
+    """How many values are 1, 2, 3, 4."""
+    return np.bincount(np.minimum(values, 5), minlength=6)[1:5].tolist()
 
 
 class Model:
     """Array files and totals: enough to score text."""
 
-    def __init__(self, bigrams: Shards, contexts: Shards, words: Shards, totals: dict):
-        self.bigrams, self.contexts, self.words, self.t = bigrams, contexts, words, totals
-        self.d2 = discounts(totals["bigram_times"])
-        self.d1 = discounts(totals["follow_times"])
+    def __init__(self, words: Vocabulary, split: np.ndarray, order: int, totals: dict):
+        self.words, self.split, self.order, self.t = words, split, order, totals
+        self.d = {n: discounts(totals["times"][n]) for n in range(1, order + 1)}
+        self._open: dict[str, dict] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": {}}
+
+    def _find(self, kind: str, keys: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+        """Rows of values from the files ``kind``, for keys that need not be distinct."""
+        keys, index, place = np.unique(keys, return_index=True, return_inverse=True)
+        owner = owner[index]
+        by = np.argsort(owner, kind="stable")
+        cut = np.searchsorted(owner[by], np.arange(self.words.owners + 1))
+        out = np.zeros((len(keys), width), np.int64)
+        for o in np.unique(owner).tolist():
+            if o in self.t["files"][kind]:
+                uri = f"{self.words.base}/{kind}/{o}"
+                if uri not in self._open:
+                    self._open[uri] = load_arrays(uri)
+                mine = by[cut[o] : cut[o + 1]]
+                out[mine] = find(self._open[uri], keys[mine], width)
+        return out[place]
+
+    def _follows(self, ids: np.ndarray) -> np.ndarray:
+        """How many distinct words each word follows."""
+        known, place = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(known), np.int64)
+        cut = np.searchsorted(known, self.words.starts)
+        for o in self.t["files"]["follows"]:
+            a, b = cut[o], cut[o + 1]
+            if b > a:
+                uri = f"{self.words.base}/follows/{o}"
+                if uri not in self._open:
+                    self._open[uri] = load_arrays(uri)
+                out[a:b] = self._open[uri]["follows"][known[a:b] - self.words.starts[o]]
+        return out[place]
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
-        tokens, before, n = text_tokens(texts)
-        t = self.t
-        first = np.cumsum(n) - n
-        if not t["tokens"]:
+        tokens, n = text_tokens(texts)
+        t, first = self.t, np.cumsum(n) - n
+        if not self.words.tokens:
             zero = np.zeros(len(texts))
             return {"n_tokens": n, "n_known": np.zeros(len(texts), np.int64), "base_score": zero, "score": zero}
-        # words: their own counts, then what the model knows of them by id
-        words, place = np.unique(tokens, return_inverse=True)
-        count = self.words.lookup(words, owner_of(words, self.words.owners))[:, 0][place]
-        left, right = word_id(before), word_id(tokens)
-        ids, inverse = np.unique(np.concatenate((left, right)), return_inverse=True)
-        stats = self.contexts.lookup(ids, owner_of(ids << _SHIFT, self.contexts.owners))
-        of_left, of_right = stats[inverse[: len(left)]], stats[inverse[len(left) :]]
-        key, at = np.unique(bigram_key(left, right), return_inverse=True)
-        c = self.bigrams.lookup(key, owner_of(key, self.bigrams.owners))[:, 0][at]
-        # lowest level: distinct words followed, smoothed with an even share for each known word and one unknown
-        follows = of_right[:, 4]
-        kinds = max(1, t["bigrams"])
-        spare = sum(d * x for d, x in zip(self.d1, t["follow_classes"], strict=True)) / kinds
-        p1 = np.maximum(follows - _discount(follows, self.d1), 0) / kinds + spare / (t["words"] + 1)
-        total = of_left[:, 0]
-        rest = (of_left[:, 1:4] * self.d2).sum(axis=1)
-        seen = np.maximum(total, 1)
-        p = np.where(total > 0, np.maximum(c - _discount(c, self.d2), 0) / seen + np.where(total > 0, rest / seen, 1.0) * p1, p1)
-        base = np.log10((count + 0.1) / (t["tokens"] + 0.1 * (t["words"] + 1)))
+        ids, count = self.words.ids(tokens)
+        columns = lagged(ids, n, self.order, self.words.begin)
+        # lowest order: distinct words followed, smoothed with an even share for each known word and one unknown
+        follows, kinds = self._follows(ids), max(1, t["kinds"])
+        spare = sum(d * x for d, x in zip(self.d[1], t["follow_classes"], strict=True)) / kinds
+        p = np.maximum(follows - _discount(follows, self.d[1]), 0) / kinds + spare / (self.words.size + 1)
+        by_gram = _owner(columns[-2], columns[-1], self.words.owners, self.split)
+        plain = _owner(columns[-2], columns[-1], self.words.owners, self.split[:0])
+        in_split = np.isin(columns[-2], self.split)
+        for k in range(2, self.order + 1):
+            mine = columns[self.order - k :]
+            c = self._find(f"grams{k}", chained(mine), by_gram, 1)[:, 0]
+            context = chained(mine[:-1])
+            stats = np.zeros((len(ids), 4), np.int64)
+            for where, kind, owner in ((~in_split, f"contexts{k}", plain), (in_split, f"split{k}", owner_of(context, self.words.owners))):
+                some = np.flatnonzero(where)
+                stats[some] = self._find(kind, context[some], owner[some], 4)
+            total = np.maximum(stats[:, 0], 1)
+            seen = np.maximum(c - _discount(c, self.d[k]), 0) / total + (stats[:, 1:] * self.d[k]).sum(axis=1) / total * p
+            p = np.where(stats[:, 0] > 0, seen, p)
+        base = np.log10((count + 0.1) / (self.words.tokens + 0.1 * (self.words.size + 1)))
         return {"n_tokens": n, "n_known": np.add.reduceat(count > 0, first, dtype=np.int64), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)}
 
 
@@ -237,94 +418,81 @@ def _discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
-def _classes(values: np.ndarray) -> list[int]:
-    """How many values are 1, 2, 3, 4."""
-    return np.bincount(np.minimum(values, 5), minlength=6)[1:5].tolist()
-
-
-def fit(spark: SparkSession, keyed: DataFrame) -> Model:
+def fit(spark: SparkSession, keyed: DataFrame, order: int = ORDER) -> Model:
     """Count the texts of ``keyed`` (column text) and write the arrays."""
-    owners = shuffle_partitions(spark)
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     base = table_path(spark, "lm")
-    sent = keyed.select("text").mapInArrow(lambda b: _send(b, owners), "kind string, owner int, payload binary")
+    words, split = vocabulary(spark, keyed, base)
+    shared = spark.sparkContext.broadcast((words, split))  # names of files, sizes, and few words
+    sent = keyed.select("text").mapInArrow(lambda b: _send_grams(b, *shared.value, order), "owner int, payload binary")
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        words, split = shared.value
         owner = int(rows["owner"].iloc[0])
-        coded = [unpacked(p) for p in rows.loc[rows["kind"] == "word", "payload"]]
-        words, count = _summed(np.concatenate([np.zeros(0, U), *(golomb_decode(k) for k, _ in coded)]), np.concatenate([np.zeros(0, np.int64), *(n.astype(np.int64) for _, n in coded)]))
-        save_array(f"{base}/words/{owner}.keys", words)
-        save_array(f"{base}/words/{owner}.values", np.minimum(count, (1 << 32) - 1).astype("<u4"))
-        parts = [_read_bigrams(p) for p in rows.loc[rows["kind"] == "bigram", "payload"]] or [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))]
-        left, right = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        key = bigram_key(left, right)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
-        times = np.add.reduceat(np.concatenate([p[2] for p in parts])[order], head) if len(key) else np.zeros(0, np.int64)
-        left, right, key = left[order][head], right[order][head], key[head]
-        save_array(f"{base}/bigrams/{owner}.keys", key)
-        save_array(f"{base}/bigrams/{owner}.values", np.minimum(times, (1 << 32) - 1).astype("<u4"))
-        begun = np.column_stack((times, times == 1, times == 2, times >= 3)).astype(np.int64)
-        ids, sums = _summed(left, begun)
-        met, follow = _summed(right, np.ones((len(right), 1), np.int64))
-        out = {"kind": [], "owner": [], "payload": []}
-        for kind, k, v in (("context", ids, sums), ("follow", met, follow)):
-            cut = np.searchsorted(owner_of(k << _SHIFT, owners), np.arange(owners + 1))
-            for o in range(owners):
-                a, b = cut[o], cut[o + 1]
-                if b > a:
-                    out["kind"].append(kind)
-                    out["owner"].append(o)
-                    out["payload"].append(packed((golomb_encode(k[a:b]), [_small(x) for x in v[a:b].T])))
-        out["kind"].append("file")
-        out["owner"].append(owner)
-        out["payload"].append(packed((len(key), _classes(times), len(words), int(count.sum()))))
-        return pd.DataFrame(out)
+        parts = [decode_grams(p) for p in rows["payload"]]
+        columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
+        times = np.concatenate([p[1] for p in parts])
+        del parts
+        out: list[tuple[str, int, bytes]] = []
+        numbers = {}
+        for columns, keys, times in _levels(columns, times):  # noqa: B020
+            k = len(columns)
+            save_arrays(f"{base}/grams{k}/{owner}", hash_array(keys, times))
+            numbers[k] = _classes(times)
+            context = chained(columns[:-1])
+            stats = np.column_stack((times, times == 1, times == 2, times >= 3)).astype(np.int64)
+            cut_up = np.isin(columns[-2], split)
+            whole, sums = _summed(context[~cut_up], stats[~cut_up])
+            save_arrays(f"{base}/contexts{k}/{owner}", hash_array(whole, sums))
+            part, sums = _summed(context[cut_up], stats[cut_up])
+            cut = np.searchsorted(owner_of(part, words.owners), np.arange(words.owners + 1))
+            out += [(f"split{k}", o, packed((golomb_encode(part[a:b]), [_small(x) for x in sums[a:b].T]))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        met, follow = np.unique(columns[-1], return_counts=True)
+        cut = np.searchsorted(met, words.starts)
+        out += [("follows", o, packed((_planes(met[a:b] - words.starts[o]), _small(follow[a:b])))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        out.append(("file", owner, packed((numbers, len(columns[0])))))
+        return pd.DataFrame(out, columns=["kind", "owner", "payload"])
 
     merged = written(spark, sent.groupBy("owner").applyInPandas(merge, "kind string, owner int, payload binary"), "lm_words")
 
     def collect(rows: pd.DataFrame) -> pd.DataFrame:
-        owner = int(rows["owner"].iloc[0])
-
-        def table(kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-            keys, values = [np.zeros(0, U)], [np.zeros((0, width), np.int64)]
-            for p in rows.loc[rows["kind"] == kind, "payload"]:
-                coded, columns = unpacked(p)
-                keys.append(golomb_decode(coded))
-                values.append(np.column_stack([c.astype(np.int64) for c in (columns if isinstance(columns, list) else [columns])]))
-            return _summed(np.concatenate(keys), np.concatenate(values))
-
-        (ids, sums), (met, follow) = table("context", 4), table("follow", 1)
-        every = np.union1d(ids, met)
-        stats = np.zeros((len(every), 5), np.int64)
-        stats[np.searchsorted(every, ids), :4] = sums
-        stats[np.searchsorted(every, met), 4:] = follow
-        save_array(f"{base}/contexts/{owner}.keys", every)
-        save_array(f"{base}/contexts/{owner}.values", stats.astype("<i8"))
-        f = stats[:, 4]
-        return pd.DataFrame({"owner": [owner], "payload": [packed((_classes(f), [int((f == 1).sum()), int((f == 2).sum()), int((f >= 3).sum())]))]})
-
-    stats = merged.where("kind <> 'file'").groupBy("owner").applyInPandas(collect, "owner int, payload binary").collect()
-    files = [(r["owner"], *unpacked(bytes(r["payload"]))) for r in merged.where("kind = 'file'").collect()]
-    details = [unpacked(bytes(r["payload"])) for r in stats]
+        words, _ = shared.value
+        owner, kind = int(rows["owner"].iloc[0]), rows["kind"].iloc[0]
+        parts = [unpacked(p) for p in rows["payload"]]
+        if kind == "follows":
+            follows = np.zeros(words.sizes[owner], np.int64)
+            for planes, n in parts:
+                follows[_unplaned(planes)] += n.astype(np.int64)
+            save_arrays(f"{base}/follows/{owner}", {"follows": follows.astype("<u4" if follows.max() < 1 << 32 else "<u8")})
+            told = (_classes(follows), [int((follows == 1).sum()), int((follows == 2).sum()), int((follows >= 3).sum())])
+        else:
+            keys, sums = _summed(np.concatenate([golomb_decode(k) for k, _ in parts]), np.concatenate([np.column_stack([c.astype(np.int64) for c in v]) for _, v in parts]))
+            save_arrays(f"{base}/{kind}/{owner}", hash_array(keys, sums))
+            told = None
+        return pd.DataFrame({"kind": [kind], "owner": [owner], "payload": [packed(told)]})
+
+    further = merged.where("kind <> 'file'").groupBy("kind", "owner").applyInPandas(collect, "kind string, owner int, payload binary").collect()
+    own = [(r["owner"], *unpacked(bytes(r["payload"]))) for r in merged.where("kind = 'file'").collect()]
+    files: dict[str, set[int]] = {f"{name}{k}": {o for o, _, _ in own} for name in ("grams", "contexts") for k in range(2, order + 1)}
+    files |= {"follows": set()} | {f"split{k}": set() for k in range(2, order + 1)}
+    low = [unpacked(bytes(r["payload"])) for r in further if r["kind"] == "follows"]
+    for r in further:
+        files[r["kind"]].add(r["owner"])
     total = lambda rows, n: [int(sum(x)) for x in zip(*rows, strict=True)] if rows else [0] * n
-    totals = {
-        "tokens": sum(f[4] for f in files), "words": sum(f[3] for f in files), "bigrams": sum(f[1] for f in files),
-        "bigram_times": total([f[2] for f in files], 4), "follow_times": total([d[0] for d in details], 4), "follow_classes": total([d[1] for d in details], 3),
-    }
-    at = lambda name, found: {o: f"{base}/{name}/{o}" for o in found}
-    return Model(Shards(at("bigrams", [f[0] for f in files]), owners, 1), Shards(at("contexts", [r["owner"] for r in stats]), owners, 5), Shards(at("words", [f[0] for f in files]), owners, 1), totals)
+    times = {k: total([numbers[k] for _, numbers, _ in own], 4) for k in range(2, order + 1)} | {1: total([x[0] for x in low], 4)}
+    return Model(words, split, order, {"files": files, "times": times, "kinds": sum(n for _, _, n in own), "follow_classes": total([x[1] for x in low], 3)})
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER, folds: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``.
 
-    The model learns from all documents outside the held-out fold and scores all. Null and empty texts are the end
-    token alone; without training text both scores are 0. ``perplexity`` is 10^(-score / n_tokens). Rows that repeat
-    a document are counted and scored each time; an empty table gives no rows.
+    The model of n-grams of up to ``order`` words learns from all documents outside the held-out fold and scores all.
+    Null and empty texts are the end token alone; without training text both scores are 0. ``perplexity`` is
+    10^(-score / n_tokens). Rows that repeat a document are counted and scored each time; an empty table gives no rows.
     """
     keyed = keyed_documents(docs, id_col, text_col).withColumn("held_out", fold("doc_id", folds) == held_out)
-    model = fit(spark, keyed.where("not held_out"))
+    model = fit(spark, keyed.where("not held_out"), order)
     held = spark.sparkContext.broadcast(model)  # names of files and totals
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
@@ -332,7 +500,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, folds: int = 10, held_
         for batch, texts in blocks(batches, 4 << 20):
             got = held.value.score(texts)
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")}
-            col |= {"n_tokens": pa.array(got["n_tokens"].astype(np.int64)), "n_known": pa.array(got["n_known"]), "train_tokens": pa.array(np.full(len(texts), held.value.t["tokens"], np.int64))}
+            col |= {"n_tokens": pa.array(got["n_tokens"].astype(np.int64)), "n_known": pa.array(got["n_known"]), "train_tokens": pa.array(np.full(len(texts), held.value.words.tokens, np.int64))}
             yield pa.RecordBatch.from_pydict(col | {"base_score": pa.array(got["base_score"]), "score": pa.array(got["score"]), "perplexity": pa.array(10 ** (-got["score"] / got["n_tokens"]))})
 
     return keyed.mapInArrow(run, schema)

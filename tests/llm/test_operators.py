@@ -434,34 +434,61 @@ def test_one_row_of_each_component(spark):
     assert [of(k)[0][0] for k in range(7)] == [None, 1, 1, 5, 6, -1, None]
 
 
-def test_language_model_against_plain_version(spark, corpus):
-    docs = [(i, t) for i, t in dict.fromkeys(corpus) if i is not None]
-    got = {r.doc_id: r for r in lm.score_documents(spark, frame(spark, docs)).collect()}
-    tokens = {i: [*lower_ascii((t or "").encode()).split(), b"\0end"] for i, t in docs}
-    train = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10 != 0]
-    c1 = collections.Counter(x for w in train for x in w)
-    c2 = collections.Counter(p for w in train for p in zip([b"\0begin", *w], w, strict=False))
-    total, classes, follows = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (a, b), n in c2.items():
-        total[a] += n
-        classes[a][min(n, 3) - 1] += 1
-        follows[b] += 1
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_plain_version(spark, corpus, order):
+    docs = [*corpus, (401, "w1 " * 400), (402, "w1 w2 w1 w3 " * 90), (410, "unheard of words w1 w2")]  # w1 has a large share, repeated rows count
+    got = collections.defaultdict(list)
+    for r in lm.score_documents(spark, frame(spark, docs), order=order).collect():
+        got[r.doc_id].append(r)
+    pad = ("begin",) * (order - 1)
+    tokens = [(i, [*pad, *lower_ascii((t or "").encode()).split(), b"\0end"]) for i, t in docs]
+    train = [w for i, w in tokens if zlib.crc32(b"" if i is None else str(i).encode()) % 10 != 0]
+    counts = {order: collections.Counter(tuple(w[j - order + 1 : j + 1]) for w in train for j in range(order - 1, len(w)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    c1 = collections.Counter(x for w in train for x in w[order - 1 :])
     times = lambda v: [sum(x == k for x in v) for k in (1, 2, 3, 4)]
-    d2, d1 = lm.discounts(times(list(c2.values()))), lm.discounts(times(list(follows.values())))
-    cut = lambda n, d: n - d[min(n, 3) - 1] if n else 0
-    spare = sum(n - cut(n, d1) for n in follows.values()) / len(c2)
-
-    def p(a, b):
-        low = cut(follows[b], d1) / len(c2) + spare / (len(c1) + 1)
-        return (cut(c2[a, b], d2) + sum(x * y for x, y in zip(classes[a], d2, strict=True)) * low) / total[a] if total[a] else low
+    d = {k: [0.0, *lm.discounts(times(list(c.values())))] for k, c in counts.items()}
+    total, spare = {}, {}
+    for k, c in counts.items():
+        total[k], spare[k] = collections.Counter(), collections.Counter()
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            spare[k][g[:-1]] += d[k][min(n, 3)]
+
+    def p(g):
+        k, low = len(g), p(g[1:]) if len(g) > 1 else 1 / (len(c1) + 1)
+        n, h = counts[k][g], g[:-1]
+        return ((n - d[k][min(n, 3)] if n else 0) + spare[k][h] * low) / total[k][h] if total[k][h] else low
 
     n = sum(c1.values())
-    for i, w in tokens.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c1[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (len(c1) + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([b"\0begin", *w], w, strict=False)))
-    assert sum(p(b"w1", b) for b in c1) + spare * sum(classes[b"w1"][k] * d2[k] for k in range(3)) / total[b"w1"] / (len(c1) + 1) == pytest.approx(1)
+    for i, w in tokens:
+        body = w[order - 1 :]
+        want = (len(body), sum(c1[x] > 0 for x in body), n, sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (len(c1) + 1))) for x in body), sum(math.log10(p(tuple(w[j - order + 1 : j + 1]))) for j in range(order - 1, len(w))))
+        assert any(tuple(r[2:7]) == pytest.approx(want) for r in got[i]), i
+    assert sum(map(len, got.values())) == len(docs)
+    for h in ((b"w1",) * (order - 1), pad, (b"w2", b"w1", b"w3")[-order + 1 :]):
+        assert sum(p((*h, x)) for x in c1) + p((*h, b"never seen")) == pytest.approx(1)
+
+
+def test_hash_arrays_find_what_they_hold():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 7, 8, 1000, 50_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        values = rng.integers(1, 400, (len(keys), 3))
+        array = lm.hash_array(keys, values)
+        asked = np.concatenate((keys, rng.integers(0, 1 << 63, 2000, dtype=np.uint64)))
+        got = lm.find(array, asked, 3)
+        assert (got[: len(keys)] == values).all() and not got[len(keys) :][~np.isin(asked[len(keys) :], keys)].any()
+
+
+def test_grams_round_trip():
+    rng = np.random.default_rng(9)
+    columns = [rng.integers(0, 50 if j else 1 << 33, 4000) for j in range(3)]
+    by = np.lexsort((columns[0], columns[2], columns[1]))
+    columns, times = [c[by] for c in columns], rng.integers(1, 300, 4000)
+    got, n = lm.decode_grams(lm.encode_grams(columns, times))
+    assert all((a == b).all() for a, b in zip(got, columns, strict=True)) and (n == times).all()
 
 
 def test_language_identification(spark):
