@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS
-from .joins import small
+from .joins import largest_group, small
 from .profile import buckets as value_buckets
 
 ERRORS = ("mape", "rmse", "mse", "mae", "max_error")
@@ -51,13 +51,13 @@ def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int | None =
 
     Discordant pairs come from a histogram of x-buckets by y-buckets, by prefix sums over it, for pairs in different
     buckets of both, and from counts within each x-bucket and each y-bucket for the rest. There are ``buckets``, or so many
-    that one holds about ``bucket_rows``; a heavy value has one of its own, where no pair counts. No group meets as a whole.
+    that one holds about ``bucket_rows``; a heavy value has one of its own, where no pair counts. So no group meets as a
+    whole, unless it has no more rows than that.
     """
     df = pred.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    most = 0 if buckets else df.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    parts = buckets or min(4096, max(2, -(-most // bucket_rows)))
+    parts = buckets or min(4096, -(-largest_group(df, ["key"]) // bucket_rows))
     for c, at in (("x", "a"), ("y", "b")):
-        df = value_buckets(df, ["key"], c, parts, at)
+        df = value_buckets(df, ["key"], c, parts, at) if parts > 1 else df.withColumn(at, F.lit(0))
     pairs = lambda n: n * (n - 1) / 2
     ties = lambda cols, name: df.groupBy("key", *cols).count().groupBy("key").agg(F.sum(pairs(F.col("count"))).alias(name))
     # pairs in different x- and y-buckets: for each cell the counts of all with a larger and b smaller
@@ -81,7 +81,10 @@ def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int | None =
         return df.join(df.groupBy("key", at).agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo < hi").select("key", at), ["key", at], "left_semi")
 
     kind = pred.schema[key].dataType.simpleString()
-    d = cross.unionByName(varied("a", "x").groupBy("key", "a").applyInPandas(inside, f"key {kind}, d double")).unionByName(varied("b", "y").groupBy("key", "b").applyInPandas(across, f"key {kind}, d double"))
+    if parts <= 1:
+        d = df.groupBy("key").applyInPandas(inside, f"key {kind}, d double")
+    else:
+        d = cross.unionByName(varied("a", "x").groupBy("key", "a").applyInPandas(inside, f"key {kind}, d double")).unionByName(varied("b", "y").groupBy("key", "b").applyInPandas(across, f"key {kind}, d double"))
     out = ties([], "n0").join(ties(["x"], "n1"), "key").join(ties(["y"], "n2"), "key").join(ties(["x", "y"], "n3"), "key").join(d.groupBy("key").agg(F.sum("d").alias("d")), "key")
     agree = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
     scale = F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small.
 SMALL_ROWS = 200_000
+#: Rows of a group up to which one task may sort it as it is.
+TASK_ROWS = 2_000_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a join by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group, or of all rows without keys."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0

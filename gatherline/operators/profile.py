@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .joins import small
+from .joins import TASK_ROWS, largest_group, small
 
 
 def pool_seed_final(seed: DataFrame, final: DataFrame) -> DataFrame:
@@ -52,23 +52,35 @@ def buckets(df: DataFrame, keys: list[str], value: str, parts: int, out: str) ->
     A value that is a quantile itself has a bucket of its own: there a heavy value stands alone.
     """
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / parts for i in range(parts - 1)], 10 * parts).alias("__cuts"))
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(value))) + F.size(F.filter("__cuts", lambda c: c <= F.col(value)))
-    joined = df.join(cuts, keys) if keys else df.crossJoin(cuts)  # without keys one row of cuts
-    return joined.withColumn(out, below).drop("__cuts")
+    # how many cuts are below: where the value comes to stand among them, without a lambda over the array
+    below = 2 * F.array_position(F.sort_array(F.array_append("__cuts", F.col(value))), F.col(value)) + F.array_contains("__cuts", F.col(value)).cast("int")
+    if keys:
+        return df.join(cuts, keys).withColumn(out, below).drop("__cuts")
+    every = cuts.first()[0] or []  # parts - 1 numbers
+    return df.withColumn("__cuts", F.array(*[F.lit(c) for c in every]).cast(cuts.schema[0].dataType)).withColumn(out, below).drop("__cuts")
 
 
 def mquantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4, parts: int = 256) -> DataFrame:
     """Plotting-position quantiles: ``prob, quantile``.
 
-    Counts of value buckets tell in which of them the wanted ranks lie; only rows of those buckets are ranked.
+    Counts of value buckets tell in which of them the wanted ranks lie; only rows of those buckets are ranked. Groups that
+    one task can sort are one bucket.
     """
     df = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    at = lambda n: n * F.col("prob") + alpha + F.col("prob") * (1 - alpha - beta)
+    if largest_group(df, keys) <= TASK_ROWS:
+        by = Window.partitionBy(*keys)
+        ranked = df.select(*keys, "__v", F.lead("__v").over(by.orderBy("__v")).alias("__up"), F.row_number().over(by.orderBy("__v")).alias("__r"), F.count("*").over(by).alias("__n"))
+        ranked = ranked.withColumn("prob", F.explode(F.array(*map(F.lit, probs))))
+        k = F.floor(F.greatest(F.lit(1.0), F.least(at(F.col("__n")), F.col("__n") - 1.0)))
+        g = F.least(F.lit(1.0), F.greatest(F.lit(0.0), at(F.col("__n")) - k))
+        return ranked.where(F.col("__r") == k).select(*keys, "prob", ((1 - g) * F.col("__v") + g * F.coalesce("__up", "__v")).alias("quantile"))
     df = buckets(df, keys, "__v", parts, "__b")
     sizes = df.groupBy(*keys, "__b").agg(F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     sizes = sizes.withColumn("__off", F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = sizes.groupBy(*keys).agg(F.sum("__m").alias("__n"))
     want = n.select(*keys, "__n", F.explode(F.array(*map(F.lit, probs))).alias("prob"))
-    a = F.col("__n") * F.col("prob") + alpha + F.col("prob") * (1 - alpha - beta)
+    a = at(F.col("__n"))
     k = F.floor(F.greatest(F.lit(1.0), F.least(a, F.col("__n") - 1.0))).cast("long")
     want = want.withColumns({"__k": k, "__g": F.least(F.lit(1.0), F.greatest(F.lit(0.0), a - k))})
     ends = want.select(*keys, "prob", "__g", F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("__k").alias("rank")), F.struct(F.lit(1).alias("up"), F.least(F.col("__k") + 1, F.col("__n")).alias("rank")))).alias("__e"))

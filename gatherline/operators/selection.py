@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_pass
+from .joins import TASK_ROWS, largest_group
 from .profile import buckets
 
 
@@ -22,10 +23,14 @@ def pareto_frontier(points: DataFrame, x: str, y: str, keys: list[str] | None =
 
     Rows without a number are dropped. The table is cut into ranges of x; a running minimum of y over the ranges, a
     small table, drops most points at once, and the rest only meets points of its own range. So neither a hot key nor a
-    frontier that holds all rows brings everything into one task.
+    frontier that holds all rows brings everything into one task. Groups that one task can sort go without ranges, but
+    are pruned in salted parts before they meet.
     """
     keys = keys or []
     usable = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    if largest_group(usable, keys) <= TASK_ROWS:
+        salted = usable.withColumn("__salt", F.pmod(F.xxhash64(x, y), F.lit(64)))
+        return _keep_frontier(_keep_frontier(salted, [*keys, "__salt"], x, y).drop("__salt"), keys or [F.lit(0)], x, y)
     placed = buckets(usable, [], x, parts, "__range")
     every = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     lows = placed.groupBy(*keys, "__range").agg(F.min(y).alias("__low"))

@@ -325,3 +325,20 @@ def test_rollup_and_merge(spark):
     iters = spark.createDataFrame([("g", 1, 0, "Pass", "a")], "g string, seed int, it int, status string, target string")
     row = one(tj.rollup_summary(seeds, iters, ["g"], "seed", "it", "status", "target"))
     assert (row.num_generated_seed_designs, row.num_passing_seed_designs) == (2, 1) and row.eval_data_by_seed["1"].iters["iter_0"].Target == "a"
+
+
+def test_ranks_and_frontiers_by_ranges_equal_those_of_one_window(spark, monkeypatch):
+    """Large groups take another way than small ones; both give the same rows."""
+    rng = np.random.default_rng(12)
+    rows = [(int(k), float(x), float(y)) for k, x, y in zip(rng.integers(0, 3, 3000), rng.choice([1.0, *rng.normal(size=400)], 3000), np.where(rng.random(3000) < 0.3, 5.0, rng.normal(size=3000)), strict=True)]
+    rows += [(9, float(i), float(-i)) for i in range(300)] + [(10, 1.0, 2.0), (11, None, 1.0), (11, 2.0, float("nan"))]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    fns = [
+        lambda: pf.mquantiles(df, ["k"], "y", (0.01, 0.3, 0.5, 0.7, 0.999), parts=8), lambda: sl.pareto_frontier(df.select("x", "y"), "x", "y", parts=8), lambda: sl.pareto_frontier(df, "x", "y", ["k"], parts=8),
+        lambda: er.kendall_tau(df.where("not isnan(y)"), "k", "x", "y", bucket_rows=400).withColumn("tau", F.round("tau", 9)),
+    ]
+    few = [sorted(map(str, fn().collect())) for fn in fns]
+    for module in (pf, sl):
+        monkeypatch.setattr(module, "TASK_ROWS", 10)
+    many = [sorted(map(str, fn().collect())) for fn in [*fns[:3], lambda: er.kendall_tau(df.where("not isnan(y)"), "k", "x", "y", buckets=9).withColumn("tau", F.round("tau", 9))]]
+    assert few == many and all(few)
