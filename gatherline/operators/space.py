@@ -5,6 +5,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +68,18 @@ def check_design_space(params: DataFrame, deps: DataFrame) -> tuple[DataFrame, D
 
 
 def enumerate_points(options: DataFrame, n: int | None = None, seed: int = 64, most: int = MOST_POINTS) -> DataFrame:
-    """``space, point`` (map), ``point_key``: all points of each space, or ``n`` of each in seeded order.
+    """``space, point`` (map), ``point_key``: all points of each space, or ``n`` of each by seeded draws.
 
-    Parameters are joined on one by one, free ones before those that depend on them. More than ``most`` points in all
-    without ``n`` is an error.
+    All points: parameters are joined on one by one, free ones before those that depend on them; more than ``most`` points
+    in all without ``n`` is an error. A sample enumerates nothing: see sample_points.
     """
     from ..functions.scalars import design_point_key
-    from .sampling import order_key
 
-    if n is None:
-        total = design_space_size(options).agg(F.sum("num_points")).first()[0] or 0
-        if total > most:
-            raise ValueError(f"{total} points; give n to sample")
+    if n is not None:
+        return sample_points(options, n, seed).withColumn("point_key", design_point_key("point"))
+    total = design_space_size(options).agg(F.sum("num_points")).first()[0] or 0
+    if total > most:
+        raise ValueError(f"{total} points; give n to sample")
     rows = options.select("space", "param", F.col("option").cast("string").alias("option"), "parent_param", F.col("parent_option").cast("string").alias("parent_option")).distinct()
     points = rows.select("space").distinct().withColumn("point", F.expr("cast(map() as map<string,string>)"))
     levels = _levels(rows)
@@ -85,10 +90,68 @@ def enumerate_points(options: DataFrame, n: int | None = None, seed: int = 64, m
         fits = F.col("parent_param").isNull() | (F.try_element_at("point", F.col("parent_param")) == F.col("parent_option"))
         grown = points.where("__has").join(mine, (F.col("space") == F.col("__s")) & fits).select("space", F.map_concat("point", F.create_map(F.lit(name), F.col("option"))).alias("point"))
         points = grown.unionByName(points.where("__has is null").select("space", "point"))
-    points = points.withColumn("point_key", design_point_key("point"))
-    if n is None:
-        return points
-    from pyspark.sql import Window
+    return points.withColumn("point_key", design_point_key("point"))
+
+
+def sample_points(options: DataFrame, n: int, seed: int = 64) -> DataFrame:
+    """``space, point``: ``n`` distinct points of each space, or all if it has no more, whatever its size.
 
-    order = Window.partitionBy("space").orderBy(order_key(seed, "point_key"))
-    return points.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= n).drop("__nth")
+    Points are numbered in order of their options, free parameters first (then by name), options as text. The j-th draw
+    is the number that md5 of seed, space and j gives, modulo the number of points; draws that repeat are passed over. A
+    task decodes the numbers of a space from its options, which are few.
+    """
+    kind = options.schema["space"].dataType.simpleString()
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        space = pdf["space"].iloc[0]
+        params: dict[str, list[tuple[str, str | None, str | None]]] = {}
+        for name, option, parent, of in sorted(set(zip(pdf["param"], pdf["option"], pdf["parent_param"], pdf["parent_option"], strict=True)), key=lambda r: tuple("" if x is None else x for x in r)):
+            params.setdefault(name, []).append((option, parent, of))
+        parent_of = {name: rows[0][1] for name, rows in params.items()}
+
+        def depth(name: str) -> int:
+            steps = 0
+            while parent_of.get(name) is not None:
+                name, steps = parent_of[name], steps + 1
+                if steps > len(params):
+                    raise ValueError(f"parameters of {space} depend on each other in a circle")
+            return steps
+
+        order = sorted(params, key=lambda p: (depth(p), p))
+        children = {p: [c for c in order if parent_of[c] == p] for p in params}
+
+        def ways(name: str, option: str) -> int:
+            """Points below an option of a parameter."""
+            return math.prod(sum(ways(c, o) for o, _, of in params[c] if of == option) for c in children[name])
+
+        total = math.prod(sum(ways(p, o) for o, _, _ in params[p]) for p in order if parent_of[p] is None)
+        numbers: dict[int, None] = dict.fromkeys(range(total)) if total <= n else {}
+        j = 0
+        while len(numbers) < min(n, total):
+            digest = hashlib.md5(f"{seed}:{space}:{j}".encode()).hexdigest()
+            numbers.setdefault(int(digest[:15] if total < 1 << 48 else digest, 16) % total)
+            j += 1
+        points = []
+        for number in numbers:
+            point: dict[str, str] = {}
+            # completions of what is chosen: those below chosen options, times those of free parameters to come
+            below = total
+            for p in order:
+                if parent_of[p] is not None and parent_of[p] not in point:
+                    continue
+                fitting = [o for o, parent, of in params[p] if parent is None or of == point[parent]]
+                each = {o: ways(p, o) for o in fitting}
+                if not sum(each.values()):
+                    continue
+                rest = below // sum(each.values())
+                for o in fitting:
+                    if number < each[o] * rest:
+                        point[p], below = o, each[o] * rest
+                        break
+                    number -= each[o] * rest
+            points.append(json.dumps(point))
+        return pd.DataFrame({"space": [space] * len(points), "point": points})
+
+    rows = options.select("space", "param", F.col("option").cast("string").alias("option"), "parent_param", F.col("parent_option").cast("string").alias("parent_option")).distinct()
+    drawn = rows.groupBy("space").applyInPandas(draw, f"space {kind}, point string")
+    return drawn.select("space", F.from_json("point", "map<string,string>").alias("point"))

@@ -440,9 +440,9 @@ def _(t):
     return cg.missing_members(t.part.where("p_size < 10").select("p_brand"), t.part.select("p_brand"), "p_brand")
 
 
-@query("j7_eval_combos", "SELECT n_name, r_name FROM nation, region")
+@query("j7_eval_combos", "SELECT p_brand, p_type FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_type FROM part)")
 def _(t):
-    return cg.eval_combos(t.nation, t.region, "n_name", "r_name")
+    return cg.eval_combos(t.part, t.part, "p_brand", "p_type")
 
 
 _NEST = f"""x AS (SELECT user_id, line, CASE WHEN event_type IN ('view', 'signup') THEN 1 WHEN event_type IN ('click', 'error') THEN -1 END AS s FROM {_TURN}), d AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY line) + CASE WHEN s = -1 THEN 1 ELSE 0 END AS depth FROM x WHERE s IS NOT NULL),
@@ -938,16 +938,18 @@ def _(t):
     return ds.enumerate_points(_options(t)).select("space", "point_key")
 
 
-@query("x1_sampled_points", "WITH p AS (SELECT DISTINCT p_brand AS space, 'ii-' || i || '.size-' || p_size || '.type-' || p_type AS point_key FROM part, (SELECT unnest(['1', '2']) AS i)), r AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY md5('64:' || point_key)) AS k FROM p) SELECT space, point_key FROM r WHERE k <= 64")
+@query("x1_sampled_points", """WITH p AS (SELECT DISTINCT p_brand AS space, i, p_size::VARCHAR AS size, p_type FROM part, (SELECT unnest(['1', '2']) AS i)), r AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY i, p_type, size) - 1 AS nr, count(*) OVER (PARTITION BY space) AS n FROM p),
+    d AS (SELECT space, n, j, ('0x' || substr(md5('64:' || space || ':' || j), 1, 15))::BIGINT % n AS nr FROM (SELECT DISTINCT space, n FROM r), (SELECT unnest(range(20000)) AS j)), f AS (SELECT space, nr, min(j) AS j FROM d GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY j) AS k FROM f)
+    SELECT r.space, 'ii-' || i || '.size-' || size || '.type-' || p_type AS point_key FROM r JOIN k ON k.space = r.space AND k.nr = r.nr WHERE k <= 64 OR n <= 64""")
 def _(t):
     return ds.enumerate_points(_options(t), n=64, seed=64).select("space", "point_key")
 
 
-@query("a25_check_design_space", "SELECT n_regionkey AS space, (count(*) FILTER (n_nationkey % 4 = 0) + count(*) FILTER (n_nationkey % 3 = 0) + count(*) FILTER (n_nationkey % 5 = 1))::BIGINT AS num_errors FROM nation GROUP BY 1")
+@query("a25_check_design_space", "SELECT p_brand AS space, (count(*) FILTER (p_partkey % 4 = 0) + count(*) FILTER (p_partkey % 3 = 0) + count(*) FILTER (p_partkey % 5 = 1))::BIGINT AS num_errors FROM part GROUP BY 1")
 def _(t):
-    k = F.col("n_nationkey")
-    params = t.nation.select(F.col("n_regionkey").alias("space"), F.col("n_name").alias("param"), F.when(k % 3 != 0, "1").alias("default"), (k % 5 != 1).alias("has_options"))
-    deps = t.nation.where("n_nationkey % 4 = 0").select(F.col("n_regionkey").alias("space"), F.col("n_name").alias("param"), F.when(k % 8 == 0, F.col("n_name")).otherwise("NO_SUCH").alias("depends_on"))
+    k, name = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    params = t.part.select(F.col("p_brand").alias("space"), name.alias("param"), F.when(k % 3 != 0, "1").alias("default"), (k % 5 != 1).alias("has_options"))
+    deps = t.part.where("p_partkey % 4 = 0").select(F.col("p_brand").alias("space"), name.alias("param"), F.when(k % 8 == 0, name).otherwise("NO_SUCH").alias("depends_on"))
     return ds.check_design_space(params, deps)[0]
 
 

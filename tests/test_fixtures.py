@@ -342,3 +342,15 @@ def test_ranks_and_frontiers_by_ranges_equal_those_of_one_window(spark, monkeypa
         monkeypatch.setattr(module, "TASK_ROWS", 10)
     many = [sorted(map(str, fn().collect())) for fn in [*fns[:3], lambda: er.kendall_tau(df.where("not isnan(y)"), "k", "x", "y", buckets=9).withColumn("tau", F.round("tau", 9))]]
     assert few == many and all(few)
+
+
+def test_samples_of_a_huge_space_are_drawn_without_enumeration(spark):
+    rows = [("s", f"p{i:02}", str(o), None, None) for i in range(40) for o in range(10)]  # 10^40 points
+    rows += [("t", "a", "1", None, None), ("t", "a", "2", None, None), ("t", "b", "x", "a", "1"), ("t", "b", "y", "a", "1"), ("t", "b", "z", "a", "2"), ("t", "c", "u", None, None), ("t", "c", "v", None, None)]
+    df = spark.createDataFrame(rows, "space string, param string, option string, parent_param string, parent_option string")
+    got = ds.enumerate_points(df, n=5).collect()
+    assert len({r.point_key for r in got if r.space == "s"}) == 5 and all(len(r.point) == 40 for r in got if r.space == "s")
+    every = {r.point_key for r in ds.enumerate_points(df.where("space = 't'")).collect()}
+    assert {r.point_key for r in ds.enumerate_points(df, n=100).where("space = 't'").collect()} == every and len(every) == 6
+    few = [r.point_key for r in got if r.space == "t"]
+    assert len(few) == len(set(few)) == 5 and set(few) <= every

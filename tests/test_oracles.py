@@ -42,7 +42,7 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_plans_keep_python_to_the_helpers(spark):
-    helpers = {"a10_regression_report", "a11_kendall_tau", "a19_flatten_ast", "a20_call_chain_depth", "f10_group_hulls", "u1_predict_batches"}
+    helpers = {"a10_regression_report", "a11_kendall_tau", "a19_flatten_ast", "a20_call_chain_depth", "f10_group_hulls", "u1_predict_batches", "x1_sampled_points"}
     for name in sorted(set(q.QUERIES) - helpers - {"g3_prune_sinks"}):
         plan = q.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InPandas" not in plan, name
