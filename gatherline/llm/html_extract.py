@@ -15,6 +15,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -73,6 +74,10 @@ class Page:
 
 def _tag_end(source: str, at: int) -> int:
     """Where the tag whose name ends at ``at`` closes; -1 if a quoted value or the tag itself never does."""
+    near = source.find(">", at)
+    inside = source[at:near]
+    if near >= 0 and '"' not in inside and "'" not in inside:
+        return near
     while True:
         stop = _PLAIN.match(source, at).end()
         if stop == len(source):
@@ -185,6 +190,13 @@ class _Open:
         return sum(len(self.at.get(n, ())) for n in names)
 
 
+@lru_cache(1 << 15)
+def _described(tag: str, content: str) -> tuple[str, bool, bool]:
+    """(label, whether no article text is inside, the same within an article) of a start tag: pages share most of them."""
+    attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(content)} if content.strip() else {}
+    return _label(tag, attributes), _unwanted(tag, attributes, False), _unwanted(tag, attributes, True)
+
+
 def parse(source: str) -> Page:
     """The page's containers and text blocks. Unclosed and stray tags are put up with; the time is linear in the size."""
     page = Page([-1], [0], [])
@@ -196,7 +208,7 @@ def parse(source: str) -> Page:
             if opened.pop()[2]:
                 holders.pop()
 
-    links = opened.at.setdefault("a", [])
+    links, articles, mains = (opened.at.setdefault(x, []) for x in ("a", "article", "main"))
     for kind, tag, content in pieces(source):
         linked = bool(links)
         if kind == "text":
@@ -207,7 +219,7 @@ def parse(source: str) -> Page:
                 page.blocks.append(block)
             block.parts.append(content)
             if not block.wanted and (not linked or opened.count(*_HEADINGS)):
-                block.wanted = _WORDY.search(html.unescape(content)) is not None
+                block.wanted = _WORDY.search(html.unescape(content) if "&" in content else content) is not None
         elif kind == "cdata":
             if block is not None:
                 block.parts.append(content.replace("&", "&amp;"))
@@ -232,18 +244,19 @@ def parse(source: str) -> Page:
                     pop_to(same)
             if tag in _VOID or content.rstrip().endswith("/") and tag not in _BLOCK and tag != "a":
                 continue
-            attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(content)} if content.strip() else {}
+            label, *unwanted = (_described if len(content) < 300 else _described.__wrapped__)(tag, content)
             before = bool(opened.stack) and opened.stack[-1][1]
-            out = before or _unwanted(tag, attributes, opened.count("article", "main") > 0)
+            out = before or unwanted[bool(articles or mains)]
             if tag in _CONTAINER:
                 page.parents.append(holders[-1])
-                page.paths.append(xxhash.xxh3_64_intdigest(_label(tag, attributes).encode("utf-8", "replace"), page.paths[holders[-1]]))
+                page.paths.append(xxhash.xxh3_64_intdigest(label.encode("utf-8", "replace"), page.paths[holders[-1]]))
                 holders.append(len(page.paths) - 1)
             if out != before:
                 block = None
             opened.push(tag, out)
     for b in page.blocks:
-        b.text = " ".join(html.unescape("".join(b.parts)).split())
+        text = "".join(b.parts)
+        b.text = " ".join((html.unescape(text) if "&" in text else text).split())
     return page
 
 
