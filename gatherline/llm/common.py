@@ -37,7 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gatherline/{uuid.uuid4().hex}/{tag}"
+    return f"{shared_dir(spark)}/gatherline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete all tables and model files that this application has written to the shared folder.
+
+    Results read them until they are written elsewhere, so call this between jobs of a long session, or at its end.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gatherline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
@@ -68,7 +77,7 @@ def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, rid, fp, text``: the text as UTF-8 bytes, and a join key that survives null and repeated ids.
 
     ``rid`` is the id (-1 for null) and ``fp`` a hash of the text; rows that agree in both have the same text
-    and so the same result. Every other column of the input is left behind, whatever its name.
+    and so the same result. Ids are integers, or text that reads as one; other text is an error. Every other column of the input is left behind, whatever its name.
     """
     text = F.col(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rid"), F.xxhash64(text).alias("fp"), text.cast("binary").alias("text"))

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatherline.llm import bwt_dedup, decontam, exchange, hashing, html_extract, jaccard_join, langid, lm, packing, quality, repeats, substring_tree
+from gatherline.llm import bwt_dedup, common, decontam, exchange, hashing, html_extract, jaccard_join, langid, lm, packing, quality, repeats, substring_tree
 from gatherline.llm.common import lower_ascii
 from gatherline.llm.exact_dedup import exact_duplicates, without_duplicates
 from gatherline.llm.queries import tokenizer_path
@@ -119,6 +119,15 @@ def test_exact_against_brute_force(spark, corpus):
     assert left.count() == len(groups) and left.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+def test_intermediate_tables_can_be_dropped(spark):
+    got = exact_duplicates(spark, frame(spark, [(1, "a"), (2, "a")]))
+    assert got.count() == 2
+    folder = f"{common.shared_dir(spark).removeprefix('file://')}/gatherline/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(folder)
+    common.drop_intermediate(spark)
+    assert not os.path.exists(folder)
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(0)
     for n, top in ((1, 1 << 63), (2, 4), (1000, 1 << 20), (5000, 1 << 63)):
