@@ -297,18 +297,22 @@ def chain_blocks(blocks: DataFrame, keys: list[str], name: str = "full_text") ->
     return _both_ways(edges.select(*keys, F.col("node_id").alias("src"), "dst", F.lit(CHAIN_FLOW).alias("flow"), F.lit(0).alias("position")))
 
 
-def prune_sinks(spark: SparkSession, nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after removing nodes without outgoing edges until there is none."""
-    count = nodes.count()
-    for _ in range(rounds):
-        out = edges.select("design_id", F.col("src").alias("node_id")).distinct()
-        nodes = materialized(spark, nodes.join(out, ["design_id", "node_id"], "left_semi"))
-        edges = materialized(spark, edges.join(nodes.select("design_id", F.col("node_id").alias("dst")), ["design_id", "dst"], "left_semi"))
-        left = nodes.count()
+def prune_sinks(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after removing nodes without outgoing edges until there is none.
+
+    Only edges are peeled, those into a node that no edge leaves, two layers for each checkpoint; nodes follow at the end.
+    """
+    edges = edges.join(nodes.select("design_id", F.col("node_id").alias("dst")).distinct(), ["design_id", "dst"], "left_semi")
+    count = None
+    while True:
+        for _ in range(2):
+            alive = edges.select("design_id", F.col("src").alias("dst")).distinct()
+            edges = edges.join(alive, ["design_id", "dst"], "left_semi")
+        edges = materialized(spark, edges)
+        left = edges.count()
         if left == count:
-            return nodes, edges
+            return nodes.join(edges.select("design_id", F.col("src").alias("node_id")).distinct(), ["design_id", "node_id"], "left_semi"), edges
         count = left
-    raise RuntimeError(f"sinks remain after {rounds} rounds")
 
 
 def add_hierarchy_edges(nest: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
