@@ -13,13 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed_documents, lower_ascii, sized_join, texts_of, written
 from .exchange import keyed_pass, repeated_keys
 
 
+#: Rows that are alike and dealt out together.
+PORTION = 100_000
+
+
 def _keys(texts: list[bytes], _batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray]:
     plain = [lower_ascii(t) for t in texts]
     keys = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in plain), np.uint64, len(plain))
@@ -37,22 +41,27 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays (null ids count as smallest); rows that repeat the same id and text are rows of their own in
-    group_size, and exactly one of them is kept. An empty table gives no rows.
+    group_size, and exactly one of them is kept, as of texts that share the id and differ in case. An empty table gives
+    no rows. Groups are formed by the text itself, and joined back to the rows by its SHA-256.
     """
     return _verdicts(spark, docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
-    gone = written(spark, _verdicts(spark, docs, id_col, text_col).where("not kept").select("rid", "fp", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "dropped")
-    keys = {"__rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__fp": F.xxhash64(text_col)}
-    named = gone.where("not again").select(F.col("rid").alias("__rid"), F.col("fp").alias("__fp")).distinct()
-    left = sized_join(docs.withColumns(keys), named, ["__rid", "__fp"], "left_anti").drop("__rid", "__fp")
-    # rows repeated whole are the exception, and only then is the text compared once more
-    return left.dropDuplicates([id_col, text_col]) if gone.where("again").limit(1).count() else left
+    gone = written(spark, _verdicts(spark, docs, id_col, text_col).where("not kept").select(F.col("doc_id").isNull().alias("__none"), F.col("rid").alias("__rid"), F.col("fp").alias("__fp"), "again").distinct(), "dropped")
+    names = ["__none", "__rid", "__fp"]
+    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__fp": F.xxhash64(text_col)})
+    left = sized_join(keyed, gone.select(*names), names, "left_anti")
+    # rows that repeat the one that stays are the exception, and only they are compared by their text
+    again = gone.where("again").select(*names)
+    if again.limit(1).count():
+        left = left.unionByName(sized_join(keyed, again, names, "left_semi").dropDuplicates([*names, text_col]))
+    return left.drop(*names)
 
 
 def _verdicts(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each document with what exact_duplicates says; ``again``: it repeats, id and text, the row that stays."""
     keyed = keyed_documents(docs, id_col, text_col)
     table = keyed_pass(spark, keyed, _keys, "sha binary", "fingerprints")
     suspects = written(spark, repeated_keys(table).select("rid", "fp").distinct(), "suspects")
@@ -61,11 +70,14 @@ def _verdicts(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str)
     groups = written(spark, groups.select("sha", "keep_id", "group_size"), "groups")
     rows = table.where("owner < 0").select("doc_id", "rid", "fp", "sha")
     out = sized_join(rows, groups, ["sha"], "left").select("doc_id", "rid", "fp", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "sha")
-    # of a row repeated whole all copies but one go; such sets are few, and only they are numbered
-    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    extra = written(spark, out.where(keeper & (F.col("group_size") > 1)).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated_rows")
-    out = sized_join(out, extra, ["sha"], "left").withColumn("again", F.col("copies").isNotNull() & keeper)
-    nth = F.row_number().over(Window.partitionBy("sha").orderBy("rid"))
-    out = out.where("not again").withColumn("nth", F.lit(1)).unionByName(out.where("again").withColumn("nth", nth))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return out.select("doc_id", "rid", "fp", "keep_id", "group_size", kept.alias("kept"), "sha")
+    # several rows may have the id that stays: the least hash of the text decides, and of rows with that any one
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    extra = written(spark, out.where(stays & (F.col("group_size") > 1)).groupBy("sha").agg(F.count("*").alias("copies"), F.min("fp").alias("first")).where("copies > 1"), "repeated_rows")
+    out = sized_join(out, extra, ["sha"], "left")
+    same = stays & F.coalesce(F.col("fp") == F.col("first"), F.lit(False))
+    single = out.where(~same).select("doc_id", "rid", "fp", "keep_id", "group_size", (stays & F.col("copies").isNull()).alias("kept"), "sha", F.lit(False).alias("again"))
+    # rows that are alike come as a count, which is dealt out again in portions
+    alike = out.where(same).groupBy("doc_id", "rid", "fp", "keep_id", "group_size", "sha").agg(F.count("*").alias("rows"))
+    portion = alike.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(PORTION).cast("long")))).repartition("sha", "from")
+    nth = portion.withColumn("nth", F.explode(F.sequence("from", F.least(F.col("rows"), F.col("from") + PORTION - 1))))
+    return single.unionByName(nth.select("doc_id", "rid", "fp", "keep_id", "group_size", (F.col("nth") == 1).alias("kept"), "sha", (F.col("nth") > 1).alias("again")))

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatherline.llm import bwt_dedup, common, decontam, exchange, hashing, html_extract, jaccard_join, langid, lm, packing, quality, repeats, substring_tree
+from gatherline.llm import bwt_dedup, common, decontam, exact_dedup, exchange, hashing, html_extract, jaccard_join, langid, lm, packing, quality, repeats, substring_tree
 from gatherline.llm.common import lower_ascii
 from gatherline.llm.exact_dedup import exact_duplicates, without_duplicates
 from gatherline.llm.queries import tokenizer_path
@@ -119,6 +119,18 @@ def test_exact_against_brute_force(spark, corpus):
     assert left.count() == len(groups) and left.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+def test_one_of_equal_rows_stays(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PORTION", 3)
+    rows = [(5, "ABC"), (5, "abc"), (5, "abc"), (4, "abc"), (None, "x")] + [(7, "many")] * 8 + [(None, "none")] * 7 + [(-1, "none"), (None, None), (None, ""), (3, "y")]
+    got = exact_duplicates(spark, frame(spark, rows)).collect()
+    kept = collections.Counter((r.doc_id, r.text_sha256) for r in got if r.kept)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(got) == len(rows) and kept == collections.Counter([(5, sha("abc")), (None, sha("x")), (7, sha("many")), (-1, sha("none")), (None, sha("")), (3, sha("y"))])
+    assert {(r.doc_id, r.group_size) for r in got if r.text_sha256 == sha("many")} == {(7, 8)}
+    left = [(r.doc_id, r.text) for r in without_duplicates(spark, frame(spark, rows)).collect()]
+    assert sorted((str(i), (t or "").lower()) for i, t in left) == [("-1", "none"), ("3", "y"), ("5", "abc"), ("7", "many"), ("None", ""), ("None", "x")]
+
+
 def test_intermediate_tables_can_be_dropped(spark):
     got = exact_duplicates(spark, frame(spark, [(1, "a"), (2, "a")]))
     assert got.count() == 2
