@@ -39,13 +39,18 @@ LEAST_SPREAD = 0.1
 PIECES, MOST_SIZE = 4, 6
 UNKNOWN = "und"
 
-#: Runs of letters: what counts as alphanumeric less decimal digits and other numbers, such as superscripts and fractions.
-_WORD = re.compile("[^\\W\\d_" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Runs of what counts as alphanumeric, less decimal digits: letters, and a few other numbers such as superscripts.
+_WORD = re.compile(r"[^\W\d_]+")
+_OTHER_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 _BEGIN, _END = "\x02", "\x03"
 
 
 def letters(text: bytes) -> list[str]:
-    return _WORD.findall(text.decode("utf-8", "replace").lower())
+    """The runs of letters, in lower case."""
+    words = _WORD.findall(text.decode("utf-8", "replace").lower())
+    if not words or "".join(words).isalpha():
+        return words
+    return [w for x in words for w in _OTHER_NUMBERS.split(x) if w]
 
 
 def _hashes(strings: list[str]) -> np.ndarray:
