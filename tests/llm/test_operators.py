@@ -270,7 +270,7 @@ def test_instances_hold_every_pair():
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
-    docs = [(i, t) for i, t in dict.fromkeys(corpus) if i is not None]
+    docs = [(i, t) for i, t in dict(corpus).items() if i is not None]  # ids tell the documents apart here
     docs += [(400, "it's we'll ''s <|endoftext|> İstanbul 漢字12ab ½ ² x² a_b \x1c \x01"), (401, words(random.Random(1), 9000))]
     got = packing.pack_documents(spark, frame(spark, docs), tokenizer_path()).collect()
     tokenizer = Tokenizer.from_file(tokenizer_path())
