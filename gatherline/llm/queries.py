@@ -14,9 +14,12 @@ from .lm import score_documents
 from .packing import pack_documents
 from .quality import score_quality
 from .substring_tree import remove_repeated_words
+from .token_align import align_tokens
 
 #: File of the public tokenizer that packing counts with.
 TOKENIZER = "word_bpe_49k.json"
+#: Files of the two that are aligned.
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -69,6 +72,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(spark, _table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -80,6 +87,7 @@ QUERIES = {
     "op8_bwt_dedup": op8_bwt_dedup,
     "op9_html": op9_html,
     "op10_decontam": op10_decontam,
+    "op13_token_align": op13_token_align,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
