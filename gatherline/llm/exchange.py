@@ -70,7 +70,7 @@ def messages(held: list[np.ndarray], owners: int, key_bits: int = 64) -> list[tu
     return [(o, packed((golomb_encode(keys[a:b]), counts[a:b].astype(np.uint8 if counts[a:b].max() < 256 else np.uint32)))) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
-def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: str, tag: str, chunk_keys: int = CHUNK_KEYS, block_bytes: int = 1 << 20, key_bits: int = 64) -> DataFrame:
+def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: str, tag: str, chunk_keys: int = CHUNK_KEYS, block_bytes: int = 1 << 20, key_bits: int = 64, owners: int | None = None) -> DataFrame:
     """One pass over the texts that writes, side by side, a row per document and the messages to the owners.
 
     ``keys_of(texts, batch)`` returns (extra columns as a dict of lists, all keys, keys of each text). The table has
@@ -78,9 +78,9 @@ def keyed_pass(spark: SparkSession, docs: DataFrame, keys_of: Callable, extra: s
     holds its keys. Of each key only the first ``key_bits`` bits are kept where equality is verified later on.
     """
     cut, wide = U(((1 << key_bits) - 1) << (64 - key_bits)), key_bits // 8
-    owners = shuffle_partitions(spark)
-    names = [x.split()[0] for x in extra.split(",")]
-    schema = "chunk long, owner int, doc_id long, rid long, fp long, payload binary, " + extra
+    owners = owners or shuffle_partitions(spark)
+    names = [x.split()[0] for x in extra.split(",") if x]
+    schema = "chunk long, owner int, doc_id long, rid long, fp long, payload binary" + (f", {extra}" if extra else "")
     target = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("fp", pa.int64()), ("payload", pa.binary())])
 
     def message(chunk: int, held: list[np.ndarray]) -> pa.RecordBatch:
@@ -176,6 +176,11 @@ def repeated_keys(table: DataFrame, hot_above: int = 1 << 60, carry: tuple[str,
     has a bit for each of the document's keys. ``table`` comes from keyed_pass.
     """
     answers = table.where("owner >= 0").select("chunk", "owner", "payload").groupBy("owner").applyInPandas(lambda r: _answer(r, hot_above), "chunk long, owner int, payload binary, n long")
+    return expanded(table, answers, carry, key_bits)
+
+
+def expanded(table: DataFrame, answers: DataFrame, carry: tuple[str, ...] = (), key_bits: int = 64) -> DataFrame:
+    """The owners' ``answers`` (``chunk, owner, payload, n``) brought back to the documents that they say something of."""
     rows = table.where("owner < 0").select("chunk", "doc_id", "rid", "fp", "payload", *carry)
     more = "".join(f", {c} {table.schema[c].dataType.simpleString()}" for c in carry)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _expand(a, b, list(carry), key_bits // 8), f"doc_id long, rid long, fp long{more}, payload binary, hot binary, mask binary")

@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .html_extract import main_text
 from .jaccard_join import similar_components
 from .langid import identify
+from .line_dedup import drop_shared_lines
 from .lm import score_documents
 from .packing import pack_documents
 from .quality import score_quality
@@ -72,6 +73,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_shared_lines(spark, _table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(spark, _table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_bwt_dedup": op8_bwt_dedup,
     "op9_html": op9_html,
     "op10_decontam": op10_decontam,
+    "op11_line_dedup": op11_line_dedup,
     "op13_token_align": op13_token_align,
 }
 
@@ -129,4 +135,12 @@ ORACLES = {
         k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
         SELECT d.doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
         FROM d LEFT JOIN k ON d.r = k.r""",
+    "op11_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+        p AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        l AS (SELECT r, doc_id, i, w[i] AS line, {_LOW.replace("coalesce(text, '')", "trim(w[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM p),
+        g AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(g.k) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.k IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN g ON g.k = l.k GROUP BY r""",
 }
