@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bwt_dedup import remove_repeated_bytes
 from .decontam import contaminated
 from .exact_dedup import exact_duplicates
+from .hard_negatives import mine_hard_negatives
 from .html_extract import main_text
 from .jaccard_join import similar_components
 from .langid import identify
@@ -77,6 +79,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(spark, _table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(spark, _table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(spark, _table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
 
@@ -93,6 +100,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_decontam": op10_decontam,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_align": op13_token_align,
 }
 
@@ -143,4 +151,16 @@ ORACLES = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(g.k) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.k IS NULL), '')) AS kept_sha256
         FROM l LEFT JOIN g ON g.k = l.k GROUP BY r""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, b.label = a.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+              FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.id)::INTEGER AS rank
+              FROM p JOIN s ON s.anchor = p.anchor WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
