@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .joins import small
+from .substrings import holding
 
 NODE_COLUMNS = ("node_id", "block", "function", "text", "type", "full_text")
 # Kinds of nodes and edges, and positions of directive edges.
@@ -40,12 +41,14 @@ def pair_seed_final(final: DataFrame, seed: DataFrame, by: list[str], name: str,
 
 
 def match_function_names(src: DataFrame, ir: DataFrame, keys: list[str], name: str = "func", ir_name: str = "ir_func") -> DataFrame:
-    """Source function → the one IR function whose name holds it mangled (length and name), else the one that holds it plainly."""
-    pairs = src.select(*keys, name).distinct().join(ir.select(*keys, ir_name).distinct(), keys)
+    """Source function → the one IR function whose name holds it mangled (length and name), else the one that holds it plainly.
+
+    A name that holds it mangled holds it plainly too, so one search by grams finds both.
+    """
+    pairs = holding(ir, src, keys, ir_name, name)
     mangled = F.col(ir_name).contains(F.concat(F.length(name).cast("string"), F.col(name)))
-    plain = F.col(ir_name).contains(F.col(name))
     pick = lambda hit: F.when(F.count_if(hit) == 1, F.max(F.when(hit, F.col(ir_name))))
-    found = pairs.groupBy(*keys, name).agg(pick(mangled).alias("__m"), pick(plain).alias("__p"))
+    found = pairs.groupBy(*keys, name).agg(pick(mangled).alias("__m"), pick(F.lit(True)).alias("__p"))
     return found.select(*keys, name, F.coalesce("__m", "__p").alias("matched")).where("matched is not null")
 
 
@@ -92,7 +95,7 @@ def anchor_array_directives(directives: DataFrame, nodes: DataFrame, most: int =
     own = nodes.select("design_id", F.col("node_id").cast("long").alias("id"), "block", "function", "text", "type", "full_text")
     exact = arrays.join(own.where(F.col("type") == VARIABLE_NODE), (arrays["design_id"] == own["design_id"]) & (F.col("var") == F.col("text"))).select(arrays["design_id"], "line", "id", "block", "function")
     left = arrays.join(exact.select("design_id", "line").distinct(), ["design_id", "line"], "left_anti")
-    loose = left.join(own.where("id <> 0"), "design_id").where(F.col("full_text").contains(F.col("var")))
+    loose = left.join(holding(own, left, ["design_id"], "full_text", "var"), ["design_id", "var"]).join(own.where("id <> 0"), ["design_id", "full_text"])
     nth = F.row_number().over(Window.partitionBy("design_id", "line").orderBy((F.col("type") != VARIABLE_NODE).cast("int"), "id"))
     loose = loose.withColumn("nth", nth).where(F.col("nth") <= most).select("design_id", "line", "id", "block", "function")
     blocks = own.where(F.col("type") == BLOCK_NODE).select("design_id", "block", "function", F.col("id").alias("block_node"))
@@ -336,7 +339,8 @@ def loop_blocks(nodes: DataFrame, edges: DataFrame, heads: DataFrame) -> DataFra
     """
     text = nodes.select("design_id", F.col("node_id").alias("n"), F.col("full_text").alias("f"), "function", "block", "type")
     step = edges.select("design_id", F.col("src").alias("n"), F.col("dst").alias("m"))
-    hit = heads.join(text.where(F.col("type") != BLOCK_NODE), "design_id").where(F.col("f").contains(F.col("t1"))).select("design_id", "start", "t2", "t3", "n", "function", "block")
+    plain = text.where(F.col("type") != BLOCK_NODE)
+    hit = heads.join(holding(plain, heads, ["design_id"], "f", "t1"), ["design_id", "t1"]).join(plain, ["design_id", "f"]).select("design_id", "start", "t2", "t3", "n", "function", "block")
     for t in ("t2", "t3"):
         nxt = text.select("design_id", F.col("n").alias("m"), F.col("f").alias("g"))
         hit = hit.join(step, ["design_id", "n"]).join(nxt, ["design_id", "m"]).where(F.col("g").contains(F.col(t))).drop("n", "g").withColumnRenamed("m", "n")
