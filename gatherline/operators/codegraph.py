@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .joins import small
+from .peeling import finite_depths
 from .substrings import holding
 
 NODE_COLUMNS = ("node_id", "block", "function", "text", "type", "full_text")
@@ -20,16 +22,22 @@ DIRECTIVE_POSITIONS = {"PIPELINE": 0, "PARALLEL": 1, "TILE": 2}
 
 
 def materialized(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; only in local mode a private one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    """Cut the lineage: write the rows below the folder that spark.checkpoint.dir names, and read them again.
+
+    Only in local mode, where that is unset, a private folder is made. What is read carries nothing of the old plan along, so
+    loops of many rounds plan each round alike.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gatherline-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+        base = tempfile.mkdtemp(prefix="gatherline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/gatherline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/rows"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pair_seed_final(final: DataFrame, seed: DataFrame, by: list[str], name: str, final_iter: int) -> tuple[DataFrame, DataFrame]:
@@ -218,18 +226,37 @@ def flatten_ast(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
 
 
 def call_chain_depth(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Longest chain of calls of each design, in functions. A function met again while open counts one and stops."""
-    kinds = ", ".join(f"`{k}` {calls.schema[k].dataType.simpleString()}" for k in keys)
+    """``max_call_chain_depth``: longest chain of calls of each design, in functions. A function met again while open counts one and stops.
+
+    Functions that lead to no cycle get their depth by joins. Only designs with a cycle are walked, each in one task, and only the
+    functions that lead to one, in order of name. Calls with a null name are left out; a design without calls has 0.
+    """
+    spark, cut = calls.sparkSession, lambda df: materialized(calls.sparkSession, df)
+    named = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    # one key that is never null, so that designs with a null key meet themselves
+    edges = cut(calls.select(*keys, F.to_json(F.struct(*keys)).alias("__key"), F.col("caller").cast("string").alias("src"), F.col("callee").cast("string").alias("dst")).distinct())
+    known = cut(finite_depths(edges.where(named), ["__key"], cut))
+    longest = edges.select(*keys, "__key").distinct().join(known.groupBy("__key").agg(F.max("depth").alias("__a")), "__key", "left")
+    open_ = edges.where(named).join(known.select("__key", F.col("node").alias("src")), ["__key", "src"], "left_anti")
+    walked = F.lit(None).cast("int")
+    if open_.limit(1).count():
+        below = open_.join(known.select("__key", F.col("node").alias("dst"), "depth"), ["__key", "dst"], "left")
+        own = below.groupBy("__key", "src").agg(F.max("depth").alias("below"), F.collect_list(F.when(F.col("depth").isNull(), F.col("dst"))).alias("open"))
+        longest, walked = longest.join(_walked_depth(own, ["__key"]), "__key", "left"), F.col("__b")
+    return longest.select(*keys, F.greatest(F.coalesce("__a", F.lit(0)), F.coalesce(walked, F.lit(0))).cast("int").alias("max_call_chain_depth"))
+
+
+def _walked_depth(functions: DataFrame, keys: list[str]) -> DataFrame:
+    """``__b``: the depth of designs with cycles. ``src``, the functions it calls that lead to a cycle, and the depth ``below`` it otherwise."""
+    kinds = ", ".join(f"`{k}` {functions.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, list[str]] = {}
-        for a, b in sorted(set(zip(pdf["caller"], pdf["callee"], strict=True))):
-            graph.setdefault(a, []).append(b)
-            graph.setdefault(b, [])
+        graph = {a: sorted(b) for a, b in zip(pdf["src"], pdf["open"], strict=True)}
+        below = {a: 0 if pd.isna(d) else int(d) for a, d in zip(pdf["src"], pdf["below"], strict=True)}
         known: dict[str, int] = {}
         for root in sorted(graph):
             # (name, callees left, best so far); an open name that is met again counts 1
-            open_, stack = {root}, [[root, iter(graph[root]), 0]] if root not in known else []
+            open_, stack = {root}, [[root, iter(graph[root]), below[root]]] if root not in known else []
             while stack:
                 top = stack[-1]
                 nxt = next(top[1], None)
@@ -245,10 +272,10 @@ def call_chain_depth(calls: DataFrame, keys: list[str]) -> DataFrame:
                     top[2] = max(top[2], known[nxt])
                 else:
                     open_.add(nxt)
-                    stack.append([nxt, iter(graph[nxt]), 0])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "max_call_chain_depth": [max(known.values(), default=0)]})
+                    stack.append([nxt, iter(graph[nxt]), below[nxt]])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "__b": [max(known.values(), default=0)]})
 
-    return calls.select(*keys, "caller", "callee").groupBy(*keys).applyInPandas(run, f"{kinds}, max_call_chain_depth int")
+    return functions.groupBy(*keys).applyInPandas(run, f"{kinds}, __b int")
 
 
 def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -303,19 +330,14 @@ def chain_blocks(blocks: DataFrame, keys: list[str], name: str = "full_text") ->
 def prune_sinks(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after removing nodes without outgoing edges until there is none.
 
-    Only edges are peeled, those into a node that no edge leaves, two layers for each checkpoint; nodes follow at the end.
+    What goes are the nodes from which no path leads to a cycle (peeling.py: layers of joins, and contraction of paths,
+    so that long chains take few rounds).
     """
-    edges = edges.join(nodes.select("design_id", F.col("node_id").alias("dst")).distinct(), ["design_id", "dst"], "left_semi")
-    count = None
-    while True:
-        for _ in range(2):
-            alive = edges.select("design_id", F.col("src").alias("dst")).distinct()
-            edges = edges.join(alive, ["design_id", "dst"], "left_semi")
-        edges = materialized(spark, edges)
-        left = edges.count()
-        if left == count:
-            return nodes.join(edges.select("design_id", F.col("src").alias("node_id")).distinct(), ["design_id", "node_id"], "left_semi"), edges
-        count = left
+    edges = materialized(spark, edges.join(nodes.select("design_id", F.col("node_id").alias("dst")).distinct(), ["design_id", "dst"], "left_semi"))
+    ends = edges.select("design_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    gone = materialized(spark, finite_depths(ends, ["design_id"], lambda df: materialized(spark, df)).select("design_id", F.col("node").alias("dst")))
+    left = edges.join(gone, ["design_id", "dst"], "left_anti")
+    return nodes.join(left.select("design_id", F.col("src").alias("node_id")).distinct(), ["design_id", "node_id"], "left_semi"), left
 
 
 def add_hierarchy_edges(nest: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
