@@ -13,7 +13,7 @@ Lines are never joined, and no row stands for a single line.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,11 +71,12 @@ class LineIndex:
         self.shards, self.rows, self.open = shards, rows, {}
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(keys), np.int64), owner_of(keys, self.shards)
-        for s in np.unique(shard).tolist():
+        """Of sorted hashes, which so lie shard by shard."""
+        out, cut = np.zeros(len(keys), np.int64), np.searchsorted(owner_of(keys, self.shards), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             if s in self.rows:
                 arrays = self.open.get(s) or self.open.setdefault(s, unpacked(self.rows[s]))
-                out[shard == s] = probe(arrays, keys[shard == s])
+                out[cut[s] : cut[s + 1]] = probe(arrays, keys[cut[s] : cut[s + 1]])
         return out
 
 
@@ -97,15 +98,14 @@ def _answers(lists: pd.DataFrame, index: pd.DataFrame, least: int) -> pd.DataFra
     return pd.DataFrame({"chunk": lists["chunk"], "owner": lists["owner"], "payload": out, "n": n})
 
 
-def _kept(doc: list, texts: list[bytes], min_chars: int, gone_of, with_text: bool) -> pa.RecordBatch:
-    """``gone_of(i, keys)``: which of the distinct sorted hashes of document i go."""
+def _kept(doc: list, texts: list[bytes], min_chars: int, gone_of: Callable, with_text: bool) -> pa.RecordBatch:
+    """``gone_of(lists)``: for each document which of its distinct sorted hashes go."""
     out: dict[str, list] = {"doc_id": doc, "n_lines": [], "n_dropped": [], "kept_sha256": []} | ({"kept_text": []} if with_text else {})
-    for i, text in enumerate(texts):
-        lines, keys, long = line_keys(text, min_chars)
+    found = [line_keys(t, min_chars) for t in texts]
+    distinct = [np.unique(keys[long], return_inverse=True) for _, keys, long in found]
+    for text, (lines, _, long), (_, place), flags in zip(texts, found, distinct, gone_of([d for d, _ in distinct]), strict=True):
         gone = np.zeros(len(lines), bool)
-        if long.any():
-            distinct, place = np.unique(keys[long], return_inverse=True)
-            gone[long] = gone_of(i, distinct)[place]
+        gone[long] = flags[place]
         kept = b"\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g]) if gone.any() else text
         out["n_lines"].append(len(lines))
         out["n_dropped"].append(int(gone.sum()))
@@ -115,6 +115,10 @@ def _kept(doc: list, texts: list[bytes], min_chars: int, gone_of, with_text: boo
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in out.items()})
 
 
+def _parts(flags: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(flags, np.cumsum([len(x) for x in like])[:-1])
+
+
 def line_index(spark: SparkSession, keyed: DataFrame, min_docs: int, min_chars: int, shard_lines: int = SHARD_LINES) -> tuple[DataFrame, DataFrame, int]:
     """(the shards' arrays ``shard, n, arrays``; the pass over the documents; the number of shards)."""
     text = F.col("text").cast("string")
@@ -151,8 +155,13 @@ def drop_shared_lines(
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays = LineIndex(held.value, shards)
+
+            def gone(lists: list[np.ndarray]) -> list[np.ndarray]:
+                keys, place = np.unique(np.concatenate(lists), return_inverse=True)  # a block's hashes are probed together
+                return _parts((arrays.counts(keys) >= min_docs)[place], lists)
+
             for batch, texts in blocks(batches):
-                yield _kept(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts, min_chars, lambda _, keys: arrays.counts(keys) >= min_docs, with_text)
+                yield _kept(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts, min_chars, gone, with_text)
 
         return keyed.mapInArrow(probed, schema)
     lists = table.where("owner >= 0").select("chunk", "owner", "payload")
@@ -162,6 +171,7 @@ def drop_shared_lines(
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             mask = batch.column(batch.schema.get_field_index("mask")).to_pylist()
-            yield _kept(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts, min_chars, lambda i, keys, mask=mask: unbits(mask[i], len(keys)) if mask[i] else np.zeros(len(keys), bool), with_text)
+            gone = lambda lists, mask=mask: [unbits(m, len(x)) if m else np.zeros(len(x), bool) for m, x in zip(mask, lists, strict=True)]
+            yield _kept(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts, min_chars, gone, with_text)
 
     return sized_join(keyed, masks, ["rid", "fp"], "left", "mask").select("doc_id", "text", "mask").mapInArrow(masked, schema)
