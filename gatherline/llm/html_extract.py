@@ -26,13 +26,16 @@ from .common import sized_join, written
 
 #: Winning paths that a host keeps, by votes.
 PATHS_PER_HOST = 3
+#: A block's text is the host's own where so many different pages of it have it at one path, and this share of them; and a page
+#: keeps what is the host's own where that is more than this share of its text.
+REPEATS, REPEAT_SHARE, MOST_DROPPED = 3, 0.5, 0.3
 
 _WORDY = re.compile(r"[^\W_]")
 _NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
 _PLAIN = re.compile(r"[^>\"']*")
 _RAW = {
     name: re.compile(rf"</{name}\s*>", re.I)
-    for name in "script style noscript template svg iframe textarea select object math canvas audio video title datalist".split()
+    for name in "script style noscript template svg iframe textarea select object canvas audio video title datalist annotation annotation-xml".split()
 }
 _ATTRIBUTE = re.compile(r"([a-z_:][-a-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -160,21 +163,22 @@ class _Open:
     """The open elements, and where on the stack those of each name and kind are."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool]] = []  # name, whether nothing is wanted from here on, whether a container
+        # name, whether nothing is wanted from here on, whether a container, and the block around an unwanted inline element
+        self.stack: list[tuple[str, bool, bool, tuple[Block | None, int] | None]] = []
         self.at: dict[str, list[int]] = {}
         self.bounds: list[int] = []  # containers and lists
         self.containers: list[int] = []
 
-    def push(self, name: str, out: bool) -> None:
+    def push(self, name: str, out: bool, around: tuple[Block, int] | None = None) -> None:
         here = len(self.stack)
-        self.stack.append((name, out, name in _CONTAINER))
+        self.stack.append((name, out, name in _CONTAINER, around))
         self.at.setdefault(name, []).append(here)
         if name in _CONTAINER:
             self.containers.append(here)
         if name in _CONTAINER or name in _LISTS:
             self.bounds.append(here)
 
-    def pop(self) -> tuple[str, bool, bool]:
+    def pop(self) -> tuple[str, bool, bool, tuple[Block, int] | None]:
         top = self.stack.pop()
         here = len(self.stack)
         self.at[top[0]].pop()
@@ -202,11 +206,17 @@ def parse(source: str) -> Page:
     page = Page([-1], [0], [])
     opened, holders = _Open(), [0]
     block: Block | None = None
+    bounds = 0  # boundaries of blocks so far
 
-    def pop_to(depth: int) -> None:
+    def pop_to(depth: int) -> tuple[Block, int] | None:
+        """Close elements; the block around the outermost unwanted inline one of them."""
+        around = None
         while len(opened.stack) > depth:
-            if opened.pop()[2]:
+            top = opened.pop()
+            around = top[3] or around
+            if top[2]:
                 holders.pop()
+        return around
 
     links, articles, mains = (opened.at.setdefault(x, []) for x in ("a", "article", "main"))
     for kind, tag, content in pieces(source):
@@ -230,14 +240,15 @@ def parse(source: str) -> Page:
         elif kind == "close":
             here = opened.last((tag,))
             if tag in _BLOCK:
-                block = None
+                block, bounds = None, bounds + 1
             elif opened.containers and here < opened.containers[-1]:
                 continue
-            if here >= 0:
-                pop_to(here)
+            around = pop_to(here) if here >= 0 else None
+            if around and around[1] == bounds:
+                block = around[0]  # the text goes on where the unwanted element stood in it
         else:
             if tag in _BLOCK:
-                block = None
+                block, bounds = None, bounds + 1
                 # an open paragraph ends where a block begins, with whatever was left open in it
                 same = opened.last(("p", *_SAME.get(tag, ())))
                 if same >= 0 and same >= (opened.bounds[-1] if opened.bounds else -1):
@@ -251,9 +262,10 @@ def parse(source: str) -> Page:
                 page.parents.append(holders[-1])
                 page.paths.append(xxhash.xxh3_64_intdigest(label.encode("utf-8", "replace"), page.paths[holders[-1]]))
                 holders.append(len(page.paths) - 1)
+            around = (block, bounds) if out != before and tag not in _BLOCK else None
             if out != before:
                 block = None
-            opened.push(tag, out)
+            opened.push(tag, out, around)
     for b in page.blocks:
         text = "".join(b.parts)
         b.text = " ".join((html.unescape(text) if "&" in text else text).split())
@@ -284,8 +296,18 @@ def _signed(path: int) -> int:
     return path - (1 << 64) if path >> 63 else path
 
 
-def extract(page: Page, paths: list[int]) -> str:
-    """Text below the first of ``paths`` that occurs with all main text, else below the page's own best container."""
+def repeats(page: Page) -> tuple[int, list[int]]:
+    """(hash of all text, hash of each block's text and path): what tells whether a host repeats a block over its pages."""
+    good = [b for b in page.blocks if b.text and not b.out]
+    keys = {_signed(xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "replace"), page.paths[b.holder])) for b in good}
+    return _signed(xxhash.xxh3_64_intdigest("\n".join(b.text for b in good).encode("utf-8", "replace"))), sorted(keys)
+
+
+def extract(page: Page, paths: list[int], repeated: frozenset[int] = frozenset()) -> str:
+    """Text below the first of ``paths`` that occurs with all main text, else below the page's own best container.
+
+    Blocks that the host repeats (``repeated``) go, unless they are too much of the page: then its pages are copies of each other.
+    """
     core, total = _core(page)
     good = [b for b in page.blocks if b.text and not b.out]
     for path in [*paths, *([_signed(page.paths[core])] if total else [])]:
@@ -294,6 +316,10 @@ def extract(page: Page, paths: list[int]) -> str:
             below[i] = _signed(p) == path or i > 0 and below[page.parents[i]]
         found = [b for b in good if below[b.holder]]
         if found and sum(len(b.text) for b in found if b.wanted) == total:
+            if repeated:
+                own = [b for b in found if _signed(xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "replace"), page.paths[b.holder])) not in repeated]
+                if sum(len(b.text) for b in found) - sum(len(b.text) for b in own) <= MOST_DROPPED * sum(len(b.text) for b in found):
+                    found = own
             return "\n".join(b.text for b in found)
     return ""
 
@@ -303,29 +329,42 @@ def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
 
     Text blocks in page order, joined by a line feed; within one, white space is a single space. Null and empty pages
     give the empty text; a null or unreadable URL is a host of its own (the empty one); ties between paths go to the
-    smaller path; rows that repeat a page count as pages of their own. An empty table gives no rows.
+    smaller path; rows that repeat a page count as pages of their own. An empty table gives no rows. A block whose text
+    stands at one path of half of a host's pages (different ones, three at least) is the host's and goes from all of
+    them, whatever it is called, but where most of a page would go.
     """
     host = F.coalesce(F.lower(F.expr(f"try_parse_url(`{url_col}`, 'HOST')")), F.lit(""))
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, w) for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, w in votes(parse(s))]
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(("host", "path", "weight"), map(list, zip(*rows, strict=True)), strict=True)))
-
-    ballot = keyed.select("host", "html").mapInArrow(vote, "host string, path long, weight double")
+            out: dict[str, list] = {"host": [], "path": [], "weight": [], "body": [], "blocks": []}
+            for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = parse(s)
+                path, weight = next(iter(votes(page)), (None, None))
+                for name, value in zip(out, (h, path, weight, *repeats(page)), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()), "path": pa.array(out["path"], pa.int64()), "weight": pa.array(out["weight"], pa.float64()), "body": pa.array(out["body"], pa.int64()), "blocks": pa.array(out["blocks"], pa.list_(pa.int64()))})
+
+    ballot = written(spark, keyed.select("host", "html").mapInArrow(vote, "host string, path long, weight double, body long, blocks array<long>"), "ballot")
+    # pages that are alike count once, and each block once for each of them
+    bodies = ballot.groupBy("host", "body").agg(F.first("blocks").alias("blocks"))
+    held = bodies.groupBy("host").agg(F.count("*").alias("bodies")).where(F.col("bodies") >= REPEATS)
+    common = bodies.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATS)
+    common = common.join(held, "host").where(F.col("n") >= REPEAT_SHARE * F.col("bodies")).groupBy("host").agg(F.collect_list("block").alias("repeated"))
+    ballot = ballot.where("path is not null")
     # partial sums first, so that no host's pages meet; a host has few paths
     totals = ballot.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"))
     ranked = totals.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("weight"), "path"))).where(F.col("nth") <= paths_per_host)
     winners = ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("paths"))
-    winners = written(spark, winners, "host_paths")
+    # a host repeats at most 1 / REPEAT_SHARE times the blocks that a page of it has on average
+    winners = written(spark, winners.join(common, "host", "full"), "host_paths")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            texts = [extract(parse(s), p or []) for s, p in zip(col["html"].to_pylist(), col["paths"].to_pylist(), strict=True)]
+            texts = [extract(parse(s), p or [], frozenset(r or ())) for s, p, r in zip(col["html"].to_pylist(), col["paths"].to_pylist(), col["repeated"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": col["page_id"], "url": col["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     id_type = keyed.schema["page_id"].dataType.simpleString()
-    return sized_join(keyed, winners, ["host"], "left").select("page_id", "url", "html", "paths").mapInArrow(apply, f"page_id {id_type}, url string, text string, n_chars long")
+    return sized_join(keyed, winners, ["host"], "left").select("page_id", "url", "html", "paths", "repeated").mapInArrow(apply, f"page_id {id_type}, url string, text string, n_chars long")
