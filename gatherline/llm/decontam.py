@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_documents, lower_ascii, sized_join, written
+from .common import blocks, free_names, keyed_documents, lower_ascii, sized_join, written
 from .hashing import _BASE, U, byte_values, mix, prefix_sums, span_hash
 
 #: Masks of weight 7. Together they hit any 13 tokens with two substitutions, and every stretch with 13 equal tokens
@@ -116,7 +116,7 @@ def _index(items: list[tuple[int, bytes]], masks: tuple[str, ...]) -> dict:
             k, _ = _whole(hashes[first[mine][:, None] + np.arange(n)].ravel(), np.repeat(mine, n), n)
             by = np.argsort(k, kind="stable")
             whole[n] = (k[by], mine[by])
-    return {"whole": whole, "key": key[order], "place": place[order], "hashes": hashes, "text": text, "first": np.concatenate(([0], np.cumsum(counts))), "ids": np.array([-1 if i is None else i for i, _ in items], np.int64)}
+    return {"whole": whole, "key": key[order], "place": place[order], "hashes": hashes, "text": text, "first": np.concatenate(([0], np.cumsum(counts))), "ids": np.array([i for i, _ in items], np.int64)}
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least_matched: int = LEAST_MATCHED, least_share: float = LEAST_SHARE, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -139,18 +139,20 @@ def _found(spark: SparkSession, docs: DataFrame, items: DataFrame, masks: tuple[
     size = tests.agg(F.sum(F.length("body") / 2 + 1)).first()[0] or 0  # a token and what parts it from the next
     if size > block_tokens:
         return _joined(spark, keyed, tests, masks, least_matched, least_share)
-    index = spark.sparkContext.broadcast(_index([(r["item_id"], bytes(r["body"])) for r in tests.collect()], masks))
+    small = tests.collect()
+    names = spark.sparkContext.broadcast([r["item_id"] for r in small])  # hits carry an item's place in this list
+    index = spark.sparkContext.broadcast(_index([(n, bytes(r["body"])) for n, r in enumerate(small)], masks))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             rows = _overlaps(texts, index.value, masks, least_matched, least_share)
             if rows:
                 cols = list(zip(*rows, strict=True))
+                cols[1] = [names.value[i] for i in cols[1]]
                 at = pa.array(cols[0], pa.int64())
                 yield pa.RecordBatch.from_pydict({n: batch.column(batch.schema.get_field_index(n)).take(at) for n in ("doc_id", "rid", "fp")} | {n: pa.array(v, pa.int64()) for n, v in zip(_FOUND, cols[1:], strict=True)})
 
-    out = keyed.mapInArrow(find, "doc_id long, rid long, fp long, " + ", ".join(f"{c} long" for c in _FOUND))
-    return out.withColumn("item_id", F.when(F.col("item_id") >= 0, F.col("item_id")))
+    return keyed.mapInArrow(find, "doc_id long, rid long, fp long, " + ", ".join(f"{c} long" for c in _FOUND))
 
 
 def _joined(spark: SparkSession, keyed: DataFrame, tests: DataFrame, masks: tuple[str, ...], least_matched: int, least_share: float) -> DataFrame:
@@ -282,6 +284,7 @@ def _overlaps(texts: list[bytes], index: dict, masks: tuple[str, ...], least_mat
 
 def without_overlap(spark: SparkSession, docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, all columns as they are; rows are told apart by id and text."""
-    hit = written(spark, _found(spark, docs, items, **how).select(F.col("rid").alias("__rid"), F.col("fp").alias("__fp")).distinct(), "contaminated")
-    keys = {"__rid": F.coalesce(F.col(how.get("id_col", "doc_id")).cast("long"), F.lit(-1)), "__fp": F.xxhash64(how.get("text_col", "text"))}
-    return sized_join(docs.withColumns(keys), hit, ["__rid", "__fp"], "left_anti").drop("__rid", "__fp")
+    rid, fp = names = free_names(docs, "__rid", "__fp")
+    hit = written(spark, _found(spark, docs, items, **how).select(F.col("rid").alias(rid), F.col("fp").alias(fp)).distinct(), "contaminated")
+    keys = {rid: F.coalesce(F.col(how.get("id_col", "doc_id")).cast("long"), F.lit(-1)), fp: F.xxhash64(how.get("text_col", "text"))}
+    return sized_join(docs.withColumns(keys), hit, names, "left_anti").drop(*names)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_documents, lower_ascii, sized_join, texts_of, written
+from .common import free_names, keyed_documents, lower_ascii, sized_join, texts_of, written
 from .exchange import keyed_pass, repeated_keys
 
 
@@ -49,9 +49,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
-    gone = written(spark, _verdicts(spark, docs, id_col, text_col).where("not kept").select(F.col("doc_id").isNull().alias("__none"), F.col("rid").alias("__rid"), F.col("fp").alias("__fp"), "again").distinct(), "dropped")
-    names = ["__none", "__rid", "__fp"]
-    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__fp": F.xxhash64(text_col)})
+    none, rid, fp = names = free_names(docs, "__none", "__rid", "__fp")
+    gone = written(spark, _verdicts(spark, docs, id_col, text_col).where("not kept").select(F.col("doc_id").isNull().alias(none), F.col("rid").alias(rid), F.col("fp").alias(fp), "again").distinct(), "dropped")
+    keyed = docs.withColumns({none: F.col(id_col).isNull(), rid: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), fp: F.xxhash64(text_col)})
     left = sized_join(keyed, gone.select(*names), names, "left_anti")
     # rows that repeat the one that stays are the exception, and only they are compared by their text
     again = gone.where("again").select(*names)

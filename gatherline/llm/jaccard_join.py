@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_documents, lower_ascii, shuffle_partitions, sized_join, written
+from .common import blocks, free_names, keyed_documents, lower_ascii, shuffle_partitions, sized_join, written
 from .components import connected
 from .exchange import key_bits, keyed_pass, repeated_keys
 from .hashing import _BASE, U, Words, mix
@@ -205,9 +205,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 4, share: int = 8
     keeper = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
     keeper = written(spark, keeper.select("root", "keeper"), "keepers")
     verdict = sized_join(placed, keeper, ["root"], "inner").groupBy(*key).agg(F.first(F.struct(*key) == F.col("keeper")).alias("keeps"), F.count("*").alias("rows"))
-    verdict = written(spark, verdict.where("not keeps or rows > 1").select(*(F.col(c).alias(f"__{c}") for c in key), "keeps"), "near_copies")
-    names = [f"__{c}" for c in key]
-    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__rid": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__fp": F.xxhash64(text_col)})
+    none, rid, fp = names = free_names(docs, *(f"__{c}" for c in key))
+    verdict = written(spark, verdict.where("not keeps or rows > 1").select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)), "keeps"), "near_copies")
+    keyed = docs.withColumns({none: F.col(id_col).isNull(), rid: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), fp: F.xxhash64(text_col)})
     again = verdict.where("keeps").select(*names)
     left = sized_join(keyed, verdict.select(*names), names, "left_anti")
     # rows repeated whole are the exception, and only they are compared by their text

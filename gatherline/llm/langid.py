@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, keyed_documents, runs, sized_join, written
+from .common import blocks, fold, free_names, keyed_documents, runs, sized_join, written
 from .hashing import U, mix, prefix_sums, span_hash
 from .wordscores import WordScores
 
@@ -270,7 +270,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     model, limits = fit(spark, docs, **how)
     held = spark.sparkContext.broadcast(model)
     schema = docs.schema
-    marked = docs.withColumn("__text", F.col(how.get("text_col", "text")).cast("binary"))
+    marked = docs.withColumn(*free_names(docs, "__text"), F.col(how.get("text_col", "text")).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(held.value.score_words, len(held.value.langs) + 1)
