@@ -10,9 +10,11 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .codegraph import materialized
+
 #: Points that enumerate_points makes without a sample size.
 MOST_POINTS = 10_000_000
 
@@ -20,37 +22,46 @@ MOST_POINTS = 10_000_000
 def design_space_size(options: DataFrame) -> DataFrame:
     """``space, num_points``: the product over free parameters, each the sum over its options of the product over its children.
 
-    Levels of dependency are folded from the leaves up; parameters are few, options are counted before.
+    Levels of dependency are folded from the leaves up, all spaces at once, a written table a level; options are counted before. Only
+    the deepest level reaches the driver.
     """
+    spark = options.sparkSession
     rows = options.select("space", "param", "option", "parent_param", "parent_option").distinct()
-    rows = rows.withColumn("ways", F.lit(1).cast("double"))
-    levels = _levels(rows)
-    for level in range(max(levels.values(), default=0), 0, -1):
-        names = [k for k, v in levels.items() if v == level]
-        mine = F.concat_ws("\x01", "space", "param").isin(*names)
-        child = rows.where(mine).groupBy("space", F.col("parent_param").alias("param"), F.col("parent_option").alias("option"), F.col("param").alias("child")).agg(F.sum("ways").alias("ways"))
+    rows = materialized(spark, leveled(rows).withColumn("ways", F.lit(1).cast("double")))
+    for level in range(rows.agg(F.max("level")).first()[0] or 0, 0, -1):
+        mine, rest = rows.where(F.col("level") == level), rows.where(F.col("level") < level)
+        child = mine.groupBy("space", F.col("parent_param").alias("param"), F.col("parent_option").alias("option"), F.col("param").alias("child")).agg(F.sum("ways").alias("ways"))
         # every option of the parent needs each child; a child without options under it leaves no point
-        needed = rows.where(mine).select("space", F.col("parent_param").alias("param"), F.col("param").alias("child")).distinct()
-        full = rows.where(~mine).join(needed, ["space", "param"], "left").join(child.withColumnRenamed("ways", "child_ways"), ["space", "param", "option", "child"], "left")
+        needed = mine.select("space", F.col("parent_param").alias("param"), F.col("param").alias("child")).distinct()
+        full = rest.join(needed, ["space", "param"], "left").join(child.withColumnRenamed("ways", "child_ways"), ["space", "param", "option", "child"], "left")
         product = F.aggregate(F.collect_list(F.when(F.col("child").isNotNull(), F.coalesce("child_ways", F.lit(0.0)))), F.lit(1.0), lambda a, x: a * x)
-        rows = full.groupBy("space", "param", "option", "parent_param", "parent_option").agg((F.first("ways") * product).alias("ways"))
+        rows = materialized(spark, full.groupBy("space", "param", "option", "parent_param", "parent_option", "level").agg((F.first("ways") * product).alias("ways")))
     per = rows.groupBy("space", "param").agg(F.sum("ways").alias("n"))
     return per.groupBy("space").agg(F.aggregate(F.collect_list("n"), F.lit(1.0), lambda a, x: a * x).cast("long").alias("num_points"))
 
 
-def _levels(rows: DataFrame) -> dict[str, int]:
-    """Depth of each parameter (by space): free ones are 0. Parameters, not points, reach the driver."""
-    pairs = {(r["space"], r["param"]): r["parent_param"] for r in rows.select("space", "param", "parent_param").distinct().collect()}
-    out = {}
-    for (space, param), parent in pairs.items():
-        depth, at = 0, parent
-        while at is not None:
-            depth += 1
-            if depth > len(pairs):
-                raise ValueError(f"parameters of {space} depend on each other in a circle")
-            at = pairs.get((space, at))
-        out[f"{space}\x01{param}"] = depth
-    return out
+def leveled(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``level`` of each parameter: free ones are 0, others one more than the parameter they depend on.
+
+    Pointer doubling on the table of parameters: after n rounds each knows its distance from the one 2^n above it, so rounds grow with
+    the logarithm of the depth. Parameters that depend on each other in a circle are an error.
+    """
+    spark = rows.sparkSession
+    above = F.max("parent_param")
+    far = rows.groupBy("space", "param").agg(above.alias("above"), F.when(above.isNull(), 0).otherwise(1).alias("level"))
+    far = materialized(spark, far)
+    most = far.groupBy("space").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        if not far.where("above is not null").limit(1).count():
+            break
+        ahead = far.select("space", F.col("param").alias("above"), F.col("above").alias("__above"), F.col("level").alias("__level"))
+        step = far.join(ahead, ["space", "above"], "left")
+        far = materialized(spark, step.select("space", "param", F.col("__above").alias("above"), (F.col("level") + F.coalesce("__level", F.lit(0))).alias("level")))
+    else:
+        circle = far.where("above is not null").select("space").first()
+        if circle:
+            raise ValueError(f"parameters of {circle['space']} depend on each other in a circle")
+    return rows.join(far.select("space", "param", "level"), ["space", "param"])
 
 
 def check_design_space(params: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +81,7 @@ def check_design_space(params: DataFrame, deps: DataFrame) -> tuple[DataFrame, D
 def enumerate_points(options: DataFrame, n: int | None = None, seed: int = 64, most: int = MOST_POINTS) -> DataFrame:
     """``space, point`` (map), ``point_key``: all points of each space, or ``n`` of each by seeded draws.
 
-    All points: parameters are joined on one by one, free ones before those that depend on them; more than ``most`` points
+    All points: the n-th parameters of all spaces are joined on together, free ones before those that depend on them; more than ``most`` points
     in all without ``n`` is an error. A sample enumerates nothing: see sample_points.
     """
     from ..functions.scalars import design_point_key
@@ -81,14 +92,15 @@ def enumerate_points(options: DataFrame, n: int | None = None, seed: int = 64, m
     if total > most:
         raise ValueError(f"{total} points; give n to sample")
     rows = options.select("space", "param", F.col("option").cast("string").alias("option"), "parent_param", F.col("parent_option").cast("string").alias("parent_option")).distinct()
+    place = F.dense_rank().over(Window.partitionBy("space").orderBy("level", "param"))  # the parameters of one space
+    rows = materialized(options.sparkSession, leveled(rows).withColumn("place", place))
     points = rows.select("space").distinct().withColumn("point", F.expr("cast(map() as map<string,string>)"))
-    levels = _levels(rows)
-    for name in sorted({k.split("\x01")[1] for k in levels}, key=lambda p: (max(v for k, v in levels.items() if k.split("\x01")[1] == p), p)):
-        mine = rows.where(F.col("param") == name).select(F.col("space").alias("__s"), "option", "parent_param", "parent_option")
-        has = rows.where(F.col("param") == name).select("space").distinct().withColumn("__has", F.lit(True))
+    for nth in range(1, (rows.agg(F.max("place")).first()[0] or 0) + 1):
+        mine = rows.where(F.col("place") == nth).select(F.col("space").alias("__s"), "param", "option", "parent_param", "parent_option")
+        has = mine.select(F.col("__s").alias("space")).distinct().withColumn("__has", F.lit(True))
         points = points.join(has, "space", "left")
         fits = F.col("parent_param").isNull() | (F.try_element_at("point", F.col("parent_param")) == F.col("parent_option"))
-        grown = points.where("__has").join(mine, (F.col("space") == F.col("__s")) & fits).select("space", F.map_concat("point", F.create_map(F.lit(name), F.col("option"))).alias("point"))
+        grown = points.where("__has").join(mine, (F.col("space") == F.col("__s")) & fits).select("space", F.map_concat("point", F.create_map("param", "option")).alias("point"))
         points = grown.unionByName(points.where("__has is null").select("space", "point"))
     return points.withColumn("point_key", design_point_key("point"))
 
