@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, free_names, keyed_documents, runs, sized_join, written
+from .common import blocks, fold, free_names, keyed_documents, release, runs, sized_join, written
 from .hashing import U, mix, prefix_sums, span_hash
 from .wordscores import WordScores
 
@@ -223,6 +223,7 @@ def classify(spark: SparkSession, keyed: DataFrame, model: Model, limits: dict[s
     schema = ", ".join([*(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", "cross_entropy double", "n_letters long", "rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = WordScores(held.value.score_words, len(held.value.langs) + 1)
         for batch, texts in blocks(batches):
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
@@ -273,6 +274,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     marked = docs.withColumn(*free_names(docs, "__text"), F.col(how.get("text_col", "text")).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = WordScores(held.value.score_words, len(held.value.langs) + 1)
         for batch in batches:
             last = batch.num_columns - 1

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_documents, lower_ascii, sized_join, written
+from .common import blocks, kept, keyed_documents, lower_ascii, sized_join, written
 from .hashing import U, byte_values, mix, prefix_sums, span_hash
 
 WINDOW = 4096
@@ -168,17 +168,12 @@ class Vocabulary:
         self.keys[level], self.rows[level] = keys[order], rows[order]
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit bytes, without the end id.
 
     The tokenizer drops white space and no token spans what it splits at, so each distinct unit is tokenized once.
     """
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    vocabulary = _vocabularies[path]
+    vocabulary = kept(f"vocabulary of {path}", lambda: Vocabulary(path))
     units = Units(texts)
     row = vocabulary.rows_of(units)
     count = vocabulary.count[row]
