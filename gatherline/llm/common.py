@@ -133,10 +133,12 @@ def runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[byte
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Arrow batches cut by ``runs`` of their column "text"."""
+    """Arrow batches cut by ``runs`` of their column "text"; free memory goes back to the system before and after."""
+    trim()
     for batch in batches:
         for begin, texts in runs(batch.column(batch.schema.get_field_index("text")), most):
             yield batch.slice(begin, len(texts)), texts
+    trim()
 
 
 _kept: dict[str, object] = {}
@@ -151,14 +153,17 @@ def kept(name: str, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Give up what earlier stages kept in this worker, and hand its memory back to the system."""
-    if _kept:
-        _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-        if trim:
-            trim(0)
+    """Give up what earlier stages kept in this worker, and hand its free memory back to the system."""
+    _kept.clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if give_back:
+        give_back(0)
 
 
 def bits(flags: np.ndarray) -> bytes:

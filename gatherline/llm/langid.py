@@ -281,5 +281,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
             rest = pa.RecordBatch.from_arrays([batch.column(i) for i in range(last)], names=batch.schema.names[:last])
             for a, texts in runs(batch.column(last)):
                 yield rest.slice(a, len(texts)).filter(pa.array(~verdicts(held.value, table, texts, limits)["rejected"]))
+        del table
+        release()
 
     return marked.mapInArrow(run, schema)
