@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 #: A join side is broadcast only after its size was counted and found below this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Runs of texts after which a worker hands free memory back, and the bytes from which an array is handed back as soon as it is freed.
+TRIM_RUNS, MAPPED_BYTES = 4, 4 << 20
+
+#: Fixed value: the C library's number of the option.
+M_MMAP_THRESHOLD = -3
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -133,11 +138,15 @@ def runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[byte
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Arrow batches cut by ``runs`` of their column "text"; free memory goes back to the system before and after."""
+    """Arrow batches cut by ``runs`` of their column "text"; free memory goes back to the system before, after and every few runs."""
     trim()
+    done = 0
     for batch in batches:
         for begin, texts in runs(batch.column(batch.schema.get_field_index("text")), most):
             yield batch.slice(begin, len(texts)), texts
+            done += 1
+            if done % TRIM_RUNS == 0:
+                trim()
     trim()
 
 
@@ -161,9 +170,10 @@ def release() -> None:
 
 def trim() -> None:
     pa.default_memory_pool().release_unused()
-    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-    if give_back:
-        give_back(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt"):  # not every C library has them
+        libc.mallopt(M_MMAP_THRESHOLD, MAPPED_BYTES)
+        libc.malloc_trim(0)
 
 
 def bits(flags: np.ndarray) -> bytes:
