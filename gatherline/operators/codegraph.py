@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .joins import small
+from .joins import materialized, small
 from .peeling import finite_depths
 from .substrings import holding
 
@@ -21,25 +20,6 @@ PRAGMA_FLOW, BLOCK_FLOW, CHAIN_FLOW, NEST_FLOW = 3, 4, 5, 6
 DIRECTIVE_POSITIONS = {"PIPELINE": 0, "PARALLEL": 1, "TILE": 2}
 
 
-def materialized(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows below the folder that spark.checkpoint.dir names, and read them again.
-
-    Only in local mode, where that is unset, a private folder is made. What is read carries nothing of the old plan along, so
-    loops of many rounds plan each round alike.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="gatherline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/gatherline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/rows"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pair_seed_final(final: DataFrame, seed: DataFrame, by: list[str], name: str, final_iter: int) -> tuple[DataFrame, DataFrame]:
     """(final designs named ``seed_design_N_iter_K`` with their passing seed, those without one)."""
     pattern = r"^seed_design_(\d+)_iter_(\d+)$"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS
 from .joins import largest_group, small
-from .profile import buckets as value_buckets
+from .placement import value_buckets
 
 ERRORS = ("mape", "rmse", "mse", "mae", "max_error")
 
@@ -46,34 +46,46 @@ def _discordant(x: np.ndarray, y: np.ndarray) -> int:
     return total
 
 
-def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int | None = None, bucket_rows: int = 200_000) -> DataFrame:
+def _pairs_across(cells: DataFrame) -> DataFrame:
+    """``key, d``: pairs of rows in cells (key, a, b, n) with a smaller and b larger, counted by the bits of b.
+
+    Two numbers of b differ first at one bit; there they share all bits above. So for each bit, cells are grouped by the bits
+    above it, and those with the bit set count against later ones (by a) without it. A group has at most a row per a.
+    """
+    top = F.length(F.bin("__most")) - 1
+    most = cells.groupBy("key").agg(F.max("b").alias("__most"))
+    levels = cells.join(small(most), "key").withColumn("bit", F.explode(F.sequence(F.lit(0), top)))
+    # shifts by a column: the prefix above the bit, and the bit itself
+    levels = levels.withColumns({"above": F.expr("shiftright(b, bit + 1)"), "on": F.expr("shiftright(b, bit) & 1")})
+    split = levels.groupBy("key", "bit", "above", "a").agg(F.sum(F.when(F.col("on") == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("on") == 0, F.col("n")).otherwise(0)).alias("zeros"))
+    before = F.sum("ones").over(Window.partitionBy("key", "bit", "above").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    return split.select("key", (F.col("zeros").cast("double") * F.coalesce(before, F.lit(0))).alias("d")).groupBy("key").agg(F.sum("d").alias("d"))
+
+
+def kendall_tau(pred: DataFrame, key: str, x: str, y: str, bucket_rows: int = 200_000) -> DataFrame:
     """Kendall's tau-b with ties for each key: ``tau``.
 
-    Discordant pairs come from a histogram of x-buckets by y-buckets, by prefix sums over it, for pairs in different
-    buckets of both, and from counts within each x-bucket and each y-bucket for the rest. There are ``buckets``, or so many
-    that one holds about ``bucket_rows``; a heavy value has one of its own, where no pair counts. So no group meets as a
-    whole, unless it has no more rows than that.
+    Discordant pairs in different x-buckets and different y-buckets come from the counts of the cells they make, by the bits of
+    the y-bucket; the rest are counted within each x-bucket and each y-bucket. A bucket holds about ``bucket_rows`` rows,
+    however many there are of them; a heavy value has one of its own, where no pair counts. So no group meets as a whole,
+    unless it has no more rows than that.
     """
     df = pred.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    parts = buckets or min(4096, -(-largest_group(df, ["key"]) // bucket_rows))
+    parts = -(-largest_group(df, ["key"]) // bucket_rows)
     for c, at in (("x", "a"), ("y", "b")):
-        df = value_buckets(df, ["key"], c, parts, at) if parts > 1 else df.withColumn(at, F.lit(0))
+        df = value_buckets(df, "key", c, bucket_rows, at) if parts > 1 else df.withColumn(at, F.lit(0))
     pairs = lambda n: n * (n - 1) / 2
     ties = lambda cols, name: df.groupBy("key", *cols).count().groupBy("key").agg(F.sum(pairs(F.col("count"))).alias(name))
-    # pairs in different x- and y-buckets: for each cell the counts of all with a larger and b smaller
-    cells = df.groupBy("key", "a", "b").agg(F.count("*").alias("n"))
-    grid = cells.select("key", "a").distinct().join(cells.select("key", "b").distinct(), "key").join(cells, ["key", "a", "b"], "left").fillna(0, ["n"])
-    grid = grid.withColumn("left", F.sum("n").over(Window.partitionBy("key", "a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    grid = grid.withColumn("under", F.sum("left").over(Window.partitionBy("key", "b").orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)))
-    cross = grid.groupBy("key").agg(F.sum(F.col("n").cast("double") * F.coalesce("under", F.lit(0))).alias("d"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "d": [float(_discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy()))]})
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         """Same y-bucket, different x-buckets: all discordant pairs less those within an x-bucket."""
+        pdf = pdf.sort_values("a", kind="stable")
         x, y, a = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["a"].to_numpy()
-        d = _discordant(x, y) - sum(_discordant(x[a == v], y[a == v]) for v in np.unique(a))
+        edge = np.flatnonzero(np.diff(a)) + 1
+        d = _discordant(x, y) - sum(map(_discordant, np.split(x, edge), np.split(y, edge)))
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "d": [float(d)]})
 
     def varied(at: str, c: str) -> DataFrame:
@@ -84,6 +96,7 @@ def kendall_tau(pred: DataFrame, key: str, x: str, y: str, buckets: int | None =
     if parts <= 1:
         d = df.groupBy("key").applyInPandas(inside, f"key {kind}, d double")
     else:
+        cross = _pairs_across(df.groupBy("key", "a", "b").agg(F.count("*").alias("n")))
         d = cross.unionByName(varied("a", "x").groupBy("key", "a").applyInPandas(inside, f"key {kind}, d double")).unionByName(varied("b", "y").groupBy("key", "b").applyInPandas(across, f"key {kind}, d double"))
     out = ties([], "n0").join(ties(["x"], "n1"), "key").join(ties(["y"], "n2"), "key").join(ties(["x", "y"], "n3"), "key").join(d.groupBy("key").agg(F.sum("d").alias("d")), "key")
     agree = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")

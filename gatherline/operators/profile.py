@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
 from .joins import TASK_ROWS, largest_group, small
+from .placement import by_ranges, earlier
 
 
 def pool_seed_final(seed: DataFrame, final: DataFrame) -> DataFrame:
@@ -46,25 +47,11 @@ def metric_density(values: DataFrame, keys: list[str], value: str, points: int =
     return counted.join(small(grid), keys).groupBy(*keys, "x").agg(F.greatest(F.sum(kernel), F.lit(0.0)).alias("density"))
 
 
-def buckets(df: DataFrame, keys: list[str], value: str, parts: int, out: str) -> DataFrame:
-    """``df`` with the number of its value's bucket between approximate quantiles of the group, growing with the value.
-
-    A value that is a quantile itself has a bucket of its own: there a heavy value stands alone.
-    """
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / parts for i in range(parts - 1)], 10 * parts).alias("__cuts"))
-    # how many cuts are below: where the value comes to stand among them, without a lambda over the array
-    below = 2 * F.array_position(F.sort_array(F.array_append("__cuts", F.col(value))), F.col(value)) + F.array_contains("__cuts", F.col(value)).cast("int")
-    if keys:
-        return df.join(cuts, keys).withColumn(out, below).drop("__cuts")
-    every = cuts.first()[0] or []  # parts - 1 numbers
-    return df.withColumn("__cuts", F.array(*[F.lit(c) for c in every]).cast(cuts.schema[0].dataType)).withColumn(out, below).drop("__cuts")
-
-
-def mquantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4, parts: int = 256) -> DataFrame:
+def mquantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4) -> DataFrame:
     """Plotting-position quantiles: ``prob, quantile``.
 
-    Counts of value buckets tell in which of them the wanted ranks lie; only rows of those buckets are ranked. Groups that
-    one task can sort are one bucket.
+    Values are sorted by ranges; the ranges' counts tell in which range, and at which place of it, the wanted ranks lie. Groups
+    that one task can sort take one window.
     """
     df = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     at = lambda n: n * F.col("prob") + alpha + F.col("prob") * (1 - alpha - beta)
@@ -75,22 +62,18 @@ def mquantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[floa
         k = F.floor(F.greatest(F.lit(1.0), F.least(at(F.col("__n")), F.col("__n") - 1.0)))
         g = F.least(F.lit(1.0), F.greatest(F.lit(0.0), at(F.col("__n")) - k))
         return ranked.where(F.col("__r") == k).select(*keys, "prob", ((1 - g) * F.col("__v") + g * F.coalesce("__up", "__v")).alias("quantile"))
-    df = buckets(df, keys, "__v", parts, "__b")
-    sizes = df.groupBy(*keys, "__b").agg(F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    sizes = sizes.withColumn("__off", F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = sizes.groupBy(*keys).agg(F.sum("__m").alias("__n"))
-    want = n.select(*keys, "__n", F.explode(F.array(*map(F.lit, probs))).alias("prob"))
+    placed = by_ranges(df, [*keys, "__v"], TASK_ROWS)
+    sizes = placed.groupBy(*keys, "__range").agg(F.count("*").alias("__m"), F.min("__nth").alias("__begin"))
+    sizes = sizes.withColumn("__off", F.coalesce(F.sum("__m").over(earlier(keys)), F.lit(0))).withColumn("__n", F.sum("__m").over(Window.partitionBy(*(keys or [F.lit(0)]))))
+    want = sizes.withColumn("prob", F.explode(F.array(*map(F.lit, probs))))
     a = at(F.col("__n"))
     k = F.floor(F.greatest(F.lit(1.0), F.least(a, F.col("__n") - 1.0))).cast("long")
     want = want.withColumns({"__k": k, "__g": F.least(F.lit(1.0), F.greatest(F.lit(0.0), a - k))})
-    ends = want.select(*keys, "prob", "__g", F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("__k").alias("rank")), F.struct(F.lit(1).alias("up"), F.least(F.col("__k") + 1, F.col("__n")).alias("rank")))).alias("__e"))
-    ends = ends.select(*keys, "prob", "__g", "__e.up", "__e.rank").join(sizes, keys).where((F.col("rank") > F.col("__off")) & (F.col("rank") <= F.col("__off") + F.col("__m")))
-    # a bucket with one value needs no ranks
-    alike = ends.where("__lo = __hi").select(*keys, "prob", "__g", "up", F.col("__lo").alias("__x"))
-    mixed = ends.where("__lo < __hi")
-    ranked = df.join(small(mixed.select(*keys, "__b").distinct()), [*keys, "__b"], "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__v")))
-    found = mixed.join(ranked, [*keys, "__b"]).where(F.col("__r") == F.col("rank") - F.col("__off")).select(*keys, "prob", "__g", "up", F.col("__v").alias("__x"))
-    both = alike.unionByName(found).groupBy(*keys, "prob", "__g").agg(F.max(F.when(F.col("up") == 0, F.col("__x"))).alias("__low"), F.max(F.when(F.col("up") == 1, F.col("__x"))).alias("__high"))
+    want = want.withColumn("__e", F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("__k").alias("rank")), F.struct(F.lit(1).alias("up"), F.least(F.col("__k") + 1, F.col("__n")).alias("rank")))))
+    inside = F.col("__e.rank") - F.col("__off")
+    want = want.where((inside > 0) & (inside <= F.col("__m"))).select(*keys, "prob", "__g", "__e.up", "__range", (F.col("__begin") + inside - 1).alias("__nth"))
+    found = placed.select("__range", "__nth", "__v").join(small(want), ["__range", "__nth"])
+    both = found.groupBy(*keys, "prob", "__g").agg(F.max(F.when(F.col("up") == 0, F.col("__v"))).alias("__low"), F.max(F.when(F.col("up") == 1, F.col("__v"))).alias("__high"))
     return both.select(*keys, "prob", ((1 - F.col("__g")) * F.col("__low") + F.col("__g") * F.col("__high")).alias("quantile"))
 
 

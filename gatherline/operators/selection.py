@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_pass
 from .joins import TASK_ROWS, largest_group
-from .profile import buckets
+from .placement import by_ranges, earlier, with_group_ranges
 
 
 def _keep_frontier(df: DataFrame, part: list[str | Column], x: str, y: str) -> DataFrame:
@@ -18,10 +18,10 @@ def _keep_frontier(df: DataFrame, part: list[str | Column], x: str, y: str) -> D
     return df.withColumn("__least", least).where(F.col("__least").isNull() | (F.col(y) < F.col("__least"))).drop("__least")
 
 
-def pareto_frontier(points: DataFrame, x: str, y: str, keys: list[str] | None = None, parts: int = 256) -> DataFrame:
+def pareto_frontier(points: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Points whose y is below that of all before them, by x ascending and y descending.
 
-    Rows without a number are dropped. The table is cut into ranges of x; a running minimum of y over the ranges, a
+    Rows without a number are dropped. The table is sorted by ranges; a running minimum of y over a group's ranges, a
     small table, drops most points at once, and the rest only meets points of its own range. So neither a hot key nor a
     frontier that holds all rows brings everything into one task. Groups that one task can sort go without ranges, but
     are pruned in salted parts before they meet.
@@ -31,31 +31,41 @@ def pareto_frontier(points: DataFrame, x: str, y: str, keys: list[str] | None =
     if largest_group(usable, keys) <= TASK_ROWS:
         salted = usable.withColumn("__salt", F.pmod(F.xxhash64(x, y), F.lit(64)))
         return _keep_frontier(_keep_frontier(salted, [*keys, "__salt"], x, y).drop("__salt"), keys or [F.lit(0)], x, y)
-    placed = buckets(usable, [], x, parts, "__range")
-    every = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = by_ranges(usable, [*keys, F.col(x), F.desc(y)], TASK_ROWS)
     lows = placed.groupBy(*keys, "__range").agg(F.min(y).alias("__low"))
-    lows = lows.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__k_range"), F.min("__low").over(every).alias("__low"))
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__range") == F.col("__k_range")]
-    ahead = placed.join(lows, same).where(F.col("__low").isNull() | (F.col(y) < F.col("__low"))).drop("__low", "__k_range", *[f"__k_{k}" for k in keys])
+    lows = lows.select(*keys, "__range", F.min("__low").over(earlier(keys)).alias("__low"))
+    ahead = with_group_ranges(placed, lows, keys).where(F.col("__low").isNull() | (F.col(y) < F.col("__low"))).drop("__low", "__nth")
     return _keep_frontier(ahead, [*keys, "__range"], x, y).drop("__range")
 
 
-def pareto_score(points: DataFrame, x: str, y: str, keys: list[str], parts: int = 256) -> DataFrame:
+def _with_next(front: DataFrame, keys: list[str]) -> DataFrame:
+    """``__then``: what ``__here`` holds in the group's next row by x ascending and y descending; null in the last one."""
+    order = [F.col("__x"), F.desc("__y")]
+    if largest_group(front, keys) <= TASK_ROWS:
+        return front.withColumn("__then", F.lead("__here").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
+    placed = by_ranges(front, [*keys, *order], TASK_ROWS)
+    first = placed.groupBy(*keys, "__range").agg(F.min_by("__here", "__nth").alias("__first"))
+    first = first.select(*keys, "__range", F.lead("__first").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")).alias("__after"))
+    inside = F.lead("__here").over(Window.partitionBy(*keys, "__range").orderBy("__nth"))
+    return with_group_ranges(placed, first, keys).withColumn("__then", F.coalesce(inside, F.col("__after"))).drop("__after", "__range", "__nth")
+
+
+def pareto_score(points: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Frontier score of each key: ``n_points, n_frontier, range_x, range_y, d_left, d_right, max_gap, length, score, gap_ratio``.
 
     The frontier is scaled by the range of all points; the score relates end distances and the largest gap to the
-    curve's length. Fewer than three frontier points or an empty range give null.
+    curve's length. Fewer than three frontier points or an empty range give null. A frontier that no task can sort is
+    sorted by ranges: the last point of a range meets the first one of the group's next range.
     """
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     ranges = points.groupBy(*keys).agg(F.count("*").alias("n_points"), *[f(number(c)).alias(n) for c, a in ((x, "x"), (y, "y")) for f, n in ((F.min, f"__lo_{a}"), (F.max, f"__hi_{a}"))])
-    front = pareto_frontier(points, x, y, keys, parts).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    front = pareto_frontier(points, x, y, keys).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     df = front.join(ranges, keys)
     scaled = lambda a: (F.col(f"__{a}") - F.col(f"__lo_{a}")) / F.nullif(F.col(f"__hi_{a}") - F.col(f"__lo_{a}"), F.lit(0.0))
     df = df.withColumns({"__nx": scaled("x"), "__ny": scaled("y")})
-    order = Window.partitionBy(*keys).orderBy("__x", F.desc("__y"))
-    gap = F.sqrt(F.pow(F.lead("__nx").over(order) - F.col("__nx"), 2) + F.pow(F.lead("__ny").over(order) - F.col("__ny"), 2))
-    nxt = F.lead(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))).over(order)
-    df = df.withColumns({"__gap": gap, "__next": nxt})
+    df = _with_next(df.withColumn("__here", F.struct("__nx", "__ny", F.col("__x").alias("x"), F.col("__y").alias("y"))), keys)
+    gap = F.sqrt(F.pow(F.col("__then.__nx") - F.col("__nx"), 2) + F.pow(F.col("__then.__ny") - F.col("__ny"), 2))
+    df = df.withColumns({"__gap": gap, "__next": F.when(F.col("__then").isNotNull(), F.struct("__then.x", "__then.y"))})
     far = lambda a, b: F.min(F.sqrt(F.pow(F.col("__nx") - a, 2) + F.pow(F.col("__ny") - b, 2)))
     first_gap = F.min_by(F.struct(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")).alias("from"), F.col("__next").alias("to")), F.struct(-F.col("__gap"), F.col("__x"))).alias("gap_points")
     agg = df.groupBy(*keys).agg(F.count("*").alias("n_frontier"), far(0, 1).alias("d_left"), far(1, 0).alias("d_right"), F.max("__gap").alias("max_gap"), F.sum("__gap").alias("length"), first_gap)

@@ -13,7 +13,9 @@ from gatherline.functions import text as tx
 from gatherline.operators import codegraph as cg
 from gatherline.operators import evalreport as er
 from gatherline.operators import features as ft
+from gatherline.operators import joins as jn
 from gatherline.operators import passrate as pr
+from gatherline.operators import placement as pl
 from gatherline.operators import profile as pf
 from gatherline.operators import sampling as sp
 from gatherline.operators import selection as sl
@@ -26,6 +28,10 @@ def one(df):
     return df.collect()[0]
 
 
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 @pytest.mark.parametrize(("n", "c", "at1", "at8"), [(16, 3, 18.75, 90.0), (16, 1, 6.25, 50.0), (16, 8, 50.0, 99.99223), (16, 10, 62.5, 100.0)])
 def test_published_seed_rows(spark, n, c, at1, at8):
     pools = spark.createDataFrame([("d", "Seed", n, c)], "domain string, stage string, total long, passed long")
@@ -141,7 +147,7 @@ def test_tau_against_pairs(spark):
     s = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
     want = s.sum() / np.sqrt((np.sign(x[:, None] - x) != 0).sum() * (np.sign(y[:, None] - y) != 0).sum())
     df = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y, strict=True)], "k string, x double, y double")
-    assert one(er.kendall_tau(df, "k", "x", "y", buckets=7)).tau == pytest.approx(want)
+    assert one(er.kendall_tau(df, "k", "x", "y", bucket_rows=40)).tau == pytest.approx(want)
 
 
 def test_hull_of_hull(spark):
@@ -334,16 +340,30 @@ def test_ranks_and_frontiers_by_ranges_equal_those_of_one_window(spark, monkeypa
     rows += [(9, float(i), float(-i)) for i in range(300)] + [(10, 1.0, 2.0), (11, None, 1.0), (11, 2.0, float("nan"))]
     df = spark.createDataFrame(rows, "k int, x double, y double")
     fns = [
-        lambda: pf.mquantiles(df, ["k"], "y", (0.01, 0.3, 0.5, 0.7, 0.999), parts=8), lambda: sl.pareto_frontier(df.select("x", "y"), "x", "y", parts=8), lambda: sl.pareto_frontier(df, "x", "y", ["k"], parts=8),
-        lambda: er.kendall_tau(df.where("not isnan(y)"), "k", "x", "y", bucket_rows=400).withColumn("tau", F.round("tau", 9)),
+        lambda: pf.mquantiles(df, ["k"], "y", (0.01, 0.3, 0.5, 0.7, 0.999)), lambda: sl.pareto_frontier(df.select("x", "y"), "x", "y"), lambda: sl.pareto_frontier(df, "x", "y", ["k"]),
+        lambda: rounded(sl.pareto_score(df, "x", "y", ["k"]), "d_left", "d_right", "max_gap", "length", "score", "gap_ratio"),
     ]
-    few = [sorted(map(str, fn().collect())) for fn in fns]
-    for module in (pf, sl):
-        monkeypatch.setattr(module, "TASK_ROWS", 10)
-    many = [sorted(map(str, fn().collect())) for fn in [*fns[:3], lambda: er.kendall_tau(df.where("not isnan(y)"), "k", "x", "y", buckets=9).withColumn("tau", F.round("tau", 9))]]
+    tau = lambda rows: rounded(er.kendall_tau(df.where("not isnan(y)"), "k", "x", "y", bucket_rows=rows), "tau")
+    few = [sorted(map(str, df.collect())) for df in [*(fn() for fn in fns), tau(10_000)]]
+    for module in (pf, sl, jn):
+        monkeypatch.setattr(module, "TASK_ROWS", 150)
+    many = [sorted(map(str, df.collect())) for df in [*(fn() for fn in fns), tau(90)]]
     assert few == many and all(few)
 
 
+def test_rows_that_are_all_equal_are_spread_over_ranges(spark):
+    df = spark.range(1000).select(F.lit("k").alias("k"), F.lit(1.0).alias("v"))
+    got = pl.by_ranges(df, ["k", "v"], rows=100).groupBy("__range").agg(F.count("*").alias("n"), F.max("__nth").alias("last")).collect()
+    assert len(got) > 5 and sum(r.n for r in got) == 1000 and max(r.n for r in got) < 400 and all(r.last == r.n - 1 for r in got)
+
+
+def test_tau_of_heavy_values_by_buckets(spark):
+    rows = [("k", 1.0, float(i % 7)) for i in range(200)] + [("k", float(i), 3.0) for i in range(150)] + [("k", float(i % 40), float(i * 7 % 31)) for i in range(250)] + [("j", 1.0, 1.0), (None, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    plain, cut = ({r.k: r.tau for r in er.kendall_tau(df, "k", "x", "y", bucket_rows=n).collect()} for n in (10_000, 25))
+    assert plain["k"] == pytest.approx(cut["k"]) and plain["j"] is None and cut["j"] is None and set(plain) == set(cut)
+
+
 def test_samples_of_a_huge_space_are_drawn_without_enumeration(spark):
     rows = [("s", f"p{i:02}", str(o), None, None) for i in range(40) for o in range(10)]  # 10^40 points
     rows += [("t", "a", "1", None, None), ("t", "a", "2", None, None), ("t", "b", "x", "a", "1"), ("t", "b", "y", "a", "1"), ("t", "b", "z", "a", "2"), ("t", "c", "u", None, None), ("t", "c", "v", None, None)]
