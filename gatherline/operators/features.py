@@ -105,15 +105,43 @@ def edge_index(nodes: DataFrame, edges: DataFrame, key: str = "design_id") -> tu
     return numbered, edges.join(at("src"), [key, "src"]).join(at("dst"), [key, "dst"])
 
 
-def write_graph_samples(nodes: DataFrame, edges: DataFrame, labels: DataFrame, dictionaries: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ("dataset", "split")) -> None:
-    """Write the tables of a training set: nodes, edges, labels (partitioned by data set and split) and dictionaries."""
-    parts = labels.select("design_id", *by).dropDuplicates(["design_id"])
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.drop(*by).join(parts, "design_id").write.mode(mode).partitionBy(*by).parquet(f"{path}/{name}")
-    labels.write.mode(mode).partitionBy(*by).parquet(f"{path}/labels")
+def write_graph_samples(nodes: DataFrame, edges: DataFrame, labels: DataFrame, dictionaries: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ("dataset", "split"), files: int | None = None) -> None:
+    """Write a training set: nodes, edges, labels (by data set and split), dictionaries, and ``samples``.
+
+    ``samples`` has a row per design of the labels: its label columns, ``nodes`` and ``edges`` (arrays in order of their ids;
+    empty if it has none). All but the dictionaries are sorted by design within ranges of designs, so that the statistics
+    of a file's row groups find one design, and a reader streams whole samples. ``files``: ranges a table (default:
+    ``spark.sql.shuffle.partitions``). A design is a sample for one worker, so it may be one row. Labels that repeat a design
+    keep one row of it in ``samples``, and nodes and edges without a label are in none of the tables.
+    """
+    parts = files or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = labels.dropDuplicates(["design_id"])
+    place = one.select("design_id", *by)
+
+    def put(df: DataFrame, name: str, *order: str) -> None:
+        df.repartitionByRange(parts, "design_id").sortWithinPartitions(*by, "design_id", *order).write.mode(mode).partitionBy(*by).parquet(f"{path}/{name}")
+
+    ids = lambda df, *names: [c for c in names if c in df.columns]
+    put(nodes.drop(*by).join(place, "design_id"), "nodes", *ids(nodes, "node_id"))
+    put(edges.drop(*by).join(place, "design_id"), "edges", *ids(edges, "edge_id", "src", "dst"))
+    put(labels, "labels")
+
+    def packed(df: DataFrame, name: str, *order: str) -> DataFrame:
+        cols = [*order, *[c for c in df.columns if c not in (*order, "design_id", *by)]]
+        return df.groupBy("design_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+
+    samples = one.drop("nodes", "edges").join(packed(nodes, "nodes", *ids(nodes, "node_id")), "design_id", "left").join(packed(edges, "edges", *ids(edges, "edge_id", "src", "dst")), "design_id", "left")
+    put(samples.withColumns({c: F.coalesce(c, F.array().cast(samples.schema[c].dataType)) for c in ("nodes", "edges")}), "samples")
     dictionaries.coalesce(1).write.mode(mode).parquet(f"{path}/dictionaries")
 
 
+def read_graph_samples(spark: SparkSession, path: str, designs: list[str] | None = None, where: str | None = None) -> DataFrame:
+    """Packed samples; ``designs`` are looked up by the row groups' statistics, ``where`` picks data sets and splits."""
+    df = spark.read.parquet(f"{path}/samples")
+    df = df.where(where) if where else df
+    return df.where(F.col("design_id").isin(designs)) if designs is not None else df
+
+
 def sparse_to_array(vector: str | Column) -> Column:
     """A sparse vector written out, for small widths."""
     v = F.col(vector) if isinstance(vector, str) else vector

@@ -24,6 +24,7 @@ from ..operators import sampling as sp
 from ..operators import selection as sl
 from ..operators import space as ds
 from ..operators import trajectory as tj
+from ..operators.joins import materialized
 from ..sources import readers as rd
 from ..sources import writers as wr
 
@@ -966,33 +967,70 @@ def _tree(t: Tables) -> str:
     return f"{base if '://' in base else 'file://' + base}/trees/{uuid.uuid4().hex}"
 
 
-@query("s1_eval_records", """SELECT 'run__2025-01-02_03-04-05' AS run, 'm' || s_suppkey % 2 AS model, 'd' || s_nationkey AS domain, ['seed_designs', 'feedback_runs', 'final_designs'][(s_suppkey % 3 + 1)::INTEGER] AS stage, s_suppkey::INTEGER AS seed, (s_suppkey % 4)::INTEGER AS iteration,
-    (s_suppkey % 8)::INTEGER AS sample_idx, CASE WHEN s_suppkey % 5 = 0 THEN '__fix' ELSE '' END AS retry_suffix, s_name AS kernel_name, CASE WHEN s_acctbal > 3000 THEN 'Pass' ELSE 'Fail' END AS status, s_acctbal AS temperature, 'f' || s_suppkey || '.cpp' AS code FROM supplier""")
-def _(t):
+_S1_SQL = """SELECT 'run__2025-01-02_03-04-05' AS run, 'm' || s_suppkey % 2 AS model, 'd' || s_nationkey AS domain, ['seed_designs', 'feedback_runs', 'final_designs'][(s_suppkey % 3 + 1)::INTEGER] AS stage, s_suppkey::INTEGER AS seed, (s_suppkey % 4)::INTEGER AS iteration,
+    (s_suppkey % 8)::INTEGER AS sample_idx, CASE WHEN s_suppkey % 5 = 0 THEN '__fix' ELSE '' END AS retry_suffix, s_name AS kernel_name, CASE WHEN s_acctbal > 3000 THEN 'Pass' ELSE 'Fail' END AS status, s_acctbal AS temperature, 'f' || s_suppkey || '.cpp' AS code FROM supplier"""
+
+
+def _record_files(t: Tables) -> DataFrame:
     n, text = F.col("s_suppkey"), lambda c: c.cast("string")
     stage = F.when(n % 3 == 0, "seed_designs").when(n % 3 == 1, "feedback_runs").otherwise("final_designs")
     path = F.concat(F.lit("run__2025-01-02_03-04-05/m"), text(n % 2), F.lit("/d"), text(F.col("s_nationkey")), F.lit("/"), stage, F.lit("/seed_design_"), text(n), F.lit("/iter_"), text(n % 4), F.lit("_samples/sample_"), text(n % 8), F.when(n % 5 == 0, "__fix").otherwise(""), F.lit("/single_eval_data.json"))
     record = F.struct(F.col("s_name").alias("kernel_name"), F.when(F.col("s_acctbal") > 3000, "Pass").otherwise("Fail").alias("status"), F.col("s_acctbal").alias("temperature"), F.create_map(F.concat(F.lit("f"), text(n), F.lit(".cpp")), F.lit("int x;\n")).alias("generated_code"))
-    wr.write_text_files(t.supplier.select(path.alias("path"), F.to_json(record).alias("content")), root := _tree(t))
-    got = rd.read_eval_records(t.spark, root)
+    return t.supplier.select("s_suppkey", path.alias("path"), F.to_json(record).alias("content"))
+
+
+def _record_columns(got: DataFrame) -> DataFrame:
     return got.select("run", "model", "domain", "stage", "seed", "iteration", "sample_idx", "retry_suffix", "kernel_name", "status", "temperature", F.map_keys("generated_code")[0].alias("code"))
 
 
-@query("s2_domain_summaries", """WITH s AS (SELECT 'd' || s_nationkey AS domain, s_suppkey FROM supplier)
-    SELECT domain, s_suppkey::VARCHAR AS seed, 0 AS position, NULL AS target, NULL AS status, (s_suppkey % 7)::INTEGER AS num_functions FROM s
-    UNION ALL SELECT domain, s_suppkey::VARCHAR, (i + 1)::INTEGER, 't' || i, CASE WHEN (s_suppkey + i) % 2 = 0 THEN 'Pass' ELSE 'Fail' END, (s_suppkey % 7 + i)::INTEGER FROM (SELECT *, unnest(range(s_suppkey % 4)) AS i FROM s)""")
+@query("s1_eval_records", _S1_SQL)
+def _(t):
+    wr.write_text_files(_record_files(t), root := _tree(t))
+    return _record_columns(rd.read_eval_records(t.spark, root))
+
+
+@query("s1_synced_records", f"SELECT *, seed % 3 = 0 AS known FROM ({_S1_SQL})")
 def _(t):
+    # files of every third supplier first, then the others; a third call brings nothing
+    files, root, store = _record_files(t), _tree(t), _tree(t)
+    wr.write_text_files(files.where("s_suppkey % 3 = 0"), root)
+    first = materialized(t.spark, rd.sync_eval_records(t.spark, root, store).select("seed", F.lit(True).alias("known")))
+    wr.write_text_files(files.where("s_suppkey % 3 <> 0"), root)
+    rd.sync_eval_records(t.spark, root, store)
+    every = rd.sync_eval_records(t.spark, root, store)
+    return _record_columns(every).join(first, "seed", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+_S2_SQL = """WITH s AS (SELECT 'd' || s_nationkey AS domain, s_suppkey FROM supplier)
+    SELECT domain, s_suppkey::VARCHAR AS seed, 0 AS position, NULL AS target, NULL AS status, (s_suppkey % 7)::INTEGER AS num_functions FROM s
+    UNION ALL SELECT domain, s_suppkey::VARCHAR, (i + 1)::INTEGER, 't' || i, CASE WHEN (s_suppkey + i) % 2 = 0 THEN 'Pass' ELSE 'Fail' END, (s_suppkey % 7 + i)::INTEGER FROM (SELECT *, unnest(range(s_suppkey % 4)) AS i FROM s)"""
+
+
+def _summary_files(t: Tables) -> DataFrame:
     n, text = F.col("s_suppkey"), lambda c: c.cast("string")
     step = lambda i: F.struct(F.concat(F.lit("iter_"), text(i)).alias("key"), F.struct(F.when((n + i) % 2 == 0, "Pass").otherwise("Fail").alias("Status"), F.concat(F.lit("t"), text(i)).alias("Target"), F.struct((n % 7 + i).alias("num_functions")).alias("target_result")).alias("value"))
     steps = F.when(n % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), n % 4 - 1), step)).otherwise(F.array_remove(F.array(step(F.lit(0).cast("long"))), step(F.lit(0).cast("long"))))
     entry = F.struct(text(n).alias("key"), F.struct(F.struct(F.struct((n % 7).alias("num_functions")).alias("target_results")).alias("seed_design"), F.map_from_entries(steps).alias("iters")).alias("value"))
     files = t.supplier.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("eval_data_by_seed"))
     domain = F.concat(F.lit("d"), text(F.col("s_nationkey")))
-    files = files.select(F.concat(F.lit("run__1/"), domain, F.lit("/domain_eval_data_summary.json")).alias("path"), F.to_json(F.struct(F.lit("m").alias("model_name"), domain.alias("domain"), "eval_data_by_seed")).alias("content"))
-    wr.write_text_files(files, root := _tree(t))
+    return files.select("s_nationkey", F.concat(F.lit("run__1/"), domain, F.lit("/domain_eval_data_summary.json")).alias("path"), F.to_json(F.struct(F.lit("m").alias("model_name"), domain.alias("domain"), "eval_data_by_seed")).alias("content"))
+
+
+@query("s2_domain_summaries", _S2_SQL)
+def _(t):
+    wr.write_text_files(_summary_files(t), root := _tree(t))
     return rd.read_domain_summaries(t.spark, root).select("domain", "seed", "position", "target", "status", F.col("result.num_functions").alias("num_functions"))
 
 
+@query("s2_synced_summaries", _S2_SQL)
+def _(t):
+    files, root, store = _summary_files(t), _tree(t), _tree(t)
+    for part in ("s_nationkey % 2 = 0", "s_nationkey % 2 = 1"):
+        wr.write_text_files(files.where(part), root)
+        got = rd.sync_domain_summaries(t.spark, root, store)
+    return got.select("domain", "seed", "position", "target", "status", F.col("result.num_functions").alias("num_functions"))
+
+
 @query("s3_qor_tables", "SELECT 'part-' || p_partkey AS design_id, 'set' || p_size % 3 AS dataset, p_name AS name, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size::VARCHAR END AS latency, (p_partkey * 2)::VARCHAR AS luts FROM part")
 def _(t):
     have = {"design_id": F.concat(F.lit("part-"), F.col("p_partkey").cast("string")), "design__name": F.col("p_name"), "synthesis__latency_best_cycles": F.when(F.col("p_size") % 4 > 0, F.col("p_size").cast("string")), "implementation__utilization__Total LUTs": (F.col("p_partkey") * 2).cast("string")}
@@ -1062,6 +1100,33 @@ def _(t):
     return t.spark.read.parquet(f"{root}/nodes").select("design_id", "node_id", "text", "dataset", "split")
 
 
+def _samples(t: Tables) -> str:
+    nodes, edges = _node_link(t)
+    labels = nodes.select("design_id", F.concat(F.lit("s"), (F.length("design_id") % 2).cast("string")).alias("dataset"), F.when(F.col("design_id") < "Brand-3", "train").otherwise("test").alias("split")).distinct()
+    ft.write_graph_samples(nodes, edges, labels, ft.fit_dictionaries({"text": nodes.select("text")}), root := _tree(t), files=4)
+    return root
+
+
+_S9_LABELS = "'s' || length(design_id) % 2 AS dataset, CASE WHEN design_id < 'Brand-3' THEN 'train' ELSE 'test' END AS split"
+
+
+@query("s9_packed_samples", f"""WITH n AS ({_NODE_SQL}), l AS ({_LINK_SQL}), g AS (SELECT design_id, count(*) AS n_nodes, string_agg(node_id, ' ' ORDER BY node_id) AS node_ids FROM n GROUP BY 1), e AS (SELECT design_id, count(*) AS n_edges, sum(edge_id * (flow + 1))::BIGINT AS edge_sum FROM l GROUP BY 1)
+    SELECT g.design_id, {_S9_LABELS.replace('design_id', 'g.design_id')}, n_nodes, node_ids, n_edges, edge_sum FROM g JOIN e ON e.design_id = g.design_id""")
+def _(t):
+    edge_sum = F.aggregate("edges", F.lit(0).cast("long"), lambda acc, e: acc + e["edge_id"] * (e["flow"] + 1))
+    got = ft.read_graph_samples(t.spark, _samples(t))
+    return got.select("design_id", "dataset", "split", F.size("nodes").cast("long").alias("n_nodes"), F.array_join("nodes.node_id", " ").alias("node_ids"), F.size("edges").cast("long").alias("n_edges"), edge_sum.alias("edge_sum"))
+
+
+@query("s9_sample_tables", f"""WITH n AS ({_NODE_SQL}), l AS ({_LINK_SQL}), d AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS idx FROM (SELECT DISTINCT text FROM n)),
+    e AS (SELECT design_id, src, count(*) AS n_edges FROM l GROUP BY ALL) SELECT n.design_id, n.node_id, {_S9_LABELS.replace('design_id', 'n.design_id')}, idx::INTEGER AS text_idx, coalesce(n_edges, 0) AS n_edges FROM n JOIN d ON d.text = n.text LEFT JOIN e ON e.design_id = n.design_id AND e.src = n.node_id""")
+def _(t):
+    nodes, edges, labels, words = (t.spark.read.parquet(f"{root}/{x}") for root in [_samples(t)] for x in ("nodes", "edges", "labels", "dictionaries"))
+    out = nodes.drop("dataset", "split").join(labels, "design_id").join(words.where("column = 'text'").select(F.col("value").alias("text"), F.col("idx").alias("text_idx")), "text")
+    per = edges.groupBy("design_id", F.col("src").alias("node_id")).agg(F.count("*").alias("n_edges"))
+    return out.join(per, ["design_id", "node_id"], "left").select("design_id", "node_id", "dataset", "split", "text_idx", F.coalesce("n_edges", F.lit(0).cast("long")).alias("n_edges"))
+
+
 @query("s6_synth_reports", "SELECT p_partkey, round(p_size * CASE p_partkey % 3 WHEN 0 THEN 1e-9 WHEN 1 THEN 1e-6 ELSE 1e-3 END, 12) AS clock_period, CASE WHEN p_size % 4 <> 0 THEN p_size * 10 END::BIGINT AS latency_best_cycles, round(p_size / 50, 6) AS share, 0.0::DOUBLE AS uram FROM part")
 def _(t):
     s, n = F.col("p_size").cast("string"), F.col("p_partkey") % 3

@@ -27,6 +27,9 @@ num_samples_per_iteration int, eval_data_by_seed map<string, struct<seed_design:
 iters: map<string, struct<Path:string,Status:string,Target:string,target_result:{RESULT}>>>>
 """
 
+# Names of the files.
+RECORD_FILE, SUMMARY_FILE = "single_eval_data.json", "domain_eval_data_summary.json"
+
 QOR = ", ".join(
     f"`{c}` string"
     for c in (
@@ -53,25 +56,27 @@ def path_columns(df: DataFrame, path: str = "__path") -> DataFrame:
     })
 
 
-def read_eval_records(spark: SparkSession, root: str, mode: str = "strict") -> DataFrame:
-    """All evaluation records below a folder, with the keys that their paths carry.
+def _json_files(spark: SparkSession, schema: str, name: str, mode: str, stream: bool = False):
+    """A reader of all files of this name below a folder, in one batch or as a stream of files."""
+    reader = (spark.readStream if stream else spark.read).schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    return reader.option("mode", "FAILFAST" if mode == "strict" else "PERMISSIVE")
 
-    ``strict`` fails on bad JSON; ``lenient`` gives an empty record. Tool outputs stay JSON text, for nested_numeric.
-    """
-    reader = spark.read.schema(RECORD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "single_eval_data.json")
-    df = reader.option("mode", "FAILFAST" if mode == "strict" else "PERMISSIVE").json(root)
+
+def _records(df: DataFrame) -> DataFrame:
     return path_columns(df.withColumn("__path", F.col("_metadata.file_path"))).drop("__path")
 
 
-def read_domain_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """One row per run, model, domain, seed and position: 0 is the seed design, then the iterations in numeric order."""
-    df = spark.read.schema(SUMMARY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "domain_eval_data_summary.json").json(root)
+def _summaries(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
     df = df.withColumns({
         "run": F.nullif(F.regexp_extract(path, r"/(run__[^/]+)/", 1), F.lit("")),
         "domain": F.coalesce("domain", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)), "model": F.coalesce("model_name", F.lit("unknown_model")),
     })
-    seeds = df.select("run", "model", "domain", "target_list", F.explode("eval_data_by_seed").alias("seed", "entry"))
+    return df.select("run", "model", "domain", "target_list", "eval_data_by_seed")
+
+
+def _positions(summaries: DataFrame) -> DataFrame:
+    seeds = summaries.select("run", "model", "domain", "target_list", F.explode("eval_data_by_seed").alias("seed", "entry"))
     first = seeds.select("run", "model", "domain", "target_list", "seed", F.lit(0).alias("position"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("status"), F.col("entry.seed_design.target_results").alias("result"))
     iters = seeds.select("run", "model", "domain", "target_list", "seed", F.explode("entry.iters").alias("key", "it"))
     number = F.regexp_extract("key", r"^iter_(\d+)$", 1).try_cast("int")
@@ -79,6 +84,45 @@ def read_domain_summaries(spark: SparkSession, root: str) -> DataFrame:
     return first.unionByName(later)
 
 
+def _synced(rows: DataFrame, store: str) -> DataFrame:
+    """Append what the stream of files has not brought before to the Parquet store, by run and model; all rows of the store.
+
+    The stream's checkpoint beside the rows is the list of files read. A call that fails leaves no row, and the next one
+    reads its files again.
+    """
+    spark = rows.sparkSession
+    sink = rows.writeStream.format("parquet").partitionBy("run", "model").option("checkpointLocation", f"{store}/checkpoint")
+    sink.trigger(availableNow=True).start(f"{store}/rows").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{store}/rows").select(*rows.columns)
+
+
+def read_eval_records(spark: SparkSession, root: str, mode: str = "strict") -> DataFrame:
+    """All evaluation records below a folder, with the keys that their paths carry.
+
+    ``strict`` fails on bad JSON; ``lenient`` gives an empty record. Tool outputs stay JSON text, for nested_numeric.
+    """
+    return _records(_json_files(spark, RECORD, RECORD_FILE, mode).json(root))
+
+
+def sync_eval_records(spark: SparkSession, root: str, store: str, mode: str = "strict", files_at_once: int = 100_000) -> DataFrame:
+    """As read_eval_records, but each file is read once: what it holds is kept in ``store`` as Parquet, by run and model.
+
+    A call reads the files that are new since the last one, ``files_at_once`` a step. A file that changes after it was read is
+    not read again. Each root needs a store of its own.
+    """
+    return _synced(_records(_json_files(spark, RECORD, RECORD_FILE, mode, stream=True).option("maxFilesPerTrigger", files_at_once).json(root)), store)
+
+
+def read_domain_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run, model, domain, seed and position: 0 is the seed design, then the iterations in numeric order."""
+    return _positions(_summaries(_json_files(spark, SUMMARY, SUMMARY_FILE, "lenient").json(root)))
+
+
+def sync_domain_summaries(spark: SparkSession, root: str, store: str, files_at_once: int = 100_000) -> DataFrame:
+    """As read_domain_summaries, with a store as that of sync_eval_records."""
+    return _positions(_synced(_summaries(_json_files(spark, SUMMARY, SUMMARY_FILE, "lenient", stream=True).option("maxFilesPerTrigger", files_at_once).json(root)), store))
+
+
 def _files(spark: SparkSession, patterns: list[str]) -> list[str]:
     """Sorted distinct files of all patterns; one that matches nothing is an error."""
     found: set[str] = set()

@@ -228,6 +228,30 @@ def test_record_tree(spark, tmp_path):
     assert rd.read_eval_records(spark, str(tmp_path), "lenient").where("status is null").count() == 1
 
 
+def test_synced_records_read_each_file_once(spark, tmp_path):
+    base, root, store = tmp_path / "in/run__2025-01-02_03-04-05/m/astro/seed_designs", str(tmp_path / "in"), str(tmp_path / "store")
+
+    def put(n, text):
+        path = base / f"seed_design_{n}/iter_0_samples/sample_0/single_eval_data.json"
+        path.parent.mkdir(parents=True)
+        path.write_text(text)
+        return path
+
+    first = put(1, json.dumps({"status": "Pass"}))
+    assert rd.sync_eval_records(spark, root, store).count() == 1
+    first.unlink()  # what was read stays in the store
+    put(2, json.dumps({"status": "Fail"}))
+    for _ in range(2):
+        got = rd.sync_eval_records(spark, root, store)
+        assert sorted((r.seed, r.status, r.run, r.model) for r in got.collect()) == [(1, "Pass", "run__2025-01-02_03-04-05", "m"), (2, "Fail", "run__2025-01-02_03-04-05", "m")]
+    assert got.columns == rd.read_eval_records(spark, root).columns
+    broken = put(3, "{broken")
+    with pytest.raises(Exception, match="(?i)malformed|corrupt|parse"):
+        rd.sync_eval_records(spark, root, store)
+    broken.write_text(json.dumps({"status": "Pass"}))
+    assert sorted(r.seed for r in rd.sync_eval_records(spark, root, store).collect()) == [1, 2, 3]
+
+
 def test_domain_summaries(spark, tmp_path):
     path = tmp_path / "run__x/m/astro/domain_eval_data_summary.json"
     path.parent.mkdir(parents=True)
@@ -306,6 +330,33 @@ def test_graph_samples_are_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/nodes")).where("split = 'train'").count() == 1
 
 
+def test_packed_samples(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"d{i % 5}", str(i), "x") for i in range(40)] + [("none", "0", "y")], "design_id string, node_id string, text string")
+    edges = spark.createDataFrame([("d1", 1, "6", "1"), ("d1", 0, "1", "6")], "design_id string, edge_id long, src string, dst string")
+    labels = spark.createDataFrame([(f"d{i}", float(i), "one", "test" if i == 4 else "train") for i in range(5)] + [("bare", 9.0, "one", "train"), ("d1", 1.0, "one", "train")], "design_id string, perf double, dataset string, split string")
+    path = str(tmp_path / "t")
+    ft.write_graph_samples(nodes, edges, labels, ft.fit_dictionaries({"text": nodes.select("text")}), path, files=2)
+    got = {r.design_id: r for r in ft.read_graph_samples(spark, path).collect()}
+    assert set(got) == {"d0", "d1", "d2", "d3", "d4", "bare"} and got["bare"].nodes == [] and got["d0"].edges == [] and got["d3"].perf == 3.0
+    assert [e.edge_id for e in got["d1"].edges] == [0, 1] and [n.node_id for n in got["d1"].nodes] == sorted(str(i) for i in range(40) if i % 5 == 1)
+    few = ft.read_graph_samples(spark, path, ["d2"], "split = 'train'")
+    assert one(few).design_id == "d2" and "In(design_id" in few._jdf.queryExecution().toString() or "EqualTo(design_id,d2)" in few._jdf.queryExecution().toString()
+
+
+def test_density_of_many_values_is_binned(spark):
+    rng = np.random.default_rng(7)
+    v = rng.gamma(2.0, 3.0, 4000)
+    df = spark.createDataFrame([("g", float(x)) for x in v] + [("far", float(x)) for x in [0.0] * 500 + [1e6]] + [("one", 1.0), ("same", 2.0), ("same", 2.0)], "k string, v double")
+    plain, binned = ({(r.k, round(r.x, 6)): r.density for r in pf.metric_density(df, ["k"], "v", distinct=n).collect()} for n in (10**6, 1000))
+    h = v.std(ddof=1) * len(v) ** -0.2
+    grid = np.linspace(v.min(), v.max(), 200)
+    want = np.exp(-(((grid[:, None] - v) / h) ** 2) / 2).sum(1) / (h * len(v) * np.sqrt(2 * np.pi))
+    assert [plain["g", round(float(x), 6)] for x in grid] == pytest.approx(want.tolist(), abs=1e-12)
+    assert [binned["g", round(float(x), 6)] for x in grid] == pytest.approx(want.tolist(), abs=1e-7)
+    assert len(plain) == len(binned) == 400 and plain["far", 0.0] > 0 and {k for k, _ in plain} == {"g", "far"}
+    assert one(pf.metric_density(df.where("k = 'g'").select("v"), [], "v").agg(F.sum("density"))).asDict()["sum(density)"] == pytest.approx(want.sum())
+
+
 def test_scope_and_sparse(spark):
     nodes = spark.createDataFrame([("d", "0", "pseudo_block", "x"), ("d", "1", "parallel", "PARALLEL factor=4"), ("d", "2", "add", "y")], "design_id string, node_id string, text string, full_text string")
     edges = spark.createDataFrame([("d", 0, "0", "1"), ("d", 1, "0", "2")], "design_id string, edge_id long, src string, dst string")
