@@ -1,13 +1,15 @@
 """Operator 2: packing of token pieces by non-negative least squares over the length histogram.
 
-1. One pass tokenizes every document, cuts it at multiples of the window, and keeps of each piece only its length and
-   the CRC of its ids.
+1. One pass tokenizes every document, cuts it at multiples of the window, and keeps of each piece its length, the CRC of its
+   ids and, packed, the ids of those that may be cut again.
 2. Piece lengths are rounded up to bins. All combinations of up to ``depth`` bins that fill the window exactly are
    the columns of a matrix; least squares with non-negative repeat counts fits them to the histogram. The counts are
-   rounded down to what the histogram can supply, and the residual pieces are packed greedily, longest first.
-   This works on the histogram alone, whose size does not depend on the data's.
-3. Pieces get their rank within the bin from counts per salt (no window over a whole bin, which may hold a third of
-   all rows), and the plan turns (bin, rank) into a sequence.
+   rounded down to what the histogram can supply, and the residual pieces are packed greedily by their exact lengths, longest
+   first. Lengths for which that leaves more than ``spare`` of a window open are laid end to end on a tape, which is cut into
+   windows and, at its end, into powers of two. So no sequence is padded by more than the rounding of a combination or
+   ``spare``. This works on the histogram alone, whose size does not depend on the data's.
+3. Pieces get their rank within the bin, longest first, from counts per length and salt (no window over a whole bin, which may
+   hold a third of all rows), and the plan turns (bin, rank) into a sequence, or into a place on the tape.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,17 @@ from .hashing import U, byte_values, mix, prefix_sums, span_hash
 WINDOW = 4096
 BIN = 16
 DEPTH = 3
+#: A greedy sequence may leave one part in so many of its window open.
+SPARE = 64
 END_ID = 2
 #: Pieces of one bin that are ranked together, about.
 SALT_ROWS = 500_000
 #: Units whose ids a worker remembers, and how many new ones are tokenized as one text.
 CACHE_UNITS, TOGETHER = 2_000_000, 512
 
+_PIECE_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+_PIECE = ", ".join(f"{c} long" for c in _PIECE_COLUMNS)
+
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _KIND = np.full(256, _ODD, np.uint8)
 _KIND[:128] = _OTHER
@@ -231,66 +239,97 @@ def combinations(top: int, depth: int) -> list[tuple[int, ...]]:
     return list(dict.fromkeys(found))
 
 
-def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[dict[int, int], int]]:
-    """(bins with multiplicity, repeats) that use up ``histogram`` (index: bin, 0 unused) exactly."""
-    top = len(histogram) - 1
-    left = histogram.astype(np.int64).copy()
-    out: list[tuple[dict[int, int], int]] = []
+def plan(lengths: np.ndarray, width: int = BIN, depth: int = DEPTH) -> tuple[list[tuple[list[tuple[int, int, int]], int]], list[tuple[int, int, int]]]:
+    """What becomes of all pieces; ``lengths[n]`` of them have length n (the last index is the window).
 
-    def take(pattern: tuple[int, ...] | list[int], times: int) -> None:
+    Pieces of a bin stand in a queue, longest first. Sequences: (intervals, repeats), an interval being (bin, first place in
+    its queue, pieces a sequence). Tape: (length, first place, number of pieces).
+    """
+    window = len(lengths) - 1
+    top = -(-window // width)
+    bin_of = np.minimum(-(-np.arange(window + 1) // width), top)
+    # where each length begins in its bin's queue, and where the queue goes on
+    begin = np.zeros(window + 1, np.int64)
+    for b in range(1, top + 1):
+        own = np.flatnonzero(bin_of == b)[::-1]
+        begin[own] = np.cumsum(lengths[own]) - lengths[own]
+    histogram = np.bincount(bin_of, weights=lengths, minlength=top + 1).astype(np.int64)
+    used = np.zeros(top + 1, np.int64)
+    out: list[tuple[list[tuple[int, int, int]], int]] = []
+
+    def take(pattern: tuple[int, ...], times: int) -> None:
         bins, many = np.unique(pattern, return_counts=True)
-        out.append((dict(zip(bins.tolist(), many.tolist(), strict=True)), times))
-        left[bins] -= many * times
+        out.append(([(int(b), int(used[b]), int(m)) for b, m in zip(bins, many, strict=True)], times))
+        used[bins] += many * times
 
-    if left[top]:
-        take([top], int(left[top]))
-    used = np.flatnonzero(left)
+    full = int(lengths[window])
+    if full:
+        take((top,), full)
+    left = histogram - used
     patterns = [p for p in combinations(top, depth) if len(p) > 1 and all(left[b] for b in p)]
     if patterns:
-        row = {int(b): i for i, b in enumerate(used)}
-        matrix = np.zeros((len(used), len(patterns)))
+        rows = np.flatnonzero(left)
+        row = {int(b): i for i, b in enumerate(rows)}
+        matrix = np.zeros((len(rows), len(patterns)))
         for j, p in enumerate(patterns):
             for b in p:
                 matrix[row[b], j] += 1
-        x = least_squares(matrix, left[used].astype(float))
+        x = least_squares(matrix, left[rows].astype(float))
         for j in np.argsort(-x, kind="stable"):
             bins, many = np.unique(patterns[j], return_counts=True)
-            times = min(int(round(x[j])), int((left[bins] // many).min()))
+            times = min(int(round(x[j])), int(((histogram - used)[bins] // many).min()))
             if times > 0:
                 take(patterns[j], times)
-    # residual pieces: fill a window with the longest bins that still fit, as often as the supply allows
-    while left.any():
-        room, pattern = top, []
-        supply = left.copy()
-        while room > 0:
-            fits = np.flatnonzero(supply[: room + 1])
-            if not len(fits):
-                break
-            b = int(fits[-1])
-            many = min(int(supply[b]), room // b)
-            pattern += [b] * many
-            supply[b] -= many
-            room -= b * many
-        bins, many = np.unique(pattern, return_counts=True)
-        take(pattern, int((left[bins] // many).min()))
-    return out
+    # the rest by exact lengths: fill a window with the longest pieces that still fit, as often as the supply allows
+    gone = np.clip(used[bin_of] - begin, 0, lengths)
+    tape = []
+    while (gone < lengths).any():
+        room, pattern = window, {}
+        supply = lengths - gone
+        longest = int(np.flatnonzero(supply)[-1])
+        while room > 0 and len(fits := np.flatnonzero(supply[: room + 1])):
+            n = int(fits[-1])
+            pattern[n] = min(int(supply[n]), room // n)
+            supply[n] -= pattern[n]
+            room -= n * pattern[n]
+        if room > window // SPARE:
+            tape.append((longest, int(begin[longest] + gone[longest]), int(lengths[longest] - gone[longest])))
+            gone[longest] = lengths[longest]
+            continue
+        times = min(int(lengths[n] - gone[n]) // m for n, m in pattern.items())
+        out.append(([(int(bin_of[n]), int(begin[n] + gone[n]), m) for n, m in pattern.items()], times))
+        for n, m in pattern.items():
+            gone[n] += m * times
+    return out, tape
+
+
+def tape_ends(total: int, window: int) -> np.ndarray:
+    """Ends of the sequences that the last part of a tape is cut into: powers of two, the largest first."""
+    rest, at, ends = total % window, total - total % window, []
+    for bit in reversed(range(rest.bit_length())):
+        if rest >> bit & 1:
+            at += 1 << bit
+            ends.append(at)
+    return np.array(ends, np.int64)
 
 
 def _pieces(keyed: DataFrame, tokenizer: str, window: int) -> DataFrame:
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    schema = f"{_PIECE}, ids binary"
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1)
         for batch, texts in blocks(batches):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            rows = []
+            rows, kept_ids = [], []
             for doc, data in zip(ids, token_ids(texts, tokenizer), strict=True):
                 data += end
                 n = len(data) // 4
                 for a in range(0, n, window):
                     piece = data[4 * a : 4 * (a + window)]
                     rows.append((doc, a, len(piece) // 4, zlib.crc32(piece), n))
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), zip(*rows, strict=True), strict=True)})
+                    kept_ids.append(small.compress(piece) if len(piece) < 4 * window else None)
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in zip(*rows, strict=True)), pa.array(kept_ids, pa.binary())], names=[*_PIECE_COLUMNS, "ids"])
 
     return keyed.mapInArrow(run, schema)
 
@@ -299,7 +338,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``tokenizer``: path of a tokenizers file. A document's ids end with id 2; null and empty texts have that id alone.
-    Documents are cut at multiples of ``window``. Within a sequence pieces stand without gaps, longest bin first.
+    Documents are cut at multiples of ``window``, and where the tape is cut. Within a sequence pieces stand without gaps.
+    A sequence that is shorter than the window is to be padded to it, unless its length is a power of two.
     Rows that repeat an id are documents of their own; an empty table gives no rows.
     """
     top = -(-window // width)
@@ -307,38 +347,69 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
     bin_of = F.least(F.ceil(F.col("length") / width), F.lit(top)).cast("int")
     salts = max(8, -(-pieces.count() // SALT_ROWS))
     pieces = pieces.select("*", bin_of.alias("bin"), F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).alias("salt"))
-    counts = written(spark, pieces.groupBy("bin", "salt").agg(F.count("*").alias("n")), "bin_counts")
-    # at most window / width counts reach the driver
-    histogram = np.zeros(top + 1, np.int64)
-    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        histogram[r["bin"]] = r["n"]
-    earlier = Window.partitionBy("bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = written(spark, counts.select("bin", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "bin_ranks")
-    # for each bin: rank intervals, the first sequence of each and how many pieces of the bin a sequence takes
+    counts = written(spark, pieces.groupBy("bin", "length", "salt").agg(F.count("*").alias("n")), "length_counts")
+    # at most ``window`` counts reach the driver
+    lengths = np.zeros(window + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+        lengths[r["length"]] = r["n"]
+    earlier = Window.partitionBy("bin").orderBy(F.desc("length"), "salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = written(spark, counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "length_ranks")
+    sequences, tape = plan(lengths, width, depth)
+    # for each bin: intervals of its queue, and of each the first sequence and how many pieces a sequence takes; or, with 0
+    # pieces, where it begins on the tape
     intervals: dict[int, list[tuple[int, int, int]]] = {}
-    used, sequence = np.zeros(top + 1, np.int64), 0
-    for bins, times in plan(histogram, depth):
-        for b, many in bins.items():
-            intervals.setdefault(b, []).append((int(used[b]), sequence, many))
-            used[b] += many * times
+    sequence = position = 0
+    for parts, times in sequences:
+        for b, low, many in parts:
+            intervals.setdefault(b, []).append((low, sequence, many))
         sequence += times
-    lookup = {b: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for b, v in intervals.items()}
+    for n, low, many in tape:
+        intervals.setdefault(min(-(-n // width), top), []).append((low, position, 0))
+        position += n * many
+    lookup = {b: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for b, v in intervals.items()}
+    ends, whole, taped = tape_ends(position, window), position // window, [n for n, _, _ in tape]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = zstandard.ZstdDecompressor()
         for batch in batches:
-            col = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema) if f.name in ("bin", "rank")}
-            rank = col["rank"]
-            out = np.zeros(len(rank), np.int64)
-            for b in np.unique(col["bin"]):
-                mine = np.flatnonzero(col["bin"] == b)
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in (*_PIECE_COLUMNS, "bin", "rank", "ids")}
+            length, bins, rank = (col[c].to_numpy(zero_copy_only=False) for c in ("length", "bin", "rank"))
+            out, at = np.zeros(len(rank), np.int64), np.full(len(rank), -1, np.int64)
+            for b in np.unique(bins):
+                mine = np.flatnonzero(bins == b)
                 low, base, many = lookup[int(b)]
                 i = np.searchsorted(low, rank[mine], "right") - 1
-                out[mine] = base[i] + (rank[mine] - low[i]) // many[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "sequence_id"])
-
-    nth = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = sized_join(pieces.withColumn("nth", nth), before, ["bin", "salt"], "inner")
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", (F.col("nth") - 1 + F.col("before")).alias("rank"))
-    placed = ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, sequence_id long")
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+                on_tape = many[i] == 0
+                out[mine] = base[i] + (rank[mine] - low[i]) // np.maximum(many[i], 1)
+                at[mine[on_tape]] = (base[i] + (rank[mine] - low[i]) * length[mine])[on_tape]
+            plain = np.flatnonzero(at < 0)
+            yield pa.RecordBatch.from_arrays([*(col[c].take(pa.array(plain)) for c in _PIECE_COLUMNS), pa.array(out[plain])], names=[*_PIECE_COLUMNS, "sequence_id"])
+            rows = []
+            for j in np.flatnonzero(at >= 0).tolist():
+                doc, start, n, crc, total = (col[c][j].as_py() for c in _PIECE_COLUMNS)
+                p, data = int(at[j]), None
+                stop = p + n
+                while p < stop:
+                    if p < whole * window:
+                        s, edge = p // window, (p // window + 1) * window
+                    else:
+                        s = int(np.searchsorted(ends, p, "right"))
+                        s, edge = whole + s, int(ends[s])
+                    size = min(edge, stop) - p
+                    if size < n:
+                        data = data or big.decompress(col["ids"][j].as_py())
+                        k = p - int(at[j])
+                        crc = zlib.crc32(data[4 * k : 4 * (k + size)])
+                    rows.append((doc, start + p - int(at[j]), size, crc, total, sequence + s))
+                    p += size
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=[*_PIECE_COLUMNS, "sequence_id"])
+
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
+    # ids go along only with pieces that may lie on the tape
+    ids = F.when(F.col("length").isin(taped), F.col("ids")) if taped else F.lit(None).cast("binary")
+    ranked = sized_join(pieces.withColumn("ids", ids).withColumn("nth", nth), before, ["length", "salt"], "inner")
+    ranked = ranked.select(*_PIECE_COLUMNS, "bin", (F.col("nth") - 1 + F.col("before")).alias("rank"), "ids")
+    placed = ranked.mapInArrow(place, f"{_PIECE}, sequence_id long")
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*_PIECE_COLUMNS, "sequence_id", "offset")

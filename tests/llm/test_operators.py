@@ -267,12 +267,10 @@ def test_instances_hold_every_pair():
             assert any(low <= a and b <= high for low, high, _, _ in spans)
 
 
-def test_packing(spark, corpus):
+def check_packing(docs, got, window, repeated=None):
+    """Each id once, CRCs right, sequences without gaps, and padded to 2 percent at most; a row may stand twice."""
     from tokenizers import Tokenizer
 
-    docs = [(i, t) for i, t in dict(corpus).items() if i is not None]  # ids tell the documents apart here
-    docs += [(400, "it's we'll ''s <|endoftext|> İstanbul 漢字12ab ½ ² x² a_b \x1c \x01"), (401, words(random.Random(1), 9000))]
-    got = packing.pack_documents(spark, frame(spark, docs), tokenizer_path()).collect()
     tokenizer = Tokenizer.from_file(tokenizer_path())
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in docs}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -282,17 +280,26 @@ def test_packing(spark, corpus):
         assert r.doc_tokens == len(ids[r.doc_id]) and zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
     assert pieces.keys() == ids.keys()
     for i, parts in pieces.items():
-        at = 0
-        for r in sorted(parts, key=lambda r: r.start):
-            assert r.start == at
-            at += r.length
-        assert at == len(ids[i])
+        held = np.zeros(len(ids[i]), int)
+        for r in parts:
+            held[r.start : r.start + r.length] += 1
+        assert (held == (2 if i == repeated else 1)).all()
+    padding = 0
     for parts in sequences.values():
         at = 0
         for r in sorted(parts, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 4096
+        assert at <= window
+        padding += window - at if at & (at - 1) else 0
+    assert padding <= 0.02 * sum(r.length for r in got)
+    assert sorted(sequences) == list(range(len(sequences)))
+
+
+def test_packing(spark, corpus):
+    docs = [(i, t) for i, t in dict(corpus).items() if i is not None]  # ids tell the documents apart here
+    docs += [(400, "it's we'll ''s <|endoftext|> İstanbul 漢字12ab ½ ² x² a_b \x1c \x01"), (401, words(random.Random(1), 9000))]
+    check_packing(docs, packing.pack_documents(spark, frame(spark, docs), tokenizer_path()).collect(), 4096)
 
 
 def test_token_ids_of_each_letter_are_the_tokenizer_s():
@@ -310,19 +317,43 @@ def test_token_ids_of_each_letter_are_the_tokenizer_s():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
-def test_plan_uses_the_histogram_up():
+@pytest.mark.parametrize("mix", ["spread", "ones", "seventeen", "short", "halves", "more", "long", "few", "none"])
+def test_plan_uses_all_pieces_and_pads_little(mix):
     rng = np.random.default_rng(3)
-    histogram = rng.integers(0, 300, 65)
-    histogram[0] = 0
-    left, windows = histogram.copy(), 0
-    for bins, times in packing.plan(histogram):
-        assert sum(b * m for b, m in bins.items()) <= 64
-        windows += times
-        for b, m in bins.items():
-            left[b] -= m * times
-    assert not left.any()
-    # no plan needs fewer windows than the total fills, or than there are bins above the half; depth 3 comes near
-    assert windows <= 1.08 * max((np.arange(65) * histogram).sum() / 64, histogram[33:].sum()) + 1
+    drawn = {
+        "spread": rng.integers(1, 4097, 3000), "ones": np.ones(5000, int), "seventeen": np.full(4000, 17), "short": rng.integers(1, 61, 5000), "halves": np.full(1000, 2100),
+        "more": np.full(1000, 2501), "long": rng.integers(2100, 4001, 2000), "few": np.array([4095, 3, 900]), "none": np.zeros(0, int),
+    }[mix]
+    lengths = np.bincount(drawn, minlength=4097)
+    sequences, tape = packing.plan(lengths)
+    queues = {b: np.concatenate([np.full(lengths[n], n) for n in range(min(16 * b, 4096), 16 * (b - 1), -1)]) for b in range(1, 257)}
+    seen, room, count = collections.defaultdict(list), 0, 0
+    for parts, times in sequences:
+        totals = np.zeros(times, int)
+        for b, low, many in parts:
+            seen[b] += range(low, low + many * times)
+            totals += queues[b][low : low + many * times].reshape(times, many).sum(1)
+        assert (totals <= 4096).all()
+        room, count = room + int(np.where((totals & (totals - 1)) == 0, 0, 4096 - totals).sum()), count + times
+    for n, low, many in tape:
+        b = -(-n // 16)
+        seen[b] += range(low, low + many)
+        assert (queues[b][low : low + many] == n).all()
+    assert all(sorted(seen[b]) == list(range(len(q))) for b, q in queues.items())
+    # the tape is not padded: its last sequences are powers of two
+    assert room <= 0.02 * max(drawn.sum(), 1)
+
+
+def test_the_end_of_a_tape_is_cut_into_powers_of_two():
+    assert packing.tape_ends(4096 + 904, 4096).tolist() == [4096 + 512, 4096 + 768, 4096 + 896, 4096 + 904]
+    assert packing.tape_ends(8192, 4096).tolist() == [] and packing.tape_ends(1, 4096).tolist() == [1]
+
+
+@pytest.mark.parametrize("sizes", [[700] * 30, [0] * 90, [2600, 40, 1] * 6])
+def test_cut_pieces_hold_all_ids_and_pad_little(spark, sizes):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n))) for i, n in enumerate(sizes)]
+    check_packing(docs + docs[:1], packing.pack_documents(spark, frame(spark, docs + docs[:1]), tokenizer_path(), window=1024).collect(), 1024, repeated=0)
 
 
 def test_least_squares_is_optimal():
