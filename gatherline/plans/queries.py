@@ -565,6 +565,22 @@ def _(t):
     return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("pc1"), 4).alias("pc1"), F.lit(round(shares[0], 4)).alias("share1"), F.lit(round(shares[1], 4)).alias("share2"))
 
 
+# the roots of a cubic with three real ones, by the cosine of a third of an angle
+@query("f9_pca_three_shares", """WITH v AS (SELECT l_quantity AS x, 500 * l_tax + l_quantity / 3 AS y, 300 * l_discount - l_quantity / 2 AS z FROM lineitem),
+    m AS (SELECT var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM v),
+    q AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+    r AS (SELECT *, acos(((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - e * f) + e * (d * f - e * (b - q))) / (2 * p * p * p)) / 3 AS r FROM p),
+    s AS (SELECT 3 * q AS t, q + 2 * p * cos(r) AS one, q + 2 * p * cos(r + 2 * pi() / 3) AS three FROM r)
+    SELECT round(one / t, 6) AS share1, round((t - one - three) / t, 6) AS share2, round(three / t, 6) AS share3 FROM s""")
+def _(t):
+    x = F.col("l_quantity")
+    df, shares = pf.pca_project(t.lineitem.select(x.alias("x"), (500 * F.col("l_tax") + x / 3).alias("y"), (300 * F.col("l_discount") - x / 2).alias("z")), ["x", "y", "z"], 3)
+    # the same shares from the projected rows
+    total = sum(F.var_pop(f"pc{i}") for i in (1, 2, 3))
+    assert abs(sum(shares) - 1) < 1e-9
+    return df.agg(*[F.round(F.var_pop(f"pc{i}") / total, 6).alias(f"share{i}") for i in (1, 2, 3)])
+
+
 @query("f9_pca_two_metrics", """WITH a AS (SELECT l_returnflag, l_quantity AS x, 500 * l_tax AS y FROM lineitem), m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM a),
     e AS (SELECT *, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l FROM m), w AS (SELECT *, b / sqrt(b * b + (l - a) * (l - a)) AS u, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS v FROM e),
     s AS (SELECT *, CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END AS g FROM w)
@@ -899,17 +915,30 @@ def _(t):
     return ft.node_flags(t.part.select("p_partkey", text.alias("text"), full.alias("full_text"))).drop("text", "full_text")
 
 
-@query("f5_pragma_scope", """WITH l AS (SELECT l_orderkey, l_returnflag AS f, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)
-    SELECT l_orderkey, (CASE WHEN bool_or(f = 'A') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v0, (CASE WHEN bool_or(f = 'N') THEN 10.0 ELSE 0.0 END)::DOUBLE AS v1, (CASE WHEN bool_or(f = 'R') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v2, coalesce(max_by(q, k) FILTER (f = 'R'), 0)::DOUBLE AS v3 FROM l GROUP BY 1""")
-def _(t):
+_F5_SQL = """WITH l AS (SELECT l_orderkey, l_returnflag AS f, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)
+    SELECT l_orderkey, (CASE WHEN bool_or(f = 'A') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v0, (CASE WHEN bool_or(f = 'N') THEN 10.0 ELSE 0.0 END)::DOUBLE AS v1, (CASE WHEN bool_or(f = 'R') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v2, coalesce(max_by(q, k) FILTER (f = 'R'), 0)::DOUBLE AS v3 FROM l GROUP BY 1"""
+
+
+def _scope(t: Tables) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     lines = t.lineitem.select(F.col("l_orderkey").alias("design_id"), k.alias("k"), "l_returnflag", F.col("l_quantity").cast("int").cast("string").alias("q"))
     name = F.when(F.col("l_returnflag") == "A", "TILE").when(F.col("l_returnflag") == "N", "PIPELINE").otherwise("PARALLEL")
     nodes = lines.select("design_id", F.col("k").cast("string").alias("node_id"), name.alias("text"), F.concat(name, F.lit(" factor="), "q").alias("full_text"))
     heads = lines.select("design_id").distinct().select("design_id", F.lit("0").alias("node_id"), F.lit("pseudo_block").alias("text"), F.lit("x").alias("full_text"))
     edges = lines.select("design_id", F.col("k").cast("long").alias("edge_id"), F.lit("0").alias("src"), F.col("k").cast("string").alias("dst"))
-    got = ft.pragma_scope_vector(nodes.unionByName(heads), edges).where("node_id = '0'")
-    return got.select(F.col("design_id").alias("l_orderkey"), *[F.col("scope")[i].alias(f"v{i}") for i in range(4)])
+    got = ft.pragma_scope_vector(nodes.unionByName(heads), edges)
+    return got.select(F.col("design_id").alias("l_orderkey"), "node_id", "in_scope", *[F.col("scope")[i].alias(f"v{i}") for i in range(4)])
+
+
+@query("f5_pragma_scope", _F5_SQL)
+def _(t):
+    return _scope(t).where("node_id = '0'").drop("node_id", "in_scope")
+
+
+@query("f5_scope_of_all_nodes", f"""SELECT *, '0' AS node_id, true AS in_scope FROM ({_F5_SQL})
+    UNION ALL SELECT l_orderkey, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber))::VARCHAR, false FROM lineitem""")
+def _(t):
+    return _scope(t)
 
 
 @query("f6_edge_index", f"WITH {_NODES}, {_EDGES}, i AS (SELECT design_id, id, row_number() OVER (PARTITION BY design_id ORDER BY id::VARCHAR) - 1 AS idx FROM nodes) SELECT e.design_id, edge_id, a.idx AS src_idx, b.idx AS dst_idx FROM edges e JOIN i a ON a.design_id = e.design_id AND a.id = src JOIN i b ON b.design_id = e.design_id AND b.id = dst")
@@ -1070,7 +1099,7 @@ def _(t):
     return _node_link(t)[1]
 
 
-def _gexf(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _gexf(t: Tables, designs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     text = lambda c: c.cast("string")
     value = lambda k, v: F.concat(F.lit(f'<attvalue for="{k}" value="'), v, F.lit('"/>'))
     node = lambda x: F.concat(F.lit('<node id="'), x["node"]["id"], F.lit('" label="x"><attvalues>'), value(0, text(x["node"]["block"])), value(1, text(x["node"]["function"])), value(2, x["node"]["text"]), value(3, text(x["node"]["type"])), value(4, F.concat(F.lit("load "), x["node"]["text"])), F.lit("</attvalues></node>"))
@@ -1079,7 +1108,13 @@ def _gexf(t: Tables) -> tuple[DataFrame, DataFrame]:
     head = "<gexf><graph>" + titles("node", enumerate(("block", "function", "text", "type", "full_text"))) + titles("edge", ((5, "flow"), (6, "position")))
     doc = F.concat(F.lit(head + "<nodes>"), F.array_join(F.transform("all", node), ""), F.lit("</nodes><edges>"), F.array_join(F.transform("all", edge), ""), F.lit("</edges></graph></gexf>"))
     wr.write_text_files(_graph_files(t).select(F.concat("brand", F.lit(".gexf")).alias("path"), doc.alias("content")), root := _tree(t))
-    return rd.read_gexf_graphs(t.spark, root)[:2]
+    return rd.read_gexf_graphs(t.spark, root, designs)
+
+
+@query("s5_designs_without_graph", f"SELECT DISTINCT p_type AS design_id FROM part UNION SELECT p_brand FROM part WHERE p_brand NOT IN (SELECT {_BRAND.removesuffix(' AS design_id')} FROM part)")
+def _(t):
+    designs = t.part.select(F.explode(F.array("p_type", "p_brand", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-"))).alias("design_id")).distinct()
+    return _gexf(t, designs)[2]
 
 
 @query("s5_gexf_nodes", _NODE_SQL)
