@@ -56,8 +56,19 @@ def path_columns(df: DataFrame, path: str = "__path") -> DataFrame:
     })
 
 
+def _few_listing_tasks(spark: SparkSession) -> None:
+    """From now on the session lists folders in few tasks, if it has no number of its own.
+
+    Spark's own number is a task for each of up to 10,000 folders, whose results reach the driver: many times the list itself.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, 2 * spark.sparkContext.defaultParallelism)
+
+
 def _json_files(spark: SparkSession, schema: str, name: str, mode: str, stream: bool = False):
     """A reader of all files of this name below a folder, in one batch or as a stream of files."""
+    _few_listing_tasks(spark)
     reader = (spark.readStream if stream else spark.read).schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
     return reader.option("mode", "FAILFAST" if mode == "strict" else "PERMISSIVE")
 
