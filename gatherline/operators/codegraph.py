@@ -21,10 +21,13 @@ DIRECTIVE_POSITIONS = {"PIPELINE": 0, "PARALLEL": 1, "TILE": 2}
 
 
 def pair_seed_final(final: DataFrame, seed: DataFrame, by: list[str], name: str, final_iter: int) -> tuple[DataFrame, DataFrame]:
-    """(final designs named ``seed_design_N_iter_K`` with their passing seed, those without one)."""
+    """(final designs named ``seed_design_N_iter_K`` with their passing seed, those without one).
+
+    Both sides may be large, and Spark's guess of the seeds' size may be far too low, so the join is by shuffle, never broadcast.
+    """
     pattern = r"^seed_design_(\d+)_iter_(\d+)$"
     rows = final.withColumns({"seed_id": F.regexp_extract(name, pattern, 1).try_cast("int"), "final_iter": F.regexp_extract(name, pattern, 2).try_cast("int")}).where(F.col("final_iter") == final_iter)
-    seeds = seed.withColumn("seed_id", F.regexp_extract(name, r"^seed_design_(\d+)$", 1).try_cast("int")).select(*by, "seed_id", F.col(name).alias("seed_name"))
+    seeds = seed.withColumn("seed_id", F.regexp_extract(name, r"^seed_design_(\d+)$", 1).try_cast("int")).select(*by, "seed_id", F.col(name).alias("seed_name")).hint("merge")
     return rows.join(seeds, [*by, "seed_id"]), rows.join(seeds, [*by, "seed_id"], "left_anti")
 
 
