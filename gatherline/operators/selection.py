@@ -11,6 +11,9 @@ from ..functions.scalars import is_pass
 from .joins import TASK_ROWS, largest_group
 from .placement import by_ranges, earlier, with_group_ranges
 
+#: Rows that a task adds up at once, about.
+SUM_ROWS = 500_000
+
 
 def _keep_frontier(df: DataFrame, part: list[str | Column], x: str, y: str) -> DataFrame:
     before = Window.partitionBy(*part).orderBy(F.col(x), F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,9 +81,16 @@ def pareto_score(points: DataFrame, x: str, y: str, keys: list[str]) -> DataFram
     )
 
 
-def rank_candidates(pred: DataFrame, key: list[str], value: str = "y_pred", k: int | None = 50) -> DataFrame:
-    """Keys by the sum of their predictions, ascending, ties by key; the first ``k``, or all."""
-    out = pred.groupBy(*key).agg(F.sum(value).alias("score")).orderBy("score", *key)
+def rank_candidates(pred: DataFrame, key: list[str], value: str = "y_pred", k: int | None = 50, digits: int | None = None) -> DataFrame:
+    """Keys by the sum of their predictions, ascending, ties by key; the first ``k``, or all.
+
+    ``digits``: sums are rounded to so many decimals before they are compared. Rows are dealt by key and value first, so that no
+    task adds up more than about ``SUM_ROWS`` keys, however few files there are.
+    """
+    rows = pred.select(*dict.fromkeys([*key, value]))
+    tasks = max(int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SUM_ROWS))
+    score = F.sum(value)
+    out = rows.repartition(tasks, *key, value).groupBy(*key).agg((score if digits is None else F.round(score, digits)).alias("score")).orderBy("score", *key)
     return out.limit(k) if k is not None else out
 
 

@@ -627,8 +627,7 @@ def _(t):
 
 @query("t1_rank_candidates", "SELECT l_partkey, l_suppkey, round(sum(l_discount), 6) AS score FROM lineitem GROUP BY ALL ORDER BY round(sum(l_discount), 6), l_partkey, l_suppkey LIMIT 50")
 def _(t):
-    pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(r6(F.sum("l_discount")).alias("v"))
-    return sl.rank_candidates(pairs, ["l_partkey", "l_suppkey"], "v")
+    return sl.rank_candidates(t.lineitem, ["l_partkey", "l_suppkey"], "l_discount", digits=6)
 
 
 _PASSING = "l_returnflag = 'A'"
