@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Runs of texts after which a worker hands free memory back, and the bytes from which an array is handed back as soon as it is freed.
 TRIM_RUNS, MAPPED_BYTES = 4, 4 << 20
+#: Bytes of an Arrow batch of texts; Spark's own bounds, 10,000 rows and 64 MB, let JVM and worker each hold several times 35 MB a task.
+BATCH_BYTES = 4 << 20
 
 #: Fixed value: the C library's number of the option.
 M_MMAP_THRESHOLD = -3
@@ -80,12 +82,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have about ``BATCH_BYTES`` at most, if the session has no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, rid, fp, text``: the text as UTF-8 bytes, and a join key that survives null and repeated ids.
 
     ``rid`` is the id (-1 for null) and ``fp`` a hash of the text; rows that agree in both have the same text
     and so the same result. Ids are integers, or text that reads as one; other text is an error. Every other column of the input is left behind, whatever its name.
+    From then on the session's Arrow batches are bounded.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rid"), F.xxhash64(text).alias("fp"), text.cast("binary").alias("text"))
 

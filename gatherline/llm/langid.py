@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, free_names, keyed_documents, release, runs, sized_join, written
+from .common import blocks, bounded_batches, fold, free_names, keyed_documents, release, runs, sized_join, written
 from .hashing import U, mix, prefix_sums, span_hash
 from .wordscores import WordScores
 
@@ -201,7 +201,8 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     model = Model(counts)
     if not counts:
         return model, {}
-    pieces = texts.where("nth % 4 = 0").select("text").mapInArrow(_pieces, "text binary")
+    # written, so that no task needs two Python workers: idle ones stay in memory
+    pieces = written(spark, texts.where("nth % 4 = 0").select("text").mapInArrow(_pieces, "text binary"), "lang_pieces")
     scored = classify(spark, pieces, model, {}, keep=()).where("n_letters > 0")
     size = F.least(F.floor(F.log2("n_letters")), F.lit(MOST_SIZE)).cast("int").alias("size")
     at = F.percentile_approx("cross_entropy", [0.5, REJECT_QUANTILE], 10_000).alias("at")
@@ -268,6 +269,7 @@ def identify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROW
 
 def in_known_language(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, all columns as they are."""
+    bounded_batches(spark)
     model, limits = fit(spark, docs, **how)
     held = spark.sparkContext.broadcast(model)
     schema = docs.schema
