@@ -23,6 +23,9 @@ TRIM_RUNS, MAPPED_BYTES = 4, 4 << 20
 #: Bytes of an Arrow batch of texts; Spark's own bounds, 10,000 rows and 64 MB, let JVM and worker each hold several times 35 MB a task.
 BATCH_BYTES = 4 << 20
 
+#: Spark deletes a query's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Fixed value: the C library's number of the option.
 M_MMAP_THRESHOLD = -3
 
@@ -68,6 +71,23 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """``written``, and the shuffle files that made the rows are deleted at once. The session's own setting stands afterwards."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return written(spark, df, tag)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Delete the files of a written table from which nothing will be read any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, size: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with ``small`` (a written table), broadcast if its counted size is below ``limit``, else by shuffle.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled
 
 
 def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFr
     all edges costs no more than others. Rounds grow with the logarithm of the component's size.
     """
     # a: the larger end, b: the smaller
-    now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = settled(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,7 +25,7 @@ def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFr
         # small star: a node and its neighbours below hang on the least of them
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        now = written(spark, small, "edges")
+        now = settled(spark, small, "edges")
         new = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == new:
             break
@@ -33,4 +33,4 @@ def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFr
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return written(spark, now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "roots")
+    return settled(spark, now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "roots")

@@ -117,8 +117,8 @@ def widened(base: pa.RecordBatch, types: pa.Schema, names: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays(cols, schema=types)
 
 
-def _answer(rows: pd.DataFrame, hot_above: int) -> pd.DataFrame:
-    """An owner: decode all lists, add up, and flag the keys that occur twice, and those that occur too often."""
+def _counted(rows: pd.DataFrame) -> list[np.ndarray]:
+    """An owner: decode all lists and add up; for each list how often each of its keys occurs anywhere."""
     lists, times = [], []
     for payload in rows["payload"]:
         coded, counts = unpacked(payload)
@@ -131,9 +131,20 @@ def _answer(rows: pd.DataFrame, hot_above: int) -> pd.DataFrame:
     total = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), head)
     count = np.empty(len(every), np.int64)
     count[order] = np.repeat(total, np.diff(np.append(head, len(ranked))))
-    ends = np.cumsum([len(x) for x in lists])
-    out = [packed((bits(part > 1), bits(part > hot_above))) for part in (count[e - len(x) : e] for e, x in zip(ends, lists, strict=True))]
-    return pd.DataFrame({"chunk": rows["chunk"], "owner": rows["owner"], "payload": out, "n": [len(x) for x in lists]})
+    return np.split(count, np.cumsum([len(x) for x in lists])[:-1])
+
+
+def _answer(rows: pd.DataFrame, hot_above: int) -> pd.DataFrame:
+    """An owner's flags of the keys that occur twice, and of those that occur too often."""
+    counts = _counted(rows)
+    out = [packed((bits(part > 1), bits(part > hot_above))) for part in counts]
+    return pd.DataFrame({"chunk": rows["chunk"], "owner": rows["owner"], "payload": out, "n": [len(x) for x in counts]})
+
+
+def _graded(rows: pd.DataFrame) -> pd.DataFrame:
+    """An owner's levels of the keys: 1 for a key that occurs once, 2 for up to three times, 3 for up to seven, and so on."""
+    counts = _counted(rows)
+    return pd.DataFrame({"chunk": rows["chunk"], "owner": rows["owner"], "payload": [packed(np.frexp(part)[1].astype(np.uint8)) for part in counts]})
 
 
 def _widened_keys(data: bytes, wide: int) -> np.ndarray:
@@ -184,3 +195,19 @@ def expanded(table: DataFrame, answers: DataFrame, carry: tuple[str, ...] = (),
     rows = table.where("owner < 0").select("chunk", "doc_id", "rid", "fp", "payload", *carry)
     more = "".join(f", {c} {table.schema[c].dataType.simpleString()}" for c in carry)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _expand(a, b, list(carry), key_bits // 8), f"doc_id long, rid long, fp long{more}, payload binary, hot binary, mask binary")
+
+
+def _leveled(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """A chunk: line its sorted keys up with the owners' levels."""
+    held = np.frombuffer(b"".join(mine["payload"]), U)
+    edge = np.concatenate(([0], np.cumsum([len(x) // 8 for x in mine["payload"]]))).astype(np.int64)
+    level = np.concatenate([np.zeros(0, np.uint8), *(unpacked(p) for p in answers.sort_values("owner")["payload"])])
+    level = level[np.unique(held, return_inverse=True)[1]]
+    return pd.DataFrame({"doc_id": mine["doc_id"], "levels": [level[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]})
+
+
+def key_levels(table: DataFrame) -> DataFrame:
+    """``doc_id, levels``: a byte for each of the row's keys, the bit length of how often the key occurs in ``table`` (from keyed_pass, with whole keys)."""
+    answers = table.where("owner >= 0").select("chunk", "owner", "payload").groupBy("owner").applyInPandas(_graded, "chunk long, owner int, payload binary")
+    rows = table.where("owner < 0").select("chunk", "doc_id", "payload")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_leveled, "doc_id long, levels binary")

@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, free_names, keyed_documents, lower_ascii, shuffle_partitions, sized_join, written
+from .common import blocks, discard, free_names, keyed_documents, lower_ascii, settled, shuffle_partitions, sized_join
 from .components import connected
-from .exchange import key_bits, keyed_pass, repeated_keys
+from .exchange import key_bits, key_levels, keyed_pass, repeated_keys
 from .hashing import _BASE, U, Words, mix
 
 #: Sizes of an instance span this ratio.
@@ -156,7 +156,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 4, share:
     null ids count as larger than all others. An empty table gives no rows. Sets are held as 64-bit hashes.
     """
     placed = _placed(spark, docs, n, share, id_col, text_col)
-    least = written(spark, placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    least = settled(spark, placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return sized_join(placed, least, ["root"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -175,13 +175,14 @@ def _placed(spark: SparkSession, docs: DataFrame, n: int, share: int, id_col: st
 
     kept = key_bits(docs.count())
     table = keyed_pass(spark, keyed, keys_of, "n_shingles long, node long", "signatures", key_bits=kept)
-    rows = table.where("owner < 0").select("doc_id", "rid", "fp", "n_shingles", "node")
+    rows = settled(spark, table.where("owner < 0").select("doc_id", "rid", "fp", "n_shingles", "node"), "rows")
     named = repeated_keys(table, carry=("n_shingles", "node"), key_bits=kept)
-    nodes = written(spark, named.groupBy("node").agg(F.min(F.struct("rid", "fp")).alias("at"), F.first("n_shingles").alias("size"), F.first("payload").alias("payload")), "nodes")
+    nodes = settled(spark, named.groupBy("node").agg(F.min(F.struct("rid", "fp")).alias("at"), F.first("n_shingles").alias("size"), F.first("payload").alias("payload")), "nodes")
+    discard(spark, table)
     members = _candidates(spark, nodes)
-    label = written(spark, members.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    label = settled(spark, members.select("node").distinct().withColumn("root", F.col("node")), "labels")
     if label.limit(1).count():
-        used = written(spark, nodes.join(label.select("node"), "node", "left_semi").select("node", "at.rid", "at.fp"), "used")
+        used = settled(spark, nodes.join(label.select("node"), "node", "left_semi").select("node", "at.rid", "at.fp"), "used")
 
         def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in blocks(batches):
@@ -190,7 +191,10 @@ def _placed(spark: SparkSession, docs: DataFrame, n: int, share: int, id_col: st
                 yield pa.RecordBatch.from_pydict({"node": batch.column(batch.schema.get_field_index("node")), "payload": pa.array([keys[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())})
 
         sets = sized_join(keyed, used, ["rid", "fp"], "inner").select("node", "text").mapInArrow(sets_of, "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload"))
-        label = _resolve(spark, members, label, written(spark, sets, "sets"), share)
+        sets = settled(spark, sets, "sets")
+        discard(spark, nodes)
+        label = _resolve(spark, members, label, sets, share)
+        discard(spark, sets)
     return rows.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -203,10 +207,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 4, share: int = 8
     key = ["none", "rid", "fp"]
     placed = _placed(spark, docs, n, share, id_col, text_col).where("n_shingles > 0").withColumn("none", F.col("doc_id").isNull())
     keeper = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
-    keeper = written(spark, keeper.select("root", "keeper"), "keepers")
+    keeper = settled(spark, keeper.select("root", "keeper"), "keepers")
     verdict = sized_join(placed, keeper, ["root"], "inner").groupBy(*key).agg(F.first(F.struct(*key) == F.col("keeper")).alias("keeps"), F.count("*").alias("rows"))
     none, rid, fp = names = free_names(docs, *(f"__{c}" for c in key))
-    verdict = written(spark, verdict.where("not keeps or rows > 1").select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)), "keeps"), "near_copies")
+    verdict = settled(spark, verdict.where("not keeps or rows > 1").select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)), "keeps"), "near_copies")
     keyed = docs.withColumns({none: F.col(id_col).isNull(), rid: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), fp: F.xxhash64(text_col)})
     again = verdict.where("keeps").select(*names)
     left = sized_join(keyed, verdict.select(*names), names, "left_anti")
@@ -226,14 +230,22 @@ def _candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
             many = np.fromiter(map(len, lists), np.int64, len(lists))
             yield pa.RecordBatch.from_pydict({"sig": np.concatenate(lists), "node": np.repeat(node, many), "size": np.repeat(size, many)})
 
-    flat = written(spark, nodes.select("node", "size", "payload").mapInArrow(explode, "sig long, node long, size long"), "members")
-    groups = flat.groupBy("sig").agg(F.count("*").alias("fellows")).where("fellows > 1")
-    flat = flat.join(groups, "sig")
+    return _clustered(spark, nodes.select("node", "size", "payload").mapInArrow(explode, "sig long, node long, size long"))
+
+
+def _clustered(spark: SparkSession, flat: DataFrame) -> DataFrame:
+    """``cluster, node, size, degree`` of ``sig, node, size``: groups of nodes with the same ``sig`` joined into clusters."""
+    every = settled(spark, flat, "members")
+    groups = every.groupBy("sig").agg(F.count("*").alias("fellows")).where("fellows > 1")
+    flat = every.join(groups, "sig")
     degree = flat.groupBy("node").agg(F.sum("fellows").alias("degree"))
-    flat = written(spark, flat.drop("fellows").join(degree, "node"), "members")
+    flat = settled(spark, flat.drop("fellows").join(degree, "node"), "members")
+    discard(spark, every)
     # a group's cluster is its best connected member; all pairs of the group are pairs of the cluster
     top = flat.groupBy("sig").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("top")).select("sig", (-F.col("top.node")).alias("cluster"))
-    return written(spark, flat.join(top, "sig").select("cluster", "node", "size", "degree").distinct(), "clusters")
+    clusters = settled(spark, flat.join(top, "sig").select("cluster", "node", "size", "degree").distinct(), "clusters")
+    discard(spark, flat)
+    return clusters
 
 
 def _components(held: list[np.ndarray], node: np.ndarray, root: np.ndarray, share: int) -> list[tuple[int, int]]:
@@ -263,6 +275,7 @@ def _within(spark: SparkSession, clusters: DataFrame, sets: DataFrame, share: in
 
     ``clusters``: cluster, node, size, degree, root. A task takes whole clusters, as many as it has room for.
     """
+    clusters = settled(spark, clusters.select("cluster", "node", "size", "degree", "root"), "small")
     total = clusters.agg(F.sum("size")).first()[0] or 0
     tasks = max(4 * shuffle_partitions(spark), -(-total // TASK_ELEMENTS))
 
@@ -276,26 +289,28 @@ def _within(spark: SparkSession, clusters: DataFrame, sets: DataFrame, share: in
         return pd.DataFrame({"a": pd.Series([x for x, _ in links], dtype="int64"), "b": pd.Series([x for _, x in links], dtype="int64")})
 
     task = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task")
-    return clusters.join(sets, "node").select("cluster", "node", "degree", "root", "payload", task).groupBy("task").applyInPandas(resolve, "a long, b long")
+    return sized_join(sets, clusters, ["node"], "inner").select("cluster", "node", "degree", "root", "payload", task).groupBy("task").applyInPandas(resolve, "a long, b long")
 
 
 def _resolve(spark: SparkSession, members: DataFrame, label: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """``node, root``: components of the similar nodes. Small clusters in tasks, larger ones by stars."""
+    levels = None
     for number in range(ROUNDS + 1):
         placed = members.join(label, "node")
         spread = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.min("root").alias("one"), F.max("root").alias("other"))
         small = (F.col("n") <= CLUSTER_NODES) & (F.col("elements") <= CLUSTER_ELEMENTS)
-        spread = written(spark, spread.where("one <> other").select("cluster", "n", small.alias("small")), "cluster_sizes")
+        spread = settled(spark, spread.where("one <> other").select("cluster", "n", small.alias("small")), "cluster_sizes")
         label_of_small = _within(spark, placed.join(spread.where("small"), "cluster", "left_semi"), sets, share)
-        label = _joined(spark, label, written(spark, label_of_small, "links"))
+        label = _joined(spark, label, settled(spark, label_of_small, "links"))
         large = spread.where("not small").drop("small")
         if not large.limit(1).count():
             break
-        placed = written(spark, members.join(large, "cluster").join(label, "node"), "large")
+        placed = settled(spark, members.join(large, "cluster").join(label, "node"), "large")
         if number == ROUNDS:
-            label = _joined(spark, label, written(spark, _within(spark, _blocks(placed), sets, share), "links"))
+            label = _joined(spark, label, settled(spark, _within(spark, _blocks(placed), sets, share), "links"))
             break
-        members, label = _star(spark, placed.drop("n"), label, sets, share)
+        levels = levels or _levels(spark, sets, settled(spark, placed.select("node").distinct(), "starred_nodes"))
+        members, label = _star(spark, placed.drop("n"), label, sets, levels, share)
     return label
 
 
@@ -307,56 +322,72 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return cut.withColumn("cluster", F.xxhash64("cluster", F.least("block", "with"), F.greatest("block", "with"))).select("cluster", "node", "size", "degree", "root")
 
 
-def _star(spark: SparkSession, placed: DataFrame, label: DataFrame, sets: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+def _levels(spark: SparkSession, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, levels``: how often each element of a node's set occurs in the sets of all ``nodes``, as key_levels has it."""
+
+    def elements(payloads: list[bytes], _batch: pa.RecordBatch) -> tuple[dict, np.ndarray, np.ndarray]:
+        return {}, np.frombuffer(b"".join(payloads), U), np.fromiter((len(x) // 8 for x in payloads), np.int64, len(payloads))
+
+    none = F.lit(None).cast("long")
+    some = sized_join(sets, nodes, ["node"], "left_semi")
+    table = keyed_pass(spark, some.select(F.col("node").alias("doc_id"), none.alias("rid"), none.alias("fp"), F.col("payload").alias("text")), elements, "", "elements")
+    levels = settled(spark, key_levels(table).withColumnRenamed("doc_id", "node"), "levels")
+    discard(spark, table)
+    return levels
+
+
+def _star(spark: SparkSession, placed: DataFrame, label: DataFrame, sets: DataFrame, levels: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """One round for large clusters: (the clusters that are left to do, labels with the stars' links)."""
     best = placed.groupBy("cluster").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("best"))
-    centers = best.select("cluster", (-F.col("best.minus")).alias("center"))
-    centers = written(spark, centers.join(sets.select(F.col("node").alias("center"), F.col("payload").alias("centre_set")), "center"), "centers")
+    best = settled(spark, best.select("cluster", (-F.col("best.minus")).alias("center")), "best")
+    centers = settled(spark, sized_join(sets.select(F.col("node").alias("center"), F.col("payload").alias("centre_set")), best, ["center"], "inner"), "centers")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common, linked, lists = [], [], []
-            for x, c in zip(batch.column(batch.schema.get_field_index("payload")).to_pylist(), batch.column(batch.schema.get_field_index("centre_set")).to_pylist(), strict=True):
-                x, c = np.frombuffer(x, U), np.frombuffer(c, U)
-                added = x[~np.isin(x, c, assume_unique=True)]
+            for x, often, c in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("payload", "levels", "centre_set")), strict=True):
+                x, often, c = np.frombuffer(x, U), np.frombuffer(often, np.uint8), np.frombuffer(c, U)
+                new = ~np.isin(x, c, assume_unique=True)
+                added, often = x[new], often[new]
                 p = len(x) - len(added)
                 common.append(p)
                 linked.append(100 * p >= share * (len(x) + len(c) - p))
                 # additions that must be shared, beyond all that a partner can share of c
                 least = -(-share * len(x) // 100) - p
-                lists.append(np.sort(added)[: len(added) - max(least, 1) + 1].tobytes())
+                first = np.argsort(often, kind="stable")[: len(added) - max(least, 1) + 1]
+                lists.append(added[first[often[first] > 1]].tobytes())
             yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(kept)} | {"common": pa.array(common, pa.int64()), "linked": pa.array(linked, pa.bool_()), "added": pa.array(lists, pa.binary())})
 
     kept = ("cluster", "node", "size", "degree", "center")
-    members = placed.select("cluster", "node", "size", "degree").join(sets, "node")
-    starred = sized_join(members, centers, ["cluster"], "inner", "centre_set").select(*kept, "payload", "centre_set")
+    members = sized_join(sets, placed.select("cluster", "node", "size", "degree"), ["node"], "inner")
+    members = sized_join(members, levels, ["node"], "inner", "levels")
+    starred = sized_join(members, centers, ["cluster"], "inner", "centre_set").select(*kept, "payload", "levels", "centre_set")
     starred = starred.mapInArrow(compare, "cluster long, node long, size long, degree long, center long, common long, linked boolean, added binary")
-    starred = written(spark, starred.where("node <> center"), "starred")
-    label = _joined(spark, label, written(spark, starred.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b")), "links"))
+    starred = settled(spark, starred.where("node <> center"), "starred")
+    label = _joined(spark, label, settled(spark, starred.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b")), "links"))
     at_center = label.select(F.col("node").alias("center"), F.col("root").alias("main"))
-    inner = written(spark, centers.select("center").distinct().join(at_center, "center"), "main_roots")
+    inner = settled(spark, centers.select("center").distinct().join(at_center, "center"), "main_roots")
     starred = sized_join(starred.drop("linked").join(label, "node"), inner, ["center"], "inner").withColumn("outer", F.col("root") != F.col("main"))
-    starred = written(spark, starred.drop("center", "main"), "starred")
+    starred = settled(spark, starred.drop("center", "main"), "starred")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
             lists = [np.frombuffer(x, U) for x in col["added"]]
             many = np.fromiter(map(len, lists), np.int64, len(lists))
-            rest = {c: np.repeat(col[c], many) for c in row}
-            rest["cluster"] = mix(mix(rest["cluster"].view(U)) + np.concatenate([np.zeros(0, U), *lists])).view(np.int64)
-            yield pa.RecordBatch.from_pydict(rest)
-
-    row = ("cluster", "node", "size", "degree", "root")
-    flat = written(spark, starred.select(*row, "added").mapInArrow(explode, ", ".join(f"{c} long" for c in row)), "additions")
-    met = flat.groupBy("cluster").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
-    left = flat.join(met.select("cluster"), "cluster", "left_semi")
+            sig = mix(mix(np.repeat(col["cluster"].view(U), many)) + np.concatenate([np.zeros(0, U), *lists])).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"sig": sig} | {c: np.repeat(col[c], many) for c in row})
+
+    row = ("node", "size", "root")
+    flat = settled(spark, starred.select("cluster", *row, "added").mapInArrow(explode, ", ".join(f"{c} long" for c in ("sig", *row))), "additions")
+    met = flat.groupBy("sig").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+    left = _clustered(spark, flat.join(met.select("sig"), "sig", "left_semi").select("sig", "node", "size"))
     # pairs that need not share an addition: both have much of c, and little else
     outer = F.col("outer")
-    starred = written(spark, _can_meet(starred, outer, F.lit(True), share, "able").where("able or not outer"), "able")
+    starred = settled(spark, _can_meet(starred, outer, F.lit(True), share, "able").where("able or not outer"), "able")
     partner = _can_meet(starred, F.lit(True), F.col("able"), share, "partner").where("partner or able")
-    left = left.unionByName(partner.withColumn("cluster", F.xxhash64("cluster", F.lit("parts"))).select("cluster", "node", "size", "degree", "root"))
-    return written(spark, left.drop("root"), "members"), label
+    left = left.unionByName(partner.withColumn("cluster", F.xxhash64("cluster", F.lit("parts"))).select("cluster", "node", "size", "degree"))
+    return settled(spark, left, "members"), label
 
 
 def _can_meet(starred: DataFrame, which: F.Column, others: F.Column, share: int, name: str) -> DataFrame:
@@ -383,4 +414,4 @@ def _joined(spark: SparkSession, label: DataFrame, links: DataFrame) -> DataFram
     ends = links.join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     roots = connected(spark, ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     moved = label.join(roots.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-    return written(spark, moved.select("node", F.coalesce("new", "root").alias("root")), "labels")
+    return settled(spark, moved.select("node", F.coalesce("new", "root").alias("root")), "labels")
