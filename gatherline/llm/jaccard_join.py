@@ -25,6 +25,7 @@ lost, no pair of a group is ever a row, and unrelated members of a group cost on
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ CLUSTER_NODES, CLUSTER_ELEMENTS = 1000, 1_000_000
 ROUNDS = 6
 #: Elements that a task of small clusters takes in at a time, about.
 TASK_ELEMENTS = 2_000_000
+#: Elements that a pass over the small clusters sends at least, and passes at most.
+PASS_ELEMENTS, PASSES = 16_000_000, 32
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,11 +276,15 @@ def _components(held: list[np.ndarray], node: np.ndarray, root: np.ndarray, shar
 def _within(spark: SparkSession, clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links (a, b) that connect the components of each small cluster: fewer than it has nodes.
 
-    ``clusters``: cluster, node, size, degree, root. A task takes whole clusters, as many as it has room for.
+    ``clusters``: cluster, node, size, degree, root. A task takes whole clusters, as many as it has room for. A set
+    travels once for each of its clusters; passes over some of the clusters each send about as much as all sets hold,
+    so that what lies on disk at a time does not grow with the number of clusters of a set.
     """
     clusters = settled(spark, clusters.select("cluster", "node", "size", "degree", "root"), "small")
     total = clusters.agg(F.sum("size")).first()[0] or 0
-    tasks = max(4 * shuffle_partitions(spark), -(-total // TASK_ELEMENTS))
+    once = clusters.select("node", "size").distinct().agg(F.sum("size")).first()[0] or 0
+    passes = max(1, min(PASSES, -(-total // max(once, PASS_ELEMENTS))))
+    tasks = max(4 * shuffle_partitions(spark), -(-total // (TASK_ELEMENTS * passes)))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cluster", "degree", "node"], ascending=[True, False, True], ignore_index=True)
@@ -289,7 +296,12 @@ def _within(spark: SparkSession, clusters: DataFrame, sets: DataFrame, share: in
         return pd.DataFrame({"a": pd.Series([x for x, _ in links], dtype="int64"), "b": pd.Series([x for _, x in links], dtype="int64")})
 
     task = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task")
-    return sized_join(sets, clusters, ["node"], "inner").select("cluster", "node", "degree", "root", "payload", task).groupBy("task").applyInPandas(resolve, "a long, b long")
+    found = []
+    for number in range(passes):
+        some = clusters.where(F.pmod(F.xxhash64("cluster", F.lit("pass")), F.lit(passes)) == number)
+        sent = sized_join(sets, some, ["node"], "inner").select("cluster", "node", "degree", "root", "payload", task)
+        found.append(settled(spark, sent.groupBy("task").applyInPandas(resolve, "a long, b long"), "links"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _resolve(spark: SparkSession, members: DataFrame, label: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -300,14 +312,13 @@ def _resolve(spark: SparkSession, members: DataFrame, label: DataFrame, sets: Da
         spread = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.min("root").alias("one"), F.max("root").alias("other"))
         small = (F.col("n") <= CLUSTER_NODES) & (F.col("elements") <= CLUSTER_ELEMENTS)
         spread = settled(spark, spread.where("one <> other").select("cluster", "n", small.alias("small")), "cluster_sizes")
-        label_of_small = _within(spark, placed.join(spread.where("small"), "cluster", "left_semi"), sets, share)
-        label = _joined(spark, label, settled(spark, label_of_small, "links"))
+        label = _joined(spark, label, _within(spark, placed.join(spread.where("small"), "cluster", "left_semi"), sets, share))
         large = spread.where("not small").drop("small")
         if not large.limit(1).count():
             break
         placed = settled(spark, members.join(large, "cluster").join(label, "node"), "large")
         if number == ROUNDS:
-            label = _joined(spark, label, settled(spark, _within(spark, _blocks(placed), sets, share), "links"))
+            label = _joined(spark, label, _within(spark, _blocks(placed), sets, share))
             break
         levels = levels or _levels(spark, sets, settled(spark, placed.select("node").distinct(), "starred_nodes"))
         members, label = _star(spark, placed.drop("n"), label, sets, levels, share)

@@ -71,3 +71,13 @@ def test_no_shuffle_and_no_consumed_table_stays(spark):
     assert spark.conf.get(CLEANUP, None) is None  # the session's own shuffles are as before
     for _ in range(2):
         assert {r.doc_id: r.component_id for r in out.collect()} == expected
+
+
+def test_small_clusters_in_passes(spark, monkeypatch):
+    rows, expected = _sharing_lines(3)
+    monkeypatch.setattr(jaccard_join, "PASS_ELEMENTS", 1)
+    tags, settled = [], jaccard_join.settled
+    monkeypatch.setattr(jaccard_join, "settled", lambda s, df, tag: tags.append(tag) or settled(s, df, tag))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar_components(spark, docs, 5, 80).collect()} == expected
+    assert tags.count("small") == 1 and tags.count("links") > 1  # one round, no more at a time than the sets hold
